@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import sharding, token_counts
+from quernstone.llm import decontamination, media, ngram_join, packing, sharding, token_counts, warc
+from quernstone.session import ship_package
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -13,15 +19,55 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(f):
+    """Register ``f`` under its name; the package goes to the executors before it runs."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+@query
+def op2_decontamination(spark, table) -> DataFrame:
+    """Every document against all benchmark windows of 10 words."""
+    return decontamination.digest(decontamination.find_contamination(table("documents"), table("benchmark"), window=10))
+
+
+@query
+def op3_sharding(spark, table) -> DataFrame:
     """Every document in one of 16 shards by jump hashing, with its slot and its shard among 17."""
-    return sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=16)
+    return sharding.assign_shards(table("documents"), shards=16)
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def op4_token_counts(spark, table) -> DataFrame:
     """Token counts of every whole document under the 32k piece model."""
-    return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table("documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_token_counts": op4_token_counts}
-ORACLE: dict[str, str] = {}
+@query
+def op5_media_columns(spark, table) -> DataFrame:
+    """Every document stored as an ISO media file and read back through its sample tables."""
+    return media.store_texts(table("documents"))
+
+
+@query
+def op6_packing(spark, table) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens by best-fit decreasing."""
+    return packing.pack(table("documents"), tokenizer_path("word_bpe_49k.json"), window=4096, end_id=2)
+
+
+@query
+def op7_ngram_jaccard_join(spark, table) -> DataFrame:
+    """Every document's component under links of Jaccard 0.9 on three-word shingles."""
+    return ngram_join.jaccard_components(table("documents"), size=3, num=90, den=100)
+
+
+@query
+def op10_warc(spark, table) -> DataFrame:
+    """Every page written to WARC archives and read back by the salvage reader."""
+    return warc.round_trip(table("pages"))
