@@ -10,9 +10,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The surrogate key of the registered queries; a deployment passes a secret of its own.
+KEY = b"registered-query-key"
 _OWN: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the named vocabulary file of the public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,19 +6,15 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontamination, media, ngram_join, packing, sharding, token_counts, warc
+import corpus_pipeline
+from quernstone.llm import decontamination, license_scan, media, ngram_join, packing, pii, quality, sharding, token_counts, warc
+from quernstone.llm.common import KEY, tokenizer_path
 from quernstone.session import ship_package
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def query(f):
     """Register ``f`` under its name; the package goes to the executors before it runs."""
 
@@ -71,3 +67,28 @@ def op7_ngram_jaccard_join(spark, table) -> DataFrame:
 def op10_warc(spark, table) -> DataFrame:
     """Every page written to WARC archives and read back by the salvage reader."""
     return warc.round_trip(table("pages"))
+
+
+@query
+def op1_license_scan(spark, table) -> DataFrame:
+    """Every document's licence notices."""
+    return license_scan.report(license_scan.scan(table("documents")))
+
+
+@query
+def op8_pii_surrogates(spark, table) -> DataFrame:
+    """Every document with its personal data replaced; surrogates are checked over all documents first."""
+    docs = table("documents")
+    pii.check_collisions(docs, KEY)
+    return pii.replace_entities(docs, KEY)
+
+
+@query
+def op9_quality_classifier(spark, table) -> DataFrame:
+    """Every document's quality score under a rule ensemble fitted outside the held-out third."""
+    docs = table("documents")
+    return quality.score(docs, quality.fit(docs, table("labels")))
+
+
+ORACLE["op1_license_scan"] = license_scan.oracle()
+QUERIES["pipeline"] = corpus_pipeline.run
