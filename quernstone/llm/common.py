@@ -41,6 +41,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of narrow columns that are broadcast at most; a table beyond it is joined by sorting both sides.
+BROADCAST_ROWS = 1_000_000
+
+
+def sided(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, a written table of narrow rows, hinted for a join: broadcast if its counted rows fit ``limit``."""
+    return small.hint("broadcast" if small.count() <= limit else "merge")
+
+
 def sized_rows(col: str = "text"):
     """UTF-8 length of a string column, null as 0."""
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import UnionFind, components, runs, written
+from quernstone.llm.common import UnionFind, components, runs, sided, written
 
 #: Ratio of neighbouring block counts.
 GRID = 1.5
@@ -300,8 +300,8 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _families(digests: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """(node, component): documents that may be connected by links, with their family."""
-    rep = reps.select("rep").distinct()
-    rows = digests.join(rep, digests.doc == rep.rep, "left_semi").select(F.explode("keys").alias("key"), "doc", "n", "point")
+    rep = sided(reps)
+    rows = digests.join(rep, digests.doc == F.col("rep"), "left_semi").select(F.explode("keys").alias("key"), "doc", "n", "point")
 
     def connect(batches):
         held, first, seam = None, True, False  # seam: rows of the entry that ``held`` begins with were connected before
@@ -361,13 +361,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     rule = Rule(num, den)
     digests = written(_digests(docs, size, rule, doc_id, text), "sets")
     reps = digests.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
-    families = _families(digests, reps, rule)
-    small = reps.select("rep").distinct()
-    sized = digests.where("n > 0").join(small, digests.doc == small.rep, "left_semi").groupBy("doc").agg(F.max("n").alias("n"))
+    one = written(reps.select("rep").distinct(), "representatives")
+    families = _families(digests, one, rule)
+    sized = digests.where("n > 0").join(sided(one), digests.doc == F.col("rep"), "left_semi").groupBy("doc").agg(F.max("n").alias("n"))
     placed = written(_leaves(families, sized), "leaves")
     data = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("leaves") - 1), lambda k: F.struct(F.least("leaf", k).alias("a"), F.greatest("leaf", k).alias("b")))).alias("pair")
-    dealt = data.join(placed, "doc").select("family", "doc", "leaf", pairs, "data").select("family", "pair.a", "pair.b", "leaf", "doc", "data")
+    dealt = data.join(sided(placed), "doc").select("family", "doc", "leaf", pairs, "data").select("family", "pair.a", "pair.b", "leaf", "doc", "data")
 
     def trees(batches):
         def link(rows: pd.DataFrame) -> pd.DataFrame:
@@ -404,4 +404,4 @@ def one_per_component(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     Rows that repeat a kept doc_id stay, as do rows with a null doc_id.
     """
     gone = jaccard_components(docs, size, num, den, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(written(gone, "gone"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    return docs.join(sided(written(gone, "gone")), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
