@@ -59,7 +59,10 @@ class WordIds:
         return got
 
     def chunk(self, chunk: str) -> bytes:
-        got = b"".join(map(self.run, RUNS.findall(chunk))) if PLAIN.fullmatch(chunk) and "<|" not in chunk else self.library(chunk)
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:  # ASCII runs share their entries whatever their case
+            got = b"".join(map(self.run, RUNS.findall(chunk.lower() if chunk.isascii() else chunk)))
+        else:
+            got = self.library(chunk)
         if len(self.chunks) >= CACHE:
             self.chunks.clear()
         if len(chunk) < 48:
