@@ -8,9 +8,12 @@ One tree over a corpus would be one task, so points are first dealt to many smal
 
 1. Equal sets are one document with copies (a partial aggregate).
 2. Two sets that link differ in at most D shingles, D known from their sizes. If the shingles' hash
-   space is cut into more than D blocks, the two sets are equal on one block at least. A document is
-   entered under the content of each of its blocks. Documents under the same entry whose coarse points
-   are near enough go to the same family; families are connected sets of such pairs.
+   space is cut into K > D blocks, the two sets are equal on K - D blocks at least. A document is
+   entered under the content of each of its blocks. It needs K - D entries that others have too, else
+   it has no link; and of those it keeps, in one order for all, rare entries first, all but the last
+   K - D - 1: two linked documents still share one (a prefix filter, which sheds what dissimilar
+   documents share, such as common passages and empty blocks). Documents under the same entry whose
+   coarse points are near enough go to the same family; families are connected sets of such pairs.
 3. A family is one R-tree (a very large one is cut into leaves that are paired), where pairs that pass
    the bound are verified on the sets themselves. Pairs that are connected already need no check.
 
@@ -24,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import UnionFind, components, runs, sided, written
 
-#: Ratio of neighbouring block counts.
+#: Ratio of neighbouring block counts, and the least ratio of blocks to differences.
 GRID = 1.5
+SLACK = 1.25
 #: Groups of the coarse point that is shuffled, four bits each.
 COARSE = 16
 #: Largest entry within which coarse points are compared; the rows of a larger one share a family.
@@ -116,14 +120,16 @@ class Rule:
         """Largest symmetric difference of two linked sets whose sizes sum to ``total``."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def grids(self, n: int) -> list[int]:
-        """Block counts under which a set of ``n`` shingles is entered: all that a partner may use."""
-        low = self.most_apart(n + -(-n * self.num // self.den)) + 1
-        high = self.most_apart(n + n * self.den // self.num) + 1
-        out, k = [], 1
+    def grids(self, n: int) -> list[tuple[int, int]]:
+        """Block counts K under which a set of ``n`` shingles is entered, all that a partner may use, and
+        the blocks at least on which it equals a linked set under K."""
+        blocks = lambda d: int(SLACK * (d + 1)) + 1
+        most = self.most_apart(n + n * self.den // self.num)
+        low, high = blocks(self.most_apart(n + -(-n * self.num // self.den))), blocks(most)
+        out, k = [], 2
         while True:
             if k >= low:
-                out.append(k)
+                out.append((k, max(1, k - most)))
             if k >= high:
                 return out
             k = max(k + 1, int(k * GRID))
@@ -133,19 +139,21 @@ class Rule:
         return self.den * common >= self.num * (len(a) + len(b) - common)
 
 
-def entries(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of a set: for each block count and block, a hash of the block's content.
+def entries(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, a hash of the content of each block for each block count K, and their tags.
 
-    Blocks without content are entered as well: two linked sets may agree on an empty block only.
+    A tag is K and the number of entries that a linked document shares at least, as K * 2^32 + that.
+    Empty blocks are entered as any others: linked sets may agree on them.
     """
-    out = []
-    for k in rule.grids(len(s)):
+    keys, tags = [], []
+    for k, least in rule.grids(len(s)):
         block = ((s >> U(32)) * U(k) >> U(32)).astype(np.int64)  # s is sorted, so blocks are runs
         total = np.zeros(len(s) + 1, U)
         np.cumsum(mix(s), out=total[1:])
         edge = np.searchsorted(block, np.arange(k + 1))
-        out.append(mix((total[edge[1:]] - total[edge[:-1]]) + mix(np.arange(k, dtype=U) * U(0xD1B54A32D192ED03) + U(k))))
-    return np.concatenate(out) if out else np.empty(0, U)
+        keys.append(mix((total[edge[1:]] - total[edge[:-1]]) + mix(np.arange(k, dtype=U) * U(0xD1B54A32D192ED03) + U(k))))
+        tags.append(np.full(k, k << 32 | least, np.int64))
+    return np.concatenate(keys).view(np.int64), np.concatenate(tags)
 
 
 def point(s: np.ndarray, groups: int) -> np.ndarray:
@@ -241,7 +249,7 @@ def link_tree(ids: np.ndarray, sets: list[np.ndarray], rule: Rule, left: np.ndar
 
 
 def _digests(docs: DataFrame, size: int, rule: Rule, doc_id: str, text: str) -> DataFrame:
-    """(doc, n, s1, s2, point, keys): set size, 128-bit digest of the set, coarse point and entries."""
+    """(doc, n, s1, s2, point, keys, tags): set size, 128-bit digest of the set, coarse point and entries."""
 
     def read(batches):
         for b in batches:
@@ -249,11 +257,11 @@ def _digests(docs: DataFrame, size: int, rule: Rule, doc_id: str, text: str) ->
             for cell in b["data"]:
                 s = shingles(bytes(cell) if cell is not None else None, size)
                 sig = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
-                rows.append((len(s), sig[0], sig[1], coarse(s), entries(s, rule).view(np.int64)))
-            n, s1, s2, p, keys = zip(*rows) if rows else ([],) * 5
-            yield pd.DataFrame({"doc": b["doc"], "n": n, "s1": s1, "s2": s2, "point": p, "keys": keys})
+                rows.append((len(s), sig[0], sig[1], coarse(s), *entries(s, rule)))
+            n, s1, s2, p, keys, tags = zip(*rows) if rows else ([],) * 6
+            yield pd.DataFrame({"doc": b["doc"], "n": n, "s1": s1, "s2": s2, "point": p, "keys": keys, "tags": tags})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data")).mapInPandas(read, "doc long, n long, s1 long, s2 long, point long, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data")).mapInPandas(read, "doc long, n long, s1 long, s2 long, point long, keys array<long>, tags array<long>")
 
 
 def _near(rows: pd.DataFrame, rule: Rule, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,10 +306,50 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[keep, 0], pairs[keep, 1]
 
 
+def _shared_entries(digests: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, doc, tag, c) of the entries that c >= 2 documents have.
+
+    One range shuffle, whose bounds hold the document beside the key, so that an entry of very many
+    documents is dealt to many tasks; a task streams its sorted rows and holds one run of equal keys'
+    count and start. Counts of runs that touch a task's ends are summed over the tasks.
+    """
+    rows = digests.join(sided(reps), digests.doc == F.col("rep"), "left_semi").select(F.explode(F.arrays_zip("keys", "tags")).alias("e"), "doc").select("e.keys", "doc", "e.tags")
+
+    def count(batches):
+        held, first = None, True  # rows of the last run, not yet counted to its end
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            starts, sizes = runs(b["keys"].to_numpy(np.int64))
+            if len(starts) == 1 and len(b) > 64 * ENTRY_ROWS:  # one entry wider than a batch: pass on in parts
+                yield b.assign(c=len(b), seam=True)
+                held, first = None, True
+                continue
+            cut = int(starts[-1])
+            c = np.repeat(sizes, sizes)[:cut]
+            seam = np.zeros(cut, bool)
+            if first and cut:
+                seam[: sizes[0]] = True
+                first = False
+            keep = (c > 1) | seam
+            yield b.iloc[:cut][keep].assign(c=c[keep], seam=seam[keep])
+            held = b.iloc[cut:]
+        if held is not None and len(held):
+            yield held.assign(c=len(held), seam=True)
+
+    ranged = rows.repartitionByRange("keys", "doc").sortWithinPartitions("keys", "doc")
+    found = written(ranged.mapInPandas(count, "keys long, doc long, tags long, c long, seam boolean"), "entries")
+    seams = found.where("seam").groupBy(F.col("keys").alias("at")).agg(F.count(F.lit(1)).alias("total"))
+    whole = found.join(sided(written(seams, "seams")), F.col("seam") & (F.col("keys") == F.col("at")), "left")
+    return whole.select(F.col("keys").alias("key"), "doc", F.col("tags").alias("tag"), F.coalesce("total", "c").alias("c")).where("c > 1")
+
+
 def _families(digests: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """(node, component): documents that may be connected by links, with their family."""
-    rep = sided(reps)
-    rows = digests.join(rep, digests.doc == F.col("rep"), "left_semi").select(F.explode("keys").alias("key"), "doc", "n", "point")
+    own = Window.partitionBy("doc", "tag")
+    ranked = _shared_entries(digests, reps).withColumns({"r": F.row_number().over(own.orderBy("c", "key")), "w": F.count(F.lit(1)).over(own)})
+    kept = ranked.where(F.col("r") <= F.col("w") - (F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF))) + 1).select("key", F.col("doc").alias("at"))
+    points = written(digests.where("n > 0").join(sided(reps), digests.doc == F.col("rep"), "left_semi").groupBy("doc").agg(F.max("n").alias("n"), F.max("point").alias("point")), "points")
+    rows = written(kept, "prefixes").join(sided(points), F.col("at") == F.col("doc")).select("key", "doc", "n", "point")
 
     def connect(batches):
         held, first, seam = None, True, False  # seam: rows of the entry that ``held`` begins with were connected before
