@@ -42,6 +42,8 @@ ENTRY_ROWS = 2048
 #: Shingles and documents of a tree; a family beyond either is cut into leaves of half of it.
 TREE_SHINGLES = 2_000_000
 TREE_DOCS = 8192
+#: Documents whose entries a worker sends back at a time.
+DIGEST_ROWS = 500
 #: Documents in a node of an R-tree, and nodes in a node above.
 FANOUT = 16
 
@@ -253,13 +255,14 @@ def _digests(docs: DataFrame, size: int, rule: Rule, doc_id: str, text: str) ->
 
     def read(batches):
         for b in batches:
-            rows = []
-            for cell in b["data"]:
-                s = shingles(bytes(cell) if cell is not None else None, size)
-                sig = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
-                rows.append((len(s), sig[0], sig[1], coarse(s), *entries(s, rule)))
-            n, s1, s2, p, keys, tags = zip(*rows) if rows else ([],) * 6
-            yield pd.DataFrame({"doc": b["doc"], "n": n, "s1": s1, "s2": s2, "point": p, "keys": keys, "tags": tags})
+            for at in range(0, len(b), DIGEST_ROWS):
+                part, rows = b.iloc[at : at + DIGEST_ROWS], []
+                for cell in part["data"]:
+                    s = shingles(bytes(cell) if cell is not None else None, size)
+                    sig = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
+                    rows.append((len(s), sig[0], sig[1], coarse(s), *entries(s, rule)))
+                n, s1, s2, p, keys, tags = zip(*rows)
+                yield pd.DataFrame({"doc": part["doc"].reset_index(drop=True), "n": n, "s1": s1, "s2": s2, "point": p, "keys": keys, "tags": tags})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data")).mapInPandas(read, "doc long, n long, s1 long, s2 long, point long, keys array<long>, tags array<long>")
 

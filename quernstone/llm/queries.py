@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import decontamination, license_scan, media, ngram_join, packing, pii, quality, sharding, token_counts, warc
+from quernstone.llm import decontamination, license_scan, media, ngram_join, oracles, packing, pii, quality, sharding, token_counts, warc
 from quernstone.llm.common import KEY, tokenizer_path
 from quernstone.session import ship_package
 
@@ -91,4 +91,7 @@ def op9_quality_classifier(spark, table) -> DataFrame:
 
 
 ORACLE["op1_license_scan"] = license_scan.oracle()
+ORACLE["op2_decontamination"] = oracles.DECONTAMINATION
+ORACLE["op7_ngram_jaccard_join"] = oracles.JACCARD
+ORACLE["op10_warc"] = oracles.WARC
 QUERIES["pipeline"] = corpus_pipeline.run
