@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import scalar as S
 
 #: Label views: which codes are positive and negative; other codes are not part of the view.
 VIEWS: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {
