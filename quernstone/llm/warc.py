@@ -6,7 +6,6 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
