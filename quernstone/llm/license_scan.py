@@ -2,8 +2,9 @@
 
 Only column expressions: a document's word shingles are hashed once, windows of a template's length
 slide over them, and a window whose MinHash agrees with the template's on all rows of one band is
-verified by the share of the template's shingles that it holds. Before that, a document must hold a
-shingle that is a minimum of some template, as a window without one cannot agree on any band.
+verified by the share of the template's shingles that it holds. Two tests that lose nothing go before:
+a text must hold a word without which no window can match, and a window must hold a shingle that is a
+minimum of the template, as one without cannot agree on any band.
 """
 
 from __future__ import annotations
@@ -68,19 +69,13 @@ def _permuted(x: Column, row: Column) -> Column:
     return F.xxhash64(x, row)
 
 
-def _anchors(shingles: list[tuple[str, ...]]) -> list[str]:
-    """Few words such that every shingle holds one: greedily the most frequent, then the longest."""
-    left, out = set(shingles), []
-    while left:
-        count: dict[str, int] = {}
-        for s in left:
-            for w in set(s):
-                if len(w) > 3 or all(len(x) <= 3 for x in s):
-                    count[w] = count.get(w, 0) + 1
-        best = max(count, key=lambda w: (count[w], len(w), w))
-        out.append(best)
-        left = {s for s in left if best not in s}
-    return out
+def _anchor(text: str, size: int, least: float) -> str:
+    """The longest word of a template that stands in so many of its shingles that no window without it
+    can hold ``least`` of them; empty if there is none."""
+    w = template_words(text)
+    shingles = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+    needed = [x for x in set(w) if sum(x in s for s in shingles) > (1 - least) * len(shingles) + 1e-9]
+    return max(needed, key=lambda x: (len(x), x), default="")
 
 
 def _index(spark: SparkSession, templates: dict[str, str], bands: int, rows: int, size: int) -> list[tuple]:
@@ -96,7 +91,8 @@ def _index(spark: SparkSession, templates: dict[str, str], bands: int, rows: int
 
 
 def _longs(values) -> Column:
-    return F.array(*[F.lit(int(v)).cast("long") for v in values])
+    """A literal array, parsed at once: a call for each of its numbers would take longer than a scan."""
+    return F.expr("array(" + ", ".join(f"CAST('{int(v)}' AS BIGINT)" for v in values) + ")")
 
 
 def _matches(h: Column, entry: tuple, bands: int, rows: int, size: int, least: float) -> Column:
@@ -106,7 +102,8 @@ def _matches(h: Column, entry: tuple, bands: int, rows: int, size: int, least: f
     minima = _longs(dict.fromkeys(xs))
     hits = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(minima, x), i)), lambda i: i.isNotNull())
     windows = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - width + 1) / step).cast("int")), F.floor(i / step).cast("int")))))
-    band = F.array(*[F.struct(*[c for r in range(rows) for c in (F.lit(b * rows + r).alias(f"i{r}"), F.lit(int(ps[b * rows + r])).cast("long").alias(f"p{r}"))]) for b in range(bands)])
+    cells = (", ".join(f"'i{r}', {b * rows + r}, 'p{r}', CAST('{int(ps[b * rows + r])}' AS BIGINT)" for r in range(rows)) for b in range(bands))
+    band = F.expr("array(" + ", ".join(f"named_struct({c})" for c in cells) + ")")
 
     def agrees(w: Column) -> Column:
         inside = F.slice(h, w * step + 1, F.lit(width))
@@ -138,10 +135,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     """
     templates = TEMPLATES if templates is None else templates
     index = _index(docs.sparkSession, templates, bands, rows, size)
-    every = [tuple(w[i : i + size]) for w in map(template_words, templates.values()) for i in range(len(w) - size + 1)]
     lowered = F.lower(F.col(text))
     likely = F.lit(False)
-    for word in _anchors(every):
+    for word in sorted({_anchor(t, size, least) for t in templates.values()}):
         likely = likely | F.contains(lowered, F.lit(word))
     hashed = docs.select(F.col(doc_id).alias("doc_id"), F.when(likely, F.col(text)).alias("__text"))
     # Generated rows are a barrier: the optimiser would else hash a text anew for each template.
