@@ -21,9 +21,8 @@ from pyspark.taskcontext import TaskContext
 
 from quernstone.llm.common import rank_offsets, running_rank, written
 
-#: Entries of a generation of each cache of a Python worker. A full one becomes the old one, from which
-#: entries that are met again move on, so a cache holds twice as many at most.
-CACHE = 160_000
+#: Entries of each cache of a Python worker; a full cache is emptied.
+CACHE = 500_000
 #: White space to str.split() but not to the tokenizers' patterns.
 ODD = re.compile("[\x1c-\x1f]")
 #: Latin letters whose normal form and lower case stay within one run of letters.
@@ -45,8 +44,6 @@ class WordIds:
         self.encode = Tokenizer.from_file(path).encode
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_runs: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -54,24 +51,21 @@ class WordIds:
     def run(self, run: str) -> bytes:
         got = self.runs.get(run)
         if got is None:
-            got = self.old_runs.get(run) or self.library(run)
+            if len(self.runs) >= CACHE:
+                self.runs.clear()
+            got = self.library(run)
             if len(run) < 48:
-                if len(self.runs) >= CACHE:
-                    self.old_runs, self.runs = self.runs, {}
                 self.runs[run] = got
         return got
 
     def chunk(self, chunk: str) -> bytes:
-        got = self.old_chunks.get(chunk)
-        if got is not None:
-            pass
-        elif PLAIN.fullmatch(chunk) and "<|" not in chunk:  # ASCII runs share their entries whatever their case
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:  # ASCII runs share their entries whatever their case
             got = b"".join(map(self.run, RUNS.findall(chunk.lower() if chunk.isascii() else chunk)))
         else:
             got = self.library(chunk)
+        if len(self.chunks) >= CACHE:
+            self.chunks.clear()
         if len(chunk) < 48:
-            if len(self.chunks) >= CACHE:
-                self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = got
         return got
 
@@ -81,10 +75,7 @@ class WordIds:
         known, out = self.chunks.get, []
         for c in text.split():
             got = known(c)
-            if got is None:
-                got = self.chunk(c)
-                known = self.chunks.get
-            out.append(got)
+            out.append(self.chunk(c) if got is None else got)
         return b"".join(out)
 
 
