@@ -99,8 +99,9 @@ def interpolate_asof(points: DataFrame, grid: DataFrame, group: str, x: str, y:
     p = points.select(group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).groupBy(group, "__x").agg(F.avg("__y").alias("__y"))
     both = p.unionByName(grid.select(group, F.col(at).cast("double").alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(True).alias("__grid")), allowMissingColumns=True)
     known = F.when(F.col("__grid").isNull(), F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
-    w = Window.partitionBy(group).orderBy("__x")
-    both = both.withColumns({"lo": F.last(known, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "hi": F.first(known, True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    # Both windows look back, the second in falling order: a frame with an open end is quadratic in its group.
+    ahead, back = (Window.partitionBy(group).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("__x"), F.desc("__x")))
+    both = both.withColumns({"lo": F.last(known, True).over(ahead), "hi": F.last(known, True).over(back)})
     line = F.when(F.col("hi.x") == F.col("lo.x"), F.col("lo.y")).otherwise(F.col("lo.y") + (F.col("hi.y") - F.col("lo.y")) * (F.col("__x") - F.col("lo.x")) / (F.col("hi.x") - F.col("lo.x")))
     value = F.when(F.col("lo").isNull(), F.col("hi.y")).when(F.col("hi").isNull(), F.col("lo.y")).otherwise(line)
     return both.where("__grid").select(group, F.col("__x").alias(at), value.alias(y))

@@ -282,6 +282,16 @@ def match_audit(table):
     return R.match_audit(labels, stored, "u", "d")
 
 
+@query("""WITH l AS (SELECT o_orderkey AS u, strftime(o_orderdate, '%Y-%m') AS d FROM orders), s AS (SELECT DISTINCT l_orderkey AS u, strftime(l_shipdate, '%Y-%m') AS d FROM lineitem),
+m AS (SELECT l.u, count(s.u) AS there, count(*) FILTER (s.d = l.d) AS hit FROM l LEFT JOIN s ON s.u = l.u GROUP BY l.u)
+SELECT count(*) AS labels, count(*) FILTER (hit > 0) AS id_and_date, count(*) FILTER (there > 0 AND hit = 0) AS id_only, count(*) FILTER (there = 0) AS missing FROM m""")
+def match_audit_all(table):
+    """Orders against the whole of lineitem; match_audit leaves out every fifth order's rows."""
+    labels = table("orders").select(F.col("o_orderkey").alias("u"), F.date_format("o_orderdate", "yyyy-MM").alias("d"))
+    stored = table("lineitem").select(F.col("l_orderkey").alias("u"), F.date_format("l_shipdate", "yyyy-MM").alias("d"))
+    return R.match_audit(labels, stored, "u", "d")
+
+
 @query("SELECT strftime(o_orderdate, '%Y') || '/' || strftime(l_shipdate, '%Y') AS value, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE strftime(o_orderdate, '%Y') <> strftime(l_shipdate, '%Y') GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
 def year_mismatch_top(table):
     pairs = table("orders").join(table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).where(F.year("o_orderdate") != F.year("l_shipdate"))
@@ -626,6 +636,16 @@ def interp_asof(table):
     return rounded(O.interpolate_asof(ev.where("user_id < 20"), grid, "event_type", "x", "value", "at").withColumnRenamed("value", "y"), "y", digits=4)
 
 
+@query("""WITH p AS (SELECT event_type, CAST(epoch(ts) AS DOUBLE) AS x, avg(value) AS y FROM events GROUP BY 1, 2), g AS (SELECT event_type, 1704067200 + 3600.0::DOUBLE * i AS x FROM (SELECT DISTINCT event_type FROM events), range(720) t(i)),
+l AS (SELECT g.event_type, g.x, p.x AS lo, p.y AS ly FROM g ASOF LEFT JOIN p ON p.event_type = g.event_type AND g.x >= p.x), n AS (SELECT l.*, p.x AS hi, p.y AS hy FROM l ASOF LEFT JOIN p ON p.event_type = l.event_type AND l.x <= p.x)
+SELECT event_type, x AS at, round(CASE WHEN lo IS NULL THEN hy WHEN hi IS NULL THEN ly WHEN hi = lo THEN ly ELSE ly + (hy - ly) * (x - lo) / (hi - lo) END, 4) AS y FROM n""")
+def interp_asof_hourly(table):
+    """All events on the whole hourly grid; interp_asof has an id subset and every 24th hour."""
+    ev = table("events").withColumn("x", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6"))
+    grid = ev.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("i")).select("event_type", (F.lit(1704067200.0) + 3600.0 * F.col("i")).alias("at"))
+    return rounded(O.interpolate_asof(ev, grid, "event_type", "x", "value", "at").withColumnRenamed("value", "y"), "y", digits=4)
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r <= 2")
 def per_unit_cap(table):
     return O.cap_per_unit(table("conversations"), ["conv_id", "role"], "turn", 2).select("conv_id", "turn", "role")

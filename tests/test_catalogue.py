@@ -56,3 +56,17 @@ def test_quota_select_meets_quotas(spark):
 
 def test_weighted_draw_counts(spark):
     assert catalogue.QUERIES["weighted_draw"](spark, SF).agg({"draws": "sum"}).first()[0] == 500
+
+
+def test_interp_asof_hourly_and_match_audit_all_take_every_row(spark):
+    import numpy as np
+
+    ev = spark.read.parquet(f"{SF}/events.parquet").toPandas()
+    ev["x"] = (ev["ts"] - pd.Timestamp("2024-01-01")).dt.total_seconds()
+    got = catalogue.QUERIES["interp_asof_hourly"](spark, SF).toPandas()
+    assert len(got) == 720 * ev["event_type"].nunique()
+    for kind, part in got.groupby("event_type"):
+        p = ev[ev["event_type"] == kind].groupby("x")["value"].mean()
+        assert np.allclose(part["y"], np.interp(part["at"] - 1704067200, p.index, p), atol=1e-4)
+    orders, items = (set(spark.read.parquet(f"{SF}/{t}.parquet").toPandas()[c]) for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")))
+    assert catalogue.QUERIES["match_audit_all"](spark, SF).first()["missing"] == len(orders - items)
