@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,7 +142,7 @@ def overall_report(report: DataFrame) -> DataFrame:
 def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, replicates: int, seed: str = "0", level: float = 0.95, multiplicity: bool = True) -> DataFrame:
     """Mean and percentile interval of the AUROC over bootstrap replicates of whole groups.
 
-    A group's weight in a replicate is Poisson(1) read off md5(seed:replicate:group), or with
+    A group's weight in a replicate is Poisson(1), cut at 5, read off md5(seed:replicate:group), or with
     ``multiplicity`` off whether that weight is positive. Rows meet at (replicate, score) before any
     ranking, so their number is bounded by replicates times distinct scores of groups.
     """
@@ -156,3 +157,73 @@ def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, repl
     frame = drawn.withColumns({"cum_n": F.sum("n").over(w), "cum_pos": F.sum("pos").over(w)})
     a = (1 - level) / 2
     return auroc(frame, ["r"]).agg(F.avg("auroc").alias("mean"), F.percentile("auroc", F.lit(a)).alias("low"), F.percentile("auroc", F.lit(1 - a)).alias("high"), F.count("auroc").alias("replicates"))
+
+
+BOOTSTRAPPED = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1", "sensitivity_at_spec", "specificity_at_spec")
+#: Replicates that a group's rows are copied for at a time, and the tasks these copies are dealt to.
+CHUNK, TASKS = 25, 64
+
+
+def poisson(u: Column) -> Column:
+    """The Poisson(1) count at ``u``, a multiple of 2^-32 below 1, with its whole tail."""
+    p = total = math.exp(-1)
+    steps, k = [], 0
+    while total < 1 - 2.0**-32:
+        steps.append(total)
+        k += 1
+        p /= k
+        total += p
+    out = F.when(u < steps[0], 0)
+    for i, t in enumerate(steps[1:], 1):
+        out = out.when(u < t, i)
+    return out.otherwise(len(steps))
+
+
+def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, replicates: int = 1000, seed: str = "0", threshold: float = 0.5, specificity: float = 0.95, level: float = 0.95, multiplicity: bool = True) -> DataFrame:
+    """(metric, mean, low, high, replicates) of the eight binary metrics over replicates of whole groups.
+
+    Weights are those of ``bootstrap_auroc`` with the tail past 5, drawn once a replicate and group.
+    Rows meet at (replicate, score) before any ranking, so equal scores are one step of the average
+    precision. The threshold at a specificity is as in ``sensitivity_at``, but a single negative is never
+    given up. A replicate without positives has no auroc and auprc, one without negatives no auroc and no
+    metric at a specificity; ``replicates`` counts those with a value. Other ratios over nothing are 0.
+    """
+    if replicates < 1:
+        raise ValueError("a replicate is required")
+    base = df.select(group.cast("string").alias("g"), y.cast("int").alias("y"), score.cast("double").alias("score")).where("y IS NOT NULL AND score IS NOT NULL")
+    base = base.groupBy("g", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).groupBy("g").agg(F.collect_list(F.struct("score", "n", "pos")).alias("rows"))
+    chunks = base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK)))).repartition(TASKS, "chunk", F.pmod(F.xxhash64("g"), F.lit(8)))
+    rep = chunks.withColumn("r", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.lit(replicates), (F.col("chunk") + 1) * CHUNK))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("r"), F.col("g"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = poisson(F.col("u")) if multiplicity else F.least(poisson(F.col("u")), F.lit(1))
+    drawn = rep.withColumn("u", u).withColumn("w", weight).where("w > 0").select("r", "w", F.inline("rows"))
+    drawn = drawn.groupBy("r", "score").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("pos") * F.col("w")).alias("pos"))
+    whole = Window.partitionBy("r")
+    w = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    frame = drawn.withColumns({"cum_n": F.sum("n").over(w), "cum_pos": F.sum("pos").over(w)}).withColumn("neg", F.col("n") - F.col("pos"))
+    frame = frame.withColumn("q", F.sum("neg").over(whole)).withColumn("k", F.floor((1 - specificity) * F.col("q") + 1e-9))
+    frame = frame.withColumns({"kth": F.max(F.when(F.col("cum_n") - F.col("cum_pos") >= F.greatest(F.col("k"), F.lit(1)), F.col("score"))).over(whole), "lowest": F.min(F.when(F.col("neg") > 0, F.col("score"))).over(whole)})
+    over = F.when(F.col("k") >= F.col("q"), F.col("score") >= F.col("lowest")).otherwise(F.col("score") > F.col("kth"))
+    held = lambda c, hit: F.sum(F.when(hit, F.col(c)).otherwise(0))
+    at = F.col("score") >= threshold
+    below = F.col("cum_n") - F.col("cum_pos")
+    wins = F.sum(F.col("pos") * (F.col("neg") / 2.0) - F.col("pos") * below)
+    sums = frame.groupBy("r").agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("q"), wins.alias("wins"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("steps"),
+        held("pos", at).alias("tp"), held("neg", at).alias("fp"), held("pos", over).alias("tp2"), held("neg", over).alias("fp2"),
+    )
+    p, q, tp, fp = (F.col(c) for c in ("p", "q", "tp", "fp"))
+    precision, recall = safe_div(tp, tp + fp), safe_div(tp, p)
+    values = {
+        "auroc": F.when((p > 0) & (q > 0), (F.col("wins") + p * q) / (p * q)),
+        "auprc": F.when(p > 0, F.col("steps") / p),
+        "accuracy": safe_div(tp + q - fp, p + q),
+        "sensitivity": recall,
+        "specificity": safe_div(q - fp, q),
+        "f1": safe_div(2 * precision * recall, precision + recall),
+        "sensitivity_at_spec": F.when(q > 0, safe_div(F.col("tp2"), p)),
+        "specificity_at_spec": F.when(q > 0, safe_div(q - F.col("fp2"), q)),
+    }
+    long = sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), values[m].cast("double").alias("value")) for m in BOOTSTRAPPED])))
+    a = (1 - level) / 2
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(a)).alias("low"), F.percentile("value", F.lit(1 - a)).alias("high"), F.count("value").alias("replicates"))

@@ -132,6 +132,13 @@ def auroc_bootstrap_by_user(table):
     return rounded(out, "mean", "low", "high")
 
 
+@query()
+def bootstrap_metrics_by_user(table):
+    """All eight metrics over 1000 replicates; auroc_bootstrap_by_user has 20 replicates of one."""
+    out = M.bootstrap_metrics(table("events"), Y(), SCORE(), F.col("user_id"), 1000, seed="7", threshold=60.0)
+    return rounded(out, "mean", "low", "high")
+
+
 _CELLS = "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, CASE WHEN l_linestatus = 'O' THEN 1 WHEN l_quantity > 25 THEN 0 ELSE 2 END AS p FROM lineitem"
 _REPORT = f"""WITH c AS ({_CELLS}), k AS (SELECT unnest(range(4)) AS class_id), t AS (SELECT count(*) AS t FROM c),
 x AS (SELECT class_id, count(*) FILTER (y = class_id) AS support, count(*) FILTER (p = class_id) AS q, count(*) FILTER (y = class_id AND p = class_id) AS tp FROM k, c GROUP BY class_id),

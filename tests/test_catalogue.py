@@ -70,3 +70,9 @@ def test_interp_asof_hourly_and_match_audit_all_take_every_row(spark):
         assert np.allclose(part["y"], np.interp(part["at"] - 1704067200, p.index, p), atol=1e-4)
     orders, items = (set(spark.read.parquet(f"{SF}/{t}.parquet").toPandas()[c]) for t, c in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")))
     assert catalogue.QUERIES["match_audit_all"](spark, SF).first()["missing"] == len(orders - items)
+
+
+def test_bootstrap_metrics_by_user_has_all_replicates_and_metrics(spark):
+    got = {r["metric"]: r for r in catalogue.QUERIES["bootstrap_metrics_by_user"](spark, SF).collect()}
+    assert len(got) == 8 and {r["replicates"] for r in got.values()} == {1000}
+    assert all(r["low"] <= r["mean"] <= r["high"] for r in got.values())

@@ -63,6 +63,47 @@ def test_auroc_equals_pair_count(spark, rows):
     assert got == want or math.isclose(got, want)
 
 
+@pytest.mark.parametrize("specificity", [0.95, 0.6, 0.0])
+def test_bootstrap_metrics_against_plain_replicates(spark, specificity):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(y), int(s) / 10) for g, y, s in zip(rng.integers(0, 6, 60), rng.integers(0, 2, 60), rng.integers(0, 11, 60))]
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(15)])
+    safe = lambda a, b: a / b if b else 0.0
+    got = {m: [] for m in M.BOOTSTRAPPED}
+    for r in range(1, 61):
+        draw = []
+        for g, y, s in rows:
+            u = int(hashlib.md5(f"x:{r}:{g}".encode()).hexdigest()[:8], 16) / 2**32
+            draw += [(y, s)] * int((u >= cdf).sum())
+        pos, neg = [s for y, s in draw if y], sorted((s for y, s in draw if not y), reverse=True)
+        hits = lambda xs, f: sum(map(f, xs))
+        tp, fp = hits(pos, lambda s: s >= 0.5), hits(neg, lambda s: s >= 0.5)
+        pr, rc = safe(tp, tp + fp), safe(tp, len(pos))
+        got["accuracy"].append(safe(tp + len(neg) - fp, len(draw))), got["sensitivity"].append(rc), got["specificity"].append(safe(len(neg) - fp, len(neg))), got["f1"].append(safe(2 * pr * rc, pr + rc))
+        if pos:
+            got["auprc"].append(sum(safe(hits(pos, lambda x: x >= s), hits(pos, lambda x: x >= s) + hits(neg, lambda x: x >= s)) for s in pos) / len(pos))
+        if neg:
+            k = math.floor((1 - specificity) * len(neg) + 1e-9)
+            over = (lambda s: s >= neg[-1]) if k >= len(neg) else (lambda s: s > neg[max(k, 1) - 1])
+            got["sensitivity_at_spec"].append(safe(hits(pos, over), len(pos))), got["specificity_at_spec"].append(1 - hits(neg, over) / len(neg))
+        if pos and neg:
+            got["auroc"].append(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)))
+    df = spark.createDataFrame(rows, "g int, y int, s double")
+    out = {r["metric"]: r for r in M.bootstrap_metrics(df, F.col("y"), F.col("s"), F.col("g"), 60, seed="x", specificity=specificity).collect()}
+    assert set(out) == set(got)
+    for m, xs in got.items():
+        assert out[m]["replicates"] == len(xs)
+        assert np.allclose([out[m]["mean"], out[m]["low"], out[m]["high"]], [np.mean(xs), *np.quantile(xs, [0.025, 0.975])])
+
+
+def test_poisson_has_its_tail(spark):
+    assert list(one(spark, *[M.poisson(F.lit(u)) for u in (0.0, 0.5, 0.9995, 0.99995, 1 - 2.0**-32)])) == [0, 1, 6, 7, 12]
+
+
 def test_splits(spark):
     df = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("owner"), (F.col("id") % 2).alias("y"))
     split = X.owner_split(df, "owner", F.col("y"), [("a", 0.5), ("b", 0.5)])
