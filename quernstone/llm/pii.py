@@ -44,22 +44,42 @@ CLASS = {c: a for a in ALPHABETS for c in a}
 GENDER = {word: g for g, ws in ADDRESS.items() for word in ws}
 NAMES = {name: group for group, names in GIVEN.items() for name in names}
 
-EMAIL = re.compile(r"[\w.+-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@])")
+EMAIL = re.compile(r"[\w.+-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_SEP = r"[ ./-]?"
+#: Phones: North American after +1, any international form, national forms with a leading zero, North
+#: American and Spanish ones without. Dates, social-security numbers and card groups are no national forms.
+_PHONES = (
+    r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    rf"(?<!\w)\+(?!\d{{1,3}}\.\d{{1,8}}(?!\d|\.\d))[1-9](?:{_SEP}\(?\d\)?){{6,14}}(?!\d|\.\d)",
+    r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d|\.\d)",
+    r"(?<![\d)])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)",
+    rf"(?<![\w)])\(0\d{{1,4}}\)(?:{_SEP}\d){{5,9}}(?!\w|\.\d)",
+    rf"(?<![\w.,+/-])(?!\d\d?[./-]\d\d[./-]\d{{4}}(?!\d)|\d{{3}}-\d{{2}}-\d{{4}}(?!\d)|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d|\d{{13}})0(?:0[1-9](?:{_SEP}\d){{8,13}}|[1-9](?:{_SEP}\d){{7,10}})(?!\w|\.\d)",
+    r"(?<![\d.-])(?:1[ .-])?\d{3}(?:[-.]\d{3}[-.]| \d{3}[ -])\d{4}(?![\d-])",
+    r"(?<![\w.,+/-])(?<!\d )[6-9]\d{2}(?P<cut>[ -])(?:\d{3}(?P=cut)\d{3}|\d{2}(?P=cut)\d{2}(?P=cut)\d{2})(?![\w-]|\.\d| \d)",
+)
 NUMBER = re.compile(
-    r"(?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d|\.\d)|(?<![\d)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
+    rf"(?P<phone>{'|'.join(_PHONES)})"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.-])\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\d)|(?<![\d.\w])\d{13,19}(?![\d\w]))"
+    r"|(?P<card>(?<![\d.-])\d{4}(?P<gap>[ -])(?:\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{6}(?P=gap)\d{4,5})(?!\d)|(?<![\d.\w])\d{13,19}(?![\d\w]))"
 )
 SECRET = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_-]{8,})")
 KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z2-7]{16}|[A-Z0-9]{16})(?![A-Za-z0-9])")
-_WORD = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-Я][a-zß-öø-ÿά-ώа-я]+"
-NAME = re.compile(rf"(?<!\w)(?:(?P<address>{'|'.join(map(re.escape, GENDER))})\.?|[Nn]ame(?: is|:))[ \t]+(?P<first>{_WORD})(?:[ \t]+(?P<last>{_WORD}))?")
+_UPPER = f"[{''.join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())}]"
+_LETTER = r"[^\W\d_]"
+_ADDRESS = "|".join(map(re.escape, GENDER))
+#: A part of a name: hyphens, inner capitals and apostrophes before one; or an initial.
+PART = re.compile(rf"(?!(?:{_ADDRESS})(?!\w))(?:{_UPPER}(?:{_LETTER}*(?:-{_LETTER}+|['’]{_UPPER}{_LETTER}+)+|{_LETTER}+)|{_UPPER}(?=\.))")
+_PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|das|la|le|du|zu|ter|bin|y)[ \t]+"
+_CUE = r"[Nn]ame(?: is| ist|:)|[Nn]ombre es|[Mm]e llamo|[Nn]om est|m['’]appelle"
+NAME = re.compile(rf"(?<!\w)(?:(?P<address>{_ADDRESS})\.?|{_CUE})[ \t]+(?P<names>(?:{_PARTICLE}){{0,3}}{PART.pattern}(?:(?:(?<=[ .]{_UPPER})\.[ \t]*|[ \t]+)(?:{_PARTICLE}){{0,3}}{PART.pattern}){{0,4}})")
 
 
 #: What a text must hold for the costlier patterns to be worth a try.
 DIGITS = re.compile(r"\d[\d).-]")
-HINTS = tuple(sorted(w for w in (*GENDER, "ame is", "ame:") if not any(w != v and v in w for v in (*GENDER, "ame is", "ame:"))))
+_HELD = (*GENDER, "ame is", "ame:", "ombre es", "e llamo", "om est", "appelle")
+HINTS = tuple(sorted(w for w in _HELD if not any(w != v and v in w for v in _HELD)))
 
 
 class Cipher:
@@ -139,19 +159,15 @@ def detect(text: str) -> list[Entity]:
     if "@" in text:
         found += [Entity(*m.span(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
     for m in NUMBER.finditer(text) if DIGITS.search(text) else ():
-        kind = m.lastgroup if m.lastgroup != "gap" else "card"
+        kind = next(k for k in ("phone", "ip", "ssn", "card") if m.group(k))
         found.append(Entity(*m.span(), kind, m.group() if kind == "ip" else re.sub(r"\D", "", m.group())))
     if "=" in text or ":" in text:
         found += [Entity(*m.span("secret"), "secret", m.group("secret")) for m in SECRET.finditer(text)]
     if "AKIA" in text or "ASIA" in text:
         found += [Entity(*m.span("key"), "key", m.group("key")) for m in KEY.finditer(text)]
     for m in NAME.finditer(text) if any(h in text for h in HINTS) else ():
-        gender = GENDER.get(m.group("address") or "", "")
-        for part in ("first", "last"):
-            if m.group(part):
-                known = NAMES.get(m.group(part))
-                if part == "last" or gender or m.group("address") or known:
-                    found.append(Entity(*m.span(part), "given" if known else "family", m.group(part)))
+        for part in PART.finditer(text, m.start("names"), m.end("names")):
+            found.append(Entity(*part.span(), "given" if part.group() in NAMES else "family", part.group()))
     kept: list[Entity] = []
     order = {"email": 0, "secret": 1, "key": 2}
     for e in sorted(found, key=lambda e: (e.start, order.get(e.kind, 3), -e.end)):
@@ -283,7 +299,7 @@ def replace_entities(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text:
     text stays null without entities; texts without entities are unchanged; repeated rows stay; null
     doc_ids pass through; an empty table gives an empty one; other columns are not read. Entities are
     e-mail addresses, phone numbers, IPv4 addresses, card and social-security numbers, access keys,
-    assigned secrets, and names after a form of address. No shuffle.
+    assigned secrets, and names after a form of address or a cue as "name is". No shuffle.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 

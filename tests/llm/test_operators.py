@@ -302,6 +302,30 @@ def test_surrogates_keep_kind_format_gender_script():
     assert pii.rewrite("Version 3. Licensed under CC BY-NC 4.0. Plain text, 12 words.", c) == ("Version 3. Licensed under CC BY-NC 4.0. Plain text, 12 words.", [])
 
 
+@pytest.mark.parametrize(
+    "before, value, after, kinds",
+    [("my name is ", x, " and", {"given", "family"}) for x in ("Xenia", "Xenia Kowalski", "Jean-Luc Picard", "Łukasz Nowak", "Anna Maria Louise Berg", "John F. Kennedy")]
+    + [("for Mr. ", x, ", who", {"given", "family"}) for x in ("McDonald", "O'Brien", "J. Smith", "Ludwig van Beethoven", "SMITH")]
+    + [("Frau Dr. ", "Schmidt", ".", {"family"}), ("je m'appelle ", "Zoé Durand", ".", {"family"}), ("me llamo ", "Xavi", ".", {"family"}), ("mein Name ist ", "Jörg Groß", ".", {"family"})]
+    + [("call ", x, " now", {"phone"}) for x in ("+442079460958", "+49 30 1234567", "+34 612345678", "+44 (0)20 7946 0958", "06 12 34 56 78", "0612345678", "0151 23456789", "030/1234567", "(030) 1234567", "0049 30 1234567", "555 123 4567", "(555) 123 4567", "612 345 678", "612 34 56 78")]
+    + [("pay ", x, ".", {"card"}) for x in ("3782 822463 10005", "3782-822463-10005", "0123 4567 8901 2345", "0054994038693466")]
+    + [("at ", "a.b@x.org", x, {"email"}) for x in ("_", "日本", "привет", "2", "@", ".")]
+    + [("id ", "012-34-5678", ".", {"ssn"})],
+)
+def test_pii_forms_are_replaced_whole(before, value, after, kinds):
+    new, found = pii.rewrite(before + value + after, pii.Cipher(b"key"))
+    assert {e.kind for e in found} <= kinds and found
+    assert new.startswith(before) and new.endswith(after) and len(value.split()) == len(new[len(before) : len(new) - len(after)].split())
+    left = [w for w in value.split() if len(w) > 3 and w != "(0)20" and w in new.split()]
+    assert not left and sum(e.end - e.start for e in found) >= sum(c.isalnum() for c in value) - 3 * ("van" in value)
+
+
+def test_pii_leaves_other_numbers_and_words():
+    for text in ("on 01.02.2024 12:30", "3.1415926535", "+3.1415926", "0.0612345678", "1 612 345 678 rows", "Mr. and", "name is unknown", "rows 12 345 678", "2024-05-06 07:08:09", "v 1.02.03"):
+        assert pii.detect(text) == [], text
+    assert [e.canonical for e in pii.detect("Mr. Smith's dog, +44 20 7946 0958 97.51.17.173")] == ["Smith", "442079460958", "97.51.17.173"]
+
+
 def test_pii_frames(spark, none):
     rows = [(1, "a.b@x.org and 97.51.17.173"), (2, None), (3, ""), (4, "clean"), (None, "a.b@x.org"), (1, "a.b@x.org and 97.51.17.173")]
     docs = odd_documents(spark, rows)
