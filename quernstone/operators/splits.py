@@ -88,26 +88,52 @@ def greedy_quota(rows: Iterable[tuple], quotas: dict) -> list:
     return list(picked)
 
 
+def pattern_quota(patterns: Sequence[tuple[tuple, int]], quotas: dict) -> dict[tuple, int]:
+    """Rows to take of each label pattern so that each class reaches its quota.
+
+    ``patterns`` are (labels, rows). Greedy as ``greedy_quota``: classes take turns for one row; a class
+    that still lacks rows takes from the pattern that adds least beyond the quotas, then from
+    the one with the most rows left, then the first.
+    """
+    sets = {p: {c: p.count(c) for c in dict.fromkeys(p) if c in quotas} for p, _ in patterns}
+    left, have, take = dict(patterns), dict.fromkeys(quotas, 0), {p: 0 for p, _ in patterns}
+    moved = True
+    while moved:
+        moved = False
+        for c in sorted(quotas):
+            if have[c] >= quotas[c]:
+                continue
+            able = [p for p in sets if c in sets[p] and left[p] > 0]
+            if not able:
+                continue
+            best = min(able, key=lambda p: (sum(max(0, have[x] + m - quotas[x]) for x, m in sets[p].items()), -left[p], p))
+            # Rows that can go at once: far fewer than fill a class of the pattern.
+            room = min([left[best]] + [(quotas[x] - have[x]) // m for x, m in sets[best].items() if have[x] < quotas[x]])
+            k = max(1, room // (2 * len(quotas)))
+            left[best], take[best], moved = left[best] - k, take[best] + k, True
+            for x, m in sets[best].items():
+                have[x] += m * k
+    return take
+
+
 def quota_select(df: DataFrame, key: str, labels: Column, ratio: float, seed: str = "0") -> DataFrame:
-    """Keys picked by greedy quotas of round half even(ratio * n) a class, within each of 64 hash shards.
+    """Keys picked by greedy quotas of max(1, round half even(ratio * n)) a class over all rows.
 
-    Picking is sequential; shards bound what one task holds and share the quotas by their own counts.
+    A label counts as often as a row has it. Rows with the same labels are alike to the quotas, so the
+    fold runs over their counts on the driver, and of each the first rows in hashed order are taken. The
+    number of label patterns is bounded by the classes, not by the rows. Null labels count for nothing.
     """
-    parts = 64
-    kind = df.schema[key].dataType.simpleString()
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h")
-        rows = [(k, [x for x in ls if x is not None]) for k, ls in zip(pdf["k"], pdf["ls"])]
-        n: dict = {}
-        for _, ls in rows:
-            for x in ls:
-                n[x] = n.get(x, 0) + 1
-        return pd.DataFrame({key: greedy_quota(rows, {c: max(1, round(ratio * m)) for c, m in n.items()})})
-
-    h = hashed(F.col(key), seed)
-    shard = F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(parts))
-    return df.select(F.col(key).alias("k"), labels.alias("ls"), h.alias("h"), shard.alias("shard")).groupBy("shard").applyInPandas(pick, f"{key} {kind}")
+    rows = df.select(F.col(key), F.array_sort(F.array_compact(labels)).alias("__p")).where("size(__p) > 0")
+    counts = sorted((tuple(r["__p"]), r["n"]) for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
+    n: dict = {}
+    for p, m in counts:
+        for c in p:
+            n[c] = n.get(c, 0) + m
+    take = pattern_quota(counts, {c: max(1, round(ratio * m)) for c, m in n.items()})
+    kind = rows.schema["__p"].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame([(list(p), k) for p, k in take.items() if k], f"__q {kind}, __k long")
+    placed = place_in_stratum(rows, key, F.to_json("__p"), seed)
+    return placed.join(F.broadcast(wanted), F.col("__p") == F.col("__q")).where(F.col("rank") <= F.col("__k")).select(key)
 
 
 def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: str = "0") -> DataFrame:

@@ -113,6 +113,17 @@ def test_splits(spark):
     assert X.greedy_quota([(1, ["a"]), (2, ["b"]), (3, ["a", "b"]), (4, ["a"])], {"a": 2, "b": 1}) == [1, 2, 3]
 
 
+def test_quota_select_meets_the_global_quota_of_each_class(spark):
+    rows = [(i, ["a"]) for i in range(64)] + [(100 + i, ["b"]) for i in range(3)] + [(200 + i, ["a", "c"]) for i in range(40)] + [(300, [None])]
+    df = spark.createDataFrame(rows, "id long, ls array<string>")
+    ids = [r["id"] for r in X.quota_select(df, "id", F.col("ls"), 0.2).collect()]
+    held = [x for i, ls in rows if i in set(ids) for x in ls]
+    assert len(ids) == len(set(ids)) and [held.count(c) for c in "abc"] == [21, 1, 8]
+    assert X.quota_select(df.where("id < 64"), "id", F.col("ls"), 0.2).count() == 13
+    assert sorted(ids) == sorted(r["id"] for r in X.quota_select(df.repartition(7), "id", F.col("ls"), 0.2).collect())
+    assert X.quota_select(df.limit(0), "id", F.col("ls"), 0.2).count() == 0
+
+
 def test_mad_of_constant_values_flags_none(spark):
     df = spark.createDataFrame([(i, "g", 1.0) for i in range(5)] + [(9, "g", 50.0)], "id int, g string, v double")
     assert R.mad_outliers(df, "v", "g", 3.0).count() == 0
