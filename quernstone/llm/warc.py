@@ -19,6 +19,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes of records after which a writer begins its next archive.
 ARCHIVE_BYTES = 8 << 20
+VERSION_BYTES = len(b"WARC/1.0\r\n")
 #: Bytes of an archive that are inflated at a time.
 WINDOW = 1 << 15
 DATE = "2000-01-01T00:00:00Z"
@@ -72,6 +73,8 @@ def _one(data: bytes, at: int) -> tuple[Record | None, int, str]:
     stop = data.find(b"\r\n\r\n", m.end() - 2)
     if stop < 0:
         return None, at, "headers have no end"
+    if VERSION.search(data, m.end(), stop):
+        return None, at, "another record begins inside the headers"
     headers = {}
     for line in data[m.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -92,7 +95,7 @@ def _one(data: bytes, at: int) -> tuple[Record | None, int, str]:
 
 
 def _plain(data: bytes, base: int, out: Salvage, compressed: bool) -> None:
-    """Records of uncompressed bytes; after a failed check the next version line is searched for."""
+    """Records of a member's bytes; after a failed check the next version line is searched for."""
     at = 0
     while at < len(data):
         found, end, why = _one(data, at)
@@ -107,45 +110,75 @@ def _plain(data: bytes, base: int, out: Salvage, compressed: bool) -> None:
         at = end
 
 
-def _inflate(data: bytes, at: int, limit: int) -> tuple[bytes | None, int]:
-    """The gzip member at ``at`` and its end; nothing if it is broken or larger than ``limit``."""
-    z, parts, size, pos = zlib.decompressobj(31), [], 0, at
+def _inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
+    """The gzip member at ``at`` and its end; nothing if it is broken or does not begin with a version line.
+
+    Members of any size are taken; one without a version line is left at its first bytes.
+    """
+    if data[at : at + len(MAGIC)] != MAGIC:
+        return None, at
+    z, parts, pos, head = zlib.decompressobj(31), [], at, b""
     try:
-        while not z.eof and pos < len(data) and size <= limit:
+        while not z.eof and pos < len(data):
             parts.append(z.decompress(data[pos : pos + WINDOW]))
-            size, pos = size + len(parts[-1]), pos + WINDOW
+            pos += WINDOW
+            if len(head) < VERSION_BYTES:
+                head += parts[-1][:VERSION_BYTES]
+                if len(head) >= VERSION_BYTES and not VERSION.match(head):
+                    return None, at
     except zlib.error:
         return None, at
-    return (b"".join(parts), min(pos, len(data)) - len(z.unused_data)) if z.eof else (None, at)
+    whole = z.eof and VERSION.match(head)
+    return (b"".join(parts), min(pos, len(data)) - len(z.unused_data)) if whole else (None, at)
 
 
-def salvage(data: bytes, limit: int = 1 << 30) -> Salvage:
+def salvage(data: bytes) -> Salvage:
     """All records of an archive that pass their checks, and the gaps.
 
-    Compressed archives: where a member does not inflate whole, the next member that does and begins
-    with a version line is searched for, and the bytes between are a gap. Plain archives, and the
-    inside of members: the next version line. Checks: version line, headers, content length, end of
-    block, payload digest. Empty input has neither records nor gaps.
+    At each place stands a gzip member that inflates whole and begins with a version line, or a plain
+    record. After a failed check the nearer of the next such member and the next plain record that passes
+    its checks is searched for in all remaining data, and the bytes between are a gap; inside of members
+    the next version line. Checks: version line, headers, content length, end of block, payload digest.
+    Empty input has neither records nor gaps.
     """
-    out = Salvage()
-    if not data.startswith(MAGIC) and VERSION.search(data[: 1 << 16]):
-        _plain(data, 0, out, False)
-        return out
-    at = 0
+    out, at = Salvage(), 0
+    gap, why, magic, line = None, "", 0, 0
+
+    def after(x: int, find) -> int:
+        """The place found before, if it is still ahead; the end of the data if there is none."""
+        if x > at:
+            return x
+        x = find(at + 1)
+        return x if x >= 0 else len(data)
+
+    def close(end: int) -> None:
+        nonlocal gap
+        if gap is not None:
+            out.gaps.append((gap, end, why))
+            gap = None
+
     while at < len(data):
-        got, end = _inflate(data, at, limit)
-        if got is not None and VERSION.match(got):
+        got, end = _inflate(data, at)
+        if got is not None:
+            close(at)
             _plain(got, at, out, True)
             at = end
             continue
-        gap, nxt = at, at + 1
-        while (nxt := data.find(MAGIC, nxt)) >= 0:
-            got, end = _inflate(data, nxt, limit)
-            if got is not None and VERSION.match(got):
-                break
-            nxt += 1
-        at = nxt if nxt >= 0 else len(data)
-        out.gaps.append((gap, at, "no whole member"))
+        found, end, failed = _one(data, at)
+        if found:
+            close(at)
+            out.records.append(found)
+            at = end
+            continue
+        version = failed != "no version line"
+        if gap is not None and version:
+            close(at)
+        if gap is None:
+            gap, why = at, failed if version else "no whole member"
+        magic = after(magic, lambda x: data.find(MAGIC, x))
+        line = after(line, lambda x: m.start() if (m := VERSION.search(data, x)) else -1)
+        at = min(magic, line)
+    close(len(data))
     return out
 
 

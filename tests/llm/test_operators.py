@@ -279,6 +279,18 @@ def test_components_of_paths_and_loops(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_warc_salvage_finds_members_and_plain_records_over_all_the_data():
+    records = [warc.record("response", f"urn:page:{i}", "u", (p := os.urandom(300)), warc.payload_digest(p)) for i in range(6)]
+    members = [warc.member(r) for r in records]
+    ids = lambda data: [r.headers["warc-record-id"][-2] for r in warc.salvage(data).records]
+    junk = b"x" * (70 << 10)
+    assert ids(junk + b"".join(records)) == list("012345") and warc.salvage(junk + b"".join(records)).gaps[0][:2] == (0, len(junk))
+    assert ids(members[0] + records[1] + members[2] + junk + records[3] + members[4][:-9] + records[5]) == list("01235")
+    assert ids(records[0] + members[1] + records[2][:200] + members[3] + b"junk" + records[4]) == list("0134")
+    assert [g[:2] for g in warc.salvage(records[0] + b"junk" + members[1]).gaps] == [(len(records[0]), len(records[0]) + 4)]
+    assert ids(warc.member(b"no archive") + members[0] + warc.MAGIC * 50 + records[1]) == list("01")
+
+
 def test_cipher_is_a_derangement():
     c = pii.Cipher(b"key")
     for n in (2, 3, 10, 31, 1000):
