@@ -35,8 +35,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates; n_chars follows the new text."""
+    """All documents, personal data replaced by surrogates, checked first; n_chars follows the new text."""
     ship_package(spark)
+    pii.check_collisions(docs, KEY)
     new = pii.with_surrogates(docs, KEY)
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
 

@@ -54,3 +54,10 @@ def test_every_token_is_packed_once(steps):
     before, after = steps["packing"]
     total = after.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).toDF("doc_id", "a", "b")
     assert total.count() == before.count() and total.where("a <> b").count() == 0
+
+
+def test_personal_data_stage_checks_collisions(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a.b@x.org"), (2, "b.a@x.org")], "doc_id long, text string")
+    monkeypatch.setattr("quernstone.llm.pii.check_collisions", lambda docs, key: (_ for _ in ()).throw(ValueError("collide")))
+    with pytest.raises(ValueError, match="collide"):
+        corpus_pipeline.replace_personal_data(spark, docs, "")
