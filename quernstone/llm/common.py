@@ -23,10 +23,16 @@ def tokenizer_path(name: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset a local session gets a temporary folder; on a cluster it is an error, as executors
+    would write to disks that others cannot read.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quernstone-")
@@ -45,6 +51,37 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Parts that a hot key is dealt to when both sides of a join are sorted.
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, row_key: str, small: DataFrame, keys: dict[str, str], limit: int | None = None) -> DataFrame:
+    """``rows`` left-joined to ``small``, a written table of narrow rows with one row a key.
+
+    ``keys`` maps columns of ``rows`` to those of ``small``. Up to ``limit`` counted rows ``small`` is
+    broadcast; beyond it both sides are sorted by key and a salt, which ``row_key`` is hashed to, so rows
+    that share a key are dealt to SALTS tasks.
+    """
+    on = [F.col(a) == F.col(b) for a, b in keys.items()]
+    if small.count() <= (BROADCAST_ROWS if limit is None else limit):
+        return rows.join(F.broadcast(small), on, "left").drop(*keys.values())
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)))
+    copies = small.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies.hint("merge"), [*on, F.col("__salt") == F.col("__copy")], "left").drop("__salt", "__copy", *keys.values())
+
+
 def sided(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small``, a written table of narrow rows, hinted for a join: broadcast if its counted rows fit ``limit``."""
     return small.hint("broadcast" if small.count() <= limit else "merge")

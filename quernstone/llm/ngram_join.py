@@ -14,8 +14,10 @@ One tree over a corpus would be one task, so points are first dealt to many smal
    K - D - 1: two linked documents still share one (a prefix filter, which sheds what dissimilar
    documents share, such as common passages and empty blocks). Documents under the same entry whose
    coarse points are near enough go to the same family; families are connected sets of such pairs.
-3. A family is one R-tree (a very large one is cut into leaves that are paired), where pairs that pass
-   the bound are verified on the sets themselves. Pairs that are connected already need no check.
+3. A family is one R-tree, where pairs that pass the bound are verified on the sets themselves. Pairs
+   that are connected already need no check. Of a family too large for one tree every document is first
+   compared with a few pivots; what these connect into the largest part needs no check within itself.
+   The rest is cut into leaves, each paired with every leaf of the family.
 
 Every linked pair shares an entry, passes every bound and so meets in one tree: no link is lost.
 """
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import UnionFind, components, runs, sided, written
+from quernstone.llm.common import UnionFind, components, fresh, runs, sided, spread_join, written
 
 #: Ratio of neighbouring block counts, and the least ratio of blocks to differences.
 GRID = 1.5
@@ -41,7 +43,9 @@ COARSE = 16
 ENTRY_ROWS = 2048
 #: Shingles and documents of a tree; a family beyond either is cut into leaves of half of it.
 TREE_SHINGLES = 2_000_000
-TREE_DOCS = 8192
+TREE_DOCS = 2048
+#: Documents that all others of a very large family are compared with first.
+PIVOTS = 8
 #: Documents whose entries a worker sends back at a time.
 DIGEST_ROWS = 500
 #: Documents in a node of an R-tree, and nodes in a node above.
@@ -51,27 +55,10 @@ U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8")
+#: Words longer than this are hashed one by one.
+LONG = 64
 _P = U(0x9E3779B97F4A7C15)
-_PINV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    up = _powers(_P, 1 << 12)
-    down = _powers(_PINV, 1 << 12)
-
-    @classmethod
-    def to(cls, n: int):
-        if n > len(cls.up):
-            cls.up, cls.down = _powers(_P, 2 * n), _powers(_PINV, 2 * n)
-        return cls.up, cls.down
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,18 +70,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of UTF-8 text, lower-cased A-Z and split at ASCII white space.
 
-    A word's hash is a polynomial over its bytes' random values, read off one running sum of the text.
+    A word's bytes are mixed eight at a time, each step over the result of the step before, so that no
+    arithmetic structure of a word cancels out; words over LONG bytes are hashed by BLAKE2b.
     """
-    b = np.frombuffer(text.translate(_LOWER), np.uint8)
+    folded = text.translate(_LOWER)
+    b = np.frombuffer(folded, np.uint8)
     if not len(b):
         return np.empty(0, U)
     inside = np.r_[False, ~_SPACE[b], False]
     change = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = change[::2], change[1::2]
-    up, down = _Powers.to(len(b) + 1)
-    total = np.zeros(len(b) + 1, U)
-    np.cumsum(_TABLE[b] * up[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    starts, sizes = change[::2], change[1::2] - change[::2]
+    lanes = np.ndarray((len(b),), "<u8", folded + bytes(8), strides=(1,))  # eight bytes from every place on
+    h = mix(sizes.astype(U) * _P)
+    live = np.flatnonzero(sizes <= LONG)
+    for at in range(0, LONG, 8):
+        live = live[sizes[live] > at]
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ (lanes[starts[live] + at] & _LANE[np.minimum(sizes[live] - at, 8)])) * U(0x9FB21C651E98DF25) + U(at + 1))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -388,14 +384,72 @@ def _families(digests: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     return components(found.where("seam IS NULL").select("u", "v").union(ties))
 
 
-def _leaves(families: DataFrame, digests: DataFrame) -> DataFrame:
-    """(doc, family, leaf, leaves): families too large for one tree in several leaves."""
-    sized = families.join(digests.select(F.col("doc").alias("node"), "n"), "node")
-    total = sized.groupBy("component").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs"))
-    many = F.greatest(F.ceil(F.col("shingles") * 2 / TREE_SHINGLES), F.ceil(F.col("docs") * 2 / TREE_DOCS))
-    fits = (F.col("shingles") <= TREE_SHINGLES) & (F.col("docs") <= TREE_DOCS)
-    leaves = total.where("docs > 1").select("component", F.when(fits, 1).otherwise(many).cast("int").alias("leaves"))
-    return families.join(leaves, "component").select(F.col("node").alias("doc"), F.col("component").alias("family"), F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int").alias("leaf"), "leaves")
+def _leaf_counts() -> tuple:
+    """Whether (docs, shingles) fit one tree, and the leaves that they are cut into."""
+    many = F.greatest(F.ceil(F.col("shingles") * 2 / TREE_SHINGLES), F.ceil(F.col("docs") * 2 / TREE_DOCS)).cast("int")
+    return (F.col("shingles") <= TREE_SHINGLES) & (F.col("docs") <= TREE_DOCS), many
+
+
+def _leaves(families: DataFrame, sized: DataFrame, data: DataFrame, rule: Rule, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, family, leaf, upto), where a document meets the leaves below ``upto``, and links found on the way.
+
+    Families too large for one tree are cut into leaves; those of the part that pivots connect stand
+    behind the others and meet only them.
+    """
+    members = families.join(sized.select(F.col("doc").alias("node"), "n"), "node")
+    counts = members.groupBy("component").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    fits, many = _leaf_counts()
+    total = written(counts.select("component", fits.alias("fits"), many.alias("many")), "families")
+    small = families.join(sided(total.where("fits").select("component")), "component").select(F.col("node").alias("doc"), F.col("component").alias("family"), F.lit(0).alias("leaf"), F.lit(1).alias("upto"))
+    large = total.where("NOT fits").select("component", "many")
+    if large.isEmpty():
+        return written(small, "leaves"), families.sparkSession.createDataFrame([], "u long, v long")
+    inside = written(members.join(sided(large), "component").select(F.col("node").alias("doc"), F.col("component").alias("family"), "n", "many"), "members")
+    links = written(_pivot_links(inside, data, rule, size), "pivot-links")
+    labelled = inside.join(components(links), F.col("doc") == F.col("node"), "left").select("doc", "family", "n", F.coalesce("component", "doc").alias("part"))
+    parts = labelled.groupBy("family", "part").agg(F.count(F.lit(1)).alias("docs"))
+    main = parts.groupBy("family").agg(F.min_by("part", F.struct(-F.col("docs"), F.col("part"))).alias("main"))
+    cut = written(labelled.join(sided(written(main, "main")), "family").select("doc", "family", "n", (F.col("part") == F.col("main")).alias("settled")), "cut")
+    sides = cut.groupBy("family", "settled").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs")).withColumn("many", many)
+    leaves = sides.groupBy("family").agg(F.coalesce(F.max(F.when(~F.col("settled"), F.col("many"))), F.lit(0)).alias("open"), F.coalesce(F.max(F.when(F.col("settled"), F.col("many"))), F.lit(0)).alias("closed"))
+    h = F.xxhash64("doc")
+    placed = cut.join(sided(written(leaves, "cuts")), "family").select(
+        "doc", "family",
+        F.when(F.col("settled"), F.col("open") + F.pmod(h, F.greatest("closed", F.lit(1)))).otherwise(F.pmod(h, F.greatest("open", F.lit(1)))).cast("int").alias("leaf"),
+        F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("closed")).alias("upto"),
+    )
+    return written(small.unionByName(placed.where("upto > 0")), "leaves"), links
+
+
+def _pivot_links(inside: DataFrame, data: DataFrame, rule: Rule, size: int) -> DataFrame:
+    """(u, v): links of the documents of large families with their family's pivots.
+
+    ``inside`` has doc, family and many, the parts that a family is dealt to; each part's rows come
+    after a copy of the pivots, so a task holds the pivots and one batch.
+    """
+    picks = F.array_distinct(F.array(*[F.min_by("doc", F.struct(F.xxhash64("doc", F.lit(i)), F.col("doc"))) for i in range(PIVOTS)]))
+    picked = inside.groupBy("family").agg(picks.alias("picks"), F.max("many").alias("many")).select("family", "many", F.explode("picks").alias("doc"))
+    pivots = picked.select("family", "doc", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("part"), F.lit(0).alias("kind"))
+    rows = inside.select("family", "doc", F.pmod(F.xxhash64("doc"), F.col("many")).cast("int").alias("part"), F.lit(1).alias("kind"))
+    dealt = data.join(sided(written(pivots.unionByName(rows), "pivots")), "doc").select("family", "part", "kind", "doc", "data")
+
+    def compare(batches):
+        family, held = None, []
+        for b in batches:
+            u, v = [], []
+            for f, p, kind, doc, cell in zip(b["family"], b["part"], b["kind"], b["doc"], b["data"]):
+                if (f, p) != family:
+                    family, held = (f, p), []
+                s = shingles(bytes(cell) if cell is not None else None, size)
+                if kind == 0:
+                    held.append((doc, s))
+                    continue
+                for pivot, t in held:
+                    if pivot != doc and rule.linked(s, t):
+                        u.append(doc), v.append(pivot)
+            yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
+
+    return dealt.repartition("family", "part").sortWithinPartitions("family", "part", "kind", "doc").mapInPandas(compare, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -407,17 +461,18 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     Documents link when ``den`` * intersection >= ``num`` * union; component_id is the smallest doc_id
     reachable by links. Repeated rows keep a row each; rows that share a doc_id are one node; a null
     doc_id takes no part and has a null component. Empty tables give empty results; other columns are
-    not read. Shingles are compared by 64-bit hashes.
+    not read, whatever their names. Shingles are compared by 64-bit hashes. A very long text is one
+    sorted array of eight bytes a shingle in its task.
     """
     rule = Rule(num, den)
     digests = written(_digests(docs, size, rule, doc_id, text), "sets")
-    reps = digests.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
+    reps = written(digests.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct-sets")
     one = written(reps.select("rep").distinct(), "representatives")
     families = _families(digests, one, rule)
     sized = digests.where("n > 0").join(sided(one), digests.doc == F.col("rep"), "left_semi").groupBy("doc").agg(F.max("n").alias("n"))
-    placed = written(_leaves(families, sized), "leaves")
     data = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("leaves") - 1), lambda k: F.struct(F.least("leaf", k).alias("a"), F.greatest("leaf", k).alias("b")))).alias("pair")
+    placed, early = _leaves(families, sized, data, rule, size)
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("upto") - 1), lambda k: F.struct(F.least("leaf", k).alias("a"), F.greatest("leaf", k).alias("b")))).alias("pair")
     dealt = data.join(sided(placed), "doc").select("family", "doc", "leaf", pairs, "data").select("family", "pair.a", "pair.b", "leaf", "doc", "data")
 
     def trees(batches):
@@ -442,17 +497,20 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     dealt = dealt.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b", "doc")
     links = written(dealt.mapInPandas(trees, "u long, v long"), "links")
-    found = components(links)
-    own = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("component", "rep").alias("component"))
-    same = (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & (F.col("n") > 0) & F.col("doc").isNotNull()
-    rows = digests.select("doc", "n", "s1", "s2").join(own, same, "left")
-    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    found = components(links.unionByName(early))
+    # Sets of one document without links are their own component and need no join back.
+    joined = reps.join(found, F.col("rep") == F.col("node"), "left").where("copies > 1 OR component <> rep")
+    own = written(joined.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("component", "rep").alias("component")), "classes")
+    rows = spread_join(digests.select("doc", "n", "s1", "s2"), "doc", own, {"s1": "r1", "s2": "r2"})
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, all columns kept.
 
-    Rows that repeat a kept doc_id stay, as do rows with a null doc_id.
+    Rows that repeat a kept doc_id stay, as do rows with a null doc_id and texts without words; an empty
+    table stays empty; extra columns keep their names and values.
     """
-    gone = jaccard_components(docs, size, num, den, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(sided(written(gone, "gone")), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    out = jaccard_components(docs, size, num, den, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(sided(written(out, "gone")), F.col(f"`{doc_id}`") == F.col(gone), "left_anti")

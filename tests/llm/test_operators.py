@@ -224,6 +224,54 @@ def near_copies(seed: int):
     return [*rows, *((i, t) for i, t in ODD if i is not None and i != 5)]
 
 
+def test_words_with_structure_do_not_collide():
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [x[:n] for n in (8, 16, 64, 65, 512, 1024, 4096) for x in (a, a.translate(str.maketrans("ab", "ba")))]
+    texts += ["ab" * 40, "ba" * 40, "a" * 7, "a" * 8, "a" * 9, "x", "y", "xy", "yx", "é", "日本語" * 30]
+    hashes = [int(ngram_join.word_hashes(t.encode())[0]) for t in texts]
+    assert len(set(hashes)) == len(set(texts))
+    line = ngram_join.word_hashes(" \t".join(texts).upper().encode()).tolist()
+    assert [h for h, t in zip(line, texts) if t.isascii()] == [h for h, t in zip(hashes, texts) if t.isascii()]
+
+
+def test_structured_words_make_no_link(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, a)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(odd_documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_large_family_meets_its_pivots_and_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TREE_DOCS", 256)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
+    rng, base = random.Random(8), prose(5, 120)
+    rows = []
+    for i in range(2000):  # most near one text, a chain of drifting copies beside them
+        w = list(base)
+        for _ in range(rng.randint(0, 3) if i < 1500 else (i - 1500) // 12):
+            w[(i * 37 + rng.randrange(3)) % len(w)] = f"edit{i if i < 1500 else i // 9}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd_documents(spark, rows).repartition(3), 5, 80, 100).collect()}
+    assert got == brute_components(rows, 5, 80, 100)
+
+
+def test_hot_sets_are_joined_by_salt_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr("quernstone.llm.common.BROADCAST_ROWS", 0)
+    rows = [(i, "the same text of some words" if i % 3 == 0 else " ".join(prose(i, 20))) for i in range(300)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(odd_documents(spark, rows), 3, 90, 100).collect()}
+    assert got == {i: 0 if i % 3 == 0 else i for i, _ in rows}
+
+
+def test_one_per_component_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", *"12345"), (2, "a b c d e f", *"67890")], "doc_id long, text string, gone string, node string, component string, rep string, n string")
+    kept = ngram_join.one_per_component(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", *"12345")]
+
+
 @pytest.mark.parametrize("k,num,limits", [(3, 90, None), (5, 80, None), (5, 80, (64, 4))])
 def test_ngram_join_against_brute_force(spark, monkeypatch, k, num, limits):
     if limits:  # families in leaves, and entries beyond the row bound
