@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quernstone.llm.common import written
+from quernstone.llm.common import BROADCAST_ROWS, spread_join, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -82,7 +82,7 @@ def _one(data: bytes, at: int) -> tuple[Record | None, int, str]:
             return None, at, "a header line has no colon"
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not re.fullmatch(r"[0-9]{1,18}", size):
         return None, at, "no content length"
     begin, end = stop + 4, stop + 4 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
@@ -187,24 +187,33 @@ def _urn(page_id) -> str:
 
 
 def _page(urn: str | None) -> int | None:
+    """The page of a record's id; none for other ids and numbers that no long holds."""
     tail = (urn or "").strip("<>").removeprefix("urn:page:")
-    return int(tail) if re.fullmatch(r"-?\d+", tail) else None
+    return number if re.fullmatch(r"-?[0-9]{1,19}", tail) and -(1 << 63) <= (number := int(tail)) < 1 << 63 else None
 
 
-def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
+def _length(value: str | None) -> int | None:
+    """A header's count of bytes, or nothing if it is none."""
+    return int(value) if re.fullmatch(r"[0-9]{1,18}", value or "") else None
+
+
+def archive_pages(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pages as archives: a table (archive, content) of compressed WARC files of bounded size.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest page_id is a
     response and the others are revisits; smaller ones are all responses. Null html is an empty
     payload. Rows equal in page_id and payload are all responses, and so are pages whose digest has
-    only null ids. The first page of each repeated digest is found by a partial aggregate and joined
-    back, so a payload that a third of the pages share is dealt as any other.
+    only null ids. An empty table gives no archives; other columns are not read.
+
+    Bodies are not shuffled: the first page of each repeated digest is found by a partial aggregate over
+    (page_id, digest, size) and looked up where the bodies are read, by a broadcast up to a counted bound.
+    Beyond it bodies are dealt by digest and a salt, so a payload of a third of the pages is cut too.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("body"))
     digests = pages.select("page_id", F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).alias("size"))
-    first = digests.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
-    joined = rows.withColumn("digest", F.unhex(F.sha1("body"))).join(first, "digest", "left")
+    first = digests.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("seen"), "first_id")
+    joined = spread_join(rows.withColumn("digest", F.unhex(F.sha1("body"))), "page_id", written(first, "warc-first"), {"digest": "seen"}, broadcast_rows)
 
     def write(batches):
         part, n, size, out = TaskContext.get().partitionId(), 0, 0, []
@@ -234,7 +243,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Records of archives (archive, content), as of a binaryFile scan, salvaged; gaps as rows too.
 
     record_type is the WARC type, or ``gap`` for quarantined bytes, whose start, end and reason stand
-    in gap_start, gap_end and gap_reason. Empty and null contents give no rows.
+    in gap_start, gap_end and gap_reason. Empty and null contents give no rows. Page ids and lengths that
+    are no numbers of 64 bits are null.
     """
     schema = "archive string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, gap_start long, gap_end long, gap_reason string"
 
@@ -245,7 +255,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for r in got.records:
                     h, kind = r.headers, r.headers.get("warc-type")
                     if kind == "revisit":
-                        size, digest = int(h.get("warc-payload-length") or -1), h.get("warc-payload-digest", "").removeprefix("sha1:")
+                        size, digest = _length(h.get("warc-payload-length")), h.get("warc-payload-digest", "").removeprefix("sha1:")
                     else:
                         size, digest = len(r.payload), payload_digest(r.payload)
                     rows.append((name, kind, _page(h.get("warc-record-id")), h.get("warc-target-uri"), size, digest, _page(h.get("warc-refers-to")), None, None, None))
@@ -258,7 +268,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "content").mapInPandas(read, schema)
 
 
-def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write every page to archives in the shared folder and read the records back, a row per page."""
-    archives = written(archive_pages(pages, least), "warc")
-    return read_archives(archives).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+def round_trip(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write every page to archives in the shared folder and read the records back, a row per page.
+
+    Records are written as a table, gaps too; bytes that the reader quarantined are an error, as nothing
+    that was just written may be lost.
+    """
+    archives = written(archive_pages(pages, least, broadcast_rows), "warc")
+    read = read_archives(archives)
+    lost = F.raise_error(F.concat(F.lit("quarantined bytes in "), "archive", F.lit(": "), "gap_reason"))
+    kind = F.when(F.col("record_type") == "gap", lost.cast("string")).otherwise(F.col("record_type"))
+    return read.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
