@@ -3,12 +3,14 @@
 The alphabet of the search is words, not bytes: a pattern is a window of consecutive benchmark words.
 For each pattern length there is a shift table over blocks of two words. A block that no pattern holds
 lets the scan skip a whole window less one word, a block inside patterns skips to its last place in any
-of them, and a block that ends patterns selects a bucket of test strings, which are then compared.
+of them, and a block that ends patterns selects a bucket of test strings by a hash of the window, which
+are then compared word by word. Words are numbers, and the tables are sorted arrays.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import written
 
-#: Bytes of benchmark text that one pass broadcasts; a larger benchmark takes several passes.
-BLOCK_BYTES = 24 << 20
+#: Bytes of benchmark text that one pass broadcasts; a larger benchmark takes several passes. The tables
+#: take about 12 times as much in a Python worker and 32 times while they are built: under 400 MB.
+BLOCK_BYTES = 12 << 20
 #: A-Z to lower case; other ASCII bytes that belong to no word to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -28,58 +31,117 @@ def words(text: bytes | None) -> list[bytes]:
     return bytes(text).translate(FOLD).split() if text is not None else []
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _block_keys(ids: np.ndarray, block: int) -> np.ndarray:
+    """A number for each ``block`` neighbouring words, one or two."""
+    wide = ids.astype(np.int64)
+    return wide if block == 1 else (wide[:-1] << 32) | wide[1:]
+
+
+def _window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each ``length`` neighbouring words."""
+    n = len(ids) - length + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for i in range(length if n > 0 else 0):
+        h = (h ^ ids[i : i + n].astype(np.uint64)) * MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class WuManber:
-    """Search for word windows of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple, list]):
-        self.length, self.block = length, min(2, length)
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = defaultdict(dict)
-        for pattern, owners in patterns.items():
-            for end in range(self.block - 1, length):
-                key = pattern[end - self.block + 1 : end + 1]
-                self.shift[key] = min(self.shift.get(key, length), length - 1 - end)
-            self.buckets[pattern[length - self.block :]][pattern] = owners
-
-    def search(self, text: list[bytes]):
+    """Search for word windows of one length; words are numbers, unknown ones -1.
+
+    ``text`` holds the items' words, ``starts`` the windows' places in it and ``owners`` their items.
+    """
+
+    def __init__(self, length: int, text: np.ndarray, starts: np.ndarray, owners: np.ndarray):
+        self.length, self.block, self.text = length, min(2, length), text
+        ends = length - self.block + 1  # blocks of a window
+        keys = _block_keys(text, self.block)
+        # A block's shift is that of its last place in any window: the windows are slices of the text.
+        found, shift = [], []
+        for end in range(ends):
+            k = np.unique(keys[starts + end])
+            found.append(k), shift.append(np.full(len(k), ends - 1 - end, np.int16))
+        keys_all, shifts = np.concatenate(found), np.concatenate(shift)
+        order = np.lexsort((shifts, keys_all))
+        keys_all, shifts = keys_all[order], shifts[order]
+        first = np.r_[True, keys_all[1:] != keys_all[:-1]]
+        self.keys, self.shift = keys_all[first], shifts[first]
+        # Test strings by (last block, hash of the window).
+        h = _window_hashes(text, length)[starts]
+        last = keys[starts + ends - 1]
+        order = np.lexsort((owners, h, last))
+        self.starts, self.owners, self.hashes = starts[order].astype(np.int64), owners[order], h[order]
+        self.low = np.searchsorted(last[order], self.keys, "left")
+        self.high = np.searchsorted(last[order], self.keys, "right")
+
+    def search(self, ids: np.ndarray):
         """(start, owners) of every occurrence."""
-        m, shift, n = self.length, self.shift, len(text)
-        i, far = m - 1, m - self.block + 1
-        if self.block == 2:
-            while i < n:
-                step = shift.get((text[i - 1], text[i]), far)
-                if step:
-                    i += step
-                    continue
-                owners = self.buckets[(text[i - 1], text[i])].get(tuple(text[i - m + 1 : i + 1]))
-                if owners is not None:
-                    yield i - m + 1, owners
-                i += 1
-        else:
-            for i, w in enumerate(text):
-                if (w,) in shift:
-                    yield i, self.buckets[(w,)][(w,)]
+        m, n = self.length, len(ids)
+        if n < m:
+            return
+        keys = _block_keys(ids, self.block)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        steps = np.where(self.keys[at] == keys, self.shift[at], m - self.block + 1)
+        if steps.all():
+            return
+        jump, i, end = steps.tolist(), m - self.block, n - self.block + 1  # i is the place of a window's last block
+        hashes = None
+        while i < end:
+            if jump[i]:
+                i += jump[i]
+                continue
+            hashes = _window_hashes(ids, m) if hashes is None else hashes
+            start, row = i + self.block - m, at[i]
+            lo, hi = self.low[row], self.high[row]
+            a = lo + np.searchsorted(self.hashes[lo:hi], hashes[start], "left")
+            b = lo + np.searchsorted(self.hashes[lo:hi], hashes[start], "right")
+            window = ids[start : start + m]
+            owners = [self.owners[k] for k in range(a, b) if np.array_equal(self.text[self.starts[k] : self.starts[k] + m], window)]
+            if owners:
+                yield start, owners
+            i += 1
 
 
 class Patterns:
     """All windows of some benchmark items, ready to search; an item of few words is one window."""
 
     def __init__(self, items: list[tuple], window: int):
-        found: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
+        self.vocabulary: dict[bytes, int] = {}
+        self.items = sorted({item for item, _ in items})
+        place, number = {item: i for i, item in enumerate(self.items)}, self.vocabulary.setdefault
+        texts, rows, at = [], {}, 0
         for item, text in items:
             w = words(text)
             size = min(window, len(w))
-            for i in range(len(w) - size + 1 if size else 0):
-                owners = found[size][tuple(w[i : i + size])]
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        self.searches = [WuManber(size, patterns) for size, patterns in sorted(found.items())]
+            if size:
+                texts.append(np.fromiter((number(x, len(self.vocabulary)) for x in w), np.int32, len(w)))
+                rows.setdefault(size, []).append((at, len(w) - size + 1, place[item]))
+                at += len(w)
+        text = np.concatenate(texts) if texts else np.empty(0, np.int32)
+        self.searches = []
+        for size, found in sorted(rows.items()):
+            starts = np.concatenate([np.arange(a, a + n, dtype=np.int64) for a, n, _ in found])
+            owners = np.concatenate([np.full(n, owner, np.int32) for _, n, owner in found])
+            self.searches.append(WuManber(size, text, starts, owners))
+
+    def numbers(self, text: list[bytes]) -> np.ndarray:
+        get = self.vocabulary.get
+        return np.fromiter((get(w, -1) for w in text), np.int64, len(text))
+
+    def found(self, text: list[bytes]) -> bool:
+        """Whether any window occurs."""
+        ids = self.numbers(text)
+        return next(chain.from_iterable(s.search(ids) for s in self.searches), None) is not None
 
     def hits(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged word spans [start, end) inside any occurrence, and the items that occur."""
-        spans, items = [], set()
+        spans, items, ids = [], set(), self.numbers(text)
         for s in self.searches:
-            for start, owners in s.search(text):
+            for start, owners in s.search(ids):
                 spans.append((start, start + s.length))
                 items.update(owners)
         merged: list[list[int]] = []
@@ -88,18 +150,27 @@ class Patterns:
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        return [(a, b) for a, b in merged], items
+        return [(a, b) for a, b in merged], {self.items[i] for i in items}
+
+
+_READY: dict = {}
+
+
+def patterns(name: str, shared, window: int) -> Patterns:
+    """The tables of broadcast items, built once in a Python worker and kept for its next tasks."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Patterns(shared.value, window)
+    return _READY[name]
 
 
 def _scan(docs: DataFrame, items: list[tuple], window: int, doc_id: str, text: str, keep: list[str]) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    shared, cache = sc.broadcast(items), {}
+    shared, name = sc.broadcast(items), uuid.uuid4().hex
     fields = [docs.schema[c] for c in dict.fromkeys([doc_id, *keep])]
 
     def scan(batches):
-        if "p" not in cache:
-            cache["p"] = Patterns(shared.value, window)
-        find = cache["p"].hits
+        find = patterns(name, shared, window).hits
         for b in batches:
             n, spans, ids = [], [], []
             for cell in b["__data"]:
@@ -178,7 +249,9 @@ def digest(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all columns kept, without a shuffle.
 
-    A benchmark over BLOCK_BYTES is searched block by block, each pass over the rows the last one kept.
+    Rows with null or empty texts stay, as do repeated rows and null ids; an empty table stays empty, and
+    an empty benchmark leaves all rows; extra columns keep their names and values. A benchmark over
+    BLOCK_BYTES is searched block by block, each pass over the rows the last one kept.
     """
     for block in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
         names = docs.columns
@@ -188,17 +261,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
 
 
 def _marker(docs: DataFrame, items: list[tuple], window: int):
-    shared, cache = docs.sparkSession.sparkContext.broadcast(items), {}
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def hit(column: pd.Series) -> pd.Series:
-        if "p" not in cache:
-            cache["p"] = Patterns(shared.value, window)
-        searches = cache["p"].searches
-        out = []
-        for cell in column:
-            w = words(cell)
-            out.append(any(next(s.search(w), None) is not None for s in searches))
-        return pd.Series(out, dtype=bool)
+        found = patterns(name, shared, window).found
+        return pd.Series([found(words(cell)) for cell in column], dtype=bool)
 
     return hit
