@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Boxes that hold boxes; payload boxes such as mdat are never entered.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Levels of boxes that are entered; files nest about six.
+LEVELS = 16
 UNIT = 576
 RATE = 8000
 KEY_EVERY = 16
@@ -82,7 +84,7 @@ def mux(payload: bytes, unit: int = UNIT) -> bytes:
 
 @dataclass
 class Track:
-    """What the tables of one track say; ``offsets`` and ``sizes`` have an entry for each sample."""
+    """What the tables of one track say; ``offsets``, ``sizes`` and ``times`` (ticks) have an entry for each sample."""
 
     codec: str
     handler: str
@@ -91,6 +93,7 @@ class Track:
     offsets: np.ndarray
     sizes: np.ndarray
     sync: np.ndarray
+    times: np.ndarray
 
     @property
     def seconds(self) -> float:
@@ -98,9 +101,12 @@ class Track:
 
 
 def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, body start, body end) of every box; boxes with impossible sizes end their level."""
-    at, end = start, len(data) if end is None else end
-    while at + 8 <= end:
+    """(path, body start, body end) of every box, to LEVELS of depth; boxes with impossible sizes end their level."""
+    levels = [(start, len(data) if end is None else end, path)]
+    while levels:
+        at, end, path = levels.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1 and at + 16 <= end:
@@ -108,11 +114,11 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
         elif size == 0:
             size = end - at
         if size < body - at or at + size > end:
-            return
+            continue
         yield (*path, kind), body, at + size
-        if kind in CONTAINERS:
-            yield from walk(data, body, at + size, (*path, kind))
-        at += size
+        levels.append((at + size, end, path))
+        if kind in CONTAINERS and len(path) < LEVELS:
+            levels.append((body, at + size, (*path, kind)))
 
 
 def _table(data, body: int, end: int, width: int, kind: str) -> np.ndarray:
@@ -121,18 +127,114 @@ def _table(data, body: int, end: int, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(data, kind, n * width, body + 8).reshape(n, width).astype(np.int64)
 
 
+def _sample_sizes(data, boxes: dict) -> np.ndarray:
+    """Sizes by stsz or stz2; a count that the box or the file cannot hold is an error."""
+    if b"stz2" in boxes:
+        a, b = boxes[b"stz2"]
+        bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        if bits not in (4, 8, 16) or n * bits > 8 * (b - a - 12):
+            raise ValueError("a size table is cut off")
+        if bits == 16:
+            return np.frombuffer(data, ">u2", n, a + 12).astype(np.int64)
+        raw = np.frombuffer(data, np.uint8, (n * bits + 7) // 8, a + 12)
+        return (raw if bits == 8 else np.stack([raw >> 4, raw & 15], 1).ravel()[:n]).astype(np.int64)
+    a, b = boxes[b"stsz"]
+    fixed, n = struct.unpack_from(">II", data, a + 4)
+    if n * (fixed or 4) > (len(data) if fixed else b - a - 12):
+        raise ValueError("more samples than bytes")
+    return np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
+
+
+def _sample_times(data, boxes: dict, n: int) -> tuple[np.ndarray, int]:
+    """Start of each sample and the end of the last, in ticks, by stts; it must tell of every sample."""
+    rows = _table(data, *boxes[b"stts"], 2, ">u4")
+    if int(rows[:, 0].sum()) != n:
+        raise ValueError("the time table is of another number of samples")
+    lasts = np.repeat(rows[:, 1], rows[:, 0])
+    return np.cumsum(lasts) - lasts, int(lasts.sum())
+
+
+def _sample_offsets(data, boxes: dict, sizes: np.ndarray) -> np.ndarray:
+    chunk = _table(data, *boxes[b"co64"], 1, ">u8")[:, 0] if b"co64" in boxes else _table(data, *boxes[b"stco"], 1, ">u4")[:, 0]
+    spread, n = _table(data, *boxes[b"stsc"], 3, ">u4"), len(sizes)
+    lengths = np.diff(np.r_[spread[:, 0] - 1, len(chunk)])
+    if (lengths < 0).any() or (spread[:, 1] > max(n, 1)).any():
+        raise ValueError("chunks out of order")
+    per = np.repeat(spread[:, 1], lengths)
+    if per.sum() < n:
+        raise ValueError("samples without a chunk")
+    in_chunk = np.repeat(np.arange(len(per)), np.minimum(per, n))[:n]
+    before, first = np.cumsum(sizes) - sizes, np.cumsum(per) - per
+    return chunk[in_chunk] + before - before[first[in_chunk]] if n else np.empty(0, np.int64)
+
+
+def _fragment(data, moof: int, boxes: dict, runs: list, defaults: tuple, at: int):
+    """(offsets, sizes, sync marks, lengths) of one movie fragment's samples of a track, from time ``at`` on."""
+    a, _ = boxes[b"tfhd"]
+    flags, p = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, a + 8
+    base, (length, size, mark) = moof, defaults
+    if flags & 1:
+        base, p = struct.unpack_from(">Q", data, p)[0], p + 8
+    p += 4 * bool(flags & 2)
+    if flags & 8:
+        length, p = struct.unpack_from(">I", data, p)[0], p + 4
+    if flags & 16:
+        size, p = struct.unpack_from(">I", data, p)[0], p + 4
+    if flags & 32:
+        mark = struct.unpack_from(">I", data, p)[0]
+    out = []
+    for a, b in runs:
+        flags, n = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+        p, first = a + 8, None
+        if flags & 1:
+            base_at, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+        else:
+            base_at = int(out[-1][0][-1] + out[-1][1][-1]) if out and len(out[-1][0]) else base
+        if flags & 4:
+            first, p = struct.unpack_from(">I", data, p)[0], p + 4
+        fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+        if n * (4 * len(fields) or max(size, 1)) > (b - p if fields else len(data)):
+            raise ValueError("more samples than bytes")
+        rows = np.frombuffer(data, ">u4", n * len(fields), p).reshape(n, len(fields)).astype(np.int64)
+        of = lambda f, default: rows[:, fields.index(f)] if f in fields else np.full(n, default, np.int64)
+        sizes, marks = of(0x200, size), of(0x400, mark)
+        if first is not None and n and 0x400 not in fields:
+            marks[0] = first
+        out.append((base_at + np.cumsum(sizes) - sizes, sizes, (marks & 0x10000) == 0, of(0x100, length)))
+    return [np.concatenate(x) for x in zip(*out)] if out else None
+
+
 def tracks(data) -> list[Track]:
-    """Tracks of an ISO media file; sample payloads are not read.
+    """Tracks of an ISO media file, of sample tables and of movie fragments; sample payloads are not read.
 
-    A file without complete tables gives the tracks that could be read, at worst none.
+    A track whose tables are missing, cut off or at odds with each other or the file is left out; a file
+    without any readable track gives none.
     """
-    found: list[dict] = []
+    found, extends, fragments, ids = [], {}, [], {}
     for path, a, b in walk(data):
         kind = path[-1]
-        if kind == b"trak":
-            found.append({})
-        elif found and len(path) > 2:
-            found[-1][kind] = (a, b)
+        try:
+            if kind == b"trak":
+                found.append({})
+            elif kind == b"moof":
+                fragments.append((a - 8, []))
+            elif kind == b"traf" and fragments:
+                fragments[-1][1].append(({}, []))
+            elif kind == b"trex":
+                extends[struct.unpack_from(">I", data, a + 4)[0]] = struct.unpack_from(">III", data, a + 12)
+            elif b"traf" in path and fragments and fragments[-1][1]:
+                (boxes, trun) = fragments[-1][1][-1]
+                trun.append((a, b)) if kind == b"trun" else boxes.setdefault(kind, (a, b))
+            elif found and b"trak" in path:
+                found[-1].setdefault(kind, (a, b))
+        except struct.error:
+            continue
+    for boxes in found:
+        if b"tkhd" in boxes:
+            a, b = boxes[b"tkhd"]
+            at = a + (20 if data[a : a + 1] == b"\x01" else 12)
+            if at + 4 <= b:
+                ids[id(boxes)] = struct.unpack_from(">I", data, at)[0]
     out = []
     for boxes in found:
         try:
@@ -141,19 +243,24 @@ def tracks(data) -> list[Track]:
             a, _ = boxes[b"stsd"]
             codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
             handler = bytes(data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]).decode("latin-1")
-            a, b = boxes[b"stsz"]
-            fixed, n = struct.unpack_from(">II", data, a + 4)
-            sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
-            chunk = _table(data, *boxes[b"co64"], 1, ">u8")[:, 0] if b"co64" in boxes else _table(data, *boxes[b"stco"], 1, ">u4")[:, 0]
-            spread = _table(data, *boxes[b"stsc"], 3, ">u4")
-            per = np.repeat(spread[:, 1], np.diff(np.r_[spread[:, 0] - 1, len(chunk)]))
-            in_chunk = np.repeat(np.arange(len(chunk)), per)[:n]
-            before = np.cumsum(sizes) - sizes
-            first = np.cumsum(per) - per
-            offsets = chunk[in_chunk] + before - before[np.minimum(first, max(n - 1, 0))][in_chunk] if n else np.empty(0, np.int64)
-            sync = _table(data, *boxes[b"stss"], 1, ">u4")[:, 0] - 1 if b"stss" in boxes else np.arange(n)
-            out.append(Track(codec, handler, timescale, duration, offsets, sizes[: len(offsets)], sync[sync < len(offsets)]))
-        except (KeyError, struct.error, ValueError, IndexError):
+            sizes = _sample_sizes(data, boxes)
+            times, ticks = _sample_times(data, boxes, len(sizes))
+            offsets = _sample_offsets(data, boxes, sizes)
+            sync = _table(data, *boxes[b"stss"], 1, ">u4")[:, 0] - 1 if b"stss" in boxes else np.arange(len(sizes))
+            mine = ids.get(id(boxes))
+            for moof, trafs in fragments:
+                for parts, trun in trafs:
+                    if b"tfhd" not in parts or struct.unpack_from(">I", data, parts[b"tfhd"][0] + 4)[0] != mine:
+                        continue
+                    if (got := _fragment(data, moof, parts, trun, extends.get(mine, (0, 0, 0)), ticks)) is not None:
+                        sync = np.r_[sync, len(sizes) + np.flatnonzero(got[2])]
+                        times = np.r_[times, ticks + np.cumsum(got[3]) - got[3]]
+                        offsets, sizes, ticks = np.r_[offsets, got[0]], np.r_[sizes, got[1]], ticks + int(got[3].sum())
+            if len(sizes) and (int((offsets + sizes).max()) > len(data) or int(offsets.min()) < 0):
+                raise ValueError("samples outside the file")
+            good = sync[(sync >= 0) & (sync < len(sizes))]
+            out.append(Track(codec, handler, timescale, duration or ticks, offsets, sizes, good, times))
+        except (KeyError, struct.error, ValueError, IndexError, OverflowError, MemoryError):
             continue
     return out
 
@@ -174,17 +281,18 @@ def describe(track: Track) -> str:
 def media_columns(media: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """Codec, duration and keyframe byte ranges of each file in a binary column, beside ``keep``.
 
-    Adds codec, handler, seconds, n_samples, keyframe_offsets and keyframe_sizes of the first track.
-    A null, empty or broken file has null codec and no keyframes. One row in, one row out, no shuffle.
+    Adds codec, handler, seconds, n_samples, keyframe_offsets, keyframe_sizes and keyframe_seconds of the
+    first readable track. A null, empty or broken file has null codec and no keyframes. One row in, one row
+    out, repeated rows too; an empty table gives an empty one. No shuffle.
     """
 
-    @F.pandas_udf("codec string, handler string, seconds double, n_samples long, keyframe_offsets array<long>, keyframe_sizes array<long>")
+    @F.pandas_udf("codec string, handler string, seconds double, n_samples long, keyframe_offsets array<long>, keyframe_sizes array<long>, keyframe_seconds array<double>")
     def columns(files: pd.Series) -> pd.DataFrame:
         rows = []
         for f in files:
             t = next(iter(tracks(bytes(f))), None) if f is not None else None
-            rows.append((t.codec, t.handler, t.seconds, len(t.sizes), t.offsets[t.sync].tolist(), t.sizes[t.sync].tolist()) if t else (None, None, None, 0, [], []))
-        return pd.DataFrame(rows, columns=["codec", "handler", "seconds", "n_samples", "keyframe_offsets", "keyframe_sizes"])
+            rows.append((t.codec, t.handler, t.seconds, len(t.sizes), t.offsets[t.sync].tolist(), t.sizes[t.sync].tolist(), (t.times[t.sync] / max(1, t.timescale)).tolist()) if t else (None, None, None, 0, [], [], []))
+        return pd.DataFrame(rows, columns=["codec", "handler", "seconds", "n_samples", "keyframe_offsets", "keyframe_sizes", "keyframe_seconds"])
 
     return media.select(*(keep or []), columns(F.col(content)).alias("m")).select(*(keep or []), "m.*")
 
@@ -193,7 +301,7 @@ def store_texts(docs: DataFrame, unit: int = UNIT, doc_id: str = "doc_id", text:
     """Each whole text as an ISO media file, read back through its own sample tables.
 
     Null text is empty and becomes one unit of padding. Equal texts give equal values; repeated rows
-    stay; nulls in doc_id pass through. Raises if a stored payload reads back changed. No shuffle; a
+    stay; nulls in doc_id pass through; an empty table gives an empty one; other columns are not read. Raises if a stored payload reads back changed. No shuffle; a
     task holds a batch of documents and their files.
     """
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -85,6 +86,75 @@ def test_media_round_trip(odd, none):
     assert media.store_texts(none).count() == 0
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def foreign_track(track_id, sizes, chunks, offsets, times, handler, codec, compact=False):
+    """A track of version-0 headers as other writers have them: no stss, several chunk layouts, stz2."""
+    full = lambda kind, *parts: box(kind, bytes(4), *parts)
+    table = full(b"stz2", bytes(3), bytes([8]), struct.pack(">I", len(sizes)), bytes(sizes)) if compact else full(b"stsz", struct.pack(">II", 0, len(sizes)), struct.pack(f">{len(sizes)}I", *sizes))
+    stbl = box(
+        b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), full(b"stts", struct.pack(">I", len(times)), *(struct.pack(">II", *t) for t in times)), table,
+        full(b"stsc", struct.pack(">I", len(chunks)), *(struct.pack(">III", *c, 1) for c in chunks)), full(b"stco", struct.pack(">I", len(offsets)), struct.pack(f">{len(offsets)}I", *offsets)),
+    )
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", stbl))
+    return box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, track_id), bytes(64)), mdia)
+
+
+def test_media_tracks_of_another_writer():
+    data = bytes(range(1, 101))
+    mdat = box(b"ftyp", b"isom", bytes(4)) + box(b"mdat", data)
+    at = len(mdat) - len(data)
+    # Track 1: chunks of 2, 2 and 1 samples at odd places; track 2: one chunk of three compact sizes.
+    one = foreign_track(1, [3, 4, 5, 6, 7], [(1, 2), (3, 1)], [at + 10, at + 30, at + 60], [(4, 10), (1, 25)], b"vide", b"avc1")
+    two = foreign_track(2, [1, 2, 3], [(1, 3)], [at + 80], [(3, 7)], b"soun", b"mp4a", compact=True)
+    for file in (mdat + box(b"moov", one, two), mdat + box(b"free", bytes(9)) + box(b"moov", one, two)):
+        a, b = media.tracks(file)
+        assert (a.codec, a.handler, a.seconds, a.times.tolist()) == ("avc1", "vide", 0.065, [0, 10, 20, 30, 40])
+        assert a.offsets.tolist() == [at + x for x in (10, 13, 30, 35, 60)] and a.sync.tolist() == [0, 1, 2, 3, 4]
+        assert media.read_back(file, a) == data[10:17] + data[30:41] + data[60:67]
+        assert (b.codec, b.duration, media.read_back(file, b)) == ("mp4a", 21, data[80:86])
+    wrong = foreign_track(1, [3, 4], [(1, 2)], [at], [(3, 10)], b"vide", b"avc1")  # stts tells of three samples
+    assert [t.codec for t in media.tracks(mdat + box(b"moov", wrong, two))] == ["mp4a"]
+
+
+def test_media_tracks_of_movie_fragments():
+    head = foreign_track(5, [], [], [], [], b"vide", b"hev1")
+    trex = box(b"mvex", box(b"trex", bytes(4), struct.pack(">IIIII", 5, 1, 40, 6, 0x10000)))
+    moov = box(b"ftyp", b"iso5") + box(b"moov", head, trex)
+
+    def moof(offset):
+        run = box(b"trun", struct.pack(">IIiI", 0x205, 3, offset, 0), struct.pack(">III", 4, 5, 6))
+        more = box(b"trun", struct.pack(">II", 0, 2))
+        return box(b"moof", box(b"mfhd", bytes(8)), box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 5)), run, more))
+
+    file = b""
+    for _ in range(2):
+        file += (moov if not file else b"") + moof(len(moof(0)) + 8) + box(b"mdat", bytes(range(27)))
+    (t,) = media.tracks(file)
+    assert (t.codec, t.sizes.tolist(), t.sync.tolist(), t.seconds) == ("hev1", [4, 5, 6, 6, 6] * 2, [0, 5], 0.4)
+    assert media.read_back(file, t) == bytes(range(27)) * 2
+
+
+def test_media_reader_survives_damage():
+    good, rng = media.mux(os.urandom(576 * 40 + 5)), random.Random(4)
+    deep = b"".join(struct.pack(">I4s", 8 * (3000 - i), b"moov") for i in range(3000))
+    assert media.tracks(deep) == []
+    places = [good.index(k) for k in (b"stsz", b"stts", b"stsc", b"stco", b"stss", b"mdhd", b"trak", b"stsd")]
+    for i in range(1500):
+        b = bytearray(good)
+        at = rng.choice(places) - 4 + rng.randrange(32)
+        b[at : at + 4] = struct.pack(">I", rng.choice([0, 1, 2, 999, 0x7FFFFFFF, 0xFFFFFFFF]))
+        for t in media.tracks(bytes(b[: rng.randrange(len(b))] if i % 5 == 0 else b)):
+            assert len(t.sizes) == len(t.offsets) == len(t.times) and len(t.sizes) <= len(good)
+    huge = bytearray(good)
+    at = good.index(b"stsz") + 12
+    huge[at - 4 : at + 4] = struct.pack(">II", 1, 0xFFFFFFFF)
+    assert media.tracks(bytes(huge)) == []
+
+
 def test_media_columns_of_broken_files(spark):
     good = media.mux(os.urandom(576 * 40))
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:300])), (3, bytearray(b"")), (4, None)], "id long, content binary")
@@ -106,6 +176,41 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_warc_with_a_hot_payload_and_clashing_names(spark, bound):
+    rows = [(i, f"http://{i}/", "<p>same</p>" if i % 3 == 0 else f"<p>{i // 2}</p>", "a", "b") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, first_id string, digest string").repartition(4)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, 0, bound).collect()}
+    first = {}
+    for i, _, h, *_ in rows:
+        first.setdefault(h, i)
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h, *_ in rows}
+
+
+def test_warc_reader_survives_damaged_headers(spark):
+    good = warc.record("revisit", "urn:page:7", "u", b"xx", warc.payload_digest(b"xx"), "urn:page:3")
+    odd = good.replace(b"Length: 2\r", b"Length: 2x\r", 1).replace(b"page:7", b"page:" + b"9" * 30).replace(b"page:3", b"page:-" + b"9" * 19)
+    rng, rows = random.Random(6), [("odd", bytearray(odd + good)), ("none", None), ("empty", bytearray())]
+    whole = b"".join(warc.member(warc.record("response", f"urn:page:{i}", "u", (p := os.urandom(200)), warc.payload_digest(p))) for i in range(6))
+    for k in range(60):  # random cuts, changed bytes and junk
+        b = bytearray(whole)
+        for _ in range(rng.randint(1, 8)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        at = rng.randrange(len(b))
+        rows.append((f"r{k}", bytearray(b[: rng.randrange(len(b))] if k % 3 == 0 else b[:at] + os.urandom(rng.randint(0, 3000)) + b[at:])))
+    got = warc.read_archives(spark.createDataFrame(rows, "archive string, content binary")).collect()
+    first = [r for r in got if r["archive"] == "odd"]
+    assert [(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in first] == [(None, None, None), (7, 2, 3)]
+    assert {r["archive"] for r in got} >= {f"r{k}" for k in range(60)} - {r[0] for r in rows if r[1] is not None and not r[1]}
+
+
+def test_warc_round_trip_reports_lost_bytes(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "read_archives", lambda a: a.sparkSession.createDataFrame([("a", "gap", None, None, None, None, None, 0, 5, "broken")], "archive string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, gap_start long, gap_end long, gap_reason string"))
+    with pytest.raises(Exception, match="quarantined bytes in a: broken"):
+        warc.round_trip(pages).collect()
+
+
 def test_warc_salvage():
     records = [warc.record("response", f"urn:page:{i}", "u", (p := os.urandom(300)), warc.payload_digest(p)) for i in range(5)]
     members = [warc.member(r) for r in records]
