@@ -38,7 +38,9 @@ GIVEN = {
     ("greek", "f"): "Άννα Βασιλική Ειρήνη Ελένη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Ιωάννης Κώστας Νίκος Πέτρος".split(),
 }
-ADDRESS = {"f": "Mrs Ms Miss Mme Madame Frau Señora Sra г-жа Κυρία".split(), "m": "Mr Monsieur Herr Señor Sr г-н Κύριος".split(), "": "Dr Prof".split()}
+ADDRESS = {"f": "Mrs Ms Miss Mme Madame Frau Señora Sra г-жа Κυρία MRS MADAME FRAU SEÑORA".split(), "m": "Mr Monsieur Herr Señor Sr г-н Κύριος MR MONSIEUR HERR SEÑOR".split(), "": "Dr Prof PROF".split()}
+#: Country calling codes of one and two digits; all others have three.
+CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 CLASS = {c: a for a in ALPHABETS for c in a}
 GENDER = {word: g for g, ws in ADDRESS.items() for word in ws}
@@ -64,6 +66,10 @@ NUMBER = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.-])\d{4}(?P<gap>[ -])(?:\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{6}(?P=gap)\d{4,5})(?!\d)|(?<![\d.\w])\d{13,19}(?![\d\w]))"
 )
+#: IPv6 addresses: eight groups, or fewer around one double colon; checked when found.
+IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)")
+#: International bank account numbers, together or in groups of four; their check digits must be right.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_-]{8,})")
 KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z2-7]{16}|[A-Z0-9]{16})(?![A-Za-z0-9])")
 _UPPER = f"[{''.join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())}]"
@@ -153,29 +159,70 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _mod97(compact: str) -> int:
+    """The remainder of an account number with its first four characters last, letters as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97
+
+
+def _is_ipv6(s: str) -> bool:
+    """Whether a find of IPV6 is an address of three groups at least with a digit, not a time or a path of names."""
+    groups = [g for g in s.split(":") if g]
+    return 3 <= len(groups) <= 8 and ("::" in s) != (len(groups) == 8) and any(c.isdigit() for c in s)
+
+
+def _phone_canonical(form: str) -> str:
+    """Digits that are the same however a number is written: international ones without + or 00, North
+    American ones with their 1; after ~ what belongs to no known country."""
+    digits = re.sub(r"\D", "", form)
+    if form.lstrip().startswith("+"):
+        return digits
+    if digits.startswith("00"):
+        return digits[2:]
+    if digits[0] == "0" or len(digits) == 11 and digits[0] == "1":
+        return digits
+    return "1" + digits if len(digits) == 10 else "~" + digits
+
+
 def detect(text: str) -> list[Entity]:
-    """Entities of a text, leftmost first, none inside another. Empty text has none."""
+    """Entities of a text, leftmost first, none inside another. Empty text has none.
+
+    A name that an address or a cue told of is an entity wherever its parts stand in the text as words.
+    """
     found: list[Entity] = []
     if "@" in text:
         found += [Entity(*m.span(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
-    for m in NUMBER.finditer(text) if DIGITS.search(text) else ():
-        kind = next(k for k in ("phone", "ip", "ssn", "card") if m.group(k))
-        found.append(Entity(*m.span(), kind, m.group() if kind == "ip" else re.sub(r"\D", "", m.group())))
+    if DIGITS.search(text):
+        for m in NUMBER.finditer(text):
+            kind = next(k for k in ("phone", "ip", "ssn", "card") if m.group(k))
+            found.append(Entity(*m.span(), kind, m.group() if kind == "ip" else _phone_canonical(m.group()) if kind == "phone" else re.sub(r"\D", "", m.group())))
+        found += [Entity(*m.span(), "iban", c) for m in IBAN.finditer(text) if _mod97(c := m.group().replace(" ", "")) == 1]
+    if text.count(":") > 1:
+        found += [Entity(*m.span(), "ipv6", m.group().lower()) for m in IPV6.finditer(text) if _is_ipv6(m.group())]
     if "=" in text or ":" in text:
         found += [Entity(*m.span("secret"), "secret", m.group("secret")) for m in SECRET.finditer(text)]
     if "AKIA" in text or "ASIA" in text:
         found += [Entity(*m.span("key"), "key", m.group("key")) for m in KEY.finditer(text)]
+    names: set[str] = set()
     for m in NAME.finditer(text) if any(h in text for h in HINTS) else ():
         for part in PART.finditer(text, m.start("names"), m.end("names")):
-            found.append(Entity(*part.span(), "given" if part.group() in NAMES else "family", part.group()))
+            found.append(_name(part.group(), *part.span()))
+            names.add(part.group())
+    names = {n for n in names if len(n) > 1}
+    if names:
+        again = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))})(?![\w-])")
+        found += [_name(m.group(), *m.span()) for m in again.finditer(text)]
     kept: list[Entity] = []
-    order = {"email": 0, "secret": 1, "key": 2}
-    for e in sorted(found, key=lambda e: (e.start, order.get(e.kind, 3), -e.end)):
+    order = {"email": 0, "secret": 1, "key": 2, "iban": 3, "ipv6": 4}
+    for e in sorted(found, key=lambda e: (e.start, order.get(e.kind, 5), -e.end)):
         if not kept or e.start >= kept[-1].end:
             kept.append(e)
     return kept
 
 
+def _name(form: str, start: int, end: int) -> Entity:
+    return Entity(start, end, "given" if form in NAMES else "family", form)
+
+
 def _ip(canonical: str, cipher: Cipher) -> str:
     x = 0
     for octet in canonical.split("."):
@@ -211,14 +258,42 @@ def _email(s: str, cipher: Cipher) -> str:
     return f"{cipher.string(stem, 'email|' + top)}.{top}"
 
 
+#: Digits that an area code or an exchange of a North American number, or any number after its prefix, begins with.
+_TWO_UP, _ONE_UP, _ANY = "23456789", "123456789", "0123456789"
+
+
 def _phone(digits: str, cipher: Cipher) -> str:
-    return cipher.string(digits, "phone")
+    """A number of the same plan: the country code or the leading zero stays, and a digit that a plan wants
+    above 1 or above 0 stays so, if it was."""
+    if digits[0] in "0~":
+        code = 2 if digits[0] == "~" else 1
+    else:
+        code = 1 if digits[0] in CALLING else 2 if digits[:2] in CALLING else 3
+    sets: list[str | None] = [None] * code + [_ANY] * (len(digits) - code)
+    for at in (1, 4) if digits[0] == "1" and len(digits) == 11 else (code,):
+        if at < len(digits):
+            sets[at] = next((a for a in ((_TWO_UP, _ONE_UP) if digits[0] == "1" else (_ONE_UP,)) if digits[at] in a), _ANY)
+    return cipher.string(digits, "phone", sets)
+
+
+def _iban(s: str, cipher: Cipher) -> str:
+    """An account of the same country and shape with right check digits."""
+    rest = cipher.string(s[4:], "iban|" + s[:2], [_ANY if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in s[4:]])
+    return f"{s[:2]}{98 - _mod97(s[:2] + '00' + rest):02d}{rest}"
+
+
+def _ipv6(s: str, cipher: Cipher) -> str:
+    """An address of the same groups; their first digits stay above 0, if they were."""
+    first = lambda i: i == 0 or s[i - 1] == ":"
+    return cipher.string(s, "ipv6", [None if c == ":" else "123456789abcdef" if first(i) and c != "0" else "0123456789abcdef" for i, c in enumerate(s)])
 
 
 MAKERS: dict[str, Callable[[str, Cipher], str]] = {
     "email": _email,
     "phone": _phone,
     "ip": _ip,
+    "ipv6": _ipv6,
+    "iban": _iban,
     "ssn": lambda s, c: c.string(s, "ssn"),
     "card": _card,
     "secret": lambda s, c: _hex(s, c, "secret"),
@@ -230,18 +305,22 @@ MAKERS: dict[str, Callable[[str, Cipher], str]] = {
 
 def surrogate(kind: str, canonical: str, cipher: Cipher) -> str:
     """The canonical surrogate of an entity's canonical form."""
-    if kind == "phone":  # the country code stays
-        return canonical[:1] + _phone(canonical[1:], cipher)
     return MAKERS[kind](canonical, cipher)
 
 
 def _fit(form: str, canonical: str, kind: str) -> str:
     """A canonical surrogate in the format of the occurrence ``form``."""
+    if kind == "phone":
+        n, canonical = sum(c.isdigit() for c in form), canonical.removeprefix("~")
+        canonical = "00" + canonical if n == len(canonical) + 2 else canonical[len(canonical) - n :]
     if kind in ("phone", "ssn", "card"):
         digits = iter(canonical)
         return "".join(next(digits) if c.isdigit() else c for c in form)
-    if kind == "email" and form != form.lower() and form == form.upper():
-        return canonical.upper()
+    if kind == "iban":
+        chars = iter(canonical)
+        return "".join(c if c == " " else next(chars) for c in form)
+    if kind in ("email", "ipv6"):  # the case of each letter is the form's
+        return "".join(c.upper() if f != f.lower() else c for f, c in zip(form, canonical, strict=True))
     return canonical
 
 
@@ -297,9 +376,11 @@ def replace_entities(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text:
 
     ``kinds`` lists the kinds found, with their counts, as ``kind=count`` in order of kind. A null
     text stays null without entities; texts without entities are unchanged; repeated rows stay; null
-    doc_ids pass through; an empty table gives an empty one; other columns are not read. Entities are
-    e-mail addresses, phone numbers, IPv4 addresses, card and social-security numbers, access keys,
-    assigned secrets, and names after a form of address or a cue as "name is". No shuffle.
+    doc_ids pass through; an empty table gives an empty one; other columns are not read, whatever their
+    names. Very long texts are read whole, one at a time. Entities are e-mail addresses, phone numbers,
+    IPv4 and IPv6 addresses, card, bank account and social-security numbers, access keys, assigned secrets,
+    and names after a form of address or a cue as "name is", with all later and earlier mentions of their
+    parts in the text. No shuffle.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -319,7 +400,7 @@ def replace_entities(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text:
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """``docs`` with its text column rewritten, all other columns kept."""
+    """``docs`` with its text column rewritten, all other columns kept; null texts stay null."""
 
     @F.pandas_udf("string")
     def new(column: pd.Series) -> pd.Series:
