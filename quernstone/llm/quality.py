@@ -8,12 +8,15 @@ column expressions again, so scoring is one projection without Python.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import fresh
+
 #: Labelled rows that a fit uses at most: those whose hashed ids come first.
 SAMPLE_ROWS = 20_000
 TREES = 40
@@ -195,14 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_
 
     The sample is the rows whose hashed ids come first, so it does not depend on the order of the
     tables; its ids are broadcast (that bound holds at any size) and only its statistics are collected.
-    Null ids and labels, and labels other than 0 and 1, are not used; of a repeated id one label counts.
+    Null ids and labels, and labels other than 0 and 1, are not used; of a repeated id the smaller label
+    and the text whose hash comes first count. Ids are of any type; a null text counts as empty.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     stats = statistics(F.col("__text"))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    sample = rows.select("__id", "__label", *[c.alias(n) for n, c in stats.items()]).dropDuplicates(["__id"]).toPandas().sort_values("__id")
-    fold = (sample["__id"].astype("int64") * 2654435761 % (1 << 32) % 5 == 0).to_numpy() if len(sample) else np.zeros(0, bool)
+    numbers = F.struct(*[c.alias(n) for n, c in stats.items()])
+    one = rows.select("__id", "__label", F.xxhash64("__text").alias("__order"), numbers.alias("__s")).groupBy("__id").agg(F.min("__label").alias("__label"), F.min_by("__s", F.struct("__order", "__s")).alias("__s"))
+    sample = one.select("__id", "__label", "__s.*").toPandas().sort_values("__id")
+    fold = np.array([zlib.crc32(f"fold:{i}".encode()) % 5 == 0 for i in sample["__id"]], bool)
     return fit_ensemble(sample[list(stats)].to_numpy(float), sample["__label"].to_numpy(float), list(stats), fold)
 
 
@@ -219,10 +225,15 @@ def score(docs: DataFrame, model: RuleEnsemble, doc_id: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the ensemble predicts label 1 for, all columns kept."""
+    """The rows of ``docs`` that the ensemble predicts label 1 for, all columns kept.
+
+    Null texts count as empty; repeated rows stay or go together; null ids are as any others; an empty
+    table stays empty.
+    """
     used = {name for rule, _ in model.rules for name, _, _ in rule.terms}
     stats = {n: c for n, c in statistics(F.col(f"`{text}`")).items() if n in used}
+    (held,) = fresh(docs, "stats")
     # Generated rows are a barrier: the optimiser would else repeat each statistic wherever a rule names it.
-    nested = docs.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in stats.items()], F.lit(0).alias("__none")))).alias("__stats"))
-    inside = RuleEnsemble(model.bias, [(Rule(tuple((f"__stats.{n}", a, t) for n, a, t in r.terms)), w) for r, w in model.rules])
-    return nested.where(inside.score() >= 0.5).drop("__stats")
+    nested = docs.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in stats.items()], F.lit(0).alias("none")))).alias(held))
+    inside = RuleEnsemble(model.bias, [(Rule(tuple((f"{held}.{n}", a, t) for n, a, t in r.terms)), w) for r, w in model.rules])
+    return nested.where(inside.score() >= 0.5).drop(held)
