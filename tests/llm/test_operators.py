@@ -615,10 +615,40 @@ def test_license_scan(spark, odd, none):
     assert license_scan.collision_probability(0.5) > 1 - 1e-7
     rows = [(i, " ".join(prose(3, 50)) + f"\n{t}\n" + " ".join(prose(4, 30))) for i, t in enumerate(license_scan.TEMPLATES.values())]
     rows += [(100, license_scan.TEMPLATES["ISC"].replace("purpose", "reason", 1)), (101, "the MIT License is released under")]
-    got = by_id(license_scan.scan(odd_documents(spark, rows)).collect())
+    docs = odd_documents(spark, rows)
+    got = by_id(license_scan.scan(docs).collect())
     for i, name in enumerate(license_scan.TEMPLATES):
         assert {m["license"]: m["containment"] for m in got[i]["matches"]}[name] == 1.0
     assert [m["license"] for m in got[100]["matches"]] == ["ISC"] and got[101]["matches"] == []
+    named = by_id(license_scan.report(license_scan.scan(docs)).collect())
+    order = list(license_scan.TEMPLATES)
+    assert named[order.index("GPL-3.0-header")]["licenses"] == "GPL-3.0-header" and named[order.index("BSD-3-Clause-text")]["licenses"] == "BSD-3-Clause-text"
+    assert named[order.index("MIT-text")]["licenses"] == "MIT-grant,MIT-text" and named[order.index("BSD-2-Clause-text")]["licenses"] == "BSD-2-Clause-text"
     assert license_scan.scan(odd).where("size(matches) > 0").count() == 0 and license_scan.scan(none).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(odd, {"short": "two words"})
+
+
+def test_license_scan_finds_altered_notices(spark):
+    """Recall over copies of which 0.8 to 1.0 of the shingles are left, by the plain definition."""
+    rng, rows, want = random.Random(9), [], {}
+    for name, t in license_scan.TEMPLATES.items():
+        for _ in range(6):
+            w = t.split()
+            for _ in range(rng.randint(0, max(0, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(9)}"
+            rows.append((len(rows), " ".join([*prose(len(rows), rng.randrange(200)), *w, *prose(len(rows) + 1, rng.randrange(200))])))
+    for i, text in rows:
+        w = license_scan.template_words(text)
+        want[i] = set()
+        for name, t in license_scan.TEMPLATES.items():
+            p = license_scan.template_words(t)
+            shingles = {tuple(p[k : k + 5]) for k in range(len(p) - 4)}
+            step = license_scan.stride(len(p))
+            width = len(p) - 4 + step
+            s = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+            if any(len(shingles & set(s[a : a + width])) >= 0.8 * len(shingles) for a in range(0, len(s), step)):
+                want[i].add(name)
+    got = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in license_scan.scan(odd_documents(spark, rows)).collect()}
+    total, found = sum(map(len, want.values())), sum(len(want[i] & got[i]) for i in want)
+    assert total > 150 and found == total and all(got[i] <= want[i] for i in want)
