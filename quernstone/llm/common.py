@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The surrogate key of the registered queries; a deployment passes a secret of its own.
+#: The surrogate key of the registered queries on synthetic tables. It is public, so anybody can undo its
+#: surrogates: a deployment sets KEY_SETTING to a secret of its own.
 KEY = b"registered-query-key"
+KEY_SETTING = "spark.quernstone.surrogate.key"
 _OWN: dict[str, str] = {}
 
 
@@ -22,6 +25,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret of KEY_SETTING; the public key, with a warning, where that is unset. An empty one raises."""
+    secret = spark.conf.get(KEY_SETTING, None)
+    if secret is None:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates under the public key can be undone", stacklevel=2)
+        return KEY
+    if not secret:
+        raise ValueError(f"{KEY_SETTING} is empty")
+    return secret.encode()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from quernstone.llm import decontamination, license_scan, media, ngram_join, oracles, packing, pii, quality, sharding, token_counts, warc
-from quernstone.llm.common import KEY, tokenizer_path
+from quernstone.llm.common import surrogate_key, tokenizer_path
 from quernstone.session import ship_package
 
 QUERIES: dict = {}
@@ -78,9 +78,9 @@ def op1_license_scan(spark, table) -> DataFrame:
 @query
 def op8_pii_surrogates(spark, table) -> DataFrame:
     """Every document with its personal data replaced; surrogates are checked over all documents first."""
-    docs = table("documents")
-    pii.check_collisions(docs, KEY)
-    return pii.replace_entities(docs, KEY)
+    docs, key = table("documents"), surrogate_key(spark)
+    pii.check_collisions(docs, key)
+    return pii.replace_entities(docs, key)
 
 
 @query
