@@ -155,3 +155,59 @@ def even_index(n: Column, k: int) -> Column:
     spaced = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 1) / F.lit(float(k - 1))).cast("int"))
     short = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.least(i, n - 1).cast("int"))
     return F.when(n >= k, spaced).otherwise(short)
+
+
+def first_of(*columns: Column) -> Column:
+    """The first of several numbers that is there, as a double: spacing between slices, else their thickness."""
+    return F.coalesce(*[c.cast("double") for c in columns])
+
+
+def six_digits(x: Column) -> Column:
+    """A double with six significant digits, as the format %g writes it; null stays null."""
+    plain = F.format_string("%.5e", x.cast("double"))
+    exponent = F.when(x == 0, 0).otherwise(F.regexp_extract(plain, "e([+-][0-9]+)$", 1).cast("int"))
+    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(plain, "e", 1), "0+$", ""), "[.]$", "")
+    power = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    fixed = lambda n: F.format_string(f"%.{n}f", x.cast("double"))
+    places = F.greatest(F.lit(0), 5 - exponent)
+    decimal = F.element_at(F.array(*[fixed(n) for n in range(10)]), places.cast("int") + 1)
+    tidy = F.when(F.contains(decimal, F.lit(".")), F.regexp_replace(F.regexp_replace(decimal, "0+$", ""), "[.]$", "")).otherwise(decimal)
+    return F.when(x.isNotNull(), F.when(x == 0, "0").when((exponent < -4) | (exponent >= 6), power).otherwise(tidy))
+
+
+def six_numbers(values: Column, most: int = 6) -> Column:
+    """The first numbers of an array with six significant digits, comma-joined; null if there are fewer."""
+    return F.when(F.size(values) >= most, F.array_join(F.transform(F.slice(values, 1, most), six_digits), ","))
+
+
+def multiclass_focal_loss(logits: Column, label: Column, gamma: float = 2.0, alpha: Sequence[float] | None = None) -> Column:
+    """-alpha_t * (1 - p_t)^gamma * ln(p_t) with p_t the softmax at the label."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    logp = F.get(logits, label) - top - F.ln(total)
+    p = F.least(F.greatest(F.exp(logp), F.lit(1e-8)), F.lit(1.0))
+    weight = F.lit(1.0) if alpha is None else F.get(F.array(*[F.lit(float(a)) for a in alpha]), label)
+    return -weight * F.pow(1 - p, F.lit(float(gamma))) * logp
+
+
+def rescaled(pixels: Column, slope: Column, intercept: Column) -> Column:
+    """pixels * slope + intercept; a slope that is null or 0 counts as 1, a null intercept as 0."""
+    return pixels * F.coalesce(F.nullif(slope.cast("double"), F.lit(0.0)), F.lit(1.0)) + F.coalesce(intercept.cast("double"), F.lit(0.0))
+
+
+def window_bounds(centre: Column, width: Column, default: tuple[float, float] = (500.0, 3000.0)) -> tuple[Column, Column]:
+    """Lower and upper bound of a window, the default one where centre or width is null or the width is not positive."""
+    given = centre.isNotNull() & (F.coalesce(width, F.lit(0)) > 0)
+    c, w = F.when(given, centre).otherwise(F.lit(default[0])), F.when(given, width).otherwise(F.lit(default[1]))
+    return c - w / 2, c + w / 2
+
+
+def file_number(path: Column) -> Column:
+    """The last number between dots of a file's name without its extension; 0 if it is none."""
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    return F.coalesce(F.substring_index(stem, ".", -1).try_cast("long"), F.lit(0).cast("long"))
+
+
+def non_empty(text: Column) -> Column:
+    """Whether a text has more than white space."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+|\\s+$", "")) > 0

@@ -9,84 +9,151 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalar import safe_div
+from quernstone.scratch import written
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = 32, totals: bool = False) -> DataFrame:
     """``df`` with cum_<c>: the sum of c over rows of the group with an equal or larger ``order``.
 
     Two levels, so no window holds all rows: rows fall into buckets between approximate quantiles,
     windows run inside a bucket, and sums of whole buckets are added. (group, order) must be unique.
+    With ``totals`` all_<c> is the sum over the group.
     """
     cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
     tagged = df.withColumn("__cuts", cuts.scalar()).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
     inner = Window.partitionBy(*by, "__b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    outer = whole.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     total = tagged.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
-    before = total.select(*by, "__b", *[F.coalesce(F.sum(f"__s_{c}").over(outer), F.lit(0)).alias(f"__before_{c}") for c in sums])
+    before = total.select(F.col("__b").alias("__b2"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *[F.coalesce(F.sum(f"__s_{c}").over(outer), F.lit(0)).alias(f"__before_{c}") for c in sums], *([F.sum(f"__s_{c}").over(whole).alias(f"all_{c}") for c in sums] if totals else []))
     local = tagged.withColumns({f"cum_{c}": F.sum(c).over(inner) for c in sums})
-    joined = local.join(F.broadcast(before), [*by, "__b"])
-    return joined.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__before_{c}") for c in sums}).drop("__b", *[f"__before_{c}" for c in sums])
+    on = [F.col("__b").eqNullSafe(F.col("__b2")), *[F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]]
+    joined = local.join(before, on)
+    return joined.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__before_{c}") for c in sums}).drop("__b", "__b2", *[f"__by{i}" for i in range(len(by))], *[f"__before_{c}" for c in sums])
 
 
 def score_frame(df: DataFrame, y: Column, score: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, score, n, pos, cum_n, cum_pos) over distinct scores: all that the ranking metrics need."""
+    """(by, score, n, pos, cum_n, cum_pos, all_n, all_pos) over distinct scores: all that the ranking metrics
+    need. The counts are written once, as their quantiles and sums are read apart."""
     counts = df.select(*by, y.cast("int").alias("y"), score.cast("double").alias("score")).where("y IS NOT NULL AND score IS NOT NULL")
-    counts = counts.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    return running_totals(counts, "score", ["n", "pos"], by)
+    counts = written(counts.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "scores")
+    return running_totals(counts, "score", ["n", "pos"], by, totals=True)
+
+
+def _below() -> Column:
+    """Negatives at or above a row's score."""
+    return F.col("cum_n") - F.col("cum_pos")
+
+
+def _negatives() -> Column:
+    return F.col("all_n") - F.col("all_pos")
+
+
+def _auroc() -> Column:
+    """Aggregate over a frame: the area under the ROC curve by average ranks; null if a class is missing."""
+    wins = F.sum(F.col("pos") * ((F.col("n") - F.col("pos")) / 2.0) - F.col("pos") * _below())
+    p, q = F.max("all_pos"), F.max(_negatives())
+    return F.when((p > 0) & (q > 0), (wins + p * q) / (p * q))
+
+
+def _stepped_precision() -> Column:
+    """Aggregate over a frame: average precision with equal scores as one step."""
+    p = F.max("all_pos")
+    return F.when(p > 0, F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / p)
 
 
 def auroc(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve by average ranks; null if a class is missing."""
-    neg = F.col("n") - F.col("pos")
-    below = F.col("cum_n") - F.col("cum_pos")  # negatives at or above this score
-    wins = F.sum(F.col("pos") * (neg / 2.0) - F.col("pos") * below)
-    p, q = F.sum("pos"), F.sum(neg)
-    return frame.groupBy(*by).agg(F.when((p > 0) & (q > 0), (wins + p * q) / (p * q)).alias("auroc"), p.alias("pos"), q.alias("neg"))
+    """Area under the ROC curve by average ranks, and the size of both classes; null if a class is missing."""
+    return frame.groupBy(*by).agg(_auroc().alias("auroc"), F.max("all_pos").alias("pos"), F.max(_negatives()).alias("neg"))
 
 
-def average_precision(df: DataFrame, y: Column, score: Column, order: Column) -> DataFrame:
-    """Mean over the positives of the precision at their place, ties in a stated order.
+def average_precision(df: DataFrame, y: Column, score: Column, order: Column, by: Sequence[str] = (), parts: int = 32) -> DataFrame:
+    """Mean over the positives of the precision at their place, ties by ``order``, a number.
 
-    Ranks are those of distinct (score, order), found with two-level running totals.
+    Ranks are two-level twice: sums over larger scores, and within a score sums over parts of the order
+    between approximate quantiles, so that a score of all rows is dealt to many tasks.
     """
-    rows = df.select(y.cast("int").alias("y"), F.struct(score.cast("double").alias("score"), (-order).alias("o")).alias("key"))
-    numbered = rows.where("key.score IS NOT NULL").select("y", "key", F.lit(1).alias("one"), F.col("key.score").alias("score"))
-    by_score = numbered.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    before = running_totals(by_score, "score", ["n", "pos"]).select(F.col("score").alias("s"), (F.col("cum_n") - F.col("n")).alias("n0"), (F.col("cum_pos") - F.col("pos")).alias("p0"))
-    w = Window.partitionBy("score").orderBy(F.desc("key.o")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = numbered.withColumn("k", F.row_number().over(Window.partitionBy("score").orderBy(F.desc("key.o")))).withColumn("tp", F.sum("y").over(w))
-    joined = placed.where("y = 1").join(before, F.col("score") == F.col("s"))
-    return joined.agg(F.avg((F.col("p0") + F.col("tp")) / (F.col("n0") + F.col("k"))).alias("average_precision"), F.count(F.lit(1)).alias("pos"))
+    rows = written(df.select(*by, y.cast("int").alias("y"), score.cast("double").alias("score"), order.cast("double").alias("o")).where("score IS NOT NULL"), "ranked")
+    cuts = rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 1000).alias("cuts"))
+    tagged = rows.withColumn("cuts", cuts.scalar()).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("o")))).drop("cuts")
+    cells = written(tagged.groupBy(*by, "score", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "cells")
+    scores = running_totals(cells.groupBy(*by, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), "score", ["n", "pos"], by)
+    ahead = Window.partitionBy(*by, "score").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cells.select(*by, "score", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n1"), F.coalesce(F.sum("pos").over(ahead), F.lit(0)).alias("p1"))
+    before = inside.join(scores.select(*by, "score", (F.col("cum_n") - F.col("n")).alias("n0"), (F.col("cum_pos") - F.col("pos")).alias("p0")), [*by, "score"])
+    before = before.select(*by, F.col("score").alias("s2"), F.col("part").alias("part2"), (F.col("n0") + F.col("n1")).alias("n0"), (F.col("p0") + F.col("p1")).alias("p0"))
+    w = Window.partitionBy(*by, "score", "part").orderBy("o")
+    placed = tagged.withColumn("k", F.row_number().over(w)).withColumn("tp", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("y = 1")
+    joined = placed.join(before.withColumnsRenamed({c: f"__{c}" for c in by}), [F.col("score") == F.col("s2"), F.col("part") == F.col("part2"), *[F.col(c) == F.col(f"__{c}") for c in by]])
+    return joined.groupBy(*by).agg(F.avg((F.col("p0") + F.col("tp")) / (F.col("n0") + F.col("k"))).alias("average_precision"), F.count(F.lit(1)).alias("pos"))
+
+
+def _ratios(threshold: float) -> list[Column]:
+    """Threshold and ratios from the columns tp, fp, tn and fn."""
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    precision, recall = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
+    return [F.lit(threshold).alias("threshold"), safe_div(tp + tn, tp + fp + tn + fn).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), safe_div(tn, tn + fp).alias("specificity"), safe_div(2 * precision * recall, precision + recall).alias("f1")]
 
 
 def confusion_at(df: DataFrame, y: Column, score: Column, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """tp, fp, tn, fn with ``score >= threshold`` as positive, and the ratios."""
     hit, pos = score >= threshold, y == 1
     out = df.groupBy(*by).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & ~pos).alias("tn"), F.count_if(~hit & pos).alias("fn"))
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    precision, recall = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
-    return out.select(*by, "tp", "fp", "tn", "fn", F.lit(threshold).alias("threshold"), safe_div(tp + tn, tp + fp + tn + fn).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), safe_div(tn, tn + fp).alias("specificity"), safe_div(2 * precision * recall, precision + recall).alias("f1"))
+    return out.select(*by, "tp", "fp", "tn", "fn", *_ratios(threshold))
+
+
+def _at_least(t: float) -> tuple[Column, Column]:
+    """Aggregates over a frame: positives and negatives at or above a score."""
+    hit = F.col("score") >= t
+    return F.coalesce(F.max(F.when(hit, F.col("cum_pos"))), F.lit(0)), F.coalesce(F.max(F.when(hit, _below())), F.lit(0))
+
+
+def _criterion(name: str, tp: Column, fp: Column, p: Column, n: Column) -> Column:
+    if name == "f1":
+        return safe_div(2.0 * tp, tp + fp + p)
+    if name == "youden":
+        return safe_div(tp, p) - safe_div(fp, n - p)
+    return safe_div(tp + (n - p - fp), n)
+
+
+def _best(name: str) -> Column:
+    """Aggregate over a frame: struct (against, threshold) of the best threshold, -value first."""
+    row = lambda v, t: F.struct((-F.round(v, 12)).alias("against"), t.cast("double").alias("threshold"))
+    p, n = F.coalesce(F.max("all_pos"), F.lit(0)), F.coalesce(F.max("all_n"), F.lit(0))
+    inside = F.min(row(_criterion(name, F.col("cum_pos"), _below(), F.col("all_pos"), F.col("all_n")), F.col("score")))
+    return F.least(inside, *[row(_criterion(name, *_at_least(t), p, n), F.lit(t)) for t in (0.0, 1.0)])
 
 
 def best_threshold(frame: DataFrame, criterion: str = "f1") -> DataFrame:
     """The smallest threshold with the best f1, youden or accuracy among 0, all scores and 1.
 
-    ``score >= threshold`` is positive. One pass over distinct scores; scores lie in any range, but 0
+    ``score >= threshold`` is positive. One aggregate over distinct scores; scores lie in any range, but 0
     and 1 are candidates as well.
     """
-    totals = frame.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"))
-    points = frame.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), (F.col("cum_n") - F.col("cum_pos")).alias("fp"))
-    for edge in (0.0, 1.0):
-        at = frame.where(F.col("score") >= edge).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.col("n") - F.col("pos")), F.lit(0)).alias("fp"))
-        points = points.unionByName(at.select(F.lit(edge).alias("threshold"), "tp", "fp"))
-    points = points.withColumn("N", totals.select("n").scalar()).withColumn("P", totals.select("pos").scalar())
-    tp, fp, p, n = F.col("tp"), F.col("fp"), F.col("P"), F.col("N")
-    value = {
-        "f1": safe_div(2.0 * tp, tp + fp + p),
-        "youden": safe_div(tp, p) - safe_div(fp, n - p),
-        "accuracy": safe_div(tp + (n - p - fp), n),
-    }[criterion]
-    return points.withColumn("value", F.round(value, 12)).agg(F.min_by(F.struct("threshold", "value"), F.struct(-F.col("value"), F.col("threshold"))).alias("b")).select(F.lit(criterion).alias("criterion"), "b.threshold", "b.value")
+    return best_thresholds(frame, [criterion])
+
+
+def best_thresholds(frame: DataFrame, criteria: Sequence[str] = ("f1", "youden", "accuracy")) -> DataFrame:
+    """(criterion, threshold, value) of several criteria, in one aggregate."""
+    if unknown := set(criteria) - {"f1", "youden", "accuracy"}:
+        raise ValueError(f"no criteria: {sorted(unknown)}")
+    row = frame.agg(*[_best(c).alias(c) for c in criteria])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c)["threshold"].alias("threshold"), (-F.col(c)["against"]).alias("value")) for c in criteria])))
+
+
+def _sensitivity(specificity: float) -> tuple[Column, Column]:
+    """Aggregates over a frame: true and false positives where only scores above the k-th largest negative count.
+
+    A score is above it if fewer than k negatives are at or above the score.
+    """
+    q = _negatives()
+    k = F.floor((1 - specificity) * q + 1e-9)
+    over = _below() < F.greatest(k, F.lit(1))
+    lowest = F.max(F.when(F.col("n") > F.col("pos"), F.col("cum_pos")))  # positives down to the lowest negative
+    given_up = F.max(k >= q)
+    tp = F.when(given_up, lowest).otherwise(F.coalesce(F.max(F.when(over, F.col("cum_pos"))), F.lit(0)))
+    fp = F.when(given_up, F.max(q)).otherwise(F.coalesce(F.max(F.when(over, _below())), F.lit(0)))
+    return tp, fp
 
 
 def sensitivity_at(frame: DataFrame, specificity: float) -> DataFrame:
@@ -95,25 +162,65 @@ def sensitivity_at(frame: DataFrame, specificity: float) -> DataFrame:
     k = max(1, floor((1 - specificity) * negatives + 1e-9)); with k = negatives and more, everything from
     the lowest negative up is positive. The achieved specificity stands beside; both null without a class.
     """
-    t = frame.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.min(F.when(F.col("n") > F.col("pos"), F.col("score"))).alias("lowest"))
-    k = F.floor((1 - specificity) * F.col("q") + 1e-9)
-    rows = frame.withColumn("q", t.select("q").scalar()).withColumn("p", t.select("p").scalar()).withColumn("lowest", t.select("lowest").scalar()).withColumn("k", F.greatest(k, F.lit(1)))
-    below = F.col("cum_n") - F.col("cum_pos")
-    kth = rows.where(below >= F.col("k")).agg(F.max("score").alias("kth"))
-    hit = F.when(F.col("k") >= F.col("q"), F.col("score") >= F.col("lowest")).otherwise(F.col("score") > F.col("kth"))
-    out = rows.withColumn("kth", kth.scalar()).agg(F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"), F.max("p").alias("p"), F.max("q").alias("q"))
-    both = (F.col("p") > 0) & (F.col("q") > 0)
-    return out.select(F.lit(specificity).alias("target"), F.when(both, F.col("tp") / F.col("p")).alias("sensitivity"), F.when(both, 1 - F.col("fp") / F.col("q")).alias("specificity"))
+    tp, fp = _sensitivity(specificity)
+    p, q = F.max("all_pos"), F.max(_negatives())
+    both = (p > 0) & (q > 0)
+    return frame.agg(F.lit(specificity).alias("target"), F.when(both, tp / p).alias("sensitivity"), F.when(both, 1 - fp / q).alias("specificity"))
 
 
 def binary_metrics(df: DataFrame, y: Column, score: Column, order: Column, threshold: float = 0.5, specificity: float = 0.95) -> DataFrame:
-    """All binary metrics in one row."""
+    """All binary metrics in one row: one aggregate over distinct scores, and the ranks of average precision."""
     frame = score_frame(df, y, score)
-    parts = [auroc(frame), average_precision(df, y, score, order).drop("pos"), confusion_at(df, y, score, threshold), best_threshold(frame, "f1").select(F.col("threshold").alias("best_f1_threshold"), F.col("value").alias("best_f1")), sensitivity_at(frame, specificity).select(F.col("sensitivity").alias("sens_at_spec"))]
-    out = parts[0].withColumn("__one", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p.withColumn("__one", F.lit(1))), "__one")
-    return out.drop("__one")
+    tp, fp = _at_least(threshold)
+    hits, _ = _sensitivity(specificity)
+    p, q = F.max("all_pos"), F.max(_negatives())
+    row = frame.agg(_auroc().alias("auroc"), p.alias("pos"), q.alias("neg"), tp.alias("tp"), fp.alias("fp"), (q - fp).alias("tn"), (p - tp).alias("fn"), _best("f1").alias("best"), F.when((p > 0) & (q > 0), hits / p).alias("sens_at_spec"))
+    precise = average_precision(df, y, score, order).select("average_precision")
+    out = row.withColumn("average_precision", precise.scalar())
+    return out.select("auroc", "pos", "neg", "average_precision", "tp", "fp", "tn", "fn", *_ratios(threshold), F.col("best.threshold").alias("best_f1_threshold"), (-F.col("best.against")).alias("best_f1"), "sens_at_spec")
+
+
+def ovr_report(df: DataFrame, y: Column, probabilities: Column, classes: int, order: Column) -> DataFrame:
+    """(class_id, support, auroc_ovr, auprc_ovr) of one class against the rest; null without both classes."""
+    long = df.select(y.cast("int").alias("__y"), order.cast("double").alias("__o"), F.posexplode(F.slice(probabilities, 1, classes)).alias("class_id", "__p"))
+    truth, by = F.col("__y") == F.col("class_id"), ["class_id"]
+    ranks = auroc(score_frame(long, truth, F.col("__p"), by), by).select("class_id", F.col("pos").alias("support"), F.col("auroc").alias("auroc_ovr"))
+    precise = average_precision(long, truth, F.col("__p"), F.col("__o"), by).select("class_id", F.col("average_precision").alias("auprc_ovr"))
+    return ranks.join(precise, "class_id", "left")
+
+
+def ovr_macro(report: DataFrame) -> DataFrame:
+    """Means over the classes whose value is defined."""
+    return report.agg(F.avg("auroc_ovr").alias("macro_auroc_ovr"), F.avg("auprc_ovr").alias("macro_auprc_ovr"))
+
+
+def merge_classes(report: DataFrame, ovr: DataFrame) -> DataFrame:
+    """A class report with the one-against-rest metrics of its classes beside."""
+    return report.join(ovr.drop("support"), "class_id", "left")
+
+
+def tail_classes(report: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """The listed classes of a report; ids that it does not have are passed over."""
+    return report.where(F.col("class_id").isin(*ids))
+
+
+def masked_accuracy(df: DataFrame, y: Column, p: Column, mask: Column, part: Column, positive: int = 1) -> DataFrame:
+    """(part, n, accuracy, positive_rate) overall (part null) and by part, over rows of the mask.
+
+    positive_rate is the share of rows predicted ``positive``.
+    """
+    rows = df.where(mask).select(part.alias("part"), (y == p).alias("hit"), (p == positive).alias("positive"))
+    return rows.rollup("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("int")).alias("accuracy"), F.avg(F.col("positive").cast("int")).alias("positive_rate"))
+
+
+def masked_loss(df: DataFrame, loss: Column, mask: Column, part: Column) -> DataFrame:
+    """Mean over the parts of their mean loss under the mask; parts without rows do not count."""
+    return df.where(mask).groupBy(part.alias("part")).agg(F.avg(loss).alias("loss")).agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("parts"))
+
+
+def epoch_means(df: DataFrame, by: Sequence[str], loss: str, accuracy: str, n: str) -> DataFrame:
+    """Loss as the plain mean over batches, accuracy weighted by their rows."""
+    return df.groupBy(*by).agg(F.avg(loss).alias("loss"), safe_div(F.sum(F.col(accuracy) * F.col(n)), F.sum(n)).alias("accuracy"))
 
 
 def confusion(df: DataFrame, y: Column, p: Column) -> DataFrame:
@@ -139,24 +246,10 @@ def overall_report(report: DataFrame) -> DataFrame:
     return report.agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), safe_div(F.sum(F.col("f1") * s), F.sum(s)).alias("weighted_f1"), safe_div(F.sum(F.col("recall") * s), F.sum(s)).alias("accuracy"))
 
 
-def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, replicates: int, seed: str = "0", level: float = 0.95, multiplicity: bool = True) -> DataFrame:
-    """Mean and percentile interval of the AUROC over bootstrap replicates of whole groups.
-
-    A group's weight in a replicate is Poisson(1), cut at 5, read off md5(seed:replicate:group), or with
-    ``multiplicity`` off whether that weight is positive. Rows meet at (replicate, score) before any
-    ranking, so their number is bounded by replicates times distinct scores of groups.
-    """
-    base = df.select(group.cast("string").alias("g"), y.cast("int").alias("y"), score.cast("double").alias("score")).groupBy("g", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    rep = base.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("r"), F.col("g"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
-    if not multiplicity:
-        weight = F.least(weight, F.lit(1))
-    drawn = rep.withColumn("w", weight).where("w > 0").groupBy("r", "score").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("pos") * F.col("w")).alias("pos"))
-    w = Window.partitionBy("r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    frame = drawn.withColumns({"cum_n": F.sum("n").over(w), "cum_pos": F.sum("pos").over(w)})
-    a = (1 - level) / 2
-    return auroc(frame, ["r"]).agg(F.avg("auroc").alias("mean"), F.percentile("auroc", F.lit(a)).alias("low"), F.percentile("auroc", F.lit(1 - a)).alias("high"), F.count("auroc").alias("replicates"))
+def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, replicates: int = 1000, seed: str = "0", level: float = 0.95, multiplicity: bool = True) -> DataFrame:
+    """Mean and percentile interval of the AUROC over bootstrap replicates of whole groups."""
+    out = bootstrap_metrics(df, y, score, group, replicates, seed, level=level, multiplicity=multiplicity)
+    return out.where("metric = 'auroc'").select("mean", "low", "high", "replicates")
 
 
 BOOTSTRAPPED = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1", "sensitivity_at_spec", "specificity_at_spec")
@@ -164,15 +257,20 @@ BOOTSTRAPPED = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1"
 CHUNK, TASKS = 25, 64
 
 
-def poisson(u: Column) -> Column:
-    """The Poisson(1) count at ``u``, a multiple of 2^-32 below 1, with its whole tail."""
+def poisson_steps() -> list[float]:
+    """Where the Poisson(1) count goes up by one, until less than 2^-32 is left."""
     p = total = math.exp(-1)
-    steps, k = [], 0
+    steps = []
     while total < 1 - 2.0**-32:
         steps.append(total)
-        k += 1
-        p /= k
+        p /= len(steps)
         total += p
+    return steps
+
+
+def poisson(u: Column) -> Column:
+    """The Poisson(1) count at ``u``, a multiple of 2^-32 below 1, with its whole tail."""
+    steps = poisson_steps()
     out = F.when(u < steps[0], 0)
     for i, t in enumerate(steps[1:], 1):
         out = out.when(u < t, i)
@@ -182,7 +280,8 @@ def poisson(u: Column) -> Column:
 def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, replicates: int = 1000, seed: str = "0", threshold: float = 0.5, specificity: float = 0.95, level: float = 0.95, multiplicity: bool = True) -> DataFrame:
     """(metric, mean, low, high, replicates) of the eight binary metrics over replicates of whole groups.
 
-    Weights are those of ``bootstrap_auroc`` with the tail past 5, drawn once a replicate and group.
+    A group's weight in a replicate is Poisson(1), read off md5(seed:replicate:group), or with
+    ``multiplicity`` off whether that weight is positive.
     Rows meet at (replicate, score) before any ranking, so equal scores are one step of the average
     precision. The threshold at a specificity is as in ``sensitivity_at``, but a single negative is never
     given up. A replicate without positives has no auroc and auprc, one without negatives no auroc and no

@@ -15,13 +15,13 @@ def best_epoch(df: DataFrame, run: str, epoch: str, metric: str, larger: bool =
     return df.where(F.col(metric).isNotNull()).groupBy(run).agg(best.alias("b"), F.count(F.lit(1)).alias("epochs")).select(run, "epochs", "b.*")
 
 
-def run_status(runs: DataFrame, run: str, lines: str, broken: str, epochs: str, planned: str, checkpoint: str) -> DataFrame:
-    """no_log, parse_error, empty, no_checkpoint, incomplete or ok."""
-    status = (
-        F.when(F.col(lines).isNull(), "no_log").when(F.col(broken) > 0, "parse_error").when(F.col(lines) == 0, "empty")
-        .when(~F.col(checkpoint), "no_checkpoint").when(F.col(epochs) < F.col(planned), "incomplete").otherwise("ok")
+def run_status(lines: Column, broken: Column, last_checkpoint: Column, checkpoints: Column) -> Column:
+    """no_metrics without a log, metrics_parse_error if any line is broken, empty_metrics without lines; else ok,
+    unless there are checkpoints but not the last one: incomplete."""
+    return (
+        F.when(lines.isNull(), "no_metrics").when(broken > 0, "metrics_parse_error").when(lines == 0, "empty_metrics")
+        .when(F.coalesce(last_checkpoint, F.lit(False)), "ok").when(F.coalesce(checkpoints, F.lit(False)), "incomplete").otherwise("ok")
     )
-    return runs.select(run, status.alias("status"))
 
 
 def leaderboard(df: DataFrame, by: Sequence[str], ok: Column, metric: str, name: str, k: int) -> DataFrame:
@@ -85,7 +85,7 @@ def fill_linear(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
 
 
 def median_spacing(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Median of the positive steps between neighbours, and their count."""
+    """Median of the positive steps between neighbours, and their count; a group is one stack of slices."""
     step = F.col(order) - F.lag(order).over(Window.partitionBy(group).orderBy(order))
     return df.withColumn("__d", step.cast("double")).where("__d > 0").groupBy(group).agg(F.median("__d").alias("spacing"), F.count(F.lit(1)).alias("steps"))
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.metrics import running_totals
+from quernstone.operators.relational import complement, drop_units, mask_codes
+from quernstone.scratch import written
+
 
 def hashed(key: Column, seed: str = "0") -> Column:
     """The order of a seeded shuffle: md5 of seed and key."""
@@ -15,36 +18,52 @@ def hashed(key: Column, seed: str = "0") -> Column:
 
 
 def place_in_stratum(df: DataFrame, key: str, stratum: Column, seed: str) -> DataFrame:
-    """Adds n and rank (from 1) of each row within its stratum, in hashed order.
+    """Adds __n and __rank (from 1) of each row within its stratum, in hashed order; null is a stratum.
 
     Ranks come from two levels: counts of 256 hash buckets a stratum, and a window inside a bucket.
     """
     tagged = df.withColumn("__s", stratum).withColumn("__h", hashed(F.col(key), seed)).withColumn("__b", F.substring("__h", 1, 2))
     counts = tagged.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy("__s").orderBy("__b")
-    before = counts.select("__s", "__b", (F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy("__s")).alias("n"))
+    before = counts.select("__s", "__b", (F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy("__s")).alias("__n"))
     inner = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", key))
-    return tagged.withColumn("__r", inner).join(before.withColumnsRenamed({"__s": "__s2", "__b": "__b2"}), F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2"))).withColumn("rank", F.col("__r") + F.col("__before")).drop("__s", "__h", "__b", "__c", "__s2", "__b2", "__r", "__before")
+    joined = tagged.withColumn("__r", inner).join(before.withColumnsRenamed({"__s": "__s2", "__b": "__b2"}), F.col("__s").eqNullSafe(F.col("__s2")) & F.col("__b").eqNullSafe(F.col("__b2")))
+    return joined.withColumn("__rank", F.col("__r") + F.col("__before")).drop("__s", "__h", "__b", "__c", "__s2", "__b2", "__r", "__before")
+
+
+def usable_stratum(df: DataFrame, keys: Sequence[Column], holdout: float) -> Column:
+    """The first of several keys that can stratify all rows, as text, else one stratum.
+
+    A key can if each of its values has two rows and both sides of the split have room for all values; null
+    counts as a value.
+    """
+    tests = []
+    for i, key in enumerate(keys):
+        sizes = df.groupBy(key.cast("string").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+        n, held = F.sum("c"), F.ceil(F.sum("c") * F.lit(holdout))
+        fits = (F.min("c") >= 2) & (held >= F.count(F.lit(1))) & (n - held >= F.count(F.lit(1)))
+        tests.append((sizes.agg(F.coalesce(fits, F.lit(False)).alias(f"k{i}")).scalar(), key.cast("string")))
+    out = None
+    for fits, key in tests:
+        out = F.when(fits, F.coalesce(key, F.lit("~"))) if out is None else out.when(fits, F.coalesce(key, F.lit("~")))
+    return out.otherwise(F.lit("")) if out is not None else F.lit("")
 
 
 def stratified_split(df: DataFrame, key: str, full: Column, shares: Sequence[tuple[str, float]], fallback: Column | None = None, seed: str = "0") -> DataFrame:
     """Adds ``split``; each stratum is cut at the rounded cumulative shares, the last split takes the rest.
 
-    Rows of a stratum with fewer than two fall back to the second key, if there is one.
+    With a ``fallback`` the strata are those of the first key of (full, fallback, none) that can stratify all
+    rows. Null is a stratum; no row is lost.
     """
-    stratum = full.cast("string")
-    if fallback is not None:
-        sizes = df.groupBy(stratum.alias("__full")).agg(F.count(F.lit(1)).alias("__size"))
-        df = df.withColumn("__full", stratum).join(F.broadcast(sizes), "__full")
-        stratum = F.when(F.col("__size") >= 2, F.col("__full")).otherwise(F.concat(F.lit("~"), fallback.cast("string")))
+    stratum = full.cast("string") if fallback is None else usable_stratum(df, [full, fallback], sum(x for _, x in shares[1:]))
     placed = place_in_stratum(df, key, stratum, seed)
     split, total = None, 0.0
     for name, share in shares[:-1]:
         total += share
-        hit = F.col("rank") <= F.bround(F.col("n") * F.lit(total))
+        hit = F.col("__rank") <= F.bround(F.col("__n") * F.lit(total))
         split = F.when(hit, name) if split is None else split.when(hit, name)
     last = shares[-1][0]
-    return placed.withColumn("split", split.otherwise(last) if split is not None else F.lit(last)).drop("n", "rank", "__full", "__size")
+    return placed.withColumn("split", split.otherwise(last) if split is not None else F.lit(last)).drop("__n", "__rank")
 
 
 def owner_split(df: DataFrame, owner: str, label: Column, shares: Sequence[tuple[str, float]], seed: str = "0") -> DataFrame:
@@ -57,7 +76,7 @@ def owner_split(df: DataFrame, owner: str, label: Column, shares: Sequence[tuple
 def downsample(df: DataFrame, key: str, label: str, ratio: float, least: int = 1, seed: str = "0") -> DataFrame:
     """Of each class the first clamp(round half even(n * ratio), least, n) rows in hashed order."""
     placed = place_in_stratum(df, key, F.col(label), seed)
-    return placed.where(F.col("rank") <= F.least(F.col("n"), F.greatest(F.lit(least), F.bround(F.col("n") * ratio)))).drop("n", "rank")
+    return placed.where(F.col("__rank") <= F.least(F.col("__n"), F.greatest(F.lit(least), F.bround(F.col("__n") * ratio)))).drop("__n", "__rank")
 
 
 def greedy_quota(rows: Iterable[tuple], quotas: dict) -> list:
@@ -133,22 +152,67 @@ def quota_select(df: DataFrame, key: str, labels: Column, ratio: float, seed: st
     kind = rows.schema["__p"].dataType.simpleString()
     wanted = df.sparkSession.createDataFrame([(list(p), k) for p, k in take.items() if k], f"__q {kind}, __k long")
     placed = place_in_stratum(rows, key, F.to_json("__p"), seed)
-    return placed.join(F.broadcast(wanted), F.col("__p") == F.col("__q")).where(F.col("rank") <= F.col("__k")).select(key)
+    return placed.join(F.broadcast(wanted), F.col("__p") == F.col("__q")).where(F.col("__rank") <= F.col("__k")).select(key)
+
 
+def uniform(seed: str, i: Column) -> Column:
+    """A number in [0, 1) for each draw, of 52 bits of md5(seed:i)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), i)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
-def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: str = "0") -> DataFrame:
-    """n draws with replacement: each row gets a Poisson-like count of hashed draws in proportion to weight.
 
-    Draw i falls at (i + u) / n of the running weight (systematic sampling), so counts differ from their
-    expectation by less than one; running weights are two-level and no draw is joined by range.
+def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: str = "0", parts: int = 64) -> DataFrame:
+    """(key, draws) of n independent draws with replacement, each row in proportion to its weight.
+
+    Rows lie one after another on a line of the summed weight, in falling order of the key, and draw i falls
+    at uniform(seed, i) of it. Running weights are two-level; rows and draws meet by order within ``parts``
+    equal lengths of the line, a row in each that it reaches into. Keys are unique numbers; weights that are
+    null, 0 or less are never drawn; without any positive weight the result is empty.
     """
-    from quernstone.operators.metrics import running_totals
+    rows = written(df.select(F.col(key).alias("__k"), F.col(weight).cast("double").alias("w")).where("w > 0"), "weights")
+    run = written(running_totals(rows, "__k", ["w"], totals=True).select("__k", (F.col("cum_w") - F.col("w")).alias("lo"), F.col("cum_w").alias("hi"), F.col("all_w").alias("total")), "running")
+    at = lambda x: F.least(F.floor(x / F.col("total") * parts), F.lit(parts - 1)).cast("int")
+    spans = run.select("__k", F.col("lo").alias("x"), F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))).alias("part"), F.lit(0).alias("kind"))
+    total = run.agg(F.max("total").alias("t"))
+    draws = df.sparkSession.range(1, n + 1).select((uniform(seed, F.col("id")) * 1.0).alias("u")).withColumn("total", total.scalar()).where("total IS NOT NULL")
+    points = draws.select(F.lit(None).cast(df.schema[key].dataType).alias("__k"), (F.col("u") * F.col("total")).alias("x"), at(F.col("u") * F.col("total")).alias("part"), F.lit(1).alias("kind"))
+    before = Window.partitionBy("part").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = spans.unionByName(points).withColumn("__at", F.last("__k", True).over(before)).where("kind = 1")
+    return met.groupBy(F.col("__at").alias(key)).agg(F.count(F.lit(1)).alias("draws"))
+
 
-    total = df.agg(F.sum(weight).alias("t"))
-    u = F.conv(F.substring(F.md5(F.lit(seed)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    run = running_totals(df.select(key, F.col(weight).cast("double").alias("w")), key, ["w"]).withColumn("t", total.scalar())
-    places = lambda x: F.ceil(x / F.col("t") * n - u)
-    return run.select(key, (places(F.col("cum_w")) - places(F.col("cum_w") - F.col("w"))).alias("draws")).where("draws > 0")
+def sub_split(df: DataFrame, key: str, labels: Column, percent: int, split: str = "split", train: str = "train", seed: str = "0") -> DataFrame:
+    """A smaller split of a whole one: training rows picked by quotas of ``percent``, all others kept."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"{percent} is not a percentage above 0")
+    picked = quota_select(df.where(F.col(split) == train), key, labels, percent / 100, seed)
+    return df.where(F.col(split) != train).unionByName(df.where(F.col(split) == train).join(picked, key, "left_semi").select(*df.columns))
+
+
+def random_rows(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
+    """n rows, the first in the order of a seeded shuffle."""
+    return df.orderBy(hashed(F.col(key), seed), key).limit(n)
+
+
+def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in a stated order."""
+    return df.orderBy(*order).limit(n)
+
+
+def code_setting(df: DataFrame, left: str, right: str, keep: Sequence[int] = (), drop_train: Sequence[int] = (), keep_mode: str = "mask_side", drop_mode: str = "drop_unit", split: str = "split") -> DataFrame:
+    """Keep only some codes in all splits, and drop others from training alone.
+
+    Modes: ``mask_side`` nulls a side's unwanted code and drops rows without any, ``drop_unit`` drops a row
+    with an unwanted code on either side. Empty lists filter nothing.
+    """
+    if unknown := {keep_mode, drop_mode} - {"mask_side", "drop_unit"}:
+        raise ValueError(f"no modes: {sorted(unknown)}")
+    if keep:
+        df = drop_units(df, left, right, complement(keep)) if keep_mode == "drop_unit" else mask_codes(df, left, right, keep=keep)
+    if drop_train:
+        train, rest = df.where(F.col(split) == "train"), df.where(~F.col(split).eqNullSafe("train"))
+        train = drop_units(train, left, right, drop_train) if drop_mode == "drop_unit" else mask_codes(train, left, right, drop=drop_train)
+        df = train.unionByName(rest)
+    return df
 
 
 def split_stats(df: DataFrame, split: str, label: str, splits: Sequence[str], labels: Sequence) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.scalar import non_empty
+
 OUTER = "^[ \\t\\n\\r\\f\\x{3000}]+|[ \\t\\n\\r\\f\\x{3000}]+$"
 
 
@@ -35,7 +37,7 @@ class Lexicon:
 
 
 def location(clause: Column, lexicon: Lexicon) -> Column:
-    """LR for both sides, L or R for one, U for none."""
+    """B for words of both sides, else LR for words of each, L or R for one, U for none."""
 
     def holds(words) -> Column:
         out = F.lit(False)
@@ -44,20 +46,37 @@ def location(clause: Column, lexicon: Lexicon) -> Column:
         return out
 
     left, right = holds(lexicon.left), holds(lexicon.right)
-    return F.when(holds(lexicon.both) | (left & right), "LR").when(left, "L").when(right, "R").otherwise("U")
+    return F.when(holds(lexicon.both), "B").when(left & right, "LR").when(left, "L").when(right, "R").otherwise("U")
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """1-based starts of all non-overlapping occurrences of a literal, from the left."""
+    """1-based starts of all non-overlapping occurrences of a literal, from the left, in time linear in the text.
+
+    The text is split at the literal; each part is replaced by itself with a mark in front, so that a second
+    split by length gives running places without a fold that copies an array at each hit.
+    """
     parts = F.split(text, "\\Q" + pattern + "\\E", -1)
-    ends = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p))
-    step = len(pattern)
-    fold = F.aggregate(
-        ends,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda s, n: F.struct((s["at"] + n + step).alias("at"), F.concat(s["found"], F.array(s["at"] + n)).alias("found")),
-    )
-    return fold["found"]
+    before = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    lengths = F.transform(before, lambda p: F.length(p) + len(pattern))
+    return F.transform(_running(lengths), lambda end: (end - len(pattern) + 1).cast("int"))
+
+
+#: Elements of an array that are summed at a time.
+_RUN = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array of whole numbers: sums of runs of _RUN first, then inside each run."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / _RUN).cast("int") - 1, F.lit(0))), lambda r: F.slice(v, r * _RUN + 1, F.lit(_RUN)))
+    ahead = lambda sums: F.transform(sums, lambda _, r: total(F.slice(sums, F.lit(1), r)))
+    inside = lambda part, base: F.transform(part, lambda x, i: base + total(F.slice(part, F.lit(1), i + 1)))
+    return _let(values, lambda v: _let(cut(v), lambda runs: _let(F.transform(runs, total), lambda sums: F.flatten(F.zip_with(runs, ahead(sums), inside)))))
 
 
 def mentions(clause: Column, patterns: dict[str, tuple[str, ...]]) -> Column:
@@ -71,18 +90,23 @@ def _tagged(clause: Column, canonical: str, pattern: str) -> Column:
 
 
 def nearest_entity(entities: Column, attribute: Column) -> Column:
-    """The entity of an attribute: the nearest that ends before it within 16 characters, else the nearest
-    that starts after it within 16, else the nearest anywhere within 32; null if there is none."""
+    """The entity of an attribute, entities in order of (start, longest first); null if there is none.
+
+    Of those that end before it within 16 characters the one with the largest end; else of those that start
+    after it within 16 the one with the smallest start; else the one whose start or end is nearest to the
+    attribute's start, within 32. The first in order wins ties.
+    """
     a0, a1 = attribute["start"], attribute["start"] - attribute["back"]
+    end = lambda e: e["start"] - e["back"]
+    before = lambda e: (end(e) <= a0) & (a0 - end(e) <= 16)
+    after = lambda e: (e["start"] >= a1) & (e["start"] - a1 <= 16)
+    apart = lambda e: F.least(F.abs(a0 - e["start"]), F.abs(a0 - end(e)))
     tagged = F.transform(
         entities,
-        lambda e: F.struct(
-            F.when((e["start"] - e["back"] <= a0) & (a0 - (e["start"] - e["back"]) <= 16), 0)
-            .when((e["start"] >= a1) & (e["start"] - a1 <= 16), 1)
-            .when(F.abs(e["start"] - a0) <= 32, 2)
-            .otherwise(3)
-            .alias("tier"),
-            F.abs(e["start"] - a0).alias("far"),
+        lambda e, i: F.struct(
+            F.when(before(e), 0).when(after(e), 1).when(apart(e) <= 32, 2).otherwise(3).alias("tier"),
+            F.when(before(e), -end(e)).when(after(e), e["start"]).otherwise(apart(e)).alias("far"),
+            i.alias("i"),
             e.alias("e"),
         ),
     )
@@ -110,20 +134,71 @@ def triplets(df: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
 
 
 def compact(location: Column, entity: Column, attribute: Column, negated: Column) -> Column:
-    return F.concat(location, F.lit("|"), entity, F.lit("|"), F.when(negated, "no ").otherwise(""), attribute)
+    """location:entity:attribute, with NEG: before a negated attribute."""
+    return F.concat(location, F.lit(":"), entity, F.lit(":"), F.when(negated, "NEG:").otherwise(""), attribute)
 
 
-def char_ngrams(text: Column, sizes=(1, 2)) -> Column:
-    """All character n-grams of the given sizes, in order of size."""
-    return F.concat(*[F.transform(_starts(text, n), _gram(text, n)) for n in sizes])
+def triplet_report(docs: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """One row: rows, rows with a text, rows with triplets, triplets."""
+    found = triplets(docs, key, text, lexicon).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    counted = docs.select(key, F.col(text).alias("__t")).join(found, key, "left")
+    return counted.agg(F.count(F.lit(1)).alias("rows"), F.count_if(non_empty(F.col("__t"))).alias("with_text"), F.count_if(F.col("__n") > 0).alias("with_triplets"), F.coalesce(F.sum("__n"), F.lit(0)).alias("triplets"))
+
+
+#: Words before a query by side, and before a negated attribute.
+SIDE_PREFIX = {"left": "左侧", "right": "右侧"}
+NEGATED_PREFIX = "无"
+
+
+def side_queries(found: DataFrame, key: str, most: int, drop_negated: bool = False) -> DataFrame:
+    """(key, side, place, query): texts of triplets for each side they speak of, the first ``most`` a side.
 
+    L and R are one side, all other locations both; order is that of clause and attribute.
+    """
+    rows = found.where("NOT negated") if drop_negated else found
+    sides = F.when(F.col("location") == "L", F.array(F.lit("left"))).when(F.col("location") == "R", F.array(F.lit("right"))).otherwise(F.array(F.lit("left"), F.lit("right")))
+    prefix = F.when(F.col("side") == "left", SIDE_PREFIX["left"]).otherwise(SIDE_PREFIX["right"])
+    text = F.concat(prefix, F.lit(" "), F.col("entity"), F.lit(" "), F.when(F.col("negated"), NEGATED_PREFIX).otherwise(""), F.col("attribute"))
+    w = Window.partitionBy(key, "side").orderBy("clause_no", "attribute_start", "attribute")
+    out = rows.withColumn("side", F.explode(sides)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return out.select(key, "side", "place", text.alias("query"))
+
+
+#: Names of the six classes, and a sentence that stands for a class without a prompt.
+CLASS_NAMES = {0: "慢性化脓性中耳炎", 1: "中耳胆脂瘤", 2: "分泌性中耳炎", 3: "胆固醇肉芽肿", 4: "正常", 5: "其他"}
+CONCLUSION = "检查结论：{name}。"
+
+
+def class_prompts(spark, prompts: dict[int, str] | None = None) -> DataFrame:
+    """(class_id, name, prompt) of the six classes; a class without a prompt has the sentence with its name."""
+    given = prompts or {}
+    rows = [(k, name, given.get(k) or CONCLUSION.format(name=name)) for k, name in CLASS_NAMES.items()]
+    return spark.createDataFrame(rows, "class_id int, name string, prompt string")
 
-def _starts(text: Column, n: int) -> Column:
-    return F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: i <= F.length(text) - (n - 1))
 
+def view_prompts(prompts: DataFrame, views: DataFrame) -> DataFrame:
+    """(view, y, prompt): prompts of the classes of each side of a view, joined by newlines in order of class."""
+    joined = views.join(F.broadcast(prompts), views.code - 1 == prompts.class_id)
+    ordered = F.array_sort(F.collect_list(F.struct("class_id", F.trim("prompt").alias("p"))))
+    return joined.groupBy("view", "y").agg(F.array_join(F.transform(ordered, lambda s: s["p"]), "\n").alias("prompt"))
 
-def _gram(text: Column, n: int):
-    return lambda i: F.substr(text, i, F.lit(n))
+
+def encode_distinct(df: DataFrame, text: str, encode) -> DataFrame:
+    """``df`` with code = encode(text), computed once for each distinct text, which meets its rows by digest.
+
+    A null text has its own code; rows stay as many as they were.
+    """
+    tagged = df.withColumn("__d", F.sha2(F.col(text), 256))
+    codes = tagged.groupBy("__d").agg(F.first(text).alias("__t")).select(F.col("__d").alias("__e"), encode(F.col("__t")).alias("code"))
+    return tagged.join(codes, F.col("__d").eqNullSafe(F.col("__e"))).drop("__d", "__e")
+
+
+def char_ngrams(text: Column, sizes=(1, 2)) -> Column:
+    """All character n-grams of the given sizes, in order of size; the text is cut into characters once."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    grams = lambda cs, n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(cs), F.lit(1))), lambda i: i <= F.size(cs) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), ""))
+    whole = lambda cs: F.concat(*[cs if n == 1 else grams(cs, n) for n in sizes])
+    return _let(chars, whole)
 
 
 def bucket(gram: Column, width: int) -> Column:
@@ -131,13 +206,23 @@ def bucket(gram: Column, width: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int")
 
 
+def hash_vector(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, bucket, weight): counts of n-grams by bucket, L2-normalised over each text; empty texts have none."""
+    grams = df.select(key, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(key, bucket(F.col("gram"), width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return grams.select(key, "bucket", (F.col("n") / norm).alias("weight"))
+
+
 def document_frequencies(df: DataFrame, key: str, text: Column, sizes=(1, 2)) -> DataFrame:
     """(gram, df): documents that hold each n-gram."""
     return df.select(key, F.explode(F.array_distinct(char_ngrams(text, sizes))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
 def tfidf_class_means(df: DataFrame, key: str, text: Column, label: str, vocabulary: int = 20_000, sizes=(1, 2)) -> DataFrame:
-    """(label, gram, weight): class means of L2-normalised smoothed TF-IDF over the most frequent n-grams."""
+    """(label, gram, weight): class means of L2-normalised smoothed TF-IDF over the most frequent n-grams.
+
+    Null labels are a class of their own; ``vocabulary`` is the operator's size of the table of n-grams.
+    """
     docs = df.select(key, label, text.alias("__t"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     grams = docs.select(key, label, F.explode(char_ngrams(F.col("__t"), sizes)).alias("gram")).groupBy(key, label, "gram").agg(F.count(F.lit(1)).alias("tf"))
@@ -148,3 +233,11 @@ def tfidf_class_means(df: DataFrame, key: str, text: Column, label: str, vocabul
     sums = weighted.join(norms, key).groupBy(label, "gram").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
     sizes_ = docs.groupBy(label).agg(F.count(F.lit(1)).alias("members"))
     return sums.join(F.broadcast(sizes_), label).select(label, "gram", (F.col("s") / F.col("members")).alias("weight"))
+
+
+def class_texts(df: DataFrame, label: str, text: str, prompts: DataFrame, least: int = 20) -> DataFrame:
+    """(class_id, text, source): texts of the classes with ``least`` of them, else the class's prompt alone."""
+    rows = df.where(F.col(label).isNotNull() & non_empty(F.col(text))).select(F.col(label).cast("int").alias("class_id"), F.col(text).alias("text"))
+    enough = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("class_id")
+    few = prompts.join(F.broadcast(enough), "class_id", "left_anti").select("class_id", F.col("prompt").alias("text"), F.lit("prompt").alias("source"))
+    return rows.join(F.broadcast(enough), "class_id", "left_semi").select("class_id", "text", F.lit("texts").alias("source")).unionByName(few)

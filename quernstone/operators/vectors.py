@@ -65,3 +65,112 @@ def projection(v: Column, width: int, out: int, seed: str = "0") -> Column:
     """Random projection with weights of +-1/sqrt(out) read off md5(seed:i:j)."""
     sign = lambda i, j: F.when(F.substring(F.md5(F.concat_ws(":", F.lit(seed), i, j)), 1, 1) < "8", 1.0).otherwise(-1.0)
     return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.aggregate(F.transform(F.slice(v, 1, width), lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x) / float(out) ** 0.5)
+
+
+def first_match_ranks(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, blocks: int = 16) -> DataFrame:
+    """(query, true_rank): the place of the first base row with the query's label among all, by similarity.
+
+    The queries are a stated set in blocks. The best row of the same label is found first, then the rows that
+    come before it are counted; neither step ranks or keeps pairs. The smaller id is first on ties.
+    """
+    q = queries.select(F.col(key).alias("query"), F.col(label).alias("ql"), unit(F.col(vector)).alias("qv")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    b = base.select(F.col(key).alias("neighbour"), F.col(label).alias("bl"), unit(F.col(vector)).alias("bv")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    place = F.struct((-F.round(dot(F.col("qv"), F.col("bv")), 6)).alias("far"), F.col("neighbour").alias("id"))
+    pairs = q.join(b, "block").where("query <> neighbour").select("query", place.alias("place"), (F.col("ql") == F.col("bl")).alias("same"))
+    best = pairs.where("same").groupBy("query").agg(F.min("place").alias("best")).withColumnRenamed("query", "q2")
+    counted = q.join(best, F.col("query") == F.col("q2")).drop("q2").join(b, "block").where("query <> neighbour")
+    return counted.groupBy("query").agg((F.count_if(place < F.col("best")) + 1).alias("true_rank"))
+
+
+def recall(ranks: DataFrame, ks) -> DataFrame:
+    """(k_requested, recall): the share of queries whose true rank is within k; larger k than rows count as all."""
+    long = ranks.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k_requested"), "true_rank")
+    return long.groupBy("k_requested").agg(F.round(F.avg((F.col("true_rank") <= F.col("k_requested")).cast("int")), 6).alias("recall"))
+
+
+def paired_ranks(a: DataFrame, b: DataFrame, key: str, va: str, vb: str, blocks: int = 16) -> DataFrame:
+    """(query, true_rank) of the rows of ``a`` among all rows of ``b``, whose match has the same key.
+
+    1 + the rows of ``b`` that are more similar than the match, counted by a partial aggregate; equal ones
+    count for the query. Called with the sides changed it is the other direction. ``a`` is a stated query set.
+    """
+    q = a.select(F.col(key).alias("query"), unit(F.col(va)).alias("qv")).join(b.select(F.col(key).alias("query"), unit(F.col(vb)).alias("mv")), "query")
+    q = q.select("query", "qv", F.round(dot(F.col("qv"), F.col("mv")), 9).alias("match")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    rows = b.select(unit(F.col(vb)).alias("bv")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return q.join(rows, "block").groupBy("query").agg((F.count_if(F.round(dot(F.col("qv"), F.col("bv")), 9) > F.col("match")) + 1).alias("true_rank"))
+
+
+def with_codes(df: DataFrame, code: str, codes) -> DataFrame:
+    """Rows with a listed code; an empty list filters nothing."""
+    return df.where(F.col(code).isin(*codes)) if codes else df
+
+
+def contrast_scores(df: DataFrame, protos: DataFrame, key: str, vector: str, positive=1, negative=0, label: str = "label") -> DataFrame:
+    """(key, score): cosine with the positive prototype less that with the negative; raises where either is missing."""
+    one = lambda v: protos.where(F.col(label) == v).agg(F.first("prototype").alias("p")).scalar()
+    out = df.select(key, unit(F.col(vector)).alias("v")).withColumns({"p": one(positive), "q": one(negative)})
+    both = F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), dot(F.col("v"), F.col("p")) - dot(F.col("v"), F.col("q")))
+    return out.select(key, F.coalesce(both, F.raise_error(F.lit("a prototype of each side is required")).cast("double")).alias("score"))
+
+
+def prototype_logits(df: DataFrame, protos: DataFrame, key: str, label: str, vector: str, scale: float, initial: DataFrame | None = None, frozen=()) -> DataFrame:
+    """(key, class, logit): cosine times a scale clamped to 1..100; frozen classes use their initial prototype."""
+    used = protos
+    if initial is not None and frozen:
+        used = protos.where(~F.col(label).isin(*frozen)).select(label, "prototype").unionByName(initial.where(F.col(label).isin(*frozen)).select(label, "prototype"))
+    used = used.select(label, unit(F.col("prototype")).alias("prototype"))
+    return prototype_scores(df, used, key, label, vector).select(key, "class", (F.col("score") * min(100.0, max(1.0, scale))).alias("logit"))
+
+
+def prototype_drift(protos: DataFrame, initial: DataFrame, label: str, frozen=()) -> DataFrame:
+    """One row: mean squared distance of normalised prototypes to their initial ones, frozen classes left out; 0 without others."""
+    both = protos.select(label, unit(F.col("prototype")).alias("p")).join(initial.select(label, F.col("prototype").alias("i")), label)
+    both = both.where(~F.col(label).isin(*frozen)) if frozen else both
+    square = F.aggregate(F.zip_with("p", "i", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return both.agg(F.coalesce(F.avg(square), F.lit(0.0)).alias("drift"), F.count(F.lit(1)).alias("classes"))
+
+
+def token_similarity(queries: DataFrame, tokens: DataFrame, query: str, owner: str, vector: str) -> DataFrame:
+    """(query, owner, sim): the largest cosine of a query with any token of each owner.
+
+    ``queries`` are few and a stated set: they are one array beside every token, and the largest values meet
+    in partial aggregates.
+    """
+    qs = queries.agg(F.array_sort(F.collect_list(F.struct(F.col(query).alias("query"), unit(F.col(vector)).alias("v")))).alias("qs"))
+    rows = tokens.select(owner, unit(F.col(vector)).alias("t")).withColumn("qs", qs.scalar())
+    sims = rows.select(owner, F.inline(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), dot(q["v"], F.col("t")).alias("s")))))
+    return sims.groupBy("query", owner).agg(F.max("s").alias("sim"))
+
+
+def mean_vectors(df: DataFrame, unit_key: str, vector: str) -> DataFrame:
+    """(unit, mean): the mean of the vectors of each unit's parts."""
+    long = df.select(unit_key, F.posexplode(vector).alias("pos", "x")).groupBy(unit_key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return long.groupBy(unit_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
+
+
+def contrastive_loss(a: DataFrame, b: DataFrame, key: str, va: str, vb: str, temperature: float, blocks: int = 16) -> DataFrame:
+    """One row: the symmetric InfoNCE loss of a batch, whose pairs have the same key; batches are small by nature."""
+    if temperature <= 0:
+        raise ValueError("temperature must be positive")
+
+    def side(p: DataFrame, q: DataFrame, vp: str, vq: str) -> DataFrame:
+        left = p.select(F.col(key).alias("i"), unit(F.col(vp)).alias("x")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+        right = q.select(F.col(key).alias("j"), unit(F.col(vq)).alias("y")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        logits = left.join(right, "block").select("i", "j", (dot(F.col("x"), F.col("y")) / temperature).alias("z"))
+        # Cosines are at most 1, so this shift is safe for every row.
+        row = logits.groupBy("i").agg((F.ln(F.sum(F.exp(F.col("z") - 1 / temperature))) + 1 / temperature).alias("total"), F.max(F.when(F.col("i") == F.col("j"), F.col("z"))).alias("own"))
+        return row.agg(F.avg(F.col("total") - F.col("own")).alias("loss"))
+
+    rows = side(a, b, va, vb).unionByName(side(b, a, vb, va))
+    return rows.agg(F.avg("loss").alias("loss"))
+
+
+def pair_loss(pairs: DataFrame, left: str, right: str, left_label: str, right_label: str, normal: int, most: float) -> DataFrame:
+    """One row: the mean of the terms there are: 1 - cosine over pairs normal on both sides, and what the cosine
+    exceeds ``most`` by over pairs normal on one; null without either."""
+    sim = dot(unit(F.col(left)), unit(F.col(right)))
+    rows = pairs.where(F.col(left_label).isNotNull() & F.col(right_label).isNotNull()).select(sim.alias("sim"), (F.col(left_label) == normal).alias("l"), (F.col(right_label) == normal).alias("r"))
+    both, single = F.col("l") & F.col("r"), F.col("l") != F.col("r")
+    terms = rows.agg(F.avg(F.when(both, 1 - F.col("sim"))).alias("a"), F.avg(F.when(single, F.greatest(F.lit(0.0), F.col("sim") - most))).alias("b"), F.count_if(both).alias("normal_pairs"), F.count_if(single).alias("unilateral_pairs"))
+    there = F.array_compact(F.array("a", "b"))
+    return terms.select(F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.size(there)).alias("loss"), "normal_pairs", "unilateral_pairs")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import scalar as S
@@ -14,33 +11,7 @@ from quernstone.operators import relational as R
 from quernstone.operators import splits as X
 from quernstone.operators import text as T
 from quernstone.operators import vectors as V
-from quernstone.session import ship_package
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, python: bool = False):
-    """Register a query; ``sql`` is its oracle, ``python`` says that executors import this package."""
-
-    def register(f):
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            if python:
-                ship_package(spark)
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE[f.__name__] = sql
-        return run
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
+from quernstone.plans.registry import ORACLE, QUERIES, query, rounded
 
 # Scored events: y is informative, a score has many ties.
 Y = lambda: F.expr("CAST(value + event_id % 37 > 60 AS INT)")  # noqa: E731  columns need a session, which imports do without
@@ -113,32 +84,36 @@ _best("f1", _F1), _best("youden", _YOUDEN), _best("accuracy", _ACC)
 
 @query("\nUNION ALL\n".join(f"SELECT '{n}' AS criterion, threshold, round(value, 6) AS value FROM ({_best_sql(v)})" for n, v in (("f1", _F1), ("youden", _YOUDEN), ("accuracy", _ACC))))
 def calibration_report(table):
-    frame = M.score_frame(table("events"), Y(), SCORE())
-    out = M.best_threshold(frame, "f1")
-    for name in ("youden", "accuracy"):
-        out = out.unionByName(M.best_threshold(frame, name))
-    return rounded(out, "value")
-
-
-@query(f"""WITH e AS ({_EV}), b AS (SELECT CAST(user_id AS VARCHAR) AS g, s, count(*) AS n, sum(y) AS pos FROM e GROUP BY 1, 2), r AS (SELECT b.*, r FROM b, range(1, 21) t(r)),
-u AS (SELECT *, CAST('0x' || substr(md5('7:' || r || ':' || g), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM r),
-w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END AS w FROM u),
-d AS (SELECT r, s, CAST(sum(n * w) AS DOUBLE) AS n, CAST(sum(pos * w) AS DOUBLE) AS pos FROM w WHERE w > 0 GROUP BY r, s),
-c AS (SELECT *, sum(n - pos) OVER (PARTITION BY r ORDER BY s) - (n - pos) AS below FROM d),
-a AS (SELECT r, sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)) AS auroc FROM c GROUP BY r)
-SELECT round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high, count(*) AS replicates FROM a""")
-def auroc_bootstrap_by_user(table):
-    out = M.bootstrap_auroc(table("events"), Y(), SCORE(), F.col("user_id"), 20, seed="7")
-    return rounded(out, "mean", "low", "high")
+    return rounded(M.best_thresholds(M.score_frame(table("events"), Y(), SCORE())), "value")
 
 
-@query()
+# All steps of the Poisson(1) law above 2^-32, as the operator draws them.
+_POISSON = " ".join(f"WHEN u < {t!r} THEN {i}" for i, t in enumerate(M.poisson_steps()))
+_BOOT = f"""WITH e AS ({_EV}), b AS (SELECT CAST(user_id AS VARCHAR) AS g, s, count(*) AS n, sum(y) AS pos FROM e GROUP BY 1, 2),
+w AS (SELECT r, g, CASE {_POISSON} ELSE {len(M.poisson_steps())} END AS w FROM (SELECT r, g, CAST('0x' || substr(md5('7:' || r || ':' || g), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT g FROM b), range(1, 1001) t(r))),
+d AS (SELECT r, s, CAST(sum(n * w) AS DOUBLE) AS n, CAST(sum(pos * w) AS DOUBLE) AS pos FROM w JOIN b USING (g) WHERE w > 0 GROUP BY r, s),
+c AS (SELECT *, n - pos AS neg, sum(n) OVER x AS cn, sum(pos) OVER x AS cp, sum(n - pos) OVER (PARTITION BY r) AS q FROM d WINDOW x AS (PARTITION BY r ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, floor(0.05::DOUBLE * q + 1e-9) AS k FROM c),
+t AS (SELECT *, max(CASE WHEN cn - cp >= greatest(k, 1) THEN s END) OVER (PARTITION BY r) AS kth, min(CASE WHEN neg > 0 THEN s END) OVER (PARTITION BY r) AS low FROM k),
+h AS (SELECT *, CASE WHEN k >= q THEN s >= low ELSE s > kth END AS hit FROM t),
+a AS (SELECT r, sum(pos) AS p, sum(neg) AS q, sum(pos * (neg / 2) - pos * (cn - cp)) AS wins, sum(pos * cp / cn) AS steps, sum(CASE WHEN s >= 60 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN s >= 60 THEN neg ELSE 0 END) AS fp, sum(CASE WHEN hit THEN pos ELSE 0 END) AS tp2, sum(CASE WHEN hit THEN neg ELSE 0 END) AS fp2 FROM h GROUP BY r),
+v AS (SELECT unnest([{{'m': 'auroc', 'v': (wins + p * q) / (p * q)}}, {{'m': 'auprc', 'v': steps / p}}, {{'m': 'accuracy', 'v': (tp + q - fp) / (p + q)}}, {{'m': 'sensitivity', 'v': tp / p}}, {{'m': 'specificity', 'v': (q - fp) / q}}, {{'m': 'f1', 'v': 2 * tp / (tp + fp + p)}}, {{'m': 'sensitivity_at_spec', 'v': tp2 / p}}, {{'m': 'specificity_at_spec', 'v': (q - fp2) / q}}]) AS x FROM a)
+SELECT x.m AS metric, round(avg(x.v), 6) AS mean, round(quantile_cont(x.v, 0.025), 6) AS low, round(quantile_cont(x.v, 0.975), 6) AS high, count(*) AS replicates FROM v GROUP BY 1"""
+
+
+@query(_BOOT)
 def bootstrap_metrics_by_user(table):
-    """All eight metrics over 1000 replicates; auroc_bootstrap_by_user has 20 replicates of one."""
+    """All eight metrics over 1000 replicates of whole users."""
     out = M.bootstrap_metrics(table("events"), Y(), SCORE(), F.col("user_id"), 1000, seed="7", threshold=60.0)
     return rounded(out, "mean", "low", "high")
 
 
+@query(f"SELECT mean, low, high, replicates FROM ({_BOOT}) WHERE metric = 'auroc'")
+def auroc_bootstrap_by_user(table):
+    out = M.bootstrap_metrics(table("events"), Y(), SCORE(), F.col("user_id"), 1000, seed="7", threshold=60.0)
+    return rounded(out.where("metric = 'auroc'"), "mean", "low", "high").select("mean", "low", "high", "replicates")
+
+
 _CELLS = "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, CASE WHEN l_linestatus = 'O' THEN 1 WHEN l_quantity > 25 THEN 0 ELSE 2 END AS p FROM lineitem"
 _REPORT = f"""WITH c AS ({_CELLS}), k AS (SELECT unnest(range(4)) AS class_id), t AS (SELECT count(*) AS t FROM c),
 x AS (SELECT class_id, count(*) FILTER (y = class_id) AS support, count(*) FILTER (p = class_id) AS q, count(*) FILTER (y = class_id AND p = class_id) AS tp FROM k, c GROUP BY class_id),
@@ -280,12 +255,12 @@ def index_match(table):
     return joined.select("o_orderkey", F.col("c_name").alias("owner"), F.coalesce("n_items", F.lit(0)).alias("n_items"), same.alias("date_match"))
 
 
-@query("""WITH l AS (SELECT o_orderkey AS u, strftime(o_orderdate, '%Y-%m') AS d FROM orders), s AS (SELECT DISTINCT l_orderkey AS u, strftime(l_shipdate, '%Y-%m') AS d FROM lineitem WHERE l_orderkey % 5 <> 0),
+@query("""WITH l AS (SELECT o_orderkey AS u, strftime(o_orderdate, '%Y-%m') AS d FROM orders), s AS (SELECT DISTINCT l_orderkey AS u, strftime(l_shipdate, '%Y-%m') AS d FROM lineitem),
 m AS (SELECT l.u, count(s.u) AS there, count(*) FILTER (s.d = l.d) AS hit FROM l LEFT JOIN s ON s.u = l.u GROUP BY l.u)
 SELECT count(*) AS labels, count(*) FILTER (hit > 0) AS id_and_date, count(*) FILTER (there > 0 AND hit = 0) AS id_only, count(*) FILTER (there = 0) AS missing FROM m""")
 def match_audit(table):
     labels = table("orders").select(F.col("o_orderkey").alias("u"), F.date_format("o_orderdate", "yyyy-MM").alias("d"))
-    stored = table("lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("u"), F.date_format("l_shipdate", "yyyy-MM").alias("d"))
+    stored = table("lineitem").select(F.col("l_orderkey").alias("u"), F.date_format("l_shipdate", "yyyy-MM").alias("d"))
     return R.match_audit(labels, stored, "u", "d")
 
 
@@ -293,7 +268,6 @@ def match_audit(table):
 m AS (SELECT l.u, count(s.u) AS there, count(*) FILTER (s.d = l.d) AS hit FROM l LEFT JOIN s ON s.u = l.u GROUP BY l.u)
 SELECT count(*) AS labels, count(*) FILTER (hit > 0) AS id_and_date, count(*) FILTER (there > 0 AND hit = 0) AS id_only, count(*) FILTER (there = 0) AS missing FROM m""")
 def match_audit_all(table):
-    """Orders against the whole of lineitem; match_audit leaves out every fifth order's rows."""
     labels = table("orders").select(F.col("o_orderkey").alias("u"), F.date_format("o_orderdate", "yyyy-MM").alias("d"))
     stored = table("lineitem").select(F.col("l_orderkey").alias("u"), F.date_format("l_shipdate", "yyyy-MM").alias("d"))
     return R.match_audit(labels, stored, "u", "d")
@@ -369,11 +343,6 @@ def quota_select(table):
     return X.quota_select(table("labels"), "doc_id", F.array("quality", "toxic"), 0.2)
 
 
-@query()
-def weighted_draw(table):
-    return X.weighted_draw(table("customer").where("c_acctbal > 0"), "c_custkey", "c_acctbal", 500)
-
-
 _Q = ", ".join(f"round(quantile_cont(x, {p}), 6) AS p{round(100 * p)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9))
 _STATS = f"count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std_pop, min(x) AS min, max(x) AS max, {_Q}"
 _PCOLS = ("mean", "std_pop", "p10", "p25", "p50", "p75", "p90")
@@ -428,7 +397,8 @@ def unit_sampling_weights(table):
 def balanced_weights(table):
     labels = table("labels")
     n = labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
-    return labels.join(F.broadcast(n), "quality").select("doc_id", F.round(0.5 / F.col("n"), 9).alias("weight"))
+    n = F.broadcast(n.withColumnRenamed("quality", "q"))  # a row for each class
+    return labels.join(n, F.col("quality").eqNullSafe(F.col("q"))).select("doc_id", F.round(0.5 / F.col("n"), 9).alias("weight"))
 
 
 _P = "1 / (1 + exp(-(value - 250) / 60))"
@@ -465,7 +435,7 @@ def mad_outliers_capped(table):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= ceil(n * 0.9) GROUP BY 1")
 def robust_trim_mean(table):
-    return rounded(R.trimmed_mean(table("events"), "event_type", "value", 0.1, "event_id"), "mean")
+    return rounded(R.trimmed_mean(table("events"), "event_type", "value", 0.1), "mean")
 
 
 @query("""WITH l AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, embedding FROM embeddings), x AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM l),
@@ -497,11 +467,8 @@ def knn_lists(table):
 @query(_SIMS + ", t AS (SELECT query, min(rank) AS true_rank FROM r JOIN embeddings e ON e.vec_id = neighbour JOIN embeddings q ON q.vec_id = query WHERE e.label = q.label GROUP BY query) SELECT k AS k_requested, round(avg(CAST(true_rank <= k AS INT)), 6) AS recall FROM t, (VALUES (1), (5), (10)) v(k) GROUP BY k")
 def recall_at_k(table):
     e = table("embeddings")
-    near = V.neighbours(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 1_000_000)
-    labels = e.select(F.col("vec_id").alias("id"), "label")
-    hit = near.join(labels.select(F.col("id").alias("neighbour"), F.col("label").alias("a")), "neighbour").join(labels.select(F.col("id").alias("query"), F.col("label").alias("b")), "query").where("a = b")
-    ranks = hit.groupBy("query").agg(F.min("rank").alias("true_rank"))
-    return ranks.select(F.explode(F.array(F.lit(1), F.lit(5), F.lit(10))).alias("k_requested"), "true_rank").groupBy("k_requested").agg(F.round(F.avg((F.col("true_rank") <= F.col("k_requested")).cast("int")), 6).alias("recall"))
+    ranks = V.first_match_ranks(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label")
+    return V.recall(ranks, [1, 5, 10])
 
 
 @query("SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))), 4) AS apart, 192 AS width FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -540,17 +507,14 @@ def lexicon_hits(table):
     return found.groupBy("doc_id", F.col("m.canonical").alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def lexicon_triplets(table):
-    return T.triplets(table("documents"), "doc_id", "text", LEXICON)
-
-
 _GRAMS = "SELECT item_id, substr(text, i, n) AS gram FROM (SELECT item_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM benchmark, (VALUES (1), (2)) v(n))"
+_DOC_GRAMS = "SELECT doc_id, gram FROM (SELECT doc_id, unnest(c) AS gram FROM d UNION ALL SELECT doc_id, unnest(list_transform(list_zip(c[:-2], c[2:]), lambda z: z[1] || z[2])) AS gram FROM d)"
+_CHARS = "d AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0)"
 
 
-@query(f"SELECT gram, count(DISTINCT item_id) AS df FROM ({_GRAMS}) GROUP BY gram")
+@query(f"WITH {_CHARS} SELECT gram, count(DISTINCT doc_id) AS df FROM ({_DOC_GRAMS}) GROUP BY gram")
 def char_ngram_df(table):
-    return T.document_frequencies(table("benchmark"), "item_id", F.col("text"))
+    return T.document_frequencies(table("documents"), "doc_id", F.col("text"))
 
 
 @query(f"SELECT item_id, CAST(CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 64 AS INT) AS bucket, count(*) AS n FROM ({_GRAMS}) GROUP BY 1, 2")
@@ -559,19 +523,19 @@ def ngram_hash_vector(table):
     return grams.groupBy("item_id", T.bucket(F.col("gram"), 64).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH g AS (SELECT item_id, item_id % 3 AS label, gram, count(*) AS tf FROM ({_GRAMS}) GROUP BY 1, 2, 3), f AS (SELECT gram, count(*) AS df, sum(tf) AS total FROM g GROUP BY gram ORDER BY total DESC, gram LIMIT 60),
-i AS (SELECT gram, ln((1 + (SELECT count(*) FROM benchmark)) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM f), w AS (SELECT item_id, label, gram, tf * idf AS w FROM g JOIN i USING (gram)), n AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
-SELECT label, gram, round(sum(w / norm) / any_value(members), 6) AS weight FROM w JOIN n USING (item_id) JOIN (SELECT item_id % 3 AS label, count(*) AS members FROM benchmark GROUP BY 1) USING (label) GROUP BY 1, 2""")
+@query(f"""WITH {_CHARS}, l AS (SELECT doc_id, quality AS label FROM labels JOIN documents USING (doc_id)), g AS (SELECT doc_id, label, gram, count(*) AS tf FROM ({_DOC_GRAMS}) JOIN l USING (doc_id) GROUP BY 1, 2, 3),
+f AS (SELECT gram, count(*) AS df, sum(tf) AS total FROM g GROUP BY gram ORDER BY total DESC, gram LIMIT 20000),
+i AS (SELECT gram, ln((1 + (SELECT count(*) FROM l)) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM f), w AS (SELECT doc_id, label, gram, tf * idf AS w FROM g JOIN i USING (gram)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
+SELECT label, gram, round(sum(w / norm) / any_value(members), 6) AS weight FROM w JOIN n USING (doc_id) JOIN (SELECT label, count(*) AS members FROM l GROUP BY 1) USING (label) GROUP BY 1, 2""")
 def tfidf_class_means(table):
-    b = table("benchmark").withColumn("label", F.col("item_id") % 3)
-    return rounded(T.tfidf_class_means(b, "item_id", F.col("text"), "label", vocabulary=60), "weight")
+    docs = table("documents").select("doc_id", "text").join(table("labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return rounded(T.tfidf_class_means(docs, "doc_id", F.col("text"), "label"), "weight")
 
 
 @query("SELECT doc_id, length(text) AS code FROM documents")
 def distinct_encode_join(table):
-    docs = table("documents")
-    encoded = docs.select("text").distinct().select("text", F.length("text").alias("code"))
-    return docs.join(encoded, "text").select("doc_id", "code")
+    """Equal texts are encoded once and meet by digest; null texts keep their row."""
+    return T.encode_distinct(table("documents"), "text", F.length).select("doc_id", "code")
 
 
 @query("SELECT event_type, epochs, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS epochs FROM events) WHERE r = 1")
@@ -634,25 +598,20 @@ def even_index_pick(table):
     return n.select("conv_id", F.posexplode(S.even_index(F.col("n"), 4)).alias("place", "turn_index"))
 
 
-@query("""WITH p AS (SELECT event_type, CAST(epoch(ts) AS DOUBLE) AS x, avg(value) AS y FROM events WHERE user_id < 20 GROUP BY 1, 2), g AS (SELECT event_type, 1704067200 + 3600.0 * i AS x FROM (SELECT DISTINCT event_type FROM events), range(0, 720, 24) t(i)),
-n AS (SELECT g.event_type, g.x, (SELECT max(x) FROM p WHERE p.event_type = g.event_type AND p.x <= g.x) AS lo, (SELECT min(x) FROM p WHERE p.event_type = g.event_type AND p.x >= g.x) AS hi FROM g)
-SELECT n.event_type, n.x AS at, round(CASE WHEN lo IS NULL THEN h.y WHEN hi IS NULL THEN l.y WHEN hi = lo THEN l.y ELSE l.y + (h.y - l.y) * (n.x - lo) / (hi - lo) END, 4) AS y FROM n LEFT JOIN p l ON l.event_type = n.event_type AND l.x = lo LEFT JOIN p h ON h.event_type = n.event_type AND h.x = hi""")
-def interp_asof(table):
-    ev = table("events").withColumn("x", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6"))
-    grid = ev.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(719), F.lit(24))).alias("i")).select("event_type", (F.lit(1704067200.0) + 3600.0 * F.col("i")).alias("at"))
-    return rounded(O.interpolate_asof(ev.where("user_id < 20"), grid, "event_type", "x", "value", "at").withColumnRenamed("value", "y"), "y", digits=4)
-
-
 @query("""WITH p AS (SELECT event_type, CAST(epoch(ts) AS DOUBLE) AS x, avg(value) AS y FROM events GROUP BY 1, 2), g AS (SELECT event_type, 1704067200 + 3600.0::DOUBLE * i AS x FROM (SELECT DISTINCT event_type FROM events), range(720) t(i)),
 l AS (SELECT g.event_type, g.x, p.x AS lo, p.y AS ly FROM g ASOF LEFT JOIN p ON p.event_type = g.event_type AND g.x >= p.x), n AS (SELECT l.*, p.x AS hi, p.y AS hy FROM l ASOF LEFT JOIN p ON p.event_type = l.event_type AND l.x <= p.x)
 SELECT event_type, x AS at, round(CASE WHEN lo IS NULL THEN hy WHEN hi IS NULL THEN ly WHEN hi = lo THEN ly ELSE ly + (hy - ly) * (x - lo) / (hi - lo) END, 4) AS y FROM n""")
 def interp_asof_hourly(table):
-    """All events on the whole hourly grid; interp_asof has an id subset and every 24th hour."""
+    """All events on the whole hourly grid."""
     ev = table("events").withColumn("x", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6"))
     grid = ev.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("i")).select("event_type", (F.lit(1704067200.0) + 3600.0 * F.col("i")).alias("at"))
     return rounded(O.interpolate_asof(ev, grid, "event_type", "x", "value", "at").withColumnRenamed("value", "y"), "y", digits=4)
 
 
+#: The same query under its older name.
+QUERIES["interp_asof"], ORACLE["interp_asof"] = QUERIES["interp_asof_hourly"], ORACLE["interp_asof_hourly"]
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r <= 2")
 def per_unit_cap(table):
     return O.cap_per_unit(table("conversations"), ["conv_id", "role"], "turn", 2).select("conv_id", "turn", "role")
@@ -662,3 +621,6 @@ def per_unit_cap(table):
 def top_weights_per_row(table):
     top = table("embeddings").select("vec_id", F.inline(O.top_weights(F.col("embedding"), 3)))
     return top.select("vec_id", F.col("index").alias("place"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+from quernstone.plans import cohort, evaluation  # noqa: E402, F401  their queries register themselves

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
+import re
+import uuid
+import zipfile
 from collections.abc import Sequence
+from xml.etree import ElementTree
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.taskcontext import TaskContext
 
 from quernstone.functions import scalar as S
 
@@ -59,13 +69,96 @@ def census(files: DataFrame, root: str) -> DataFrame:
     return files.agg(depth(1).alias("depth1"), depth(2).alias("depth2"), depth(3).alias("depth3"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-RUN_LOG = "epoch long, train struct<loss:double,acc:double>, val struct<loss:double,acc:double>, val_metrics struct<macro_f1:double,auroc:double,accuracy:double>, _corrupt string"
+def folder_dates(files: DataFrame, root: str) -> DataFrame:
+    """(unit, dates): the dates under which each unit is stored, sorted; a unit has few."""
+    return tree(files, root).groupBy("unit").agg(F.array_sort(F.collect_set("date")).alias("dates"))
 
 
-def run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON run logs with their file; broken lines stay, marked, and both writers' metrics meet in ``metric``."""
-    lines = spark.read.schema(RUN_LOG).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
-    return lines.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)).withColumn("metric", F.coalesce("val_metrics.macro_f1", "val.acc"))
+def data_root(spark: SparkSession, base: str, levels: int = 5) -> str:
+    """The folder below ``base`` whose children are date folders.
+
+    Down a chain of single folders for up to ``levels``, else the first child of ``base``, or of its children,
+    by name that has some; ``base`` itself where there are none. Only listings, on any store Spark reads.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def children(path: str) -> list[str]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            return []
+        return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("."))
+
+    def holds_dates(path: str) -> bool:
+        return any(re.fullmatch(r"\d{4}-?\d{2}-?\d{2}", c.rsplit("/", 1)[-1]) for c in children(path))
+
+    at = base
+    for _ in range(levels + 1):
+        if holds_dates(at):
+            return at
+        below = children(at)
+        if len(below) != 1:
+            break
+        at = below[0]
+    near = children(base)
+    return next((c for c in [*near, *(g for c in near for g in children(c))] if holds_dates(c)), base)
+
+
+#: Metrics of an epoch that a run report carries.
+METRICS = ("macro_f1", "val_loss", "accuracy", "macro_recall", "macro_specificity", "weighted_f1")
+RUN_LOG = "epoch long, batch_size long, hparams struct<label_task:string>, train struct<loss:double,acc:double>, val struct<loss:double,acc:double>, val_metrics struct<macro_f1:double,val_loss:double,auroc:double,accuracy:double,macro_recall:double,macro_specificity:double,weighted_f1:double>, _corrupt string"
+
+
+def run_logs(spark: SparkSession, path: str, pattern: str = "metrics.jsonl") -> DataFrame:
+    """Lines of JSON run logs with their run, the folder of the file: epoch, the METRICS, batch size and task.
+
+    Blank lines are skipped; broken ones stay, marked in _corrupt, and make their run's status. A missing
+    val_loss is the loss of val, and ``metric`` is the first of macro F1 and accuracy that a writer gives.
+    """
+    reader = spark.read.schema(RUN_LOG).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    lines = reader.json(path).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
+    cells = {m: F.col(f"val_metrics.{m}") for m in METRICS} | {"val_loss": F.coalesce("val_metrics.val_loss", "val.loss"), "metric": F.coalesce("val_metrics.macro_f1", "val.acc"), "label_task": F.col("hparams.label_task")}
+    return lines.withColumns(cells).drop("hparams")
+
+
+def run_folders(files: DataFrame, root: str, report: str = "metrics.jsonl") -> DataFrame:
+    """(run, model, task, pct, has_log, checkpoints, last_checkpoint) of every folder right below ``root``.
+
+    ``files`` is an ``inventory``; a folder without files is not seen.
+    """
+    tail = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    rows = files.where(F.contains(tail, F.lit("/"))).select(F.substring_index(tail, "/", 1).alias("run"), F.regexp_replace(tail, "^[^/]+/", "").alias("rest"))
+    found = rows.groupBy("run").agg(F.max(F.col("rest") == report).alias("has_log"), F.max(F.startswith("rest", F.lit("checkpoints/"))).alias("checkpoints"), F.max(F.col("rest") == "checkpoints/last.pt").alias("last_checkpoint"))
+    model, task, pct = parse_model_run(F.col("run"))
+    return found.select("run", model.alias("model"), task.alias("task"), pct.alias("pct"), "has_log", "checkpoints", "last_checkpoint")
+
+
+def report_folders(files: DataFrame, report: str) -> DataFrame:
+    """(folder, path): every folder at any depth that holds a report file."""
+    return files.where(F.substring_index("path", "/", -1) == report).select(F.regexp_replace("path", "/[^/]+$", "").alias("folder"), "path").distinct()
+
+
+def report_documents(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """JSON documents, one a file, parsed by ``schema``: path, status and the fields.
+
+    status is ok, empty or parse_error, and the fields of the latter are null; one bad file spoils no other.
+    """
+    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select(F.input_file_name().alias("path"), "value")
+    broken = F.try_parse_json("value").isNull()
+    status = F.when(F.trim("value") == "", "empty").when(broken, "parse_error").otherwise("ok")
+    parsed = texts.select("path", status.alias("status"), F.from_json("value", schema).alias("r"))
+    return parsed.select("path", "status", "r.*")
+
+
+def parse_model_run(name: Column) -> tuple[Column, Column, Column]:
+    """Model, task and percentage of ``<model>__<task>_<n>pct``, of ``<model>_<n>pct`` without a task; a name of
+    neither form is the model, with percentage -1."""
+    pattern = r"^(.*?)_(\d+)pct(?:_.*)?$"
+    fits, prefix = name.rlike(pattern), F.regexp_extract(name, pattern, 1)
+    two = F.contains(prefix, F.lit("__"))
+    model = F.when(fits, F.when(two, F.substring_index(prefix, "__", 1)).otherwise(prefix)).otherwise(name)
+    task = F.when(fits & two, F.substring(prefix, F.length(F.substring_index(prefix, "__", 1)) + 3, F.length(prefix)))
+    return model, task, F.when(fits, F.regexp_extract(name, pattern, 2).try_cast("int")).otherwise(-1)
 
 
 def parse_run(name: Column) -> tuple[Column, Column, Column, Column]:
@@ -88,21 +181,165 @@ def flatten(df: DataFrame, key: str, nested: str) -> DataFrame:
     return df.select(key, F.inline(nested))
 
 
+def write_json_report(df: DataFrame, path: str) -> None:
+    """A small report as one pretty-printed UTF-8 JSON document: a list of its rows."""
+    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    _put(df.sparkSession, path, (json.dumps(rows, ensure_ascii=False, indent=2) + "\n").encode())
+
+
+def write_nested(df: DataFrame, key: str, columns: Sequence[str], path: str, name: str = "items") -> None:
+    """JSON lines with one record a unit: the key, and its rows as an array sorted by ``columns``. A unit's rows are few."""
+    nested = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    nested.write.json(path, mode="errorifexists")
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file on any store, whole or not at all: written beside, then renamed; an existing one is an error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    out = fs.create(beside)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if not fs.rename(beside, target):
+        fs.delete(beside, False)
+        raise FileExistsError(path)
+
+
 def cached(df: DataFrame, root: str, **parameters) -> DataFrame:
-    """A table kept under a hash of its parameters: written once, read afterwards."""
-    import hashlib
+    """A table kept under a hash of its parameters: written once, read afterwards.
 
+    The table is written beside and renamed, so that of two writers one wins whole; its parameters stand in
+    ``<hash>.json`` beside it. Every parameter that shapes the table belongs in ``parameters``.
+    """
     spec = ":".join(f"{k}={parameters[k]}" for k in sorted(parameters))
-    path = f"{root.rstrip('/')}/{hashlib.md5(spec.encode()).hexdigest()[:16]}"
+    name = hashlib.md5(spec.encode()).hexdigest()[:16]
+    path = f"{root.rstrip('/')}/{name}"
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        beside = f"{path}.{uuid.uuid4().hex}.part"
+        df.write.option("compression", "zstd").parquet(beside)
+        part = jvm.org.apache.hadoop.fs.Path(beside)
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, True)  # another writer was first
+        else:
+            _put(spark, f"{path}.json", (json.dumps({k: str(v) for k, v in sorted(parameters.items())}, ensure_ascii=False, indent=2) + "\n").encode())
     return spark.read.schema(df.schema).parquet(path)
 
 
-def markdown(df: DataFrame, columns: Sequence[str], limit: int = 200) -> str:
-    """A Markdown table of a small report."""
-    rows = df.select(*columns).limit(limit).collect()
+def warm(train: DataFrame, val: DataFrame, keys: Sequence[str], root: str, **parameters) -> DataFrame:
+    """The cached table of the distinct union of train and val by key."""
+    from quernstone.operators.relational import distinct_union
+
+    rest = [F.col(c) for c in train.columns if c not in keys]
+    return cached(distinct_union([train, val], keys, rest), root, **parameters)
+
+
+def recompress(spark: SparkSession, source: str, target: str, codec: str = "zstd") -> DataFrame:
+    """A Parquet table rewritten with another codec; an existing target is an error."""
+    spark.read.parquet(source).write.option("compression", codec).mode("errorifexists").parquet(target)
+    return spark.read.parquet(target)
+
+
+def markdown(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> str:
+    """A Markdown table of a small report; with ``limit`` a last line says how many rows are not shown."""
+    frame = df.select(*columns)
+    rows = (frame if limit is None else frame.limit(limit + 1)).collect()
+    more = limit is not None and len(rows) > limit
     cell = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+    lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in (rows[:limit] if more else rows))]
+    return "\n".join([*lines, f"_{df.count() - limit} more rows_"] if more else lines)
+
+
+EMBEDDINGS = "unit_id long, side string, label_code long, emb array<float>"
+
+
+def read_npz(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """Embedding rows (EMBEDDINGS) of .npz files with the arrays emb, exam_id, side and label_code.
+
+    Arrays are cast; emb must have two dimensions, and ``width`` columns if given. A file is one task's.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+    def load(batches):
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as z:
+                    emb = np.asarray(z["emb"], np.float32)
+                    if emb.ndim != 2 or (width is not None and emb.shape[1] != width):
+                        raise ValueError(f"{name}: emb has the shape {emb.shape}")
+                    yield pd.DataFrame({"unit_id": np.asarray(z["exam_id"]).astype(np.int64), "side": np.asarray(z["side"]).astype(str), "label_code": np.asarray(z["label_code"]).astype(np.int64), "emb": list(emb)})
+
+    return files.mapInPandas(load, EMBEDDINGS)
+
+
+def write_npz(df: DataFrame, path: str, **meta) -> None:
+    """Embedding rows as compressed .npz files, one a partition, with the meta data as JSON in each.
+
+    Parquet is the format for large sets; these files are for readers of NumPy. Files are rows of
+    (name, content) that the driver puts one at a time, so only one is in its memory.
+    """
+    text = json.dumps(meta, ensure_ascii=False, sort_keys=True)
+
+    def pack(batches):
+        rows = list(batches)
+        if rows:
+            b = pd.concat(rows)
+            out = io.BytesIO()
+            np.savez_compressed(out, emb=np.stack(b["emb"].to_numpy()).astype(np.float32), exam_id=b["unit_id"].to_numpy(np.int64), side=b["side"].to_numpy(str), label_code=b["label_code"].to_numpy(np.int64), meta=np.array(text))
+            yield pd.DataFrame({"name": [f"part-{TaskContext.get().partitionId():05d}.npz"], "content": [out.getvalue()]})
+
+    packed = df.select("unit_id", "side", "label_code", "emb").mapInPandas(pack, "name string, content binary")
+    for row in packed.toLocalIterator():
+        _put(df.sparkSession, f"{path.rstrip('/')}/{row['name']}", bytes(row["content"]))
+
+
+def read_xlsx(spark: SparkSession, path: str, columns: dict[str, str], optional: Sequence[str] = (), sheet: int = 1) -> DataFrame:
+    """A sheet of .xlsx files as text columns; ``columns`` maps names in its first row to those wanted.
+
+    Missing optional columns are empty texts, other missing ones raise. A workbook is one task's and read
+    with the standard library: shared and inline strings, numbers as written, blanks as nulls.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    schema = ", ".join(f"`{c}` string" for c in columns.values())
+
+    def load(batches):
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                head, *rows = sheet_rows(bytes(content), sheet) or [{}]
+                place = {v: k for k, v in head.items()}
+                if lost := [c for c in columns if c not in place and c not in optional]:
+                    raise ValueError(f"{name} lacks the columns {lost}")
+                yield pd.DataFrame({new: [r.get(place[old]) if old in place else "" for r in rows] for old, new in columns.items()}, dtype="object")
+
+    return files.mapInPandas(load, schema)
+
+
+def sheet_rows(content: bytes, sheet: int = 1) -> list[dict[str, str]]:
+    """Rows of a workbook's sheet as {column letters: text}; rows without cells are left out."""
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        strings = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            strings = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
+        out = []
+        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{space}row"):
+            cells = {}
+            for c in row.iter(f"{space}c"):
+                value = c.findtext(f"{space}v")
+                if c.get("t") == "s" and value is not None:
+                    value = strings[int(value)]
+                elif c.get("t") == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iter(f"{space}t"))
+                if value is not None:
+                    cells[re.match("[A-Z]+", c.get("r", "A"))[0]] = value
+            if cells:
+                out.append(cells)
+    return out
