@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import warnings
 from collections.abc import Iterable, Iterator
 
@@ -11,11 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernstone.scratch import scratch_root, written  # noqa: F401  the operators take them from here
+
 #: The surrogate key of the registered queries on synthetic tables. It is public, so anybody can undo its
 #: surrogates: a deployment sets KEY_SETTING to a secret of its own.
 KEY = b"registered-query-key"
 KEY_SETTING = "spark.quernstone.surrogate.key"
-_OWN: dict[str, str] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,35 +35,6 @@ def surrogate_key(spark: SparkSession) -> bytes:
     return secret.encode()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``.
-
-    Where that is unset a local session gets a temporary folder; on a cluster it is an error, as executors
-    would write to disks that others cannot read.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="quernstone-")
-    return _OWN[app]
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/quernstone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of narrow columns that are broadcast at most; a table beyond it is joined by sorting both sides.
-BROADCAST_ROWS = 1_000_000
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}
