@@ -10,7 +10,7 @@ are then compared word by word. Words are numbers, and the tables are sorted arr
 from __future__ import annotations
 
 import uuid
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -129,8 +129,7 @@ class Patterns:
             self.searches.append(WuManber(size, text, starts, owners))
 
     def numbers(self, text: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in text), np.int64, len(text))
+        return np.fromiter(map(self.vocabulary.get, text, repeat(-1)), np.int64, len(text))
 
     def found(self, text: list[bytes]) -> bool:
         """Whether any window occurs."""
