@@ -42,7 +42,7 @@ ALIASES = {
     "分泌性中耳炎vs胆固醇肉芽肿": "ome_vs_cholesterol_granuloma",
     "中耳胆脂瘤vs慢性化脓性中耳炎": "cholesteatoma_vs_csoma",
     "胆脂瘤vs其他异常": "cholesteatoma_vs_other_abnormal",
-}
+} | {"abnormal": "normal_vs_abnormal", "diseased": "normal_vs_diseased"}  # the last two are short names of our own
 
 
 def views_frame(spark, views: dict | None = None) -> DataFrame:
