@@ -67,20 +67,30 @@ def auroc(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return frame.groupBy(*by).agg(_auroc().alias("auroc"), F.max("all_pos").alias("pos"), F.max(_negatives()).alias("neg"))
 
 
-def average_precision(df: DataFrame, y: Column, score: Column, order: Column, by: Sequence[str] = (), parts: int = 32) -> DataFrame:
-    """Mean over the positives of the precision at their place, ties by ``order``, a number.
+def _cells(df: DataFrame, y: Column, score: Column, order: Column, by: Sequence[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows (by, y, score, o, part) and their counts (by, score, part, n, pos).
 
-    Ranks are two-level twice: sums over larger scores, and within a score sums over parts of the order
-    between approximate quantiles, so that a score of all rows is dealt to many tasks.
+    A part is a range of the order between approximate quantiles, so that a score of all rows is dealt to
+    many tasks. Both are written: the table is read once, and what follows reads narrow rows.
     """
-    rows = written(df.select(*by, y.cast("int").alias("y"), score.cast("double").alias("score"), order.cast("double").alias("o")).where("score IS NOT NULL"), "ranked")
-    cuts = rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 1000).alias("cuts"))
-    tagged = rows.withColumn("cuts", cuts.scalar()).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("o")))).drop("cuts")
-    cells = written(tagged.groupBy(*by, "score", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "cells")
-    scores = running_totals(cells.groupBy(*by, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), "score", ["n", "pos"], by)
+    rows = df.select(*by, y.cast("int").alias("y"), score.cast("double").alias("score"), order.cast("double").alias("o"))
+    rows = written(rows.where("y IS NOT NULL AND score IS NOT NULL"), "ranked")
+    cuts = rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 1000).alias("cuts")).first()["cuts"] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("o"))) if cuts else F.lit(0)
+    tagged = rows.withColumn("part", part)
+    return tagged, written(tagged.groupBy(*by, "score", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "cells")
+
+
+def _cell_frame(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The frame of ``score_frame`` from counts by score and part, written."""
+    counts = cells.groupBy(*by, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    return written(running_totals(counts, "score", ["n", "pos"], by, totals=True), "frame")
+
+
+def _placed_precision(tagged: DataFrame, cells: DataFrame, frame: DataFrame, by: Sequence[str]) -> DataFrame:
     ahead = Window.partitionBy(*by, "score").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = cells.select(*by, "score", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n1"), F.coalesce(F.sum("pos").over(ahead), F.lit(0)).alias("p1"))
-    before = inside.join(scores.select(*by, "score", (F.col("cum_n") - F.col("n")).alias("n0"), (F.col("cum_pos") - F.col("pos")).alias("p0")), [*by, "score"])
+    before = inside.join(frame.select(*by, "score", (F.col("cum_n") - F.col("n")).alias("n0"), (F.col("cum_pos") - F.col("pos")).alias("p0")), [*by, "score"])
     before = before.select(*by, F.col("score").alias("s2"), F.col("part").alias("part2"), (F.col("n0") + F.col("n1")).alias("n0"), (F.col("p0") + F.col("p1")).alias("p0"))
     w = Window.partitionBy(*by, "score", "part").orderBy("o")
     placed = tagged.withColumn("k", F.row_number().over(w)).withColumn("tp", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("y = 1")
@@ -88,6 +98,16 @@ def average_precision(df: DataFrame, y: Column, score: Column, order: Column, by
     return joined.groupBy(*by).agg(F.avg((F.col("p0") + F.col("tp")) / (F.col("n0") + F.col("k"))).alias("average_precision"), F.count(F.lit(1)).alias("pos"))
 
 
+def average_precision(df: DataFrame, y: Column, score: Column, order: Column, by: Sequence[str] = (), parts: int = 32) -> DataFrame:
+    """Mean over the positives of the precision at their place, ties by ``order``, a number.
+
+    Rows without label or score are left out. Ranks are two-level twice: sums over larger scores, and
+    within a score sums over parts of the order.
+    """
+    tagged, cells = _cells(df, y, score, order, by, parts)
+    return _placed_precision(tagged, cells, _cell_frame(cells, by), by)
+
+
 def _ratios(threshold: float) -> list[Column]:
     """Threshold and ratios from the columns tp, fp, tn and fn."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
@@ -169,13 +189,17 @@ def sensitivity_at(frame: DataFrame, specificity: float) -> DataFrame:
 
 
 def binary_metrics(df: DataFrame, y: Column, score: Column, order: Column, threshold: float = 0.5, specificity: float = 0.95) -> DataFrame:
-    """All binary metrics in one row: one aggregate over distinct scores, and the ranks of average precision."""
-    frame = score_frame(df, y, score)
+    """All binary metrics in one row: one aggregate over distinct scores, and the ranks of average precision.
+
+    Both come from the same counts, so ``df`` is read once. Rows without label or score are left out.
+    """
+    tagged, cells = _cells(df, y, score, order, (), 32)
+    frame = _cell_frame(cells, ())
     tp, fp = _at_least(threshold)
     hits, _ = _sensitivity(specificity)
     p, q = F.max("all_pos"), F.max(_negatives())
     row = frame.agg(_auroc().alias("auroc"), p.alias("pos"), q.alias("neg"), tp.alias("tp"), fp.alias("fp"), (q - fp).alias("tn"), (p - tp).alias("fn"), _best("f1").alias("best"), F.when((p > 0) & (q > 0), hits / p).alias("sens_at_spec"))
-    precise = average_precision(df, y, score, order).select("average_precision")
+    precise = _placed_precision(tagged, cells, frame, ()).select("average_precision")
     out = row.withColumn("average_precision", precise.scalar())
     return out.select("auroc", "pos", "neg", "average_precision", "tp", "fp", "tn", "fn", *_ratios(threshold), F.col("best.threshold").alias("best_f1_threshold"), (-F.col("best.against")).alias("best_f1"), "sens_at_spec")
 
@@ -184,8 +208,10 @@ def ovr_report(df: DataFrame, y: Column, probabilities: Column, classes: int, or
     """(class_id, support, auroc_ovr, auprc_ovr) of one class against the rest; null without both classes."""
     long = df.select(y.cast("int").alias("__y"), order.cast("double").alias("__o"), F.posexplode(F.slice(probabilities, 1, classes)).alias("class_id", "__p"))
     truth, by = F.col("__y") == F.col("class_id"), ["class_id"]
-    ranks = auroc(score_frame(long, truth, F.col("__p"), by), by).select("class_id", F.col("pos").alias("support"), F.col("auroc").alias("auroc_ovr"))
-    precise = average_precision(long, truth, F.col("__p"), F.col("__o"), by).select("class_id", F.col("average_precision").alias("auprc_ovr"))
+    tagged, cells = _cells(long, truth, F.col("__p"), F.col("__o"), by, 32)
+    frame = _cell_frame(cells, by)
+    ranks = auroc(frame, by).select("class_id", F.col("pos").alias("support"), F.col("auroc").alias("auroc_ovr"))
+    precise = _placed_precision(tagged, cells, frame, by).select("class_id", F.col("average_precision").alias("auprc_ovr"))
     return ranks.join(precise, "class_id", "left")
 
 
