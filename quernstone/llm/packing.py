@@ -9,6 +9,7 @@ that their rank within their length was given.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -46,7 +47,8 @@ class WordIds:
         self.runs: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
-        return np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def run(self, run: str) -> bytes:
         got = self.runs.get(run)
