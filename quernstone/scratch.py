@@ -32,4 +32,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quernstone/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more; what was derived from it is lost with it."""
+    _delete(table.sparkSession, table.scratch_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table of ``written`` in the shared folder: for the end of an application."""
+    _delete(spark, f"{scratch_root(spark)}/quernstone")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
