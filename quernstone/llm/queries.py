@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quernstone.llm import decontamination, license_scan, media, ngram_join, oracles, packing, pii, quality, sharding, token_counts, warc
+from quernstone.llm import centroids, decontamination, license_scan, media, merkle, ngram_join, oracles, packing, pii, quality, secret_scan, sharding, token_counts, warc
 from quernstone.llm.common import surrogate_key, tokenizer_path
 from quernstone.session import ship_package
 
@@ -90,8 +90,29 @@ def op9_quality_classifier(spark, table) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table("labels")))
 
 
+@query
+def op11_secret_scan(spark, table) -> DataFrame:
+    """Every document's secrets: the base rules, and what a network fitted on labelled findings adds."""
+    docs = table("documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
+@query
+def op12_merkle_manifest(spark, table) -> DataFrame:
+    """Every document's leaf, its proof, and whether a partly tampered copy still gives the root."""
+    return merkle.audit(table("documents"))
+
+
+@query
+def op13_centroid_clustering(spark, table) -> DataFrame:
+    """Every 64-component vector's cluster after three rounds with 16 centroids."""
+    return centroids.report(centroids.cluster(table("embeddings"), k=16, rounds=3, dims=64, scale=64))
+
+
 ORACLE["op1_license_scan"] = license_scan.oracle()
 ORACLE["op2_decontamination"] = oracles.DECONTAMINATION
 ORACLE["op7_ngram_jaccard_join"] = oracles.JACCARD
 ORACLE["op10_warc"] = oracles.WARC
+ORACLE["op12_merkle_manifest"] = oracles.MERKLE
+ORACLE["op13_centroid_clustering"] = oracles.CENTROIDS
 QUERIES["pipeline"] = corpus_pipeline.run
