@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -279,8 +282,8 @@ def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, repl
 
 
 BOOTSTRAPPED = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1", "sensitivity_at_spec", "specificity_at_spec")
-#: Replicates that a group's rows are copied for at a time, and the tasks these copies are dealt to.
-CHUNK, TASKS = 25, 64
+#: (group, score) rows a part, and weights that a block of rows is multiplied with at a time.
+PART_ROWS, BLOCK = 32_768, 2_000_000
 
 
 def poisson_steps() -> list[float]:
@@ -303,7 +306,43 @@ def poisson(u: Column) -> Column:
     return out.otherwise(len(steps))
 
 
-def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, replicates: int = 1000, seed: str = "0", threshold: float = 0.5, specificity: float = 0.95, level: float = 0.95, multiplicity: bool = True) -> DataFrame:
+def _replicated(rows: pa.Table, weights: dict, replicates: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Scores of a part in falling order with their rows and positives in every replicate, some scores at a time."""
+    score, n, pos = (rows.column(c).to_numpy() for c in ("score", "n", "pos"))
+    order = np.argsort(-score, kind="stable")
+    group = np.array([weights[g] for g in rows.column("g").to_pylist()])[order]
+    score, n, pos = score[order], n[order].astype(np.float64), pos[order].astype(np.float64)
+    table, step = weights[None], max(1, BLOCK // replicates)
+    held = None
+    for at in range(0, len(score), step):
+        s, w = score[at : at + step], table[group[at : at + step]].astype(np.float64)
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        many, positive = (np.add.reduceat(w * x[at : at + step, None], starts, axis=0) for x in (n, pos))
+        s = s[starts]
+        if held is not None:  # the last score of the block before may go on
+            if held[0][0] == s[0]:
+                many[0] += held[1][0]
+                positive[0] += held[2][0]
+            else:
+                yield held
+        if len(s) > 1:
+            yield s[:-1], many[:-1], positive[:-1]
+        held = s[-1:], many[-1:], positive[-1:]
+    if held is not None:
+        yield held
+
+
+def _weights_of(table: pa.Table, replicates: int) -> dict:
+    """Places of groups in a matrix of their weights, which is under None."""
+    drawn = table.filter(pc.is_valid(table.column("g"))).combine_chunks()
+    at: dict = {g: i for i, g in enumerate(drawn.column("g").to_pylist())}
+    w = drawn.column("w").combine_chunks()
+    flat = pa.concat_arrays([c.flatten() for c in (w.chunks if isinstance(w, pa.ChunkedArray) else [w])])
+    at[None] = flat.to_numpy(zero_copy_only=False).reshape(-1, replicates)
+    return at
+
+
+def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, replicates: int = 1000, seed: str = "0", threshold: float = 0.5, specificity: float = 0.95, level: float = 0.95, multiplicity: bool = True, part_rows: int = PART_ROWS) -> DataFrame:
     """(metric, mean, low, high, replicates) of the eight binary metrics over replicates of whole groups.
 
     A group's weight in a replicate is Poisson(1), read off md5(seed:replicate:group), or with
@@ -312,31 +351,86 @@ def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, re
     precision. The threshold at a specificity is as in ``sensitivity_at``, but a single negative is never
     given up. A replicate without positives has no auroc and auprc, one without negatives no auroc and no
     metric at a specificity; ``replicates`` counts those with a value. Other ratios over nothing are 0.
+
+    All replicates have the same order of scores, so rows are dealt by score once, into parts of counted size, and
+    never copied for a replicate: a part weighs its rows for all replicates in blocks. A group's weights go to the
+    parts that it has rows in. Parts meet through their inner sums and through their first and last scores, which
+    they may share, with a number for each replicate; then each part adds up its inner scores behind what is before it.
     """
     if replicates < 1:
         raise ValueError("a replicate is required")
-    base = df.select(group.cast("string").alias("g"), y.cast("int").alias("y"), score.cast("double").alias("score")).where("y IS NOT NULL AND score IS NOT NULL")
-    base = base.groupBy("g", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).groupBy("g").agg(F.collect_list(F.struct("score", "n", "pos")).alias("rows"))
-    chunks = base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // CHUNK)))).repartition(TASKS, "chunk", F.pmod(F.xxhash64("g"), F.lit(8)))
-    rep = chunks.withColumn("r", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.lit(replicates), (F.col("chunk") + 1) * CHUNK))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("r"), F.col("g"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = poisson(F.col("u")) if multiplicity else F.least(poisson(F.col("u")), F.lit(1))
-    drawn = rep.withColumn("u", u).withColumn("w", weight).where("w > 0").select("r", "w", F.inline("rows"))
-    drawn = drawn.groupBy("r", "score").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("pos") * F.col("w")).alias("pos"))
+    base = df.select(group.cast("string").alias("g"), y.cast("int").alias("y"), F.nanvl(score.cast("double"), F.lit(float("inf"))).alias("score")).where("y IS NOT NULL AND score IS NOT NULL")
+    base = written(base.groupBy(F.coalesce("g", F.lit("")).alias("g"), "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "bootstrap")
+    parts = max(1, -(-base.count() // part_rows))
+    placed = written(base.repartitionByRange(parts, F.desc("score"), "g").withColumn("part", F.spark_partition_id()), "bootstrap")
+    drawn = lambda r: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), r, F.col("g"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = lambda r: poisson(drawn(r)) if multiplicity else F.least(poisson(drawn(r)), F.lit(1))
+    draws = written(base.select("g").distinct().select("g", F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: weight(r).cast("tinyint")).alias("w")), "weights")
+    sent = written(placed.select("part", "g").distinct().join(draws, "g").select("part", "g", "w", F.lit(None).cast("array<double>").alias("before")), "sent")
+
+    def ends(rows: pa.Table, weights: pa.Table) -> pa.Table:
+        part, first, last, top, inner = rows.column("part")[0].as_py(), None, None, None, np.zeros((2, replicates))
+        for s, n, p in _replicated(rows, _weights_of(weights, replicates), replicates):
+            at = 0
+            if first is None:
+                first, at = (s[0], n[0], p[0]), 1
+            if at == len(s):
+                continue
+            if last is not None:
+                top = last[0] if top is None else top
+                inner += [last[1], last[2]]
+            if len(s) - 1 > at:
+                top = s[at] if top is None else top
+                inner += [n[at:-1].sum(0), p[at:-1].sum(0)]
+            last = (s[-1], n[-1], p[-1])
+        rows_ = [(part, e[0], True, e[1], e[2]) for e in (first, last) if e is not None] + ([(part, top, False, *inner)] if top is not None else [])
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), pa.array([float(r[1]) for r in rows_]), pa.array([r[2] for r in rows_]), pa.array([r[3] for r in rows_], pa.list_(pa.float64())), pa.array([r[4] for r in rows_], pa.list_(pa.float64()))], ["part", "score", "edge", "n", "pos"])
+
+    segments = placed.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(ends, "part int, score double, edge boolean, n array<double>, pos array<double>")
+    long = written(segments.select("part", "score", "edge", F.posexplode(F.arrays_zip("n", "pos")).alias("r", "x")).select("part", "score", "edge", "r", "x.n", "x.pos"), "segments")
+    # A score that several parts share is one step; an inner sum lies between two scores of its part.
+    met = long.groupBy("r", "score", "edge").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("part").alias("part"))
     whole = Window.partitionBy("r")
     w = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    frame = drawn.withColumns({"cum_n": F.sum("n").over(w), "cum_pos": F.sum("pos").over(w)}).withColumn("neg", F.col("n") - F.col("pos"))
-    frame = frame.withColumn("q", F.sum("neg").over(whole)).withColumn("k", F.floor((1 - specificity) * F.col("q") + 1e-9))
-    frame = frame.withColumns({"kth": F.max(F.when(F.col("cum_n") - F.col("cum_pos") >= F.greatest(F.col("k"), F.lit(1)), F.col("score"))).over(whole), "lowest": F.min(F.when(F.col("neg") > 0, F.col("score"))).over(whole)})
-    over = F.when(F.col("k") >= F.col("q"), F.col("score") >= F.col("lowest")).otherwise(F.col("score") > F.col("kth"))
-    held = lambda c, hit: F.sum(F.when(hit, F.col(c)).otherwise(0))
-    at = F.col("score") >= threshold
-    below = F.col("cum_n") - F.col("cum_pos")
-    wins = F.sum(F.col("pos") * (F.col("neg") / 2.0) - F.col("pos") * below)
-    sums = frame.groupBy("r").agg(
-        F.sum("pos").alias("p"), F.sum("neg").alias("q"), wins.alias("wins"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("steps"),
-        held("pos", at).alias("tp"), held("neg", at).alias("fp"), held("pos", over).alias("tp2"), held("neg", over).alias("fp2"),
-    )
+    frame = written(met.withColumns({"cum_n": F.sum("n").over(w), "cum_pos": F.sum("pos").over(w), "p": F.sum("pos").over(whole), "q": F.sum(F.col("n") - F.col("pos")).over(whole)}), "steps")
+    before = frame.where("NOT edge").select("part", "r", (F.col("cum_n") - F.col("n")).alias("cn"), (F.col("cum_pos") - F.col("pos")).alias("cp"), "q").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("r", "cn", "cp", "q"))).alias("b"))
+    before = before.select("part", F.lit(None).cast("string").alias("g"), F.lit(None).cast("array<tinyint>").alias("w"), F.concat(F.col("b.cn"), F.col("b.cp"), F.col("b.q")).alias("before"))
+    sums = ("wins", "steps", "tp", "fp", "tp2", "fp2")
+
+    def inside(rows: pa.Table, given: pa.Table) -> pa.Table:
+        out = np.zeros((len(sums), replicates))
+        b = [x for x in given.column("before").to_pylist() if x is not None]
+        if b:
+            cn, cp, q = np.array(b[0]).reshape(3, replicates)
+            k = np.floor((1 - specificity) * q + 1e-9)
+            low, high = rows.column("score").to_numpy().min(), rows.column("score").to_numpy().max()
+            for s, n, p in _replicated(rows, _weights_of(given, replicates), replicates):
+                at = (s > low) & (s < high)
+                s, n, p = s[at], n[at], p[at]
+                if not len(s):
+                    continue
+                neg, upto, ahead = n - p, cn + np.cumsum(n, 0), cp + np.cumsum(p, 0)
+                below = upto - ahead
+                over = np.where(k >= q, below - neg < q, below < np.maximum(k, 1))
+                hit = (s >= threshold)[:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    step = np.where(p > 0, p * ahead / upto, 0)
+                out += [(p * (neg / 2) - p * below).sum(0), step.sum(0), (p * hit).sum(0), (neg * hit).sum(0), (p * over).sum(0), (neg * over).sum(0)]
+                cn, cp = upto[-1], ahead[-1]
+        return pa.Table.from_arrays([pa.array([list(x)], pa.list_(pa.float64())) for x in out], list(sums))
+
+    given = sent.unionByName(before)
+    inner = placed.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(inside, ", ".join(f"{c} array<double>" for c in sums))
+    inner = inner.select(F.posexplode(F.arrays_zip(*sums)).alias("r", "x")).select("r", "x.*")
+    neg, below = F.col("n") - F.col("pos"), F.col("cum_n") - F.col("cum_pos")
+    k = F.floor((1 - specificity) * F.col("q") + 1e-9)
+    over = F.when(k >= F.col("q"), below - neg < F.col("q")).otherwise(below < F.greatest(k, F.lit(1)))
+    hit = F.col("score") >= threshold
+    held = lambda c, at: F.when(at, c).otherwise(0.0)
+    edges = frame.where("edge").select("r", (F.col("pos") * (neg / 2.0) - F.col("pos") * below).alias("wins"), F.when(F.col("pos") > 0, F.col("pos") * F.col("cum_pos") / F.col("cum_n")).otherwise(0.0).alias("steps"), held(F.col("pos"), hit).alias("tp"), held(neg, hit).alias("fp"), held(F.col("pos"), over).alias("tp2"), held(neg, over).alias("fp2"))
+    added = edges.unionByName(inner).groupBy("r").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = frame.groupBy(F.col("r").alias("__r")).agg(F.max("p").alias("p"), F.max("q").alias("q"))
+    done = added.join(totals, F.col("r") == F.col("__r")).where("p + q > 0")
     p, q, tp, fp = (F.col(c) for c in ("p", "q", "tp", "fp"))
     precision, recall = safe_div(tp, tp + fp), safe_div(tp, p)
     values = {
@@ -349,6 +443,6 @@ def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, re
         "sensitivity_at_spec": F.when(q > 0, safe_div(F.col("tp2"), p)),
         "specificity_at_spec": F.when(q > 0, safe_div(q - F.col("fp2"), q)),
     }
-    long = sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), values[m].cast("double").alias("value")) for m in BOOTSTRAPPED])))
+    long = done.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), values[m].cast("double").alias("value")) for m in BOOTSTRAPPED])))
     a = (1 - level) / 2
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(a)).alias("low"), F.percentile("value", F.lit(1 - a)).alias("high"), F.count("value").alias("replicates"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import scalar as S
 from quernstone.operators import metrics as M
+from quernstone.operators import nearest as N
 from quernstone.operators import ordered as O
 from quernstone.operators import relational as R
 from quernstone.operators import vectors as V
@@ -154,7 +155,7 @@ def few_shot_report(train: DataFrame, val: DataFrame, key: str, unit: str, vecto
     a, b = (written(V.with_codes(d, code, [*pos, *neg]).withColumn("y_true", label), "few-shot") for d in (train, val))
     protos = written(V.prototypes(a, "y_true", vector), "prototypes")
     scores = V.contrast_scores(b, protos, key, vector, label="y_true").withColumn("y_prob", S.sigmoid(F.round("score", 9), temperature))
-    near = V.neighbours(b.select(key, vector), a.select(key, vector), key, vector, k, skip_self=False).join(a.select(F.col(key).alias("neighbour"), F.col(code)), "neighbour")
+    near = N.neighbours(b.select(key, vector), a.select(key, vector), key, vector, k, skip_self=False).join(a.select(F.col(key).alias("neighbour"), F.col(code)), "neighbour")
     lists = near.groupBy("query").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour", code, "sim"))), lambda s: F.struct(s["neighbour"].alias("id"), s[code].alias("code"), s["sim"].alias("sim")))).alias("neighbours"))
     rows = written(b.drop(vector).join(scores, key).join(lists, F.col(key) == F.col("query"), "left").drop("query").withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")), "scored")
     return {"rows": rows, "metrics": M.binary_metrics(rows, F.col("y_true"), F.col("y_prob"), F.col(key)), "intervals": M.bootstrap_metrics(rows, F.col("y_true"), F.col("y_prob"), F.col(unit), replicates, seed)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.metrics import running_totals
 from quernstone.operators.relational import complement, drop_units, mask_codes
-from quernstone.scratch import written
+from quernstone.scratch import discard, written
 
 
 def hashed(key: Column, seed: str = "0") -> Column:
@@ -79,80 +79,117 @@ def downsample(df: DataFrame, key: str, label: str, ratio: float, least: int = 1
     return placed.where(F.col("__rank") <= F.least(F.col("__n"), F.greatest(F.lit(least), F.bround(F.col("__n") * ratio)))).drop("__n", "__rank")
 
 
-def greedy_quota(rows: Iterable[tuple], quotas: dict) -> list:
-    """Ids picked so that each class reaches its quota: classes take turns until none can go on.
+def quotas_of(counts: dict, ratio: float, least: int = 1) -> dict:
+    """Rows wanted of each class: min(n, max(least, round half even(ratio * n)))."""
+    return {c: min(n, max(least, round(ratio * n))) for c, n in counts.items() if n > 0}
 
-    ``rows`` are (id, labels) in order; a pick counts for all its labels.
+
+def greedy_quota(rows: Iterable[tuple], quotas: dict, orders: dict | None = None) -> list:
+    """Ids in the order in which they are picked so that each class reaches its quota: the plain form of ``quota_select``.
+
+    ``rows`` are (id, labels), a label that counts twice given twice. Classes take turns in ascending order: a class
+    under its quota picks its next id that nobody has, in its order of ``orders``, else in that of the rows,
+    and a pick counts for all its labels. It ends when no class can go on.
     """
-    waiting: dict = {c: [] for c in quotas}
-    labels = {}
-    for key, ls in rows:
-        labels[key] = [x for x in ls if x in quotas]
-        for c in dict.fromkeys(labels[key]):
-            waiting[c].append(key)
-    have, at, picked = dict.fromkeys(quotas, 0), dict.fromkeys(quotas, 0), {}
-    moved = True
+    labels = dict(rows)
+    orders = {c: [k for k, ls in labels.items() if c in ls] for c in quotas} if orders is None else orders
+    waiting, have, picked, moved = {c: iter(orders[c]) for c in quotas}, dict.fromkeys(quotas, 0), {}, True
     while moved:
         moved = False
         for c in sorted(quotas):
-            while have[c] < quotas[c] and at[c] < len(waiting[c]):
-                key = waiting[c][at[c]]
-                at[c] += 1
-                if key not in picked:
-                    picked[key] = True
-                    for x in labels[key]:
-                        have[x] += 1
-                    moved = True
-                    break
+            key = next((k for k in waiting[c] if k not in picked), None) if have[c] < quotas[c] else None
+            if key is not None:
+                picked[key] = moved = True
+                for x in labels[key]:
+                    have[x] = have.get(x, 0) + 1
     return list(picked)
 
 
-def pattern_quota(patterns: Sequence[tuple[tuple, int]], quotas: dict) -> dict[tuple, int]:
-    """Rows to take of each label pattern so that each class reaches its quota.
+#: Places of a class that are counted in one task, and cells of a histogram that finds where a class stops.
+RUN, CELLS = 65_536, 2_048
+NEVER = 1 << 62
+
+
+def _stops(picks: DataFrame, quotas: list[int]) -> list[int]:
+    """For each class the turn at which its picked labels reach its quota, NEVER where they do not.
 
-    ``patterns`` are (labels, rows). Greedy as ``greedy_quota``: classes take turns for one row; a class
-    that still lacks rows takes from the pattern that adds least beyond the quotas, then from
-    the one with the most rows left, then the first.
+    ``picks`` has cls, tau and mult. Histograms of falling cell width, of CELLS cells a class at most, narrow the
+    turn down; the driver sees counts of cells only.
     """
-    sets = {p: {c: p.count(c) for c in dict.fromkeys(p) if c in quotas} for p, _ in patterns}
-    left, have, take = dict(patterns), dict.fromkeys(quotas, 0), {p: 0 for p, _ in patterns}
-    moved = True
-    while moved:
-        moved = False
-        for c in sorted(quotas):
-            if have[c] >= quotas[c]:
+    last = picks.agg(F.max("tau")).first()[0]
+    span = 1 if last is None else last + 1
+    low, before, width = [0] * len(quotas), [0] * len(quotas), -(-span // CELLS)
+    done = [q <= 0 for q in quotas]
+    while True:
+        bounds = picks.sparkSession.createDataFrame([(c, low[c]) for c in range(len(quotas)) if not done[c]], "__c int, __low long")
+        near = picks.join(F.broadcast(bounds), F.col("cls") == F.col("__c")).where((F.col("tau") >= F.col("__low")) & (F.col("tau") < F.col("__low") + width * CELLS))
+        cells: dict = {}
+        for r in near.groupBy("cls", F.expr(f"(tau - __low) div {width}").alias("cell")).agg(F.sum("mult").alias("n")).collect():
+            cells.setdefault(r["cls"], []).append((r["cell"], r["n"]))
+        for c in range(len(quotas)):
+            if done[c]:
                 continue
-            able = [p for p in sets if c in sets[p] and left[p] > 0]
-            if not able:
-                continue
-            best = min(able, key=lambda p: (sum(max(0, have[x] + m - quotas[x]) for x, m in sets[p].items()), -left[p], p))
-            # Rows that can go at once: far fewer than fill a class of the pattern.
-            room = min([left[best]] + [(quotas[x] - have[x]) // m for x, m in sets[best].items() if have[x] < quotas[x]])
-            k = max(1, room // (2 * len(quotas)))
-            left[best], take[best], moved = left[best] - k, take[best] + k, True
-            for x, m in sets[best].items():
-                have[x] += m * k
-    return take
-
-
-def quota_select(df: DataFrame, key: str, labels: Column, ratio: float, seed: str = "0") -> DataFrame:
-    """Keys picked by greedy quotas of max(1, round half even(ratio * n)) a class over all rows.
-
-    A label counts as often as a row has it. Rows with the same labels are alike to the quotas, so the
-    fold runs over their counts on the driver, and of each the first rows in hashed order are taken. The
-    number of label patterns is bounded by the classes, not by the rows. Null labels count for nothing.
+            for cell, n in sorted(cells.get(c, [])):
+                if before[c] + n >= quotas[c]:
+                    low[c] += cell * width
+                    break
+                before[c] += n
+            else:
+                low[c], done[c] = NEVER, True
+        if width == 1 or all(done):
+            return [-1 if q <= 0 else x for q, x in zip(quotas, low, strict=True)]
+        width = -(-width // CELLS)
+
+
+def quota_select(df: DataFrame, key: str, labels: Column, ratio: float, seed: str = "0", least: int = 1) -> DataFrame:
+    """Keys picked by the greedy of ``greedy_quota`` with ``quotas_of``, each class in a hashed order of its own.
+
+    A label counts as often as a row has it; null labels, null keys and rows without labels are never picked, and a
+    repeated key counts once, with its first labels in sorted order. A ratio of 1 or more picks every key.
+
+    Round r of class number c is turn r * classes + c. A class would reach a key at the round that is the number of
+    keys before it that the class picked itself, and a key goes to the class that reaches it at the earliest turn not
+    after the class's stop, the turn at which its quota is full. Who reaches a key first depends on earlier turns
+    alone, so there is one solution, and recomputing all turns from the last one settles at least
+    one more turn each time; in practice some dozens of times settle any table, as two classes' orders are
+    independent. Each time is one pass over narrow rows: counts inside runs of places, offsets of runs, and the
+    least turn of each key. Passes are written tables, of which the last two exist at most.
     """
-    rows = df.select(F.col(key), F.array_sort(F.array_compact(labels)).alias("__p")).where("size(__p) > 0")
-    counts = sorted((tuple(r["__p"]), r["n"]) for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
-    n: dict = {}
-    for p, m in counts:
-        for c in p:
-            n[c] = n.get(c, 0) + m
-    take = pattern_quota(counts, {c: max(1, round(ratio * m)) for c, m in n.items()})
-    kind = rows.schema["__p"].dataType.simpleString()
-    wanted = df.sparkSession.createDataFrame([(list(p), k) for p, k in take.items() if k], f"__q {kind}, __k long")
-    placed = place_in_stratum(rows, key, F.to_json("__p"), seed)
-    return placed.join(F.broadcast(wanted), F.col("__p") == F.col("__q")).where(F.col("__rank") <= F.col("__k")).select(key)
+    if ratio >= 1:
+        return df.where(F.col(key).isNotNull()).select(key).distinct()
+    rows = df.select(F.col(key).alias("k"), F.array_sort(F.array_compact(labels)).alias("ls")).where("k IS NOT NULL AND size(ls) > 0").groupBy("k").agg(F.min("ls").alias("ls"))
+    each = written(rows.select("k", F.explode("ls").alias("label")).groupBy("k", "label").agg(F.count(F.lit(1)).alias("mult")), "labels")
+    counts = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.sum("mult").alias("n")).collect()}
+    quotas, classes = quotas_of(counts, ratio, least), sorted(counts)
+    kind, many = each.schema["label"].dataType.simpleString(), len(classes)
+    if not classes:
+        return df.select(key).limit(0)
+    numbers = df.sparkSession.createDataFrame(list(enumerate(classes)), f"cls int, __l {kind}")
+    placed = place_in_stratum(each.join(F.broadcast(numbers), F.col("label") == F.col("__l")).select("k", "cls", "mult", F.concat_ws(":", "cls", "k").alias("o")), "o", F.col("cls"), seed)
+    owners = Window.partitionBy("k")
+    state = written(placed.select("k", "cls", "mult", (F.col("__rank") - 1).cast("long").alias("place"), F.lit(0).alias("lost"), F.lit(0).cast("long").alias("tau")).withColumn("shared", F.count(F.lit(1)).over(owners) > 1), "quota")
+    stops, wanted = [NEVER] * many, [quotas.get(c, 0) for c in classes]
+    while True:
+        runs = state.withColumn("run", F.expr(f"place div {RUN}"))
+        w = Window.partitionBy("cls").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = runs.groupBy("cls", "run").agg(F.sum("lost").alias("n")).select(F.col("cls").alias("__c"), F.col("run").alias("__r"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
+        inside = F.coalesce(F.sum("lost").over(Window.partitionBy("cls", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        turned = runs.withColumn("inside", inside).join(offsets, (F.col("cls") == F.col("__c")) & (F.col("run") == F.col("__r")))
+        turn = (F.col("place") - F.col("inside") - F.col("off")) * many + F.col("cls")
+        stop = F.element_at(F.array(*[F.lit(x).cast("long") for x in stops]), F.col("cls") + 1)
+        turned = turned.select("k", "cls", "mult", "place", "shared", F.col("lost").alias("was"), F.when(turn <= stop, turn).otherwise(F.lit(NEVER)).alias("turn"))
+        # Only keys of several classes meet; the others are their class's own.
+        several = turned.where("shared").withColumn("tau", F.min("turn").over(owners))
+        both = several.unionByName(turned.where("NOT shared").withColumn("tau", F.col("turn")))
+        nxt = written(both.select("k", "cls", "mult", "place", "shared", "was", "tau", (F.col("turn") > F.col("tau")).cast("int").alias("lost")), "quota")
+        picks = nxt.where(F.col("tau") < NEVER)
+        changed = picks.where("was <> lost").limit(1).count()
+        found = _stops(picks.select("cls", "tau", "mult"), wanted)
+        discard(state)
+        state = nxt
+        if not changed and found == stops:
+            return picks.select(F.col("k").alias(key)).distinct()
+        stops = found
 
 
 def uniform(seed: str, i: Column) -> Column:
@@ -180,11 +217,11 @@ def weighted_draw(df: DataFrame, key: str, weight: str, n: int, seed: str = "0",
     return met.groupBy(F.col("__at").alias(key)).agg(F.count(F.lit(1)).alias("draws"))
 
 
-def sub_split(df: DataFrame, key: str, labels: Column, percent: int, split: str = "split", train: str = "train", seed: str = "0") -> DataFrame:
-    """A smaller split of a whole one: training rows picked by quotas of ``percent``, all others kept."""
+def sub_split(df: DataFrame, key: str, labels: Column, percent: int, split: str = "split", train: str = "train", seed: str = "0", least: int = 1) -> DataFrame:
+    """A smaller split of a whole one: training rows picked by quotas of ``percent``, at least ``least`` a class, all others kept."""
     if not 0 < percent <= 100:
         raise ValueError(f"{percent} is not a percentage above 0")
-    picked = quota_select(df.where(F.col(split) == train), key, labels, percent / 100, seed)
+    picked = quota_select(df.where(F.col(split) == train), key, labels, percent / 100, seed, least)
     return df.where(F.col(split) != train).unionByName(df.where(F.col(split) == train).join(picked, key, "left_semi").select(*df.columns))
 
 

@@ -1,10 +1,14 @@
-"""Vectors as arrays: norms, cosine neighbours in blocks, prototypes, recall."""
+"""Vectors as arrays: norms, prototypes, pooling, recall. Comparison of all pairs is in ``nearest``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.scratch import sided, written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,31 +20,32 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, blocks: int = 16, skip_self: bool = True) -> DataFrame:
-    """The k most similar base rows of each query by cosine, exact; the smaller id first on ties.
-
-    The queries are a stated set: they are cut into blocks, and a block is joined with all base rows
-    through an equal block number, so a task compares one block with one part of the base and keeps the
-    best k of each query before anything is shuffled again.
-    """
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("qv")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    b = base.select(F.col(key).alias("neighbour"), unit(F.col(vector)).alias("bv")).withColumn("part", F.pmod(F.xxhash64("neighbour"), F.lit(blocks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = q.join(b, "block")
-    if skip_self:
-        pairs = pairs.where("query <> neighbour")
-    sims = pairs.select("query", "neighbour", "part", F.round(dot(F.col("qv"), F.col("bv")), 6).alias("sim"))
-    near = F.row_number().over(Window.partitionBy("query", "part").orderBy(F.desc("sim"), "neighbour"))
-    kept = sims.withColumn("r", near).where(F.col("r") <= k).drop("r", "part")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour"))).where(F.col("rank") <= k)
+def mean_of(v: Column) -> Column:
+    """Aggregate: the mean of vectors, as an array; one buffer of the vectors' width a group, no row a position."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.transform(v, lambda x: x.cast("double")))))
 
 
 def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, prototype): the normalised mean of each class's normalised vectors."""
-    long = df.select(label, F.posexplode(unit(F.col(vector))).alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("x"))
-    mean = long.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
+    mean = df.where(F.col(vector).isNotNull()).groupBy(label).agg(mean_of(unit(F.col(vector))).alias("mean"))
     return mean.select(label, unit(F.col("mean")).alias("prototype"))
 
 
+def zscore_distance(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
+    """(key, distance): the length of each row's vector of z-scores by position in its group.
+
+    Deviations are of the population, below 1e-6 they count as 1. A group's moments are one row with two arrays;
+    rows without a group or a vector take no part.
+    """
+    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(key, group, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    m = rows.groupBy(group).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("v")).alias("m"))
+    population = F.transform(vector_to_array("m.variance"), lambda x: F.sqrt(F.greatest(F.lit(0.0), x * (F.col("m.count") - 1) / F.col("m.count"))))
+    moments = m.select(F.col(group).alias("__g"), vector_to_array("m.mean").alias("mean"), F.transform(population, lambda d: F.when(d < 1e-6, 1.0).otherwise(d)).alias("deviation"))
+    joined = rows.join(sided(written(moments, "moments"), 100_000), F.col(group) == F.col("__g"))
+    z = F.zip_with(F.zip_with("v", "mean", lambda x, y: x - y), "deviation", lambda x, d: x / d)
+    return joined.select(key, F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, x: s + x * x)).alias("distance"))
+
+
 def prototype_scores(df: DataFrame, protos: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """(key, class, score): cosine of every row with every class prototype; classes are few."""
     classes = protos.select(F.collect_list(F.struct(F.col(label).alias("class"), F.col("prototype"))).alias("ps"))
@@ -67,39 +72,12 @@ def projection(v: Column, width: int, out: int, seed: str = "0") -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.aggregate(F.transform(F.slice(v, 1, width), lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x) / float(out) ** 0.5)
 
 
-def first_match_ranks(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, blocks: int = 16) -> DataFrame:
-    """(query, true_rank): the place of the first base row with the query's label among all, by similarity.
-
-    The queries are a stated set in blocks. The best row of the same label is found first, then the rows that
-    come before it are counted; neither step ranks or keeps pairs. The smaller id is first on ties.
-    """
-    q = queries.select(F.col(key).alias("query"), F.col(label).alias("ql"), unit(F.col(vector)).alias("qv")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    b = base.select(F.col(key).alias("neighbour"), F.col(label).alias("bl"), unit(F.col(vector)).alias("bv")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    place = F.struct((-F.round(dot(F.col("qv"), F.col("bv")), 6)).alias("far"), F.col("neighbour").alias("id"))
-    pairs = q.join(b, "block").where("query <> neighbour").select("query", place.alias("place"), (F.col("ql") == F.col("bl")).alias("same"))
-    best = pairs.where("same").groupBy("query").agg(F.min("place").alias("best")).withColumnRenamed("query", "q2")
-    counted = q.join(best, F.col("query") == F.col("q2")).drop("q2").join(b, "block").where("query <> neighbour")
-    return counted.groupBy("query").agg((F.count_if(place < F.col("best")) + 1).alias("true_rank"))
-
-
 def recall(ranks: DataFrame, ks) -> DataFrame:
     """(k_requested, recall): the share of queries whose true rank is within k; larger k than rows count as all."""
     long = ranks.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k_requested"), "true_rank")
     return long.groupBy("k_requested").agg(F.round(F.avg((F.col("true_rank") <= F.col("k_requested")).cast("int")), 6).alias("recall"))
 
 
-def paired_ranks(a: DataFrame, b: DataFrame, key: str, va: str, vb: str, blocks: int = 16) -> DataFrame:
-    """(query, true_rank) of the rows of ``a`` among all rows of ``b``, whose match has the same key.
-
-    1 + the rows of ``b`` that are more similar than the match, counted by a partial aggregate; equal ones
-    count for the query. Called with the sides changed it is the other direction. ``a`` is a stated query set.
-    """
-    q = a.select(F.col(key).alias("query"), unit(F.col(va)).alias("qv")).join(b.select(F.col(key).alias("query"), unit(F.col(vb)).alias("mv")), "query")
-    q = q.select("query", "qv", F.round(dot(F.col("qv"), F.col("mv")), 9).alias("match")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    rows = b.select(unit(F.col(vb)).alias("bv")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return q.join(rows, "block").groupBy("query").agg((F.count_if(F.round(dot(F.col("qv"), F.col("bv")), 9) > F.col("match")) + 1).alias("true_rank"))
-
-
 def with_codes(df: DataFrame, code: str, codes) -> DataFrame:
     """Rows with a listed code; an empty list filters nothing."""
     return df.where(F.col(code).isin(*codes)) if codes else df
@@ -130,39 +108,9 @@ def prototype_drift(protos: DataFrame, initial: DataFrame, label: str, frozen=()
     return both.agg(F.coalesce(F.avg(square), F.lit(0.0)).alias("drift"), F.count(F.lit(1)).alias("classes"))
 
 
-def token_similarity(queries: DataFrame, tokens: DataFrame, query: str, owner: str, vector: str) -> DataFrame:
-    """(query, owner, sim): the largest cosine of a query with any token of each owner.
-
-    ``queries`` are few and a stated set: they are one array beside every token, and the largest values meet
-    in partial aggregates.
-    """
-    qs = queries.agg(F.array_sort(F.collect_list(F.struct(F.col(query).alias("query"), unit(F.col(vector)).alias("v")))).alias("qs"))
-    rows = tokens.select(owner, unit(F.col(vector)).alias("t")).withColumn("qs", qs.scalar())
-    sims = rows.select(owner, F.inline(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), dot(q["v"], F.col("t")).alias("s")))))
-    return sims.groupBy("query", owner).agg(F.max("s").alias("sim"))
-
-
 def mean_vectors(df: DataFrame, unit_key: str, vector: str) -> DataFrame:
-    """(unit, mean): the mean of the vectors of each unit's parts."""
-    long = df.select(unit_key, F.posexplode(vector).alias("pos", "x")).groupBy(unit_key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return long.groupBy(unit_key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-
-
-def contrastive_loss(a: DataFrame, b: DataFrame, key: str, va: str, vb: str, temperature: float, blocks: int = 16) -> DataFrame:
-    """One row: the symmetric InfoNCE loss of a batch, whose pairs have the same key; batches are small by nature."""
-    if temperature <= 0:
-        raise ValueError("temperature must be positive")
-
-    def side(p: DataFrame, q: DataFrame, vp: str, vq: str) -> DataFrame:
-        left = p.select(F.col(key).alias("i"), unit(F.col(vp)).alias("x")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-        right = q.select(F.col(key).alias("j"), unit(F.col(vq)).alias("y")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        logits = left.join(right, "block").select("i", "j", (dot(F.col("x"), F.col("y")) / temperature).alias("z"))
-        # Cosines are at most 1, so this shift is safe for every row.
-        row = logits.groupBy("i").agg((F.ln(F.sum(F.exp(F.col("z") - 1 / temperature))) + 1 / temperature).alias("total"), F.max(F.when(F.col("i") == F.col("j"), F.col("z"))).alias("own"))
-        return row.agg(F.avg(F.col("total") - F.col("own")).alias("loss"))
-
-    rows = side(a, b, va, vb).unionByName(side(b, a, vb, va))
-    return rows.agg(F.avg("loss").alias("loss"))
+    """(unit, mean): the mean of the vectors of each unit's parts; null vectors do not count."""
+    return df.where(F.col(vector).isNotNull()).groupBy(unit_key).agg(mean_of(F.col(vector)).alias("mean"))
 
 
 def pair_loss(pairs: DataFrame, left: str, right: str, left_label: str, right_label: str, normal: int, most: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import scalar as S
 from quernstone.operators import metrics as M
+from quernstone.operators import nearest as N
 from quernstone.operators import ordered as O
 from quernstone.operators import relational as R
 from quernstone.operators import splits as X
@@ -101,14 +102,14 @@ v AS (SELECT unnest([{{'m': 'auroc', 'v': (wins + p * q) / (p * q)}}, {{'m': 'au
 SELECT x.m AS metric, round(avg(x.v), 6) AS mean, round(quantile_cont(x.v, 0.025), 6) AS low, round(quantile_cont(x.v, 0.975), 6) AS high, count(*) AS replicates FROM v GROUP BY 1"""
 
 
-@query(_BOOT)
+@query(_BOOT, python=True)
 def bootstrap_metrics_by_user(table):
     """All eight metrics over 1000 replicates of whole users."""
     out = M.bootstrap_metrics(table("events"), Y(), SCORE(), F.col("user_id"), 1000, seed="7", threshold=60.0)
     return rounded(out, "mean", "low", "high")
 
 
-@query(f"SELECT mean, low, high, replicates FROM ({_BOOT}) WHERE metric = 'auroc'")
+@query(f"SELECT mean, low, high, replicates FROM ({_BOOT}) WHERE metric = 'auroc'", python=True)
 def auroc_bootstrap_by_user(table):
     out = M.bootstrap_metrics(table("events"), Y(), SCORE(), F.col("user_id"), 1000, seed="7", threshold=60.0)
     return rounded(out.where("metric = 'auroc'"), "mean", "low", "high").select("mean", "low", "high", "replicates")
@@ -442,10 +443,7 @@ def robust_trim_mean(table):
 s AS (SELECT label, i, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS d FROM x GROUP BY 1, 2)
 SELECT vec_id, round(sqrt(sum(((x - m) / d) * ((x - m) / d))), 4) AS distance FROM x JOIN s USING (label, i) GROUP BY vec_id""")
 def zscore_group_distance(table):
-    x = table("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    s = x.groupBy("label", "i").agg(F.avg("x").alias("m"), F.when(F.stddev_pop("x") < 1e-6, 1.0).otherwise(F.stddev_pop("x")).alias("d"))
-    z = (F.col("x") - F.col("m")) / F.col("d")
-    return x.join(F.broadcast(s), ["label", "i"]).groupBy("vec_id").agg(F.round(F.sqrt(F.sum(z * z)), 4).alias("distance"))
+    return V.zscore_distance(table("embeddings"), "vec_id", "label", "embedding").withColumn("distance", F.round("distance", 4))
 
 
 _SIMS = f"WITH u AS ({_UNIT}), s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 6) AS sim FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbour) AS rank FROM s)"
@@ -454,20 +452,20 @@ _SIMS = f"WITH u AS ({_UNIT}), s AS (SELECT a.vec_id AS query, b.vec_id AS neigh
 @query(_SIMS + " SELECT query, neighbour, sim, rank FROM r WHERE rank <= 5")
 def cosine_knn(table):
     e = table("embeddings")
-    return V.neighbours(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select("query", "neighbour", "sim", "rank")
+    return N.neighbours(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select("query", "neighbour", "sim", "rank")
 
 
 @query(_SIMS + " SELECT query, string_agg(CAST(neighbour AS VARCHAR), ',' ORDER BY rank) AS neighbours FROM r WHERE rank <= 5 GROUP BY query")
 def knn_lists(table):
     e = table("embeddings")
-    near = V.neighbours(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+    near = N.neighbours(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
     return near.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda s: s["neighbour"].cast("string")), ",").alias("neighbours"))
 
 
 @query(_SIMS + ", t AS (SELECT query, min(rank) AS true_rank FROM r JOIN embeddings e ON e.vec_id = neighbour JOIN embeddings q ON q.vec_id = query WHERE e.label = q.label GROUP BY query) SELECT k AS k_requested, round(avg(CAST(true_rank <= k AS INT)), 6) AS recall FROM t, (VALUES (1), (5), (10)) v(k) GROUP BY k")
 def recall_at_k(table):
     e = table("embeddings")
-    ranks = V.first_match_ranks(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label")
+    ranks = N.first_match_ranks(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label")
     return V.recall(ranks, [1, 5, 10])
 
 

@@ -341,8 +341,8 @@ def manifest_views(table):
     return _manifest(table)["views"]
 
 
-# Outliers of vectors by label: distances to the middle of each group, of the first four positions.
-_DIST = """x AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, unnest(range(1, 5)) AS i FROM embeddings)),
+# Outliers of vectors by label: distances to the middle of each group, of all 64 positions.
+_DIST = """x AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
 f AS (SELECT label, i, CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END AS d, median(x) AS c FROM x GROUP BY 1, 2),
 g AS (SELECT vec_id, label, sqrt(sum(((x - c) / d) * ((x - c) / d))) AS dist, CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM x JOIN f USING (label, i) GROUP BY 1, 2),
 s AS (SELECT label, count(*) AS n, median(dist) AS m FROM g GROUP BY 1), t AS (SELECT g.label, median(abs(dist - m)) AS mad FROM g JOIN s USING (label) GROUP BY 1),
@@ -351,7 +351,7 @@ o AS (SELECT * FROM (SELECT g.*, n, m, mad, row_number() OVER (PARTITION BY g.la
 
 def _cleaned(table):
     e = table("embeddings").select("vec_id", "label", "embedding", F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"))
-    distances = C.group_distances(e, "vec_id", "label", "embedding", 4)
+    distances = C.group_distances(e, "vec_id", "label", "embedding", 64)
     return C.clean_outliers(e.drop("embedding"), distances, "vec_id", "label", "split", least=20, k=1.5, cap=0.05)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import scalar as S
 from quernstone.operators import metrics as M
+from quernstone.operators import nearest as N
 from quernstone.operators import relational as R
 from quernstone.operators import reports as C
 from quernstone.operators import slices as I
@@ -177,7 +178,7 @@ def token_similarity(table):
     """The largest similarity of a query to any vector of each label."""
     e = table("embeddings")
     q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query")
-    return rounded(V.token_similarity(q, e, "query", "label", "embedding"), "sim")
+    return rounded(N.token_similarity(q, e, "query", "label", "embedding"), "sim")
 
 
 @query("SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2")
@@ -197,7 +198,7 @@ def _paired(table):
 @query(f"WITH {_PAIRED}, m AS (SELECT a.vec_id, round({_COS('a.v', 'b.v')}, 9) AS s FROM a JOIN b USING (vec_id)) SELECT m.vec_id AS query, 1 + count(*) FILTER (round({_COS('a.v', 'b.v')}, 9) > m.s) AS true_rank FROM m JOIN a USING (vec_id), b GROUP BY 1")
 def retrieval_ranks(table):
     a, b = _paired(table)
-    return V.paired_ranks(a, b, "vec_id", "v", "w")
+    return N.paired_ranks(a, b, "vec_id", "v", "w")
 
 
 @query(f"WITH {_PAIRED}, bq AS (SELECT * FROM b WHERE vec_id % 20 = 0), m AS (SELECT bq.vec_id, round({_COS('u.v', 'bq.v')}, 9) AS s FROM bq JOIN u USING (vec_id)) SELECT m.vec_id AS query, 1 + count(*) FILTER (round({_COS('bq.v', 'u.v')}, 9) > m.s) AS true_rank FROM m JOIN bq USING (vec_id), u GROUP BY 1")
@@ -205,13 +206,15 @@ def retrieval_ranks_back(table):
     """The other direction: exchanged vectors as queries against the plain ones."""
     _, b = _paired(table)
     e = table("embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
-    return V.paired_ranks(b.where("vec_id % 20 = 0"), e, "vec_id", "w", "v")
+    return N.paired_ranks(b.where("vec_id % 20 = 0"), e, "vec_id", "w", "v")
 
 
-@query(f"WITH {_PAIRED}, c AS (SELECT * FROM b WHERE vec_id % 20 = 0), z AS (SELECT a.vec_id AS i, c.vec_id AS j, {_COS('a.v', 'c.v')} / 0.1::DOUBLE AS z FROM a, c), r AS (SELECT ln(sum(exp(z))) - max(z) FILTER (i = j) AS l FROM z GROUP BY i), k AS (SELECT ln(sum(exp(z))) - max(z) FILTER (i = j) AS l FROM z GROUP BY j) SELECT round(((SELECT avg(l) FROM r) + (SELECT avg(l) FROM k)) / 2, 6) AS loss")
+@query(f"WITH u AS ({_UNIT}), w AS (SELECT vec_id, list_concat(v[33:64], v[1:32]) AS v FROM u), r AS (SELECT ln(sum(exp(z))) - max(z) FILTER (i = j) AS l FROM (SELECT a.vec_id AS i, c.vec_id AS j, {_COS('a.v', 'c.v')} / 0.1::DOUBLE AS z FROM u a, w c WHERE a.vec_id % 20 = 0) GROUP BY i), k AS (SELECT ln(sum(exp(z))) - max(z) FILTER (i = j) AS l FROM (SELECT a.vec_id AS i, c.vec_id AS j, {_COS('a.v', 'c.v')} / 0.1::DOUBLE AS z FROM u a, w c WHERE c.vec_id % 20 = 0) GROUP BY j) SELECT round(((SELECT avg(l) FROM r) + (SELECT avg(l) FROM k)) / 2, 6) AS loss")
 def contrastive_loss(table):
-    a, b = _paired(table)
-    return rounded(V.contrastive_loss(a, b.where("vec_id % 20 = 0"), "vec_id", "v", "w", 0.1), "loss")
+    """The ids that 20 divides, as queries of either side, against all rows of the other."""
+    e = table("embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
+    b = e.select("vec_id", F.concat(F.slice("v", 33, 32), F.slice("v", 1, 32)).alias("w"))
+    return rounded(N.contrastive_loss(e, b, "vec_id", "v", "w", 0.1, F.col("vec_id") % 20 == 0), "loss")
 
 
 @query(f"""WITH u AS ({_UNIT}), p AS (SELECT {_COS('a.v', 'b.v')} AS sim, a.label = 5 AS l, b.label = 5 AS r FROM u a JOIN u b ON b.vec_id = a.vec_id + 1),

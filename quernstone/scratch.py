@@ -37,6 +37,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return table
 
 
+def sided(small: DataFrame, limit: int) -> DataFrame:
+    """``small``, a written table, hinted for a join: broadcast if its counted rows fit ``limit``, else merged by sorting."""
+    return small.hint("broadcast" if small.count() <= limit else "merge")
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``written`` that nothing reads any more; what was derived from it is lost with it."""
     _delete(table.sparkSession, table.scratch_path)
