@@ -1,13 +1,15 @@
 """Slices of imaging files: header fields and pixels, read in tasks from binary files.
 
-Little-endian files with explicit or implicit types and plain pixels are read, with or without the preamble;
-others, and damaged ones, give a row with ``meta_ok`` false.
+Files with explicit or implicit types, big-endian and deflated ones are read, with or without the preamble, and pixels
+that are plain or run-length coded; other codecs, and damaged files, give a row with ``meta_ok`` false. To read
+header fields alone, without the pixels' bytes, use ``ranged.header_files``.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -16,97 +18,11 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import scalar as S
 from quernstone.operators.slices import canonical
-
-#: Fields by group and element.
-FIELDS = {
-    (0x0008, 0x0060): "modality",
-    (0x0008, 0x0070): "manufacturer",
-    (0x0008, 0x1090): "manufacturer_model",
-    (0x0010, 0x0010): "patient_name",
-    (0x0010, 0x0020): "patient_id",
-    (0x0018, 0x0015): "body_part",
-    (0x0018, 0x0050): "slice_thickness",
-    (0x0018, 0x0088): "spacing_between_slices",
-    (0x0018, 0x1210): "convolution_kernel",
-    (0x0020, 0x000D): "study_uid",
-    (0x0020, 0x000E): "series_uid",
-    (0x0020, 0x0013): "instance",
-    (0x0020, 0x0032): "position",
-    (0x0020, 0x0037): "orientation",
-    (0x0028, 0x0002): "samples",
-    (0x0028, 0x0004): "photometric",
-    (0x0028, 0x0010): "rows",
-    (0x0028, 0x0011): "cols",
-    (0x0028, 0x0030): "pixel_spacing",
-    (0x0028, 0x0100): "bits",
-    (0x0028, 0x0103): "signed",
-    (0x0028, 0x1050): "window_centre",
-    (0x0028, 0x1051): "window_width",
-    (0x0028, 0x1052): "intercept",
-    (0x0028, 0x1053): "slope",
-}
-NUMBERS = {"samples", "rows", "cols", "bits", "signed"}
-PIXELS = (0x7FE0, 0x0010)
-LONG_TYPES = {b"OB", b"OW", b"OF", b"OD", b"OL", b"OV", b"SQ", b"UC", b"UN", b"UR", b"UT", b"SV", b"UV"}
-PLAIN = {"1.2.840.10008.1.2": False, "1.2.840.10008.1.2.1": True}
-
-
-def elements(data: bytes, at: int, explicit: bool, end: int | None = None):
-    """(tag, value start, value end) of the elements of one level; sequences of unknown length are walked over."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
-        group, element = struct.unpack_from("<HH", data, at)
-        kind = data[at + 4 : at + 6]
-        if explicit and group != 0xFFFE:
-            if kind in LONG_TYPES:
-                size, body = struct.unpack_from("<I", data, at + 8)[0], at + 12
-            else:
-                size, body = struct.unpack_from("<H", data, at + 6)[0], at + 8
-        else:
-            size, body = struct.unpack_from("<I", data, at + 4)[0], at + 8
-        if (group, element) in ((0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)):
-            yield (group, element), body, body
-            return
-        if size == 0xFFFFFFFF:
-            if (group, element) == PIXELS:
-                raise ValueError("compressed pixels")
-            at = body
-            for _, _, at in elements(data, body, explicit, end):
-                pass
-            yield (group, element), body, at
-            continue
-        if body + size > end:
-            raise ValueError("an element is cut off")
-        yield (group, element), body, body + size
-        at = body + size
-
+from quernstone.sources.ranged import FIELDS, LONG_TYPES, NUMBERS, PIXELS, RUN_LENGTH, fields, of_bytes, unpacked  # noqa: F401
 
 def parse(data: bytes, pixels: bool = False) -> dict:
-    """Fields of a file; text fields are stripped, several values stay joined by a backslash."""
-    at, explicit = 0, True
-    if data[128:132] == b"DICM":
-        at = 132
-        head = {}
-        for tag, a, b in elements(data, at, True):
-            if tag[0] != 2:
-                break
-            head[tag], at = data[a:b], b
-        syntax = head.get((2, 0x10), b"1.2.840.10008.1.2").rstrip(b"\0 ").decode("ascii", "replace")
-        if syntax not in PLAIN:
-            raise ValueError(f"transfer syntax {syntax}")
-        explicit = PLAIN[syntax]
-    elif not data[4:6].isalpha():
-        explicit = False
-    out: dict = {}
-    for tag, a, b in elements(data, at, explicit):
-        if name := FIELDS.get(tag):
-            raw = data[a:b]
-            out[name] = struct.unpack("<H", raw[:2])[0] if name in NUMBERS and len(raw) >= 2 else raw.rstrip(b"\0 ").decode("utf-8", "replace").strip()
-        elif tag == PIXELS and pixels:
-            out["data"] = data[a:b]
-    if not {"rows", "cols", "modality", "series_uid", "instance"} & set(out):
-        raise ValueError("no known field")
-    return out
+    """Fields of a file held in memory, with ``pixels`` their bytes too; see ``ranged.fields``."""
+    return fields(of_bytes(data), set(FIELDS.values()), pixels)
 
 
 HEADER = "path string, meta_ok boolean, " + ", ".join(f"{n} {'int' if n in NUMBERS else 'string'}" for n in FIELDS.values())
@@ -121,7 +37,7 @@ def read_headers(files: DataFrame) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 try:
                     rows.append({"path": path, "meta_ok": True, **parse(bytes(content))})
-                except (ValueError, struct.error, TypeError):
+                except (ValueError, struct.error, zlib.error, TypeError):
                     rows.append({"path": path, "meta_ok": False})
             out = pd.DataFrame(rows, columns=["path", "meta_ok", *FIELDS.values()])
             for name in FIELDS.values():
@@ -170,10 +86,14 @@ def slice_of(data: bytes) -> dict:
     """
     f = parse(data, pixels=True)
     h, w, bits = f["rows"], f["cols"], f.get("bits", 16)
-    kind = {(8, 0): "<u1", (8, 1): "<i1", (16, 0): "<u2", (16, 1): "<i2", (32, 0): "<u4", (32, 1): "<i4"}[bits, f.get("signed", 0)]
+    kind = {(8, 0): "u1", (8, 1): "i1", (16, 0): "u2", (16, 1): "i2", (32, 0): "u4", (32, 1): "i4"}[bits, f.get("signed", 0)]
     if f.get("samples", 1) != 1:
         raise ValueError("several samples a pixel")
-    img = np.frombuffer(f["data"], kind, h * w).reshape(h, w).astype(np.float32)
+    packed = isinstance(f["data"], list)
+    if packed and f["syntax"] != RUN_LENGTH:
+        raise ValueError(f"pixels in a codec that is not read: {f['syntax']}")
+    raw = unpacked(f["data"], h * w, bits // 8) if packed else f["data"]
+    img = np.frombuffer(raw, ("<" if packed else f["order"]) + kind, h * w).reshape(h, w).astype(np.float32)
     if f.get("photometric") == "MONOCHROME1":
         img = img.max() + img.min() - img
     first = lambda name, default: next(iter(_numbers(f.get(name))), default)
@@ -194,7 +114,7 @@ def read_slices(files: DataFrame) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 try:
                     rows.append({"path": path, "meta_ok": True, **slice_of(bytes(content))})
-                except (ValueError, KeyError, struct.error, TypeError):
+                except (ValueError, KeyError, struct.error, zlib.error, TypeError):
                     rows.append({"path": path, "meta_ok": False})
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SLICES.split(", ")])
             for c, t in (("h", "Int32"), ("w", "Int32"), ("instance", "Int64")):

@@ -1,6 +1,7 @@
 import json
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from quernstone.operators import reports as C
 from quernstone.operators import slices as I
 from quernstone.sources import files as S
 from quernstone.sources import headers as H
+from quernstone.sources import ranged as G
 
 
 def write(root, tree):
@@ -199,3 +201,85 @@ def test_volumes_of_series(spark):
     assert both["shape"] == [2, 6, 16, 16] and both["side"] == "both"
     blocks = I.volumes(df, "series", I.VolumeSpec(slices=4, size=8, crop=12, block=5, z_spacing=0.5)).collect()
     assert [r["shape"] for r in blocks] == [[4, 8, 8]] * 2
+
+
+def rewritten(plain, syntax):
+    """An explicit little-endian file of ``image_file`` in another way of writing."""
+    read, out = G.of_bytes(plain), []
+    start = G.opened(read)[1]
+    if syntax == G.DEFLATED:
+        pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+        body = pack.compress(plain[start:]) + pack.flush()
+    else:
+        at = start
+        while (found := G.element(read, at, "<", True)) is not None:
+            tag, value, size = found
+            if size == G.UNKNOWN:
+                at = G.passed(read, value, "<", True)
+                continue
+            kind, data = plain[at + 4 : at + 6], plain[value : value + size]
+            swapped = kind in (b"US", b"OW")
+            data = np.frombuffer(data, "<u2").astype(">u2").tobytes() if swapped else data
+            out.append(struct.pack(">HH", *tag) + kind + (struct.pack(">HI", 0, size) if kind in H.LONG_TYPES else struct.pack(">H", size)) + data)
+            at = value + size
+        body = b"".join(out)
+    return bytes(128) + b"DICM" + element((2, 0x10), b"UI", syntax.encode()) + body
+
+
+def run_length_file(px):
+    """Pixels of 16 bits as two run-length segments, behind a header in plain writing."""
+    def segment(raw):
+        out, at = bytearray(), 0
+        while at < len(raw):
+            n = 1
+            while at + n < len(raw) and n < 128 and raw[at + n] == raw[at]:
+                n += 1
+            out += bytes([257 - n, raw[at]]) if n > 1 else bytes([0, raw[at]])
+            at += n
+        return bytes(out) + bytes(len(out) % 2)
+
+    raw = px.astype("<i2").tobytes()
+    high, low = segment(raw[1::2]), segment(raw[0::2])
+    frame = struct.pack("<16I", 2, 64, 64 + len(high), *[0] * 13) + high + low
+    item = lambda tag, data: struct.pack("<HHI", *tag, len(data)) + data
+    pixels = struct.pack("<HH", *G.PIXELS) + b"OB" + struct.pack("<HI", 0, G.UNKNOWN) + item(G.ITEM, b"") + item(G.ITEM, frame) + item(G.SEQUENCE_END, b"")
+    plain = image_file(px)
+    read = G.of_bytes(plain)
+    at = start = G.opened(read)[1]
+    while G.element(read, at, "<", True)[0] != G.PIXELS:
+        tag, value, size = G.element(read, at, "<", True)
+        at = G.passed(read, value, "<", True) if size == G.UNKNOWN else value + size
+    return bytes(128) + b"DICM" + element((2, 0x10), b"UI", G.RUN_LENGTH.encode()) + plain[start:at] + pixels
+
+
+def test_headers_by_ranged_reads(spark, tmp_path):
+    px = np.arange(1 << 19).reshape(512, 1024) % 30000  # a megabyte of pixels
+    texts = {"patient_name": "A B", "study_uid": "1.2", "slice_thickness": "0.625", "slope": "2"}
+    plain = image_file(px, **texts)
+    files = {"p1/s1/a.dcm": plain, "p1/s1/b.DCM": rewritten(plain, G.BIG), "p1/s2/c.dcm": rewritten(plain, G.DEFLATED), "p2/s1/deep/d.dcm": run_length_file(px), "e.dcm": image_file(px, explicit=False, **texts), "p2/f.dcm": b"no image", "p2/g.dcm": b"", "p2/h.dcm": plain[:200], "p2/notes.txt": b"text"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].removeprefix(f"{tmp_path}/"): r for r in G.header_files(spark, str(tmp_path), suffix=".dcm", partitions=3).collect()}
+    assert set(got) == set(files) - {"p2/notes.txt"}
+    good = ["p1/s1/a.dcm", "p1/s1/b.DCM", "p1/s2/c.dcm", "p2/s1/deep/d.dcm", "e.dcm"]
+    assert [n for n in got if got[n]["meta_ok"]] and {n for n in got if got[n]["meta_ok"]} == set(good)
+    assert all((got[n]["modality"], got[n]["rows"], got[n]["cols"], got[n]["bits"]) == ("CT", 512, 1024, 16) for n in good)
+    assert all(got[n]["slope"] == "2" and got[n]["patient_name"] == "A B" for n in good if "deep" not in n)
+    assert max(got[n]["bytes_read"] for n in got) <= 3 * G.STEP < len(plain) / 80
+    few = G.header_files(spark, f"file://{tmp_path}", ["modality", "rows"], ".dcm", step=256)
+    assert few.columns == ["path", "meta_ok", "modality", "rows", "bytes_read"]
+    assert {r["path"].removeprefix(f"{tmp_path}/") for r in few.where("meta_ok AND rows = 512 AND modality = 'CT'").collect()} == set(good)
+    with pytest.raises(Exception, match="no fields"):
+        G.header_files(spark, str(tmp_path), ["colour"]).collect()
+    meta = {r["path"].removeprefix(f"{tmp_path}/"): r for r in H.series_meta(G.header_files(spark, str(tmp_path)).drop("bytes_read"), "pepper").collect()}
+    assert meta["p1/s1/b.DCM"]["spacing_z"] == 0.625 and meta["p1/s1/b.DCM"]["patient_name_hash"] == meta["p1/s1/a.dcm"]["patient_name_hash"] is not None
+
+
+def test_pixels_in_other_ways_of_writing(spark):
+    px = np.arange(-30, 30).reshape(6, 10) // 4
+    plain = image_file(px, slope="2")
+    rows = [("a", plain), ("b", rewritten(plain, G.BIG)), ("c", rewritten(plain, G.DEFLATED)), ("d", run_length_file(px)), ("e", run_length_file(px)[:-40]), ("f", rewritten(plain, G.DEFLATED)[:-20])]
+    got = {r["path"]: r for r in H.read_slices(spark.createDataFrame([(n, bytearray(d)) for n, d in rows], "path string, content binary")).collect()}
+    assert [got[n]["meta_ok"] for n in "abcdef"] == [True] * 4 + [False] * 2
+    assert all(got[n]["pixels"] == (px * 2.0).ravel().tolist() for n in "abc") and got["d"]["pixels"] == px.ravel().tolist()
