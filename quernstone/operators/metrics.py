@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -282,8 +283,8 @@ def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, repl
 
 
 BOOTSTRAPPED = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1", "sensitivity_at_spec", "specificity_at_spec")
-#: (group, score) rows a part, and weights that a block of rows is multiplied with at a time.
-PART_ROWS, BLOCK = 32_768, 2_000_000
+#: (group, score) rows a part, weights that a block of rows is multiplied with at a time, and weights that a task draws.
+PART_ROWS, BLOCK, DRAWS = 8_192, 250_000, 250_000
 
 
 def poisson_steps() -> list[float]:
@@ -306,6 +307,21 @@ def poisson(u: Column) -> Column:
     return out.otherwise(len(steps))
 
 
+def _draws(seed: str, replicates: int, multiplicity: bool):
+    """A task's weights of groups: Poisson(1) counts at md5(seed:replicate:group), or whether they are positive."""
+    steps, heads = np.array(poisson_steps()), [f"{seed}:{r}:".encode() for r in range(1, replicates + 1)]
+
+    def draw(batches):
+        for b in batches:
+            names = b.column("g").to_pylist()
+            digests = b"".join(hashlib.md5(h + g).digest()[:4] for g in (n.encode() for n in names) for h in heads)
+            w = np.searchsorted(steps, np.frombuffer(digests, ">u4") / 4294967296.0, "right").astype(np.int8)
+            w = w if multiplicity else np.minimum(w, 1)
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.ListArray.from_arrays(np.arange(len(names) + 1, dtype=np.int32) * replicates, w)], ["g", "w"])
+
+    return draw
+
+
 def _replicated(rows: pa.Table, weights: dict, replicates: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Scores of a part in falling order with their rows and positives in every replicate, some scores at a time."""
     score, n, pos = (rows.column(c).to_numpy() for c in ("score", "n", "pos"))
@@ -363,9 +379,9 @@ def bootstrap_metrics(df: DataFrame, y: Column, score: Column, group: Column, re
     base = written(base.groupBy(F.coalesce("g", F.lit("")).alias("g"), "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")), "bootstrap")
     parts = max(1, -(-base.count() // part_rows))
     placed = written(base.repartitionByRange(parts, F.desc("score"), "g").withColumn("part", F.spark_partition_id()), "bootstrap")
-    drawn = lambda r: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), r, F.col("g"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = lambda r: poisson(drawn(r)) if multiplicity else F.least(poisson(drawn(r)), F.lit(1))
-    draws = written(base.select("g").distinct().select("g", F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: weight(r).cast("tinyint")).alias("w")), "weights")
+    groups = written(base.select("g").distinct(), "groups")
+    tasks = max(1, min(1024, -(-groups.count() * replicates // DRAWS)))
+    draws = groups.repartition(tasks).mapInArrow(_draws(seed, replicates, multiplicity), "g string, w array<tinyint>")
     sent = written(placed.select("part", "g").distinct().join(draws, "g").select("part", "g", "w", F.lit(None).cast("array<double>").alias("before")), "sent")
 
     def ends(rows: pa.Table, weights: pa.Table) -> pa.Table:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,22 @@ from quernstone.operators import vectors as V
 from quernstone.scratch import written
 
 
+class Report(Mapping):
+    """The tables of a report by name; a table is built when it is first asked for, and only then."""
+
+    def __init__(self, tables: dict[str, Callable[[], DataFrame]]):
+        self.tables = {name: cache(build) for name, build in tables.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.tables[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+
 def long_form(parts: dict[str, DataFrame]) -> DataFrame:
     """(section, item, value) of one-row frames: every column of every section, as text."""
     out = None
@@ -101,33 +118,66 @@ def clean_outliers(units: DataFrame, distances: DataFrame, key: str, group: str,
     return units.join(gone.select(key), key, "left_anti"), removed, summary
 
 
-def binary_evaluation(predictions: DataFrame, unit: str, order: str, y: str = "y_true", p: str = "y_prob", replicates: int = 1000, seed: str = "42", threshold: float = 0.5, specificity: float = 0.95, top: int = 200) -> dict[str, DataFrame]:
+def binary_evaluation(predictions: DataFrame, unit: str, order: str, y: str = "y_true", p: str = "y_prob", replicates: int = 1000, seed: str = "42", threshold: float = 0.5, specificity: float = 0.95, top: int = 200) -> Report:
     """Report tables of a binary evaluation: metrics with counts, intervals over units, and the hard cases.
 
     Hard cases are the ``top`` rows by cross-entropy, of all and of those wrong with high confidence.
     """
-    metrics = M.binary_metrics(predictions, F.col(y), F.col(p), F.col(order), threshold, specificity)
-    counts = predictions.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(unit).alias("n_units")).select(F.struct("n_rows", "n_units").alias("c"))
     rows = predictions.withColumn("loss", S.cross_entropy(F.col(y), F.col(p)))
     hard = lambda d: d.orderBy(F.desc(F.round("loss", 9)), order).limit(top)
-    return {
-        "metrics": metrics.withColumn("__c", counts.scalar()).select("*", "__c.n_rows", "__c.n_units").drop("__c"),
-        "intervals": M.bootstrap_metrics(predictions, F.col(y), F.col(p), F.col(unit), replicates, seed, threshold, specificity),
-        "high_confidence_wrong": hard(rows.where(S.high_confidence_wrong(F.col(y), F.col(p)))),
-        "top_loss": hard(rows),
-    }
 
+    def metrics() -> DataFrame:
+        counts = predictions.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(unit).alias("n_units")).select(F.struct("n_rows", "n_units").alias("c"))
+        return M.binary_metrics(predictions, F.col(y), F.col(p), F.col(order), threshold, specificity).withColumn("__c", counts.scalar()).select("*", "__c.n_rows", "__c.n_units").drop("__c")
+
+    return Report({
+        "metrics": metrics,
+        "intervals": lambda: M.bootstrap_metrics(predictions, F.col(y), F.col(p), F.col(unit), replicates, seed, threshold, specificity),
+        "high_confidence_wrong": lambda: hard(rows.where(S.high_confidence_wrong(F.col(y), F.col(p)))),
+        "top_loss": lambda: hard(rows),
+    })
 
-def multiclass_evaluation(rows: DataFrame, classes: int, order: str, tail: Sequence[int] = ()) -> dict[str, DataFrame]:
+
+def multiclass_evaluation(rows: DataFrame, classes: int, order: str, tail: Sequence[int] = ()) -> Report:
     """Report tables of rows with y_true, y_pred and probs: overall, by class, the listed tail, the dense confusion."""
-    cells = written(M.confusion(rows, F.col("y_true"), F.col("y_pred")), "confusion")
-    report = M.class_report(cells, range(classes))
-    ovr = written(M.ovr_report(rows, F.col("y_true"), F.col("probs"), classes, F.col(order)), "ovr")
-    by_class = M.merge_classes(report, ovr)
-    specific = report.agg(F.avg("specificity").alias("macro_specificity"))
-    macro = M.ovr_macro(ovr).select(F.struct("macro_auroc_ovr", "macro_auprc_ovr").alias("m"))
-    overall = M.overall_report(report).withColumn("macro_specificity", specific.scalar()).withColumn("__m", macro.scalar()).select("*", "__m.*").drop("__m")
-    return {"overall": overall, "classes": by_class, "tail": M.tail_classes(by_class, tail) if tail else by_class.limit(0), "confusion": cells}
+
+    @cache
+    def cells() -> DataFrame:
+        return written(M.confusion(rows, F.col("y_true"), F.col("y_pred")), "confusion")
+
+    @cache
+    def ovr() -> DataFrame:
+        return written(M.ovr_report(rows, F.col("y_true"), F.col("probs"), classes, F.col(order)), "ovr")
+
+    report = lambda: M.class_report(cells(), range(classes))
+    by_class = lambda: M.merge_classes(report(), ovr())
+
+    def overall() -> DataFrame:
+        specific = report().agg(F.avg("specificity").alias("macro_specificity"))
+        macro = M.ovr_macro(ovr()).select(F.struct("macro_auroc_ovr", "macro_auprc_ovr").alias("m"))
+        return M.overall_report(report()).withColumn("macro_specificity", specific.scalar()).withColumn("__m", macro.scalar()).select("*", "__m.*").drop("__m")
+
+    return Report({"overall": overall, "classes": by_class, "tail": lambda: M.tail_classes(by_class(), tail) if tail else by_class().limit(0), "confusion": cells})
+
+
+def dual_evaluation(rows: DataFrame, unit: str, order: str, classes: int, names: dict[int, str], tail: Sequence[int] = (), replicates: int = 1000, seed: str = "42", threshold: float = 0.5, specificity: float = 0.95) -> Report:
+    """Report tables of two-slot predictions, rows with unit, side, y_true, y_pred and probs.
+
+    ``predictions`` has the rows with names of classes, whether they are right, and p_k up to 12 classes; ``counts``
+    the rows and units. With two classes ``binary`` has the metrics of the second class's probability and
+    ``intervals`` those over units in ``replicates``; with more there are the tables of ``multiclass_evaluation``.
+    """
+    label = F.create_map(*[F.lit(x) for k, n in names.items() for x in (k, n)])
+    named = rows.withColumns({"y_true_name": label[F.col("y_true")], "y_pred_name": label[F.col("y_pred")], "correct": F.col("y_true") == F.col("y_pred")})
+    tables: dict[str, Callable[[], DataFrame]] = {
+        "predictions": lambda: named.select(*[c for c in named.columns if c != "probs"], *[F.get("probs", F.lit(k)).alias(f"p_{k}") for k in range(classes if classes <= 12 else 0)]),
+        "counts": lambda: rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(unit).alias("n_units")),
+    }
+    if classes != 2:
+        return Report(tables | multiclass_evaluation(rows, classes, order, tail).tables)
+    scored = rows.withColumn("y_prob", F.get("probs", F.lit(1)))
+    two = binary_evaluation(scored, unit, order, replicates=replicates, seed=seed, threshold=threshold, specificity=specificity)
+    return Report(tables | {"binary": two.tables["metrics"], "intervals": two.tables["intervals"]})
 
 
 def two_stage_evaluation(rows: DataFrame, code: str, p: str, second: str, order: str, threshold: float = 0.5, merged: dict[int, int] | None = None, codes: Sequence[int] = (1, 2, 3, 5, 6), negative: int = 5) -> dict[str, DataFrame]:
@@ -145,7 +195,7 @@ def two_stage_evaluation(rows: DataFrame, code: str, p: str, second: str, order:
     return {"rows": final, "classes": report, "overall": M.overall_report(report), "stage1": M.binary_metrics(used, (F.col("code_merged") != negative).cast("int"), F.col(p), F.col(order), threshold)}
 
 
-def few_shot_report(train: DataFrame, val: DataFrame, key: str, unit: str, vector: str, code: str, pos: Sequence[int], neg: Sequence[int], temperature: float = 1.0, k: int = 5, replicates: int = 1000, seed: str = "42") -> dict[str, DataFrame]:
+def few_shot_report(train: DataFrame, val: DataFrame, key: str, unit: str, vector: str, code: str, pos: Sequence[int], neg: Sequence[int], temperature: float = 1.0, k: int = 5, replicates: int = 1000, seed: str = "42") -> Report:
     """Prototype scores of a view's rows, their metrics, intervals and nearest training rows as JSON.
 
     Only codes of the view are used; the score is the cosine with the positive prototype less that with the
@@ -154,11 +204,22 @@ def few_shot_report(train: DataFrame, val: DataFrame, key: str, unit: str, vecto
     label = F.when(F.col(code).isin(*pos), 1).otherwise(0)
     a, b = (written(V.with_codes(d, code, [*pos, *neg]).withColumn("y_true", label), "few-shot") for d in (train, val))
     protos = written(V.prototypes(a, "y_true", vector), "prototypes")
-    scores = V.contrast_scores(b, protos, key, vector, label="y_true").withColumn("y_prob", S.sigmoid(F.round("score", 9), temperature))
-    near = N.neighbours(b.select(key, vector), a.select(key, vector), key, vector, k, skip_self=False).join(a.select(F.col(key).alias("neighbour"), F.col(code)), "neighbour")
-    lists = near.groupBy("query").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour", code, "sim"))), lambda s: F.struct(s["neighbour"].alias("id"), s[code].alias("code"), s["sim"].alias("sim")))).alias("neighbours"))
-    rows = written(b.drop(vector).join(scores, key).join(lists, F.col(key) == F.col("query"), "left").drop("query").withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")), "scored")
-    return {"rows": rows, "metrics": M.binary_metrics(rows, F.col("y_true"), F.col("y_prob"), F.col(key)), "intervals": M.bootstrap_metrics(rows, F.col("y_true"), F.col("y_prob"), F.col(unit), replicates, seed)}
+
+    @cache
+    def scored() -> DataFrame:
+        scores = V.contrast_scores(b, protos, key, vector, label="y_true").withColumn("y_prob", S.sigmoid(F.round("score", 9), temperature))
+        return written(b.drop(vector).join(scores, key).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")), "scored")
+
+    def rows() -> DataFrame:
+        near = N.neighbours(b.select(key, vector), a.select(key, vector), key, vector, k, skip_self=False).join(a.select(F.col(key).alias("neighbour"), F.col(code)), "neighbour")
+        lists = near.groupBy("query").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour", code, "sim"))), lambda s: F.struct(s["neighbour"].alias("id"), s[code].alias("code"), s["sim"].alias("sim")))).alias("neighbours"))
+        return scored().join(lists, F.col(key) == F.col("query"), "left").drop("query")
+
+    return Report({
+        "rows": rows,
+        "metrics": lambda: M.binary_metrics(scored(), F.col("y_true"), F.col("y_prob"), F.col(key)),
+        "intervals": lambda: M.bootstrap_metrics(scored(), F.col("y_true"), F.col("y_prob"), F.col(unit), replicates, seed),
+    })
 
 
 def run_report(lines: DataFrame, runs: DataFrame, metric: str, k: int = 5, larger: bool = True) -> DataFrame:

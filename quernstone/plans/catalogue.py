@@ -90,16 +90,21 @@ def calibration_report(table):
 
 # All steps of the Poisson(1) law above 2^-32, as the operator draws them.
 _POISSON = " ".join(f"WHEN u < {t!r} THEN {i}" for i, t in enumerate(M.poisson_steps()))
-_BOOT = f"""WITH e AS ({_EV}), b AS (SELECT CAST(user_id AS VARCHAR) AS g, s, count(*) AS n, sum(y) AS pos FROM e GROUP BY 1, 2),
-w AS (SELECT r, g, CASE {_POISSON} ELSE {len(M.poisson_steps())} END AS w FROM (SELECT r, g, CAST('0x' || substr(md5('7:' || r || ':' || g), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT g FROM b), range(1, 1001) t(r))),
+def boot_sql(rows: str, seed: str, threshold: float, groups: str) -> str:
+    """All eight metrics over 1000 replicates of the groups of ``rows`` (groups, y, s)."""
+    return f"""WITH e AS ({rows}), b AS (SELECT CAST({groups} AS VARCHAR) AS g, s, count(*) AS n, sum(y) AS pos FROM e GROUP BY 1, 2),
+w AS (SELECT r, g, CASE {_POISSON} ELSE {len(M.poisson_steps())} END AS w FROM (SELECT r, g, CAST('0x' || substr(md5('{seed}:' || r || ':' || g), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT g FROM b), range(1, 1001) t(r))),
 d AS (SELECT r, s, CAST(sum(n * w) AS DOUBLE) AS n, CAST(sum(pos * w) AS DOUBLE) AS pos FROM w JOIN b USING (g) WHERE w > 0 GROUP BY r, s),
 c AS (SELECT *, n - pos AS neg, sum(n) OVER x AS cn, sum(pos) OVER x AS cp, sum(n - pos) OVER (PARTITION BY r) AS q FROM d WINDOW x AS (PARTITION BY r ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT *, floor(0.05::DOUBLE * q + 1e-9) AS k FROM c),
 t AS (SELECT *, max(CASE WHEN cn - cp >= greatest(k, 1) THEN s END) OVER (PARTITION BY r) AS kth, min(CASE WHEN neg > 0 THEN s END) OVER (PARTITION BY r) AS low FROM k),
 h AS (SELECT *, CASE WHEN k >= q THEN s >= low ELSE s > kth END AS hit FROM t),
-a AS (SELECT r, sum(pos) AS p, sum(neg) AS q, sum(pos * (neg / 2) - pos * (cn - cp)) AS wins, sum(pos * cp / cn) AS steps, sum(CASE WHEN s >= 60 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN s >= 60 THEN neg ELSE 0 END) AS fp, sum(CASE WHEN hit THEN pos ELSE 0 END) AS tp2, sum(CASE WHEN hit THEN neg ELSE 0 END) AS fp2 FROM h GROUP BY r),
-v AS (SELECT unnest([{{'m': 'auroc', 'v': (wins + p * q) / (p * q)}}, {{'m': 'auprc', 'v': steps / p}}, {{'m': 'accuracy', 'v': (tp + q - fp) / (p + q)}}, {{'m': 'sensitivity', 'v': tp / p}}, {{'m': 'specificity', 'v': (q - fp) / q}}, {{'m': 'f1', 'v': 2 * tp / (tp + fp + p)}}, {{'m': 'sensitivity_at_spec', 'v': tp2 / p}}, {{'m': 'specificity_at_spec', 'v': (q - fp2) / q}}]) AS x FROM a)
-SELECT x.m AS metric, round(avg(x.v), 6) AS mean, round(quantile_cont(x.v, 0.025), 6) AS low, round(quantile_cont(x.v, 0.975), 6) AS high, count(*) AS replicates FROM v GROUP BY 1"""
+a AS (SELECT r, sum(pos) AS p, sum(neg) AS q, sum(pos * (neg / 2) - pos * (cn - cp)) AS wins, sum(pos * cp / cn) AS steps, sum(CASE WHEN s >= {threshold} THEN pos ELSE 0 END) AS tp, sum(CASE WHEN s >= {threshold} THEN neg ELSE 0 END) AS fp, sum(CASE WHEN hit THEN pos ELSE 0 END) AS tp2, sum(CASE WHEN hit THEN neg ELSE 0 END) AS fp2 FROM h GROUP BY r),
+v AS (SELECT unnest([{{'m': 'auroc', 'v': CASE WHEN p > 0 AND q > 0 THEN (wins + p * q) / (p * q) END}}, {{'m': 'auprc', 'v': CASE WHEN p > 0 THEN steps / p END}}, {{'m': 'accuracy', 'v': (tp + q - fp) / (p + q)}}, {{'m': 'sensitivity', 'v': CASE WHEN p > 0 THEN tp / p ELSE 0 END}}, {{'m': 'specificity', 'v': CASE WHEN q > 0 THEN (q - fp) / q ELSE 0 END}}, {{'m': 'f1', 'v': CASE WHEN tp > 0 THEN 2 * tp / (tp + fp + p) ELSE 0 END}}, {{'m': 'sensitivity_at_spec', 'v': CASE WHEN q > 0 THEN CASE WHEN p > 0 THEN tp2 / p ELSE 0 END END}}, {{'m': 'specificity_at_spec', 'v': CASE WHEN q > 0 THEN (q - fp2) / q END}}]) AS x FROM a)
+SELECT x.m AS metric, round(avg(x.v), 6) AS mean, round(quantile_cont(x.v, 0.025), 6) AS low, round(quantile_cont(x.v, 0.975), 6) AS high, count(x.v) AS replicates FROM v GROUP BY 1"""
+
+
+_BOOT = boot_sql(_EV, "7", 60, "user_id")
 
 
 @query(_BOOT, python=True)

@@ -12,7 +12,7 @@ from quernstone.operators import reports as C
 from quernstone.operators import slices as I
 from quernstone.operators import text as T
 from quernstone.operators import vectors as V
-from quernstone.plans.catalogue import _UNIT, LEXICON
+from quernstone.plans.catalogue import _UNIT, LEXICON, boot_sql
 from quernstone.plans.cohort import _PRED as _SLOT_ROWS
 from quernstone.plans.cohort import _UNITS, slots, units
 from quernstone.plans.registry import query, rounded
@@ -93,9 +93,9 @@ _SCORED = "SELECT event_id, user_id, CAST(event_type = 'purchase' AS INT) AS y_t
 _HARD = f"SELECT *, -(y_true * ln(least(greatest(y_prob, 1e-6), 1 - 1e-6)) + (1 - y_true) * ln(1 - least(greatest(y_prob, 1e-6), 1 - 1e-6))) AS loss FROM ({_SCORED})"
 
 
-def _binary(table, replicates: int = 1):
+def _binary(table):
     scored = table("events").select("event_id", "user_id", (F.col("event_type") == "purchase").cast("int").alias("y_true"), F.round(S.sigmoid((F.col("value") - 250) / 60), 3).alias("y_prob"))
-    return C.binary_evaluation(scored, "user_id", "event_id", replicates=replicates)
+    return C.binary_evaluation(scored, "user_id", "event_id")
 
 
 @query(f"""WITH e AS ({_SCORED}), r AS (SELECT *, rank() OVER (ORDER BY y_prob) + (count(*) OVER (PARTITION BY y_prob) - 1) / 2.0 AS r, row_number() OVER (ORDER BY y_prob DESC, event_id) AS k, sum(y_true) OVER (ORDER BY y_prob DESC, event_id ROWS UNBOUNDED PRECEDING) AS tp FROM e)
@@ -115,6 +115,39 @@ def binary_evaluation_top_loss(table):
     return rounded(_binary(table)["top_loss"].select("event_id", "y_true", "y_prob", "loss"), "loss")
 
 
+@query(boot_sql(f"SELECT user_id, y_true AS y, y_prob AS s FROM ({_SCORED})", "42", 0.5, "user_id"), python=True)
+def binary_evaluation_intervals(table):
+    """Intervals of the evaluation over 1000 replicates of whole users."""
+    return rounded(_binary(table)["intervals"], "mean", "low", "high")
+
+
+# The two-slot predictions as those of a two-class task: class 4 is the negative one.
+_TWO = f"SELECT unit, side, CAST(y_true <> 4 AS INT) AS y, round(1 - p[5] / list_sum(p), 3) AS s FROM ({_SLOT_ROWS})"
+
+
+def _dual(table):
+    p = F.round(1 - F.col("probs")[4] / F.aggregate("probs", F.lit(0.0), lambda s, x: s + x), 3)
+    rows = _with_order(table).select("unit", "side", "o", (F.col("y_true") != 4).cast("int").alias("y_true"), F.array(1 - p, p).alias("probs"))
+    return C.dual_evaluation(rows.withColumn("y_pred", (F.col("probs")[1] >= 0.5).cast("int")), "unit", "o", 2, {0: "normal", 1: "diseased"})
+
+
+@query(boot_sql(f"SELECT unit, y, s FROM ({_TWO})", "42", 0.5, "unit"), python=True)
+def dual_binary_intervals(table):
+    """Intervals of a two-class task's second probability over 1000 replicates of whole units."""
+    return rounded(_dual(table)["intervals"], "mean", "low", "high")
+
+
+@query(f"""WITH e AS (SELECT *, unit * 2 + CAST(side = 'right' AS INT) AS o FROM ({_TWO})), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r, row_number() OVER (ORDER BY s DESC, o) AS k, sum(y) OVER (ORDER BY s DESC, o ROWS UNBOUNDED PRECEDING) AS tp FROM e)
+SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auroc, round(avg(tp / CAST(k AS DOUBLE)) FILTER (y = 1), 6) AS average_precision, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) AS n_rows, count(DISTINCT unit) AS n_units FROM r""")
+def dual_binary_metrics(table):
+    return rounded(_dual(table)["binary"].select("auroc", "average_precision", "tp", "fp", "n_rows", "n_units"), "auroc", "average_precision")
+
+
+@query(f"SELECT unit, side, y AS y_true, CAST(s >= 0.5 AS INT) AS y_pred, CASE WHEN y = 1 THEN 'diseased' ELSE 'normal' END AS y_true_name, y = CAST(s >= 0.5 AS INT) AS correct, round(s, 3) AS p_1 FROM ({_TWO})")
+def dual_binary_predictions(table):
+    return _dual(table)["predictions"].select("unit", "side", "y_true", "y_pred", "y_true_name", "correct", "p_1")
+
+
 # Few-shot: classes 0 to 4 are codes 1 to 5, training rows are those whose id 20 does not divide.
 _FEW = f"""u AS (SELECT vec_id, label + 1 AS code, CAST(label = 3 AS INT) AS y, v FROM ({_UNIT}) WHERE label IN (3, 4)), l AS (SELECT y, unnest(range(1, 65)) AS i, v FROM u WHERE vec_id % 20 <> 0), m AS (SELECT y, i, avg(v[i]) AS x FROM l GROUP BY y, i),
 q AS (SELECT y, list(x ORDER BY i) AS m FROM m GROUP BY y), proto AS (SELECT y, list_transform(m, lambda x: x / (sqrt(list_sum(list_transform(m, lambda z: z * z))) + 1e-12)) AS p FROM q),
@@ -123,7 +156,7 @@ s AS (SELECT vec_id, code, u.y, v, list_sum(list_transform(list_zip(v, a.p), lam
 
 def _few(table):
     e = table("embeddings").withColumn("code", F.col("label") + 1)
-    return C.few_shot_report(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "vec_id", "vec_id", "embedding", "code", [4], [5], replicates=1)
+    return C.few_shot_report(e.where("vec_id % 20 <> 0"), e.where("vec_id % 20 = 0"), "vec_id", "vec_id", "embedding", "code", [4], [5])
 
 
 @query(f"WITH {_FEW}, n AS (SELECT s.vec_id, u.vec_id AS other, row_number() OVER (PARTITION BY s.vec_id ORDER BY round(list_sum(list_transform(list_zip(s.v, u.v), lambda z: z[1] * z[2])), 6) DESC, u.vec_id) AS r FROM s JOIN u ON u.vec_id % 20 <> 0) SELECT s.vec_id, code, y AS y_true, round(score, 6) AS score, round(1 / (1 + exp(-round(score, 9))), 6) AS y_prob, (SELECT string_agg(CAST(other AS VARCHAR), ',' ORDER BY r) FROM n WHERE n.vec_id = s.vec_id AND r <= 5) AS neighbours FROM s")
@@ -140,6 +173,12 @@ def few_shot_metrics(table):
     return m.select((F.col("pos") + F.col("neg")).alias("n"), "pos", "tp", "fp")
 
 
+@query(boot_sql(f"WITH {_FEW} SELECT vec_id, y, 1 / (1 + exp(-round(score, 9))) AS s FROM s", "42", 0.5, "vec_id"), python=True)
+def few_shot_intervals(table):
+    """Intervals of the few-shot scores over 1000 replicates of units."""
+    return rounded(_few(table)["intervals"], "mean", "low", "high")
+
+
 _CODED = f"SELECT vec_id, label FROM ({_UNIT}) WHERE label IN (2, 5)"
 
 
