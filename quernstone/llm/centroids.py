@@ -48,11 +48,13 @@ class Centroids:
         self.near = np.argsort(gap, axis=1, kind="stable")[:, : k - 1]
         self.gap = down(np.take_along_axis(gap, self.near, 1))
         self.half = self.gap[:, 0] / 2 if k > 1 else np.full(k, np.inf)
+        self.compared = 0
+        if not k:
+            return
         moved = np.zeros(k) if before is None else up(np.sqrt(((at - before) ** 2).sum(1).astype(np.float64)))
-        self.moved, first = moved, int(np.argmax(moved)) if k else 0
+        self.moved, first = moved, int(np.argmax(moved))
         rest = np.delete(moved, first).max(initial=0.0)
         self.others_moved = np.where(np.arange(k) == first, rest, moved.max(initial=0.0))
-        self.compared = 0
 
     def squared(self, x: np.ndarray, j: np.ndarray) -> np.ndarray:
         self.compared += len(x)

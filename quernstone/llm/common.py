@@ -37,6 +37,16 @@ def surrogate_key(spark: SparkSession) -> bytes:
     return secret.encode()
 
 
+def as_text(docs: DataFrame, *names: str) -> list:
+    """Columns as strings, for their way through pandas, where whole numbers beside a null would become floats."""
+    return [F.col(f"`{n}`").cast("string").alias(n) for n in names]
+
+
+def as_before(out: DataFrame, kinds: dict) -> DataFrame:
+    """``out`` with the columns of ``as_text`` back in their types (name: type)."""
+    return out.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in out.columns])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}

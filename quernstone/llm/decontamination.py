@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import written
+from quernstone.llm.common import as_before, as_text, written
 
 #: Bytes of benchmark text that one pass broadcasts; a larger benchmark takes several passes. The tables
 #: take about 12 times as much in a Python worker and 32 times while they are built: under 400 MB.
@@ -180,8 +180,9 @@ def _scan(docs: DataFrame, items: list[tuple], window: int, doc_id: str, text: s
                 ids.append(sorted(found))
             yield b.drop(columns="__data").assign(__n=n, __spans=spans, __items=ids)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", __n long, __spans array<long>, __items array<string>"
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text).cast("binary").alias("__data")).mapInPandas(scan, schema)
+    schema = ", ".join(f"`{f.name}` string" for f in fields) + ", __n long, __spans array<long>, __items array<string>"
+    found = docs.select(*as_text(docs, *[f.name for f in fields]), F.col(text).cast("binary").alias("__data")).mapInPandas(scan, schema)
+    return as_before(found, {f.name: f.dataType for f in fields})
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[DataFrame]:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import as_before
+
 #: Boxes that hold boxes; payload boxes such as mdat are never entered.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 #: Levels of boxes that are entered; files nest about six.
@@ -304,8 +306,7 @@ def store_texts(docs: DataFrame, unit: int = UNIT, doc_id: str = "doc_id", text:
     stay; nulls in doc_id pass through; an empty table gives an empty one; other columns are not read. Raises if a stored payload reads back changed. No shuffle; a
     task holds a batch of documents and their files.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframe_offsets array<long>, keyframe_sizes array<long>"
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframe_offsets array<long>, keyframe_sizes array<long>"
 
     def store(batches):
         for b in batches:
@@ -323,4 +324,5 @@ def store_texts(docs: DataFrame, unit: int = UNIT, doc_id: str = "doc_id", text:
             out["doc_id"] = b["doc_id"].to_numpy()
             yield out
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInPandas(store, schema)
+    stored = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInPandas(store, schema)
+    return as_before(stored, {"doc_id": docs.schema[doc_id].dataType})

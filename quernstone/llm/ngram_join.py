@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import UnionFind, components, fresh, runs, sided, spread_join, written
+from quernstone.llm.common import UnionFind, as_before, components, fresh, runs, sided, spread_join, written
 
 #: Ratio of neighbouring block counts, and the least ratio of blocks to differences.
 GRID = 1.5
@@ -260,7 +260,8 @@ def _digests(docs: DataFrame, size: int, rule: Rule, doc_id: str, text: str) ->
                 n, s1, s2, p, keys, tags = zip(*rows)
                 yield pd.DataFrame({"doc": part["doc"].reset_index(drop=True), "n": n, "s1": s1, "s2": s2, "point": p, "keys": keys, "tags": tags})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("data")).mapInPandas(read, "doc long, n long, s1 long, s2 long, point long, keys array<long>, tags array<long>")
+    found = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).cast("binary").alias("data")).mapInPandas(read, "doc string, n long, s1 long, s2 long, point long, keys array<long>, tags array<long>")
+    return as_before(found, {"doc": "long"})
 
 
 def _near(rows: pd.DataFrame, rule: Rule, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -460,10 +461,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     a text without words, or null, has the empty set and is linked with nothing, not even its likes.
     Documents link when ``den`` * intersection >= ``num`` * union; component_id is the smallest doc_id
     reachable by links. Repeated rows keep a row each; rows that share a doc_id are one node; a null
-    doc_id takes no part and has a null component. Empty tables give empty results; other columns are
+    doc_id takes no part and has a null component. Ids are whole numbers; of another type they are an error. Empty tables give empty results; other columns are
     not read, whatever their names. Shingles are compared by 64-bit hashes. A very long text is one
     sorted array of eight bytes a shingle in its task.
     """
+    if docs.schema[doc_id].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{doc_id} is {docs.schema[doc_id].dataType.simpleString()}; ids have to be whole numbers: number the rows, and join back")
     rule = Rule(num, den)
     digests = written(_digests(docs, size, rule, doc_id, text), "sets")
     reps = written(digests.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct-sets")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quernstone.llm.common import rank_offsets, running_rank, written
+from quernstone.llm.common import as_before, rank_offsets, running_rank, written
 
 #: Entries of each cache of a Python worker; a full cache is emptied.
 CACHE = 500_000
@@ -163,7 +163,6 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> tuple[np.ndar
 
 def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of every whole text: full windows, then what remains, with their rank by length in a task."""
-    kind = docs.schema[doc_id].dataType.simpleString()
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches):
@@ -183,8 +182,8 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, do
             out["inside"] = running_rank(out["length"].to_numpy(np.int64), seen)
             yield out.assign(ids=raw) if with_ids else out
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, inside long" + ", ids binary" * with_ids
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInPandas(pieces, schema)
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, part int, inside long" + ", ids binary" * with_ids
+    return as_before(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInPandas(pieces, schema), {"doc_id": docs.schema[doc_id].dataType})
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -217,6 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, d
             k = at - rank[i]
             yield b.drop(columns="rank").assign(sequence_id=first[i] + k % n[i], offset=offset[i] + k // n[i] * size)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{f.name} {'string' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
     ranked = pieces.join(rank_offsets(pieces, "length"), ["part", "length"])
-    return ranked.select(*[f.name for f in fields], (F.col("before") + F.col("inside")).alias("rank")).mapInPandas(place, schema)
+    placed = ranked.select(*[f.name for f in fields], (F.col("before") + F.col("inside")).alias("rank")).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, schema)
+    return as_before(placed, {"doc_id": docs.schema[doc_id].dataType})

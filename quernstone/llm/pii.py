@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import as_before
+
 #: Alphabets by script and case, given names by script and gender, forms of address by gender.
 ALPHABETS = (
     "0123456789",
@@ -382,7 +384,6 @@ def replace_entities(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text:
     and names after a form of address or a cue as "name is", with all later and earlier mentions of their
     parts in the text. No shuffle.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def replace(batches):
         cipher, cache = Cipher(key), {}
@@ -396,7 +397,8 @@ def replace_entities(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text:
                 texts.append(new), counts.append(len(found)), kinds.append(",".join(f"{k}={n[k]}" for k in sorted(n)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts, "n_entities": counts, "kinds": kinds})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInPandas(replace, f"doc_id {kind}, text string, n_entities long, kinds string")
+    done = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInPandas(replace, "doc_id string, text string, n_entities long, kinds string")
+    return as_before(done, {"doc_id": docs.schema[doc_id].dataType})
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

@@ -55,7 +55,6 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
         F.xxhash64(F.col(key)).alias("h"),
         F.monotonically_increasing_id().alias("row"),
     )
-    kind = docs.schema[key].dataType.simpleString()
 
     def number(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
@@ -65,9 +64,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
             yield pd.DataFrame({"k": b["k"], "size": b["size"], "text_crc32": b["text_crc32"], "part": part, "shard": shard, "inside": running_rank(shard, seen), "grown_shard": jump(keys, shards + 1)})
 
     numbered = written(
-        digest.repartitionByRange("k", "row").sortWithinPartitions("k", "row").mapInPandas(number, f"k {kind}, size long, text_crc32 long, part int, shard int, inside long, grown_shard int"),
+        digest.repartitionByRange("k", "row").sortWithinPartitions("k", "row").withColumn("k", F.col("k").cast("string")).mapInPandas(number, "k string, size long, text_crc32 long, part int, shard int, inside long, grown_shard int"),
         "shards",
     )
     return numbered.join(rank_offsets(numbered, "shard"), ["part", "shard"]).select(
-        F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inside")).alias("slot"), "grown_shard"
+        F.col("k").cast(docs.schema[key].dataType).alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inside")).alias("slot"), "grown_shard"
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quernstone.llm.common import BROADCAST_ROWS, spread_join, written
+from quernstone.llm.common import BROADCAST_ROWS, as_text, spread_join, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -203,12 +203,14 @@ def archive_pages(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADC
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest page_id is a
     response and the others are revisits; smaller ones are all responses. Null html is an empty
     payload. Rows equal in page_id and payload are all responses, and so are pages whose digest has
-    only null ids. An empty table gives no archives; other columns are not read.
+    only null ids. Page ids are whole numbers; of another type they are an error. An empty table gives no archives; other columns are not read.
 
     Bodies are not shuffled: the first page of each repeated digest is found by a partial aggregate over
     (page_id, digest, size) and looked up where the bodies are read, by a broadcast up to a counted bound.
     Beyond it bodies are dealt by digest and a salt, so a payload of a third of the pages is cut too.
     """
+    if pages.schema["page_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"page_id is {pages.schema['page_id'].dataType.simpleString()}; record ids have to be whole numbers: number the rows, and join back")
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("body"))
     digests = pages.select("page_id", F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).alias("size"))
@@ -225,10 +227,10 @@ def archive_pages(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADC
             return done
 
         for b in batches:
-            for page_id, url, payload, first_id in zip(b["page_id"].astype("object"), b["url"], b["body"], b["first_id"].astype("Int64")):
+            for page_id, url, payload, first_id in zip(b["page_id"], b["url"], b["body"], b["first_id"]):
                 payload = bytes(payload)
-                again = not pd.isna(first_id) and (pd.isna(page_id) or int(page_id) != int(first_id))
-                page_id = None if pd.isna(page_id) else int(page_id)
+                page_id, first_id = (None if x is None else int(x) for x in (page_id, first_id))
+                again = first_id is not None and page_id != first_id
                 out.append(member(record("revisit" if again else "response", _urn(page_id), url.replace("\r", " ").replace("\n", " "), payload, payload_digest(payload), _urn(first_id) if again else None)))
                 size += len(out[-1])
                 if size >= ARCHIVE_BYTES:
@@ -236,7 +238,7 @@ def archive_pages(pages: DataFrame, least: int = 0, broadcast_rows: int = BROADC
         if out:
             yield flush()
 
-    return joined.select("page_id", "url", "body", "first_id").mapInPandas(write, "archive string, content binary")
+    return joined.select(*as_text(joined, "page_id"), "url", "body", *as_text(joined, "first_id")).mapInPandas(write, "archive string, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -260,10 +262,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         size, digest = len(r.payload), payload_digest(r.payload)
                     rows.append((name, kind, _page(h.get("warc-record-id")), h.get("warc-target-uri"), size, digest, _page(h.get("warc-refers-to")), None, None, None))
                 rows += [(name, "gap", None, None, None, None, None, *gap) for gap in got.gaps]
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-                for c in ("page_id", "payload_bytes", "refers_to", "gap_start", "gap_end"):
-                    out[c] = out[c].astype("Int64")
-                yield out
+                names = [x.split() for x in schema.split(", ")]
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pd.DataFrame({n: pd.array(c, "Int64") if t == "long" else pd.Series(c, dtype=object) for (n, t), c in zip(names, columns, strict=True)})
 
     return archives.select("archive", "content").mapInPandas(read, schema)
 
