@@ -284,7 +284,7 @@ def bootstrap_auroc(df: DataFrame, y: Column, score: Column, group: Column, repl
 
 BOOTSTRAPPED = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1", "sensitivity_at_spec", "specificity_at_spec")
 #: (group, score) rows a part, weights that a block of rows is multiplied with at a time, and weights that a task draws.
-PART_ROWS, BLOCK, DRAWS = 8_192, 250_000, 250_000
+PART_ROWS, BLOCK, DRAWS = 32_768, 250_000, 250_000
 
 
 def poisson_steps() -> list[float]:
