@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +49,8 @@ CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 5
 CLASS = {c: a for a in ALPHABETS for c in a}
 GENDER = {word: g for g, ws in ADDRESS.items() for word in ws}
 NAMES = {name: group for group, names in GIVEN.items() for name in names}
+#: Words that begin a sentence after an initial rather than go on with the name.
+STARTERS = set("A After And As At But By For From He Her His I If In It My No On Our She So That The Then They This To We What When You Aber Als Auch Da Dann Das Der Die Ein Eine Er Es Ich Im In Sie Und Wenn Wir Après Ce Elle En Et Il Je La Le Les Mais Nous On Puis Un Une Vous Cuando Después El Ella En Es Este Los Luego Las Mi No Pero Por Su Un Una Y Yo".split())
 
 EMAIL = re.compile(r"[\w.+-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _SEP = r"[ ./-]?"
@@ -74,7 +78,7 @@ IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_-]{8,})")
 KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<key>[A-Z2-7]{16}|[A-Z0-9]{16})(?![A-Za-z0-9])")
-_UPPER = f"[{''.join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())}]"
+_UPPER = f"[{''.join(c for c in map(chr, range(0x41, 0x590)) if c.isupper())}]"
 _LETTER = r"[^\W\d_]"
 _ADDRESS = "|".join(map(re.escape, GENDER))
 #: A part of a name: hyphens, inner capitals and apostrophes before one; or an initial.
@@ -90,6 +94,22 @@ _HELD = (*GENDER, "ame is", "ame:", "ombre es", "e llamo", "om est", "appelle")
 HINTS = tuple(sorted(w for w in _HELD if not any(w != v and v in w for v in _HELD)))
 
 
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str | None:
+    """The characters that ``c`` may become: its listed alphabet, else the letters of its row of 128 code points that
+    are of its category and in no listed alphabet; None for what is no letter or digit."""
+    if c in CLASS or not c.isalpha():
+        return CLASS.get(c)
+    row, kind = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(row, row + 128)) if unicodedata.category(x) == kind and x not in CLASS)
+
+
+def titled(name: str) -> str:
+    """A name with a capital first letter and the others small, as far as a letter has the other case as one letter."""
+    small = "".join(c.lower() if len(c.lower()) == 1 else c for c in name[1:])
+    return (name[:1].upper() if len(name[:1].upper()) == 1 else name[:1]) + small
+
+
 class Cipher:
     """Keyed permutations of the whole numbers below any n."""
 
@@ -126,7 +146,7 @@ class Cipher:
 
     def string(self, s: str, kind: str, alphabets: list[str | None] | None = None) -> str:
         """A string of the same shape: each character of a known alphabet becomes one of that alphabet."""
-        sets = [CLASS.get(c) for c in s] if alphabets is None else alphabets
+        sets = [alphabet(c) for c in s] if alphabets is None else alphabets
         x, n = 0, 1
         for c, a in zip(s, sets):
             if a:
@@ -206,10 +226,16 @@ def detect(text: str) -> list[Entity]:
         found += [Entity(*m.span("key"), "key", m.group("key")) for m in KEY.finditer(text)]
     names: set[str] = set()
     for m in NAME.finditer(text) if any(h in text for h in HINTS) else ():
+        initial = False
         for part in PART.finditer(text, m.start("names"), m.end("names")):
+            if initial and part.group() in STARTERS:
+                break
+            initial = len(part.group()) == 1
             found.append(_name(part.group(), *part.span()))
             names.add(part.group())
-    names = {n for n in names if len(n) > 1}
+    # a part that the text also has as a common word, in lower case, is a name after its cue alone
+    names = {n for n in names if len(n) > 1 and not re.search(rf"(?<!\w){re.escape(n.lower())}(?!\w)", text)}
+    names |= {n.upper() for n in names}
     if names:
         again = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))})(?![\w-])")
         found += [_name(m.group(), *m.span()) for m in again.finditer(text)]
@@ -222,7 +248,9 @@ def detect(text: str) -> list[Entity]:
 
 
 def _name(form: str, start: int, end: int) -> Entity:
-    return Entity(start, end, "given" if form in NAMES else "family", form)
+    """All forms of a name that differ in case are one entity."""
+    name = titled(form)
+    return Entity(start, end, "given" if name in NAMES else "family", name)
 
 
 def _ip(canonical: str, cipher: Cipher) -> str:
@@ -239,6 +267,18 @@ def _given(name: str, cipher: Cipher) -> str:
     return names[cipher.derange(names.index(name), len(names), f"given|{group}".encode())]
 
 
+def _family(name: str, cipher: Cipher) -> str:
+    """A name of the same letters' alphabets that is no listed given name. The permutation is one cycle, so walking
+    on past listed names stays a permutation without fixed points of the others."""
+    out = cipher.string(name, "family")
+    while out in NAMES:
+        out = cipher.string(out, "family")
+    if out != name:
+        return out
+    # no alphabet covers it
+    return cipher.string("".join(chr(97 + int(c, 16)) for c in hashlib.blake2b(name.encode(), key=cipher.key, digest_size=6).hexdigest()), "masked").title()
+
+
 def _card(digits: str, cipher: Cipher) -> str:
     head = cipher.string(digits[:-1], "card")
     return head + str((_luhn(head) + int(digits[-1]) - _luhn(digits[:-1])) % 10)
@@ -301,7 +341,7 @@ MAKERS: dict[str, Callable[[str, Cipher], str]] = {
     "secret": lambda s, c: _hex(s, c, "secret"),
     "key": _key,
     "given": _given,
-    "family": lambda s, c: c.string(s, "family"),
+    "family": _family,
 }
 
 
@@ -321,8 +361,10 @@ def _fit(form: str, canonical: str, kind: str) -> str:
     if kind == "iban":
         chars = iter(canonical)
         return "".join(c if c == " " else next(chars) for c in form)
-    if kind in ("email", "ipv6"):  # the case of each letter is the form's
-        return "".join(c.upper() if f != f.lower() else c for f, c in zip(form, canonical, strict=True))
+    if kind == "given" or kind == "family" and len(form) != len(canonical):
+        return canonical.upper() if form.isupper() and len(form) > 1 else canonical
+    if kind in ("email", "ipv6", "family"):  # the case of each letter is the form's
+        return "".join(u if f != f.lower() and len(u := c.upper()) == 1 else c.lower() if kind == "family" and len(c.lower()) == 1 else c for f, c in zip(form, canonical, strict=True))
     return canonical
 
 
@@ -363,12 +405,15 @@ def entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
 def collisions(found: DataFrame) -> DataFrame:
     """Rows (kind, surrogate, n) that break distinctness: several originals share a surrogate, or one is its own."""
-    return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("original") == F.col("surrogate")).cast("int")).alias("same")).where("n > 1 OR same = 1").select("kind", "surrogate", "n")
+    # given and family names share one space, whatever their case
+    named = F.col("kind").isin("given", "family")
+    one = found.select(F.when(named, "name").otherwise(F.col("kind")).alias("kind"), *[F.when(named, F.lower(c)).otherwise(F.col(c)).alias(c) for c in ("original", "surrogate")])
+    return one.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("original") == F.col("surrogate")).cast("int")).alias("same")).where("n > 1 OR same = 1").select("kind", "surrogate", "n")
 
 
 def check_collisions(docs: DataFrame, key: bytes, text: str = "text") -> None:
     """Raise if surrogates over all of ``docs`` are not distinct; only counts reach the driver."""
-    bad = collisions(entities(docs, key, text)).where("kind <> 'family' OR n > 1").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    bad = collisions(entities(docs, key, text)).agg(F.count(F.lit(1)).alias("n")).first()["n"]
     if bad:
         raise ValueError(f"{bad} surrogates collide; use another key")
 

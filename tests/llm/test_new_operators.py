@@ -266,3 +266,49 @@ def test_text_ids_are_taken_or_refused_by_name(spark):
         ngram_join.jaccard_components(df)
     with pytest.raises(TypeError, match="whole numbers"):
         warc.archive_pages(df.selectExpr("doc_id AS page_id", "text AS html", "'u' AS url"))
+
+
+def names(text, key=b"registered-query-key"):
+    return pii.rewrite(text, pii.Cipher(key))[0]
+
+
+def test_two_people_stay_two_and_one_stays_one(spark):
+    text = "Dr Mgo met Petra. Mrs Petra left."
+    new = names(text)
+    a, b = re.fullmatch(r"Dr (\S+) met (\S+)\. Mrs (\S+) left\.", new).group(1, 2)
+    assert a != b and b == re.search(r"Mrs (\S+)", new).group(1) and b in pii.NAMES and a not in pii.NAMES
+    upper, title = re.fullmatch(r"Mr (\S+) met us\. Mr (\S+) left\.", names("Mr SMITH met us. Mr Smith left.")).groups()
+    assert upper == title.upper() != "SMITH" and title[0].isupper() and title[1:].islower()
+    given = re.fullmatch(r"Mrs (\S+), then (\S+) left\.", names("Mrs Anna, then ANNA left.")).groups()
+    assert given[1] == given[0].upper() and given[0] in pii.NAMES
+    cipher = pii.Cipher(b"k")
+    short = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + ["a" + x + "a" for x in "abcdefghijklmnopqrstuvwxyz"]
+    out = [pii.surrogate("family", s.title(), cipher) for s in short]
+    assert len(set(out)) == len(out) and not any(a.title() == b for a, b in zip(short, out, strict=True)) and not set(out) & set(pii.NAMES)
+
+
+def test_letters_of_every_script_are_replaced():
+    for name in ("Ğğ", "Łuczak Żółć", "Weiß", "Ёлкин", "Ќосев", "Ծառ", "Ωραία"):
+        new = names(f"Dr {name} met us.").removeprefix("Dr ").removesuffix(" met us.")
+        old = name.split()
+        assert len(new.split()) == len(old) and all(not set(a.lower()) <= set(b.lower()) for a, b in zip(new.split(), old, strict=True)), (name, new)
+
+
+def test_names_end_with_their_sentence_and_common_words_do_not_spread():
+    new = names("My name is Łukasz Ł. Then Łukasz left. Then we left.")
+    assert ". Then " in new and new.endswith("Then we left.") and "Łukasz" not in new
+    new = names("Mrs Rosa likes a rosa flower. Rosa left.")
+    assert "a rosa flower. Rosa left." in new and not new.startswith("Mrs Rosa")
+    assert "Kennedy" not in names("my name is John F. Kennedy")
+
+
+def test_collisions_across_kinds_are_reported(spark):
+    found = spark.createDataFrame([("given", "Petra", "Eva"), ("family", "mgo", "eva"), ("email", "a@b.c", "Eva"), ("family", "x", "x")], "kind string, original string, surrogate string")
+    assert {(r["kind"], r["surrogate"], r["n"]) for r in pii.collisions(found).collect()} == {("name", "eva", 2), ("name", "x", 1)}
+
+
+def test_words_learned_together_equal_words_one_by_one():
+    one, many = packing.WordIds(tokenizer_path("word_bpe_49k.json")), packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    texts = ["Hello hello, world's 123abc <|end|> don't", "", "Ünïcödé ÉTÉ été 日本語 😀 x́y", "a" * 60 + " b" * 50, "İstanbul ǅ ß ﬁ x1y2z3 ---- '' ''s", "\x1c odd \x1f"]
+    many.learn(texts)
+    assert [many.ids(t) for t in texts] == [one.library(t) for t in texts]
