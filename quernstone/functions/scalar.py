@@ -145,7 +145,8 @@ def argmax(values: Column) -> Column:
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
+    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    return F.element_at(F.transform(F.array(total), lambda s: F.transform(e, lambda x: x / s)), 1)  # the sum is taken once
 
 
 def even_index(n: Column, k: int) -> Column:

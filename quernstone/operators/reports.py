@@ -222,6 +222,46 @@ def few_shot_report(train: DataFrame, val: DataFrame, key: str, unit: str, vecto
     })
 
 
+def retrieval_records(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, k: int = 5, query_codes: Sequence[int] = (), base_codes: Sequence[int] = ()) -> DataFrame:
+    """(query, label, neighbours): for every query a JSON list of its nearest base rows, with rank, id, label and similarity.
+
+    Codes keep only rows with these labels on either side; empty ones keep all. A query without a neighbour has an empty list.
+    """
+    asked, held = V.with_codes(queries, label, query_codes), V.with_codes(base, label, base_codes)
+    near = N.neighbours(asked.select(key, vector), held.select(key, vector), key, vector, k)
+    told = near.join(held.select(F.col(key).alias("__n"), F.col(label).alias("__l")), F.col("neighbour") == F.col("__n"))
+    lists = told.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour").alias("id"), F.col("__l").alias("label"), "sim"))).alias("found"))
+    rows = asked.select(F.col(key).alias("__q"), label).join(lists, F.col("__q") == F.col("query"), "left")
+    return rows.select(F.col("__q").alias("query"), label, F.coalesce(F.to_json("found"), F.lit("[]")).alias("neighbours"))
+
+
+#: The metrics of a run's report, and where they stand in it.
+SEED_METRICS = ("auroc", "auprc", "accuracy", "sensitivity", "specificity", "f1", "sensitivity_at_spec", "specificity_at_spec")
+
+
+def seed_report(spark, root: str, report: str = "report.json", metrics: Sequence[str] = SEED_METRICS, sort: str = "auprc", top: int = 50) -> Report:
+    """Runs in several seeds, from the report documents in their folders: ``runs``, a row each, and ``summary``.
+
+    A run's folder is named ``<backbone>_<task>_<n>pct[_seed<n>]``; its document has the metrics under ``binary``. A run
+    whose document is empty or broken has its status and no metrics. The summary has mean, sample deviation and count of
+    every metric for each (backbone, task, pct), the best ``top`` by the mean of ``sort`` first (0: all).
+    """
+    from quernstone.sources.files import parse_run, report_documents
+
+    @cache
+    def runs() -> DataFrame:
+        found = report_documents(spark, root, "binary struct<" + ", ".join(f"{m}: double" for m in metrics) + ">", report)
+        name = F.element_at(F.split("path", "/"), -2)
+        backbone, task, pct, seed = parse_run(name)
+        return found.select(name.alias("run"), "status", backbone.alias("backbone"), task.alias("task"), pct.alias("pct"), seed.alias("seed"), *[F.col(f"binary.{m}").alias(m) for m in metrics])
+
+    def summary() -> DataFrame:
+        out = O.seed_summary(runs(), ["backbone", "task", "pct"], metrics).orderBy(F.desc_nulls_last(f"{sort}_mean"), "backbone", "task", "pct")
+        return out.limit(top) if top else out
+
+    return Report({"runs": runs, "summary": summary})
+
+
 def run_report(lines: DataFrame, runs: DataFrame, metric: str, k: int = 5, larger: bool = True) -> DataFrame:
     """The k best runs of each (task, pct) with status and their best epoch's metrics; runs of no percentage are left out.
 
@@ -264,3 +304,34 @@ def census_report(tables: dict[str, DataFrame], dates: dict[str, str], distinct:
             cells += [F.date_format(F.min(dates[name]), "yyyy-MM-dd").alias("first"), F.date_format(F.max(dates[name]), "yyyy-MM-dd").alias("last")]
         parts[name] = df.agg(*cells)
     return long_form(parts)
+
+
+def task_census(parts: DataFrame, unit: str, owner: str, code: str, categories: Sequence[str] = (), numeric: Sequence[str] = (), dates: Sequence[str] = (), classes: Sequence[int] = range(1, 7), view: str = "normal_vs_abnormal", top: int = 15, points: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), cache: DataFrame | None = None) -> DataFrame:
+    """(section, item, value): what a cohort, its labels and its caches hold, as text.
+
+    Sections: counts (rows, units, owners, labelled, unlabelled), codes, ``top_<category>`` with the ``top`` most
+    frequent values, a profile and the range of dates for each named column, class weights, the view's positives and
+    negatives, and with ``cache`` (path, length) the files and bytes of a cache. All but counts are of labelled parts.
+    """
+    out: dict[str, DataFrame] = {}
+    held = parts.where(F.col(code).isNotNull())
+    counts = parts.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(unit).alias("units"), F.count_distinct(owner).alias("owners"), F.count(code).alias("labelled"), F.count_if(F.col(code).isNull()).alias("unlabelled"))
+    lines = long_form({"counts": counts})
+    listed = lambda section, df, item, value: df.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), value.cast("string").alias("value"))
+    lines = lines.unionByName(listed("codes", held.groupBy(code).agg(F.count(F.lit(1)).alias("n")), code, F.col("n")))
+    for c in categories:
+        lines = lines.unionByName(listed(f"top_{c}", R.value_counts(held, c, top=top), "value", F.col("n")))
+    for c in numeric:
+        row = R.profile(held, c, points=points)
+        four = lambda x: F.format_string("%.4f", F.col(x).cast("double"))
+        out[c] = row.select(F.col("n").cast("string").alias("n"), *[four(x).alias(x) for x in ("min", "max", *[f"p{round(100 * p)}" for p in points])])
+    for c in dates:
+        day = lambda f: F.date_format(f, "yyyy-MM-dd")
+        out[f"{c}s" if len(dates) > 1 else "dates"] = held.agg(day(F.min(c)).alias("min"), day(F.max(c)).alias("max"), F.count(c).cast("string").alias("n"))
+    if cache is not None:
+        out["cache"] = cache.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    weights = R.class_weights(held.select(F.col(code).cast("int").alias("code")), "code", list(classes))
+    lines = lines.unionByName(listed("weights", weights, "code", F.format_string("%.6f", F.col("weight"))))
+    positive, negative = R.VIEWS[view]
+    out["views"] = held.agg(F.count_if(F.col(code).isin(*positive)).alias("positives"), F.count_if(F.col(code).isin(*negative)).alias("negatives"))
+    return lines.unionByName(long_form(out))

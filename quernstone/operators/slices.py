@@ -237,6 +237,15 @@ class VolumeSpec:
     band: float = 0.6
     bias: float = 0.25
     least: int = 300
+    lateral: float = 0.0  # share of the width on either side that a slice is scored by; 0 scores it as a whole
+    probes: int = 0  # slices that are scored at most, at an even stride; 0 scores all
+    window: tuple[float, float] | None = None  # centre and width that values are clipped to and scaled by; none keeps them
+    window2: tuple[float, float] | None = None  # a second one, as a channel of its own
+    pair: bool = False  # channels of a side are its own, the other's and their absolute differences
+
+
+#: How volumes of whole units are built by default.
+DUAL = VolumeSpec(block=64, spacing=0.7, z_spacing=0.8, lateral=0.25, probes=128, window=(700.0, 4000.0))
 
 
 def even_places(n: int, k: int) -> list[int]:
@@ -266,14 +275,54 @@ def _air(img: np.ndarray, spec: VolumeSpec) -> float:
     return float((img[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] < AIR).mean()) if len(ys) else 0.0
 
 
+def _box_air(img: np.ndarray, bone: np.ndarray, low: int, high: int) -> float:
+    """Share of air in the box of the bone in columns low to high - 1, a twentieth wider on each side within them; 0 without bone."""
+    ys, xs = np.nonzero(bone[:, low:high])
+    if not len(ys):
+        return 0.0
+    y0, y1, x0, x1 = ys.min(), ys.max(), xs.min() + low, xs.max() + low
+    dy, dx = (max(1, round(float(b - a) * 0.05)) for a, b in ((y0, y1), (x0, x1)))
+    part = img[max(0, y0 - dy) : y1 + dy + 1, max(low, x0 - dx) : min(high, x1 + dx + 1)]
+    return float((part < AIR).mean()) if part.size else 0.0
+
+
+def lateral_air(img: np.ndarray, share: float) -> float:
+    """The larger share of air around bone in the bands at both sides, ``share`` of the width each; else that of the slice."""
+    w, bone = img.shape[1], img > BONE
+    band = max(1, min(w // 2, round(share * w)))
+    return max(_box_air(img, bone, 0, band), _box_air(img, bone, w - band, w)) or _box_air(img, bone, 0, w)
+
+
+def scaled(x: np.ndarray, window: tuple[float, float]) -> np.ndarray:
+    """Values clipped to a window (centre, width) and scaled to 0..1."""
+    low, high = window[0] - window[1] / 2, window[0] + window[1] / 2
+    return ((np.clip(x, low, high) - low) / (high - low + 1e-6)).astype(np.float32)
+
+
+def channels(sides: dict[str, np.ndarray], spec: VolumeSpec) -> dict[str, np.ndarray]:
+    """Volumes as they are stored: as they are without a window, else (channels, slices, size, size) by windows, with
+    ``pair`` three times as many."""
+    windows = [w for w in (spec.window, spec.window2) if w is not None and w[1] > 0]
+    if not windows:
+        if spec.pair:
+            raise ValueError("pair features need a window")
+        return sides
+    own = {k: np.stack([scaled(v, w) for w in windows]) for k, v in sides.items()}
+    if not spec.pair:
+        return own
+    apart = np.abs(own["left"] - own["right"])
+    return {"left": np.concatenate([own["left"], own["right"], apart]), "right": np.concatenate([own["right"], own["left"], apart])}
+
+
 def _stack(images: list[np.ndarray], z: np.ndarray, spec: VolumeSpec) -> list[np.ndarray]:
     """The slices of the volume: a block or all, at even places or interpolated on an even z grid."""
     n = len(images)
     first, last = 0, n - 1
     if spec.block and n > (length := max(spec.block, spec.slices)):
-        scores = np.array([_air(i, spec) for i in images])
-        smooth = np.array([scores[max(0, j - 5) : j + 6].mean() for j in range(n)])
-        first = max(0, min(n - length, int(np.argmax(smooth)) - length // 2))
+        at = range(0, n, max(1, n // spec.probes) if spec.probes else 1)
+        scores = np.array([lateral_air(images[i], spec.lateral) if spec.lateral else _air(images[i], spec) for i in at])
+        smooth = np.array([scores[max(0, j - 5) : j + 6].mean() for j in range(len(at))])
+        first = max(0, min(n - length, at[int(np.argmax(smooth))] - length // 2))
         last = first + length - 1
     known = np.isfinite(z[first : last + 1])
     if spec.z_spacing > 0 and known.all() and last > first and z[last] > z[first]:
@@ -286,7 +335,7 @@ def _stack(images: list[np.ndarray], z: np.ndarray, spec: VolumeSpec) -> list[np
 
 
 def build_volume(images: list[np.ndarray], z: np.ndarray, spacings: list[tuple], spec: VolumeSpec) -> dict[str, np.ndarray]:
-    """Volumes (slices, size, size) of both sides from the ordered slices of a series."""
+    """Volumes of both sides from the ordered slices of a series: (slices, size, size), with windows (channels, slices, size, size)."""
     images = [to_spacing(i.astype(np.float32), s, spec.spacing) for i, s in zip(images, spacings)]
     stack = _stack(images, z, spec)
     probes = [stack[i] for i in sorted(set(even_places(len(stack), min(spec.midline_slices, len(stack)))))]
@@ -302,7 +351,7 @@ def build_volume(images: list[np.ndarray], z: np.ndarray, spacings: list[tuple],
         centres = np.array([_centre(i, spec) for i in imgs])
         y, x = round(float(np.median(centres[:, 0]))), round(float(np.median(centres[:, 1])))
         out[side] = np.stack([resample(_cut(i, y, x, spec), (spec.size, spec.size)) for i in imgs])
-    return out
+    return channels(out, spec)
 
 
 def volumes(slices: DataFrame, series: str, spec: VolumeSpec, whole_units: bool = False) -> DataFrame:

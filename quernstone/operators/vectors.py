@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -66,10 +69,16 @@ def attention_pool(weights: Column, vectors: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.zip_with(w, vectors, lambda a, v: a * F.get(v, i)), F.lit(0.0), lambda s, x: s + x))
 
 
+def gaussian_weights(width: int, out: int, seed: str = "0") -> list[list[float]]:
+    """``out`` rows of ``width`` normal numbers over sqrt(out), by Box and Muller from 52 bits each of md5(seed:i:j:0) and md5(seed:i:j:1)."""
+    even = lambda *at: (int(hashlib.md5(":".join(map(str, (seed, *at))).encode()).hexdigest()[:13], 16) + 1) / 2**52
+    return [[math.sqrt(-2 * math.log(even(i, j, 0))) * math.cos(2 * math.pi * even(i, j, 1)) / math.sqrt(out) for i in range(width)] for j in range(out)]
+
+
 def projection(v: Column, width: int, out: int, seed: str = "0") -> Column:
-    """Random projection with weights of +-1/sqrt(out) read off md5(seed:i:j)."""
-    sign = lambda i, j: F.when(F.substring(F.md5(F.concat_ws(":", F.lit(seed), i, j)), 1, 1) < "8", 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda j: F.aggregate(F.transform(F.slice(v, 1, width), lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x) / float(out) ** 0.5)
+    """Seeded Gaussian random projection to ``out`` numbers; the weights are one literal matrix in the plan."""
+    matrix = F.lit(gaussian_weights(width, out, seed))
+    return F.transform(matrix, lambda row: F.aggregate(F.zip_with(F.slice(v, 1, width), row, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x))
 
 
 def recall(ranks: DataFrame, ks) -> DataFrame:

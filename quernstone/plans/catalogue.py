@@ -626,4 +626,4 @@ def top_weights_per_row(table):
     return top.select("vec_id", F.col("index").alias("place"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
-from quernstone.plans import cohort, evaluation  # noqa: E402, F401  their queries register themselves
+from quernstone.plans import cohort, evaluation, forms, stores  # noqa: E402, F401  their queries register themselves

@@ -283,3 +283,76 @@ def test_pixels_in_other_ways_of_writing(spark):
     got = {r["path"]: r for r in H.read_slices(spark.createDataFrame([(n, bytearray(d)) for n, d in rows], "path string, content binary")).collect()}
     assert [got[n]["meta_ok"] for n in "abcdef"] == [True] * 4 + [False] * 2
     assert all(got[n]["pixels"] == (px * 2.0).ravel().tolist() for n in "abc") and got["d"]["pixels"] == px.ravel().tolist()
+
+
+def test_seed_reports_are_summarised(spark, tmp_path):
+    for name, auprc in (("r50_six_20pct_seed1", 0.5), ("r50_six_20pct_seed2", 0.7), ("vit_six_20pct", 0.9)):
+        (tmp_path / "x" / name).mkdir(parents=True)
+        (tmp_path / "x" / name / "report.json").write_text(json.dumps({"binary": {"auprc": auprc, "f1": None}, "other": [1]}))
+    for name, text in (("r50_six_20pct_seed3", "{broken"), ("vit_six_1pct_seed4", "")):
+        (tmp_path / "x" / name).mkdir()
+        (tmp_path / "x" / name / "report.json").write_text(text)
+    report = C.seed_report(spark, str(tmp_path))
+    runs = {r["run"]: r for r in report["runs"].collect()}
+    assert (runs["r50_six_20pct_seed3"]["status"], runs["r50_six_20pct_seed3"]["auprc"], runs["vit_six_20pct"]["seed"]) == ("parse_error", None, None)
+    rows = [(r["backbone"], r["pct"], r["auprc_n"]) for r in report["summary"].collect()]
+    assert rows[:2] == [("vit", 20, 1), ("r50", 20, 2)]
+    best = report["summary"].where("backbone = 'r50'").first()
+    assert abs(best["auprc_mean"] - 0.6) < 1e-12 and abs(best["auprc_std_samp"] - np.std([0.5, 0.7], ddof=1)) < 1e-12 and best["f1_n"] == 0
+
+
+def plain_lateral(img, share):
+    """The score of a slice by loops over its pixels."""
+    h, w = img.shape
+    band = max(1, min(w // 2, int(round(share * w))))
+
+    def box(low, high):
+        spots = [(y, x) for y in range(h) for x in range(low, high) if img[y, x] > I.BONE]
+        if not spots:
+            return 0.0
+        y0, y1, x0, x1 = min(y for y, _ in spots), max(y for y, _ in spots), min(x for _, x in spots), max(x for _, x in spots)
+        dy, dx = max(1, int(round((y1 - y0) * 0.05))), max(1, int(round((x1 - x0) * 0.05)))
+        inside = [img[y, x] for y in range(max(0, y0 - dy), min(h - 1, y1 + dy) + 1) for x in range(max(low, x0 - dx), min(high - 1, x1 + dx) + 1)]
+        return sum(v < I.AIR for v in inside) / len(inside)
+
+    return max(box(0, band), box(w - band, w)) or box(0, w)
+
+
+def test_lateral_scores_and_blocks_by_probes():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        img = rng.choice([-1000.0, 0.0, 500.0], (int(rng.integers(1, 20)), int(rng.integers(2, 24))), p=[0.3, 0.6, 0.1])
+        assert abs(I.lateral_air(img, 0.25) - plain_lateral(img, 0.25)) < 1e-12
+    images = []
+    for i in range(50):
+        img = np.zeros((12, 16))
+        img[2:10, 1:4] = 500
+        if 30 <= i < 38:
+            img[4:8, 2] = -900
+        images.append(img)
+    spec = I.VolumeSpec(slices=5, block=10, lateral=0.25, probes=10)
+    at = range(0, 50, 5)
+    scores = [plain_lateral(images[i], 0.25) for i in at]
+    smooth = [np.mean(scores[max(0, j - 5) : j + 6]) for j in range(len(at))]
+    start = max(0, min(40, at[int(np.argmax(smooth))] - 5))
+    got = I._stack(images, np.full(50, np.nan), spec)
+    assert [next(k for k in range(50) if images[k] is g) for g in got] == [start + k for k in I.even_places(10, 5)]
+
+
+def test_windows_and_pair_features(spark):
+    rng = np.random.default_rng(2)
+    images = [rng.normal(0, 900, (20, 30)).astype(np.float32) for _ in range(6)]
+    z, gaps = np.arange(6.0), [(None, None)] * 6
+    plain = I.VolumeSpec(slices=4, size=8, crop=12)
+    raw = I.build_volume(images, z, gaps, plain)
+    two = I.build_volume(images, z, gaps, I.VolumeSpec(slices=4, size=8, crop=12, window=(700.0, 4000.0), window2=(40.0, 400.0), pair=True))
+    unit = lambda v, c, w: (np.clip(v, c - w / 2, c + w / 2) - (c - w / 2)) / (w + 1e-6)
+    for side, other in (("left", "right"), ("right", "left")):
+        own, far = (np.stack([unit(raw[s], 700.0, 4000.0), unit(raw[s], 40.0, 400.0)]) for s in (side, other))
+        assert two[side].shape == (6, 4, 8, 8) and np.allclose(two[side], np.concatenate([own, far, abs(own - far)]), atol=1e-6)
+    assert I.build_volume(images, z, gaps, I.VolumeSpec(slices=4, size=8, crop=12, window=(0.0, 100.0)))["left"].shape == (1, 4, 8, 8)
+    with pytest.raises(ValueError, match="window"):
+        I.build_volume(images, z, gaps, I.VolumeSpec(slices=4, size=8, crop=12, pair=True))
+    rows = [(1, f"s/{i}.dcm", img.ravel().tolist(), 20, 30, float(i), i, 1.0, 1.0) for i, img in enumerate(images)]
+    df = spark.createDataFrame(rows, "series long, path string, pixels array<float>, h int, w int, z double, instance int, spacing_y double, spacing_x double")
+    assert I.volumes(df, "series", I.VolumeSpec(slices=4, size=8, crop=12, window=(700.0, 4000.0)), whole_units=True).first()["shape"] == [2, 1, 4, 8, 8]
