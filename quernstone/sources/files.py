@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import re
+import time
 import uuid
 import zipfile
 from collections.abc import Sequence
@@ -13,6 +14,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,28 +212,57 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
         raise FileExistsError(path)
 
 
+def _claim(fs, path, data: bytes) -> bool:
+    """Create a small file that is not there yet; False if another writer was first."""
+    try:
+        out = fs.create(path, False)
+    except Exception as e:  # noqa: BLE001  each store has an exception of its own for a file that exists
+        if fs.exists(path):
+            return False
+        raise e
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return True
+
+
+def _told(fs, path) -> str:
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def cached(df: DataFrame, root: str, **parameters) -> DataFrame:
     """A table kept under a hash of its parameters: written once, read afterwards.
 
-    The table is written beside and renamed, so that of two writers one wins whole; its parameters stand in
-    ``<hash>.json`` beside it. Every parameter that shapes the table belongs in ``parameters``.
+    Every writer writes a folder ``run=<own>`` below ``<hash>``; the marker ``_TABLE``, which is created only where it is not yet
+    there, names the one that counts, and readers follow it. No folder is renamed, so the store needs no rename. A writer
+    that comes second deletes what it wrote and reads the first one's. Its parameters stand in ``<hash>.json`` beside it.
+    Every parameter that shapes the table belongs in ``parameters``.
     """
     spec = ":".join(f"{k}={parameters[k]}" for k in sorted(parameters))
     name = hashlib.md5(spec.encode()).hexdigest()[:16]
     path = f"{root.rstrip('/')}/{name}"
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if not fs.exists(target):
-        beside = f"{path}.{uuid.uuid4().hex}.part"
-        df.write.option("compression", "zstd").parquet(beside)
-        part = jvm.org.apache.hadoop.fs.Path(beside)
-        if fs.exists(target) or not fs.rename(part, target):
-            fs.delete(part, True)  # another writer was first
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    marker = at(f"{path}/_TABLE")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        own = f"run={uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{path}/{own}")
+        if not _claim(fs, marker, own.encode()):
+            fs.delete(at(f"{path}/{own}"), True)
         else:
             _put(spark, f"{path}.json", (json.dumps({k: str(v) for k, v in sorted(parameters.items())}, ensure_ascii=False, indent=2) + "\n").encode())
-    return spark.read.schema(df.schema).parquet(path)
+    # a marker that was just created may still be empty
+    for _ in range(100):
+        if told := _told(fs, marker):
+            return spark.read.schema(df.schema).parquet(f"{path}/{told}")
+        time.sleep(0.1)
+    raise FileNotFoundError(f"{path}/_TABLE names no table: its writer was lost; delete it")
 
 
 def warm(train: DataFrame, val: DataFrame, keys: Sequence[str], root: str, **parameters) -> DataFrame:
@@ -280,25 +311,46 @@ def read_npz(spark: SparkSession, path: str, width: int | None = None) -> DataFr
     return files.mapInPandas(load, EMBEDDINGS)
 
 
-def write_npz(df: DataFrame, path: str, **meta) -> None:
-    """Embedding rows as compressed .npz files, one a partition, with the meta data as JSON in each.
+def write_npz(df: DataFrame, path: str, rows: int = 65_536, **meta) -> int:
+    """Embedding rows as compressed .npz files of at most ``rows`` rows, with the meta data as JSON in each; returns how many.
 
-    Parquet is the format for large sets; these files are for readers of NumPy. Files are rows of
-    (name, content) that the driver puts one at a time, so only one is in its memory.
+    Parquet is the format for large sets; these files are for readers of NumPy. Tasks write them where they belong,
+    through Arrow's file systems, each beside its name first; a task that is run again writes the same names. An
+    existing file of another run is an error.
     """
-    text = json.dumps(meta, ensure_ascii=False, sort_keys=True)
+    text, run = json.dumps(meta, ensure_ascii=False, sort_keys=True), uuid.uuid4().hex
 
-    def pack(batches):
-        rows = list(batches)
-        if rows:
-            b = pd.concat(rows)
-            out = io.BytesIO()
-            np.savez_compressed(out, emb=np.stack(b["emb"].to_numpy()).astype(np.float32), exam_id=b["unit_id"].to_numpy(np.int64), side=b["side"].to_numpy(str), label_code=b["label_code"].to_numpy(np.int64), meta=np.array(text))
-            yield pd.DataFrame({"name": [f"part-{TaskContext.get().partitionId():05d}.npz"], "content": [out.getvalue()]})
+    def put(batches):
+        store, root = pa_fs.FileSystem.from_uri(path) if ":/" in path else (pa_fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        part, n = TaskContext.get().partitionId(), 0
 
-    packed = df.select("unit_id", "side", "label_code", "emb").mapInPandas(pack, "name string, content binary")
-    for row in packed.toLocalIterator():
-        _put(df.sparkSession, f"{path.rstrip('/')}/{row['name']}", bytes(row["content"]))
+        def write(b: pd.DataFrame) -> str:
+            name = f"{root}/part-{part:05d}-{n:05d}.npz"
+            out = io.BytesIO()
+            np.savez_compressed(out, emb=np.stack(b["emb"].to_numpy()).astype(np.float32), exam_id=b["unit_id"].to_numpy(np.int64), side=b["side"].to_numpy(str), label_code=b["label_code"].to_numpy(np.int64), meta=np.array(text), run=np.array(run))
+            if store.get_file_info(name).type == pa_fs.FileType.File:
+                with store.open_input_file(name) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
+                    if "run" not in z or str(z["run"]) != run:
+                        raise FileExistsError(name)
+            beside = f"{name}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(beside) as f:
+                f.write(out.getvalue())
+            store.move(beside, name)
+            return name
+
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            for at in range(0, len(b), rows):
+                held.append(b.iloc[at : at + rows])
+                while sum(map(len, held)) >= rows:
+                    whole = pd.concat(held)
+                    yield pd.DataFrame({"name": [write(whole.iloc[:rows])]})
+                    held, n = [whole.iloc[rows:]] if len(whole) > rows else [], n + 1
+        if held:
+            yield pd.DataFrame({"name": [write(pd.concat(held))]})
+
+    return df.select("unit_id", "side", "label_code", "emb").mapInPandas(put, "name string").count()
 
 
 def read_xlsx(spark: SparkSession, path: str, columns: dict[str, str], optional: Sequence[str] = (), sheet: int = 1) -> DataFrame:

@@ -356,3 +356,32 @@ def test_windows_and_pair_features(spark):
     rows = [(1, f"s/{i}.dcm", img.ravel().tolist(), 20, 30, float(i), i, 1.0, 1.0) for i, img in enumerate(images)]
     df = spark.createDataFrame(rows, "series long, path string, pixels array<float>, h int, w int, z double, instance int, spacing_y double, spacing_x double")
     assert I.volumes(df, "series", I.VolumeSpec(slices=4, size=8, crop=12, window=(700.0, 4000.0)), whole_units=True).first()["shape"] == [2, 1, 4, 8, 8]
+
+
+def test_two_writers_of_a_cache_read_one_table(spark, tmp_path):
+    import threading
+
+    got, errors = [], []
+
+    def work(k):
+        try:
+            got.append(sorted(r["id"] for r in S.cached(spark.range(k, k + 5), str(tmp_path), v=1).collect()))
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    both = [threading.Thread(target=work, args=(k,)) for k in (0, 100)]
+    [t.start() for t in both], [t.join() for t in both]
+    assert not errors and got[0] == got[1] and got[0] in ([*range(5)], [*range(100, 105)])
+    (folder,) = [p for p in tmp_path.iterdir() if p.is_dir()]
+    assert len([p for p in folder.iterdir() if p.name.startswith("run=")]) == 1
+
+
+def test_npz_files_are_cut_by_rows(spark, tmp_path):
+    rows = [(i, "left", i % 6, [float(i), 1.0]) for i in range(25)]
+    df = spark.createDataFrame(rows, S.EMBEDDINGS).coalesce(2)
+    n = S.write_npz(df, f"file://{tmp_path}/npz", rows=4, model="m")
+    assert n == len(list((tmp_path / "npz").glob("*.npz"))) == len(list((tmp_path / "npz").iterdir())) >= 7
+    assert sorted(r["unit_id"] for r in S.read_npz(spark, str(tmp_path / "npz"), 2).collect()) == list(range(25))
+    with pytest.raises(Exception, match="FileExistsError"):
+        S.write_npz(df, str(tmp_path / "npz"), rows=4)
+    assert S.write_npz(df.limit(0), str(tmp_path / "none")) == 0
