@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -22,27 +23,43 @@ from pyspark.taskcontext import TaskContext
 
 from quernstone.llm.common import as_before, rank_offsets, running_rank, written
 
-#: Entries of each cache of a Python worker; a full cache is emptied.
-CACHE = 500_000
+#: Entries of the caches of a Python worker, of chunks and of runs; a full cache is emptied. Runs are fewer than chunks, as
+#: they share their entries whatever the case and the marks around them, and it is they that the library is called for.
+CHUNKS, HELD = 300_000, 1_200_000
 #: White space to str.split() but not to the tokenizers' patterns.
 ODD = re.compile("[\x1c-\x1f]")
 #: Latin letters whose normal form and lower case stay within one run of letters.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 PLAIN = re.compile(f"[\x21-\x26\x28-\x7e{LETTERS}]+")
 RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
+LETTER = re.compile(f"[{LETTERS}]")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable Latin-1, else the next one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in plain)
+    out = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+    return [out[b] for b in range(256)]
+
+
+BYTES = byte_letters()
 
 
 class WordIds:
     """Ids of a tokenizer that drops white space, as little-endian unsigned 32-bit bytes.
 
     No token of such a tokenizer spans white space, so the ids of a text are those of its chunks
-    between white space; chunks of plain characters split further where letters meet others.
+    between white space; chunks of plain characters split further where letters meet others. A run of
+    letters is one word to the tokenizer, so the library's merges alone give its ids; all else goes
+    through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self.encode, self.merge = whole.encode, whole.model.tokenize
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -53,52 +70,32 @@ class WordIds:
     def run(self, run: str) -> bytes:
         got = self.runs.get(run)
         if got is None:
-            if len(self.runs) >= CACHE:
+            if len(self.runs) >= HELD:
                 self.runs.clear()
-            got = self.library(run)
+            if LETTER.match(run):
+                word = run.lower() if run.isascii() else "".join([BYTES[b] for b in unicodedata.normalize("NFC", run).lower().encode()])
+                ids = [t.id for t in self.merge(word)]
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                got = self.library(run)
             if len(run) < 48:
                 self.runs[run] = got
         return got
 
     def chunk(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:  # ASCII runs share their entries whatever their case
-            got = b"".join(map(self.run, RUNS.findall(chunk.lower() if chunk.isascii() else chunk)))
+        ascii_ = chunk.isascii()
+        if ascii_ and chunk.isalpha():
+            got = self.run(chunk.lower())
+        elif PLAIN.fullmatch(chunk) and "<|" not in chunk:  # ASCII runs share their entries whatever their case
+            got = b"".join(map(self.run, RUNS.findall(chunk.lower() if ascii_ else chunk)))
         else:
             got = self.library(chunk)
-        if len(self.chunks) >= CACHE:
+        if len(self.chunks) >= CHUNKS:
             self.chunks.clear()
         if len(chunk) < 48:
             self.chunks[chunk] = got
         return got
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the unseen runs of plain chunks of some texts in one call of the library.
-
-        Runs are told apart by white space, which no token spans; one call costs far less than one for each run.
-        """
-        parts: dict[str, list[str]] = {}
-        for text in texts:
-            for c in set(text.split()):
-                if c not in self.chunks and c not in parts and len(c) < 48 and PLAIN.fullmatch(c) and "<|" not in c:
-                    parts[c] = RUNS.findall(c.lower() if c.isascii() else c)
-        if len(self.chunks) + len(parts) > CACHE:
-            self.chunks.clear()
-        unseen = {r for rs in parts.values() for r in rs}
-        if len(self.runs) + len(unseen) > CACHE:
-            self.runs.clear()
-        runs = [r for r in unseen if r not in self.runs]
-        for at in range(0, len(runs), 4096):
-            some = runs[at : at + 4096]
-            got = self.encode(" ".join(some), add_special_tokens=False)
-            packed, start = struct.pack(f"<{len(got.ids)}I", *got.ids), 0
-            stops = np.searchsorted([e for _, e in got.offsets], np.cumsum([len(r) + 1 for r in some]) - 1, "right")
-            for run, stop in zip(some, stops.tolist(), strict=True):
-                self.runs[run] = packed[4 * start : 4 * stop]
-                start = stop
-        known = self.runs
-        for c, rs in parts.items():
-            self.chunks[c] = known[rs[0]] if len(rs) == 1 else b"".join([known[r] for r in rs])
-
     def ids(self, text: str) -> bytes:
         if ODD.search(text):
             return self.library(text)
@@ -195,13 +192,11 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, do
 
     def pieces(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        words = word_ids(tokenizer)
+        ids = word_ids(tokenizer).ids
         for b in batches:
             row, start, length, crc, total, raw = [], [], [], [], [], []
-            texts = [bytes(cell).decode("utf-8", "replace") if cell is not None else "" for cell in b["data"]]
-            words.learn(texts)
-            for k, t in enumerate(texts):
-                data = words.ids(t) + end
+            for k, cell in enumerate(b["data"]):
+                data = ids(bytes(cell).decode("utf-8", "replace") if cell is not None else "") + end
                 n = len(data) // 4
                 for a in range(0, n, window):
                     piece = data[4 * a : 4 * (a + window)]
