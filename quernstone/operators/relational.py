@@ -126,6 +126,17 @@ def attach_owner(df: DataFrame, owners: DataFrame, unit: str, owner: str) -> Dat
     return df.join(found, unit, "left").withColumn(owner, F.coalesce(owner, F.concat(F.lit("UNIT_"), F.col(unit).cast("string"))))
 
 
+def attach_series(parts: DataFrame, meta: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+    """``parts`` with ``columns`` of their series' metadata, null where there is none; no part is lost or doubled.
+
+    Of several rows of metadata with the same keys the first by ``order`` counts; a null key has no metadata. The metadata
+    is one narrow row a series after a partial aggregate.
+    """
+    first = meta.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*columns), F.struct(order, *columns)).alias("__m"))
+    on = [F.col(k) == F.col(f"__{k}") for k in keys]
+    return parts.join(first, on, "left").select(*parts.columns, *[F.col(f"__m.{c}").alias(c) for c in columns])
+
+
 def match_audit(labels: DataFrame, stored: DataFrame, unit: str, date: str) -> DataFrame:
     """One row: labels matched by id and date, by id with another date only, and missing."""
     dates = stored.groupBy(unit).agg(F.collect_set(date).alias("__dates"))

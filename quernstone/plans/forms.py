@@ -9,7 +9,9 @@ from quernstone.functions import scalar as S
 from quernstone.operators import ordered as O
 from quernstone.operators import relational as R
 from quernstone.operators import slices as I
+from quernstone.operators import text as T
 from quernstone.operators import vectors as V
+from quernstone.plans.catalogue import _CHARS, _DOC_GRAMS
 from quernstone.plans.registry import query, rounded
 
 _CLEAN = "regexp_replace(regexp_replace(coalesce({}, ''), '\\r\\n?', chr(10), 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
@@ -95,3 +97,32 @@ def slice_places(table):
     z = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice").cast("double"))
     key = I.slice_order(z, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 5), F.concat(F.lit("s/a."), F.col("o_orderkey") % 11, F.lit(".dcm")))
     return table("orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(key, "o_orderkey")).alias("place"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS unit, unnest(['left', 'right']) AS side FROM orders), m AS (SELECT l_orderkey, arg_min(l_quantity, (l_linenumber, l_quantity, l_returnflag)) AS spacing, arg_min(l_returnflag, (l_linenumber, l_quantity, l_returnflag)) AS kernel FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1)
+SELECT unit, side, CAST(spacing AS DOUBLE) AS spacing, kernel FROM p LEFT JOIN m ON l_orderkey = unit""")
+def series_of_parts(table):
+    """Parts with the metadata of their series, the first line of an order; a third of the orders have none."""
+    p = table("orders").select(F.col("o_orderkey").alias("unit"), F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side"))
+    meta = table("lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("unit"), "l_linenumber", F.col("l_quantity").cast("double").alias("spacing"), F.col("l_returnflag").alias("kernel"))
+    return R.attach_series(p, meta, ["unit"], ["spacing", "kernel"], "l_linenumber")
+
+
+_HOURS = "SELECT event_type, x FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(generate_series(CAST(floor(min(epoch(ts)) / 3600) AS BIGINT), CAST(ceil(max(epoch(ts)) / 3600) AS BIGINT))) * 3600.0::DOUBLE AS x FROM events)"
+
+
+@query(f"""WITH p AS (SELECT event_type, CAST(epoch(ts) AS DOUBLE) AS x, avg(value) AS y FROM events GROUP BY 1, 2), g AS ({_HOURS}),
+l AS (SELECT g.event_type, g.x, p.x AS lo, p.y AS ly FROM g ASOF LEFT JOIN p ON p.event_type = g.event_type AND g.x >= p.x), n AS (SELECT l.*, p.x AS hi, p.y AS hy FROM l ASOF LEFT JOIN p ON p.event_type = l.event_type AND l.x <= p.x)
+SELECT event_type, x AS at, round(CASE WHEN lo IS NULL THEN hy WHEN hi IS NULL THEN ly WHEN hi = lo THEN ly ELSE ly + (hy - ly) * (x - lo) / (hi - lo) END, 4) AS y FROM n""")
+def interp_asof_all_hours(table):
+    """All events on the hours from the first to the last, whatever the table's span."""
+    ev = table("events").withColumn("x", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6"))
+    span = ev.agg(F.sequence(F.floor(F.min("x") / 3600), F.ceil(F.max("x") / 3600)).alias("h"))
+    grid = ev.select("event_type").distinct().withColumn("h", span.scalar()).select("event_type", F.explode("h").alias("h")).select("event_type", (F.col("h") * F.lit(3600.0)).alias("at"))
+    return rounded(O.interpolate_asof(ev, grid, "event_type", "x", "value", "at").withColumnRenamed("value", "y"), "y", digits=4)
+
+
+@query(f"WITH {_CHARS}, g AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % 64 AS INT) AS bucket, count(*) AS n FROM ({_DOC_GRAMS}) GROUP BY 1, 2) SELECT doc_id, bucket, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY doc_id) AS DOUBLE)), 6) AS weight FROM g")
+def document_hash_vectors(table):
+    """Hashed n-gram vectors of whole documents."""
+    return rounded(T.hash_vector(table("documents"), "doc_id", "text", 64), "weight")

@@ -13,12 +13,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import scalar as S
-from quernstone.operators.slices import canonical
-from quernstone.sources.ranged import FIELDS, LONG_TYPES, NUMBERS, PIXELS, RUN_LENGTH, fields, of_bytes, unpacked  # noqa: F401
+from quernstone.operators.slices import VolumeSpec, canonical, slice_order, volumes
+from quernstone.sources.ranged import FIELDS, LONG_TYPES, NUMBERS, PIXELS, RUN_LENGTH, fields, header_files, of_bytes, store_of, unpacked  # noqa: F401
+from quernstone.session import ship_package
 
 def parse(data: bytes, pixels: bool = False) -> dict:
     """Fields of a file held in memory, with ``pixels`` their bytes too; see ``ranged.fields``."""
@@ -105,6 +106,17 @@ def slice_of(data: bytes) -> dict:
     return {"h": img.shape[0], "w": img.shape[1], "pixels": np.ascontiguousarray(img, np.float32).ravel(), "z": place[2] if len(place) > 2 and math.isfinite(place[2]) else None, "instance": int(number) if number.lstrip("-").isdigit() else None, "spacing_y": sy, "spacing_x": sx}
 
 
+def _slice_frame(rows: list[dict]) -> pd.DataFrame:
+    """Rows as SLICES, with nulls in what a broken file lacks."""
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in SLICES.split(", ")])
+    for c, t in (("h", "Int32"), ("w", "Int32"), ("instance", "Int64")):
+        out[c] = out[c].astype(t)
+    for c in ("z", "spacing_y", "spacing_x"):
+        out[c] = out[c].astype("Float64")
+    out["pixels"] = out["pixels"].astype(object).where(out["pixels"].notna(), None)
+    return out
+
+
 def read_slices(files: DataFrame) -> DataFrame:
     """SLICES of files (path, content); a file that cannot be read has meta_ok false and nulls."""
 
@@ -116,17 +128,64 @@ def read_slices(files: DataFrame) -> DataFrame:
                     rows.append({"path": path, "meta_ok": True, **slice_of(bytes(content))})
                 except (ValueError, KeyError, struct.error, zlib.error, TypeError):
                     rows.append({"path": path, "meta_ok": False})
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in SLICES.split(", ")])
-            for c, t in (("h", "Int32"), ("w", "Int32"), ("instance", "Int64")):
-                out[c] = out[c].astype(t)
-            for c in ("z", "spacing_y", "spacing_x"):
-                out[c] = out[c].astype("Float64")
-            out["pixels"] = out["pixels"].astype(object).where(out["pixels"].notna(), None)
-            yield out
+            yield _slice_frame(rows)
 
     return files.select("path", "content").mapInPandas(read, SLICES)
 
 
+def even_slices(headers: DataFrame, series: str, slices: int) -> DataFrame:
+    """(series, path) of the evenly spaced slices that a volume of ``slices`` needs of each series, from header rows alone.
+
+    Slices are in the order of ``slice_order``; of a series with fewer all are taken. Files that cannot be read or
+    tell no series take no part.
+    """
+    text = F.split("position", "\\\\")
+    z = F.when(F.size(text) > 2, F.get(text, F.lit(2)).try_cast("double"))
+    number = F.when(F.trim("instance").rlike("^-?[0-9]+$"), F.trim("instance").try_cast("long"))
+    rows = headers.where(F.col("meta_ok") & F.col(series).isNotNull()).select(series, "path", slice_order(z, number, F.col("path")).alias("__o"))
+    w = Window.partitionBy(series)
+    placed = rows.withColumns({"__at": F.row_number().over(w.orderBy("__o", "path")) - 1, "__n": F.count(F.lit(1)).over(w)})
+    return placed.where(F.array_contains(S.even_index(F.col("__n").cast("int"), slices), F.col("__at"))).select(series, "path")
+
+
+def read_paths(paths: DataFrame, root: str) -> DataFrame:
+    """The columns of ``paths`` and SLICES of the file of each row, opened in tasks through the file system of ``root``."""
+    ship_package(paths.sparkSession)
+    others = [f for f in paths.schema if f.name != "path"]
+
+    def read(batches):
+        store = store_of(root)[0]
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                try:
+                    with store.open_input_file(path) as f:
+                        rows.append({"path": path, "meta_ok": True, **slice_of(f.read())})
+                except (ValueError, KeyError, struct.error, zlib.error, TypeError, OSError):
+                    rows.append({"path": path, "meta_ok": False})
+            out = _slice_frame(rows)
+            for f in others:
+                out[f.name] = b[f.name].to_numpy()
+            yield out
+
+    # keys as text, for numbers beside a null; a series is dealt to many tasks
+    texts = paths.select("path", *[F.col(f.name).cast("string").alias(f.name) for f in others])
+    found = texts.repartition(F.xxhash64("path")).mapInPandas(read, SLICES + "".join(f", `{f.name}` string" for f in others))
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in others], *[x.split()[0] for x in SLICES.split(", ")])
+
+
+def even_volumes(spark: SparkSession, root: str, spec: VolumeSpec, series: str = "series_uid", suffix: str = ".dcm", whole_units: bool = False) -> DataFrame:
+    """What ``slices.volumes`` gives for the files below ``root``, in two passes: headers first, then the pixels of the
+    slices that the volumes hold alone, so no task has more than these of a series.
+
+    For even sampling: a block around the best score, or slices interpolated between others, need all pixels.
+    """
+    if spec.block or spec.z_spacing > 0:
+        raise ValueError("a block or a target spacing of slices needs all slices: use volumes")
+    wanted = even_slices(header_files(spark, root, [series, "instance", "position"], suffix), series, spec.slices)
+    return volumes(read_paths(wanted, root).where("meta_ok"), series, spec, whole_units)
+
+
 def slice_files(spark: SparkSession, root: str, pattern: str = "*.dcm") -> DataFrame:
     """(path, content) of all slice files below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")

@@ -233,6 +233,11 @@ def unpacked(fragments: list[bytes], pixels: int, width: int) -> bytes:
     return bytes(out)
 
 
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI or local path, and the folder's path in it."""
+    return fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+
+
 class Folder(InputPartition):
     """Some folders, each with whether what lies below it belongs to it."""
 
@@ -271,7 +276,7 @@ class HeaderReader(DataSourceReader):
         self.parts, self.step = int(options.get("partitions", 64)), int(options.get("step", STEP))
 
     def partitions(self) -> list[InputPartition]:
-        store, root = fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
+        store, root = store_of(self.root)
         folders, level = [(root, False)], [root]
         for depth in (1, 2):
             level = [i.path for f in level for i in store.get_file_info(fs.FileSelector(f)) if i.type == fs.FileType.Directory]
@@ -279,7 +284,7 @@ class HeaderReader(DataSourceReader):
         return [Folder(folders[k :: self.parts]) for k in range(min(self.parts, len(folders)))]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
-        store = fs.FileSystem.from_uri(self.root)[0] if "://" in self.root or self.root.startswith("file:") else fs.LocalFileSystem()
+        store = store_of(self.root)[0]
         rows: list[tuple] = []
         for folder, below in partition.folders:
             for info in store.get_file_info(fs.FileSelector(folder, recursive=below)):

@@ -385,3 +385,24 @@ def test_npz_files_are_cut_by_rows(spark, tmp_path):
     with pytest.raises(Exception, match="FileExistsError"):
         S.write_npz(df, str(tmp_path / "npz"), rows=4)
     assert S.write_npz(df.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_volumes_from_headers_read_only_what_they_hold(spark, tmp_path):
+    rng, pixels = np.random.default_rng(8), {}
+    for series, n in (("1.2", 23), ("1.3", 4)):
+        for i in rng.permutation(n).tolist():
+            img = rng.integers(-1000, 900, (18, 26))
+            path = tmp_path / "e" / series / f"x.{i}.dcm"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(image_file(img, series_uid=series, position=f"0\\0\\{n - i}.5", instance=str(i), pixel_spacing="1\\1"))
+            pixels[str(path)] = (series, img, n - i + 0.5, i)
+    (tmp_path / "e" / "1.3" / "broken.dcm").write_bytes(b"nothing")
+    spec = I.VolumeSpec(slices=7, size=8, crop=12)
+    wanted = H.even_slices(G.header_files(spark, str(tmp_path), suffix=".dcm"), "series_uid", 7)
+    assert wanted.groupBy("series_uid").count().orderBy("series_uid").collect() == [("1.2", 7), ("1.3", 4)]
+    got = {(r["series_uid"], r["side"]): bytes(r["data"]) for r in H.even_volumes(spark, str(tmp_path), spec).collect()}
+    rows = [(s, p, img.ravel().astype(float).tolist(), 18, 26, z, i, 1.0, 1.0) for p, (s, img, z, i) in pixels.items()]
+    df = spark.createDataFrame(rows, "series_uid string, path string, pixels array<float>, h int, w int, z double, instance int, spacing_y double, spacing_x double")
+    assert got == {(r["series_uid"], r["side"]): bytes(r["data"]) for r in I.volumes(df, "series_uid", spec).collect()} and len(got) == 4
+    with pytest.raises(ValueError, match="all slices"):
+        H.even_volumes(spark, str(tmp_path), I.VolumeSpec(block=5))
