@@ -25,7 +25,7 @@ from quernstone.llm.common import as_before, rank_offsets, running_rank, written
 
 #: Entries of the caches of a Python worker, of chunks and of runs; a full cache is emptied. Runs are fewer than chunks, as
 #: they share their entries whatever the case and the marks around them, and it is they that the library is called for.
-CHUNKS, HELD = 300_000, 1_200_000
+CHUNKS, HELD = 100_000, 250_000
 #: White space to str.split() but not to the tokenizers' patterns.
 ODD = re.compile("[\x1c-\x1f]")
 #: Latin letters whose normal form and lower case stay within one run of letters.
