@@ -168,3 +168,20 @@ def test_bootstrap_does_not_depend_on_the_parts(spark, part_rows):
     run = lambda n: {r["metric"]: tuple(r)[1:] for r in M.bootstrap_metrics(df, F.col("y"), F.col("s"), F.col("g"), 30, seed="q", part_rows=n).collect()}
     one, many = run(10_000), run(part_rows)
     assert set(one) == set(many) == set(M.BOOTSTRAPPED) and all(np.allclose(one[m], many[m]) for m in one)
+
+
+def test_bootstrap_draws_and_ranges_of_scores(spark):
+    import hashlib
+
+    groups = [b"1", b"", "é".encode(), b"12345678", b"y" * 44, b"y" * 49, b"x" * 60]
+    steps = np.array(M.poisson_steps())
+    want = [[np.searchsorted(steps, int(hashlib.md5(b"42:%d:" % r + g).hexdigest()[:8], 16) / 2**32, "right") for r in range(1, 1005)] for g in groups]
+    assert (M.drawn("42", groups, 1004) == want).all() and (M.drawn("42", groups, 1004, False) == np.minimum(want, 1)).all()
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(y), float(s)) for g, y, s in zip(rng.integers(0, 40, 400), rng.integers(0, 2, 400), rng.integers(0, 150, 400) / 150, strict=True)]
+    df = spark.createDataFrame(rows, "g int, y int, s double")
+    run = lambda **kw: {r["metric"]: tuple(r)[1:] for r in M.bootstrap_metrics(df, F.col("y"), F.col("s"), F.col("g"), 30, seed="q", **kw).collect()}
+    one = run()
+    for most, part_rows in ((1, 10), (7, 10), (60, 1), (3, 1000)):
+        many = run(most_cells=most, part_rows=part_rows)
+        assert set(one) == set(many) == set(M.BOOTSTRAPPED) and all(np.allclose(one[m], many[m]) for m in one)
