@@ -185,3 +185,29 @@ def test_bootstrap_draws_and_ranges_of_scores(spark):
     for most, part_rows in ((1, 10), (7, 10), (60, 1), (3, 1000)):
         many = run(most_cells=most, part_rows=part_rows)
         assert set(one) == set(many) == set(M.BOOTSTRAPPED) and all(np.allclose(one[m], many[m]) for m in one)
+
+
+def test_what_a_task_holds_does_not_grow_with_queries_and_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(8192, 16))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    v[:300] = v[0]
+    pivots = N.spread(v[:500], 8)
+    angles, short = N._angles(v, pivots)
+    block, base = N.Block(list(range(len(v))), v, [()] * len(v), pivots, angles, short), v[:512]
+    sims = np.round(v @ base.T, 9)
+    limit, counts = rng.permutation(sims[:, 0]), np.zeros(len(v), np.int64)
+    tracemalloc.start()
+    for q, _, sim in N._ahead(block, base, limit, 9, counts):
+        np.add.at(counts, q[sim > limit[q]], 1)
+    top = N.TopK(block, 3, True)
+    top.add(list(range(len(base))), base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 8192 queries times 256 rows times 16 components, twice, would be 537 MB
+    assert np.abs(counts - (sims > limit[:, None]).sum(1)).max() == 0
+    for i in (0, 5, 299, 300, 4000, 8191):
+        want = sorted((-s, j) for j, s in enumerate(N.rounded(N.sums(np.repeat(v[i : i + 1], 512, 0), base))) if j != i)[:3]
+        assert [(-s, j) for s, j in top.best[i]] == want
