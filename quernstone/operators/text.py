@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from quernstone.functions.scalar import non_empty
+from quernstone.scratch import sided, written
+from quernstone.session import ship_package
 
 OUTER = "^[ \\t\\n\\r\\f\\x{3000}]+|[ \\t\\n\\r\\f\\x{3000}]+$"
 
@@ -206,31 +213,194 @@ def bucket(gram: Column, width: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int")
 
 
-def hash_vector(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, bucket, weight): counts of n-grams by bucket, L2-normalised over each text; empty texts have none."""
-    grams = df.select(key, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(key, bucket(F.col("gram"), width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+#: n-grams up to this size are numbers of 21 bits a character in tasks; distinct ones that a task keeps, and labels whose sums it keeps.
+PACKED, KEPT, LABELS = 3, 500_000, 16
+
+
+def packed_ngrams(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct character n-grams of a text as numbers, and their counts."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    m = max(0, len(c) - n + 1)
+    code = np.zeros(m, np.int64)
+    for i in range(n):
+        code = code << 21 | c[i : i + m]
+    return np.unique(code, return_counts=True)
+
+
+def unpacked(code: int, n: int) -> str:
+    return "".join(chr(code >> 21 * i & 0x1FFFFF) for i in reversed(range(n)))
+
+
+def _texts(batch: pa.RecordBatch):
+    return ((i, t) for i, t in enumerate(batch.column("__t").to_pylist()) if t)
+
+
+def _row_counts(df: DataFrame, columns: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """(columns, gram, tf): counts of n-grams of every row's text ``__t``."""
+    if max(sizes) > PACKED:
+        counted = df.withColumn("__r", F.monotonically_increasing_id()).select(*columns, "__r", F.explode(char_ngrams(F.col("__t"), sizes)).alias("gram"))
+        return counted.groupBy(*columns, "__r", "gram").agg(F.count(F.lit(1)).alias("tf")).drop("__r")
+
+    ship_package(df.sparkSession)
+
+    def count(batches):
+        for b in batches:
+            for i, t in _texts(b):
+                for n in sizes:
+                    codes, tf = packed_ngrams(t, n)
+                    row = pa.array(np.full(len(codes), i))
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in columns], pa.array([unpacked(c, n) for c in codes.tolist()], pa.string()), pa.array(tf)], [*columns, "gram", "tf"])
+
+    return df.select(*columns, "__t").mapInArrow(count, StructType([*[df.schema[c] for c in columns], StructField("gram", StringType()), StructField("tf", LongType())]))
+
+
+def _totals(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(gram, df, total) by task: rows of text ``__t`` that hold an n-gram, and its occurrences."""
+    if max(sizes) > PACKED:
+        return _row_counts(df, [], sizes).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+
+    ship_package(df.sparkSession)
+
+    def count(batches):
+        held: dict = {n: [] for n in sizes}
+        waiting = dict.fromkeys(sizes, 0)
+
+        def merge(n):
+            code, at = np.unique(np.concatenate([x[0] for x in held[n]]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([x[k] for x in held[n]]), len(code)).astype(np.int64) for k in (1, 2)]
+            held[n], waiting[n] = [(code, *sums)], 0
+            return code, *sums
+
+        def told(n):
+            code, rows, total = merge(n)
+            held[n] = []
+            for at in range(0, len(code), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array([unpacked(c, n) for c in code[at : at + 10_000].tolist()], pa.string()), pa.array(rows[at : at + 10_000]), pa.array(total[at : at + 10_000])], ["gram", "df", "total"])
+
+        for b in batches:
+            for _, t in _texts(b):
+                for n in sizes:
+                    codes, tf = packed_ngrams(t, n)
+                    held[n].append((codes, np.ones(len(codes), np.int64), tf))
+                    waiting[n] += len(codes)
+                    if waiting[n] > KEPT and len(merge(n)[0]) > KEPT:
+                        yield from told(n)
+        for n in sizes:
+            if held[n]:
+                yield from told(n)
+
+    return df.select("__t").mapInArrow(count, "gram string, df long, total long")
+
+
+def hash_vector(df: DataFrame, key: str, text: str, width: int, sizes: Sequence[int] = (1, 2)) -> DataFrame:
+    """(key, bucket, weight): counts of n-grams by bucket, L2-normalised over each text; empty texts have none.
+
+    A row leaves its task as counts by bucket; rows of one key are one text.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(key, F.col(text).alias("__t"))
+
+    def count(batches):
+        memo: dict = {}
+        for b in batches:
+            at, buckets, counts = [], [], []
+            for i, t in _texts(b):
+                total = np.zeros(width, np.int64)
+                for n in sizes:
+                    codes, tf = packed_ngrams(t, n)
+                    if len(memo) > KEPT:
+                        memo.clear()
+                    of = []
+                    for c in codes.tolist():
+                        k = memo.get((n, c))
+                        if k is None:
+                            k = memo[n, c] = int(hashlib.md5(unpacked(c, n).encode()).hexdigest()[:8], 16) % width
+                        of.append(k)
+                    np.add.at(total, of, tf)
+                some = np.flatnonzero(total)
+                at.append(np.full(len(some), i)), buckets.append(some), counts.append(total[some])
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(buckets), pa.int32()), pa.array(np.concatenate(counts))], [key, "bucket", "n"])
+
+    if max(sizes) > PACKED:
+        counted = _row_counts(rows, [key], sizes).select(key, bucket(F.col("gram"), width).alias("bucket"), F.col("tf").alias("n"))
+    else:
+        counted = rows.mapInArrow(count, StructType([df.schema[key], StructField("bucket", IntegerType()), StructField("n", LongType())]))
+    grams = counted.groupBy(key, "bucket").agg(F.sum("n").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     return grams.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
 def document_frequencies(df: DataFrame, key: str, text: Column, sizes=(1, 2)) -> DataFrame:
-    """(gram, df): documents that hold each n-gram."""
-    return df.select(key, F.explode(F.array_distinct(char_ngrams(text, sizes))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    """(gram, df): documents that hold each n-gram; a task returns one row for each n-gram that it met."""
+    return _totals(df.select(text.alias("__t")), sizes).groupBy("gram").agg(F.sum("df").alias("df"))
 
 
 def tfidf_class_means(df: DataFrame, key: str, text: Column, label: str, vocabulary: int = 20_000, sizes=(1, 2)) -> DataFrame:
     """(label, gram, weight): class means of L2-normalised smoothed TF-IDF over the most frequent n-grams.
 
-    Null labels are a class of their own; ``vocabulary`` is the operator's size of the table of n-grams.
+    Rows without a label or a key count for the frequencies alone, as in the query's SQL; ``vocabulary`` is the operator's size of the table of n-grams, which every
+    task gets. A document is weighed in one task, which returns sums by label and n-gram. Documents whose key is on
+    several rows are put together first, by key and n-gram.
     """
+    spark = df.sparkSession
+    ship_package(spark)
     docs = df.select(key, label, text.alias("__t"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    grams = docs.select(key, label, F.explode(char_ngrams(F.col("__t"), sizes)).alias("gram")).groupBy(key, label, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    freq = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "gram").limit(vocabulary)
-    idf = freq.withColumn("n", n.scalar()).select("gram", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    apart = F.lit(max(sizes) > PACKED) | (F.col("c") > 1) | F.col("__k").isNull()
+    several = written(docs.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("c")).where(apart).select("__k"), "several")
+    at = F.col(key).eqNullSafe(F.col("__k"))
+    single = docs.join(sided(several, 1_000_000), at, "left_anti")
+    grams = written(_row_counts(docs.join(sided(several, 1_000_000), at, "left_semi"), [key, label], sizes).groupBy(key, label, "gram").agg(F.sum("tf").alias("tf")), "grams")
+    freq = _totals(single, sizes).unionByName(grams.select("gram", F.lit(1).cast("long").alias("df"), F.col("tf").alias("total")))
+    freq = freq.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).orderBy(F.desc("total"), "gram").limit(vocabulary)
+    idf = written(freq.withColumn("n", n.scalar()).select("gram", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+
     weighted = grams.join(F.broadcast(idf), "gram").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     sums = weighted.join(norms, key).groupBy(label, "gram").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
+    table = [(r["gram"], r["idf"]) for r in idf.collect()]
+    sent = spark.sparkContext.broadcast(table)
+
+    def weigh(batches):
+        names, of = [g for g, _ in sent.value], np.array([x for _, x in sent.value])
+        codes = {}
+        for n in sizes if max(sizes) <= PACKED else ():
+            mine = [i for i, g in enumerate(names) if len(g) == n]
+            code = np.array([sum(ord(c) << 21 * (n - 1 - j) for j, c in enumerate(names[i])) for i in mine], np.int64)
+            order = np.argsort(code)
+            codes[n] = code[order], np.array(mine, np.int64)[order]
+        held: dict = {}
+
+        def told():
+            for x, total in held.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), kind), pa.array([names[i] for i in some], pa.string()), pa.array(total[some])], [label, "gram", "s"])
+            held.clear()
+
+        for b in batches:
+            kind, labels = b.column(label).type, b.column(label).to_pylist()
+            for i, t in _texts(b):
+                places, counts = [], []
+                for n, (known, place) in codes.items():
+                    code, tf = packed_ngrams(t, n)
+                    if len(known) and len(code):
+                        spot = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                        hit = known[spot] == code
+                        places.append(place[spot[hit]]), counts.append(tf[hit])
+                if not places:
+                    continue
+                place = np.concatenate(places)
+                w = np.concatenate(counts) * of[place]
+                if len(held) >= LABELS and labels[i] not in held:
+                    yield from told()
+                if len(w):
+                    held.setdefault(labels[i], np.zeros(len(of)))[place] += w / np.sqrt((w * w).sum())
+        if held:
+            yield from told()
+
+    mine = single.select(label, "__t").mapInArrow(weigh, StructType([docs.schema[label], StructField("gram", StringType()), StructField("s", DoubleType())]))
+    sums = mine.unionByName(sums).groupBy(label, "gram").agg(F.sum("s").alias("s"))
     sizes_ = docs.groupBy(label).agg(F.count(F.lit(1)).alias("members"))
     return sums.join(F.broadcast(sizes_), label).select(label, "gram", (F.col("s") / F.col("members")).alias("weight"))
 

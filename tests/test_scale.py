@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,3 +212,28 @@ def test_what_a_task_holds_does_not_grow_with_queries_and_pairs():
     for i in (0, 5, 299, 300, 4000, 8191):
         want = sorted((-s, j) for j, s in enumerate(N.rounded(N.sums(np.repeat(v[i : i + 1], 512, 0), base))) if j != i)[:3]
         assert [(-s, j) for s, j in top.best[i]] == want
+
+
+def test_ngrams_of_rows_that_share_a_key_and_of_any_size(spark):
+    from quernstone.operators import text as T
+
+    docs = [(1, "a", "abab c"), (2, "b", "é😀a😀"), (2, "b", "ab"), (3, None, "b"), (4, "a", None), (5, "a", ""), (None, "b", "abc")]
+    df = spark.createDataFrame(docs, "id long, label string, t string")
+    grams = lambda t, sizes: [t[i : i + n] for n in sizes for i in range(len(t or "") - n + 1)]
+    for sizes in ((1, 2), (2, 4)):
+        want = Counter(g for _, _, t in docs for g in set(grams(t, sizes)))
+        assert {r["gram"]: r["df"] for r in T.document_frequencies(df, "id", F.col("t"), sizes).collect()} == want
+        tf, members = {}, Counter(x for _, x, _ in docs)
+        for i, x, t in docs:
+            for g in grams(t, sizes):
+                tf.setdefault((i, x), Counter())[g] += 1
+        many = Counter(g for c in tf.values() for g in c)
+        sums = Counter()
+        for (i, x), c in tf.items():
+            w = {g: k * (math.log((1 + len(docs)) / (1 + many[g])) + 1) for g, k in c.items()}
+            for g in w if i is not None and x is not None else ():
+                sums[x, g] += w[g] / math.sqrt(sum(v * v for v in w.values())) / members[x]
+        got = {(r["label"], r["gram"]): r["weight"] for r in T.tfidf_class_means(df, "id", F.col("t"), "label", sizes=sizes).collect()}
+        assert set(got) == set(sums) and all(math.isclose(got[k], sums[k]) for k in got)
+        plan = T.document_frequencies(df, "id", F.col("t"), sizes)._jdf.queryExecution().executedPlan().toString()
+        assert sizes != (1, 2) or "Generate" not in plan  # no row for each n-gram of a text
