@@ -337,7 +337,7 @@ def deal(found: DataFrame, each: int, shards: int, seed: int) -> DataFrame:
         of = real + labelled(generated(seed + int(key[0]), each, [(r[0], r[2]) for r in real if r[4] == 0]))
         kept = np.array([sum(r[1].encode()) % 3 == 0 for r in of])
         symbols, y = encode([r[:3] for r in of]).astype(np.uint16), np.array([r[4] for r in of], np.uint8)
-        family = np.array([FAMILIES.index(r[3]) for r in of], np.uint8)
+        family = np.array([FAMILIES.index(r[3]) if r[3] in FAMILIES else len(FAMILIES) for r in of], np.uint8)
         cells = [symbols[~kept], y[~kept], symbols[kept], y[kept], family[kept]]
         return pd.DataFrame([[key[0], *[c.tobytes() for c in cells]]], columns=["shard", *names])
 
@@ -381,14 +381,14 @@ def train(dealt: DataFrame, net: Network, epochs: int, seed: int) -> Network:
 
 
 def kept_margins(dealt: DataFrame, net: Network) -> DataFrame:
-    """family, label, margin of every finding that is kept for calibration."""
+    """family, label, margin of every finding that is kept for calibration; a family of a caller's own is other."""
 
     def run(batches):
         for b in batches:
             for symbols, labels, families in zip(b["kept_symbols"], b["kept_labels"], b["kept_families"], strict=True):
                 if labels:
                     margins = net.margins(np.frombuffer(symbols, np.uint16).reshape(-1, WIDTH))
-                    yield pd.DataFrame({"family": np.array(FAMILIES)[np.frombuffer(families, np.uint8)], "label": np.frombuffer(labels, np.uint8).astype(np.int32), "margin": margins})
+                    yield pd.DataFrame({"family": np.array([*FAMILIES, "other"])[np.frombuffer(families, np.uint8)], "label": np.frombuffer(labels, np.uint8).astype(np.int32), "margin": margins})
 
     return dealt.select("kept_symbols", "kept_labels", "kept_families").mapInPandas(run, "family string, label int, margin double")
 
