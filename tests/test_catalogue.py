@@ -91,3 +91,23 @@ def test_six_numbers_rounds_ties_and_odd_vectors_as_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == dict(con.execute(catalogue.ORACLE["six_numbers"]).fetchall())
     assert got[len(odd) - 1].startswith("0.101562,0.117188,-0.101562,")
+
+
+def test_recall_at_k_ranks_every_vector(spark, tmp_path):
+    import numpy as np
+
+    # vectors whose id 20 divides have a neighbour of their label next to them, the others one of another label
+    angles, labels = [], []
+    for i in range(100):
+        angles.append(i // 20 * 1.2 + (i % 20 > 1) * (0.3 + i % 20 * 0.02) + (i % 20 == 1) * 1e-3)
+        labels.append(0 if i % 20 < 2 else i % 2 + 1)
+    x = np.c_[np.cos(angles), np.sin(angles)]
+    spark.createDataFrame([(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["k_requested"]: r["recall"] for r in catalogue.QUERIES["recall_at_k"](spark, str(tmp_path)).collect()}
+    sims = np.round(x @ x.T, 6)
+    ranks = []
+    for i in range(100):
+        order = sorted((-sims[i, j], j) for j in range(100) if j != i)
+        ranks.append(next(k for k, (_, j) in enumerate(order, 1) if labels[j] == labels[i]))
+    assert got == {k: round(sum(r <= k for r in ranks) / 100, 6) for k in (1, 5, 10)} and got[1] < 1
+    assert all(ranks[i] == 1 for i in range(0, 100, 20))
