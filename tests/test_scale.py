@@ -110,6 +110,45 @@ def test_neighbours_equal_brute_force_without_shuffling_the_base(spark):
     assert N.neighbours(queries.limit(0), base, "id", "v", 5).count() == N.neighbours(queries, base.limit(0), "id", "v", 5).count() == 0
 
 
+def test_ranks_of_all_rows_in_many_blocks_equal_brute_force(spark, monkeypatch):
+    x = np.float32(clustered(4, 400)).astype(float)
+    names = [f"k{i:03d}" for i in range(400)]
+    labels = [None if i % 50 == 7 else 99 if i == 8 else i % 6 for i in range(400)]  # 99: no other row has it
+    rows = [(n, v.tolist(), y) for n, v, y in zip(names, x, labels, strict=True)]
+    odd = [(None, [1.0] * 8, 0), ("n0", None, 0), ("n1", [None] * 8, 0), ("n2", [float("nan")] * 8, 1), ("n3", [float("inf")] * 8, 1)]
+    df = spark.createDataFrame(rows + odd, "id string, v array<float>, y int")
+    u = x / (np.sqrt((x * x).sum(1)) + 1e-12)[:, None]
+    sims = N.rounded(N.sums(np.repeat(u, 400, 0), np.tile(u, (400, 1)))).reshape(400, -1)
+    want = {}
+    for q in range(400):
+        order = sorted((-sims[q, j], j) for j in range(400) if j != q)
+        if hit := [k + 1 for k, (_, j) in enumerate(order) if labels[q] is not None and labels[j] == labels[q]]:
+            want[names[q]] = hit[0]
+    monkeypatch.setattr(N, "PART_BYTES", 6400)  # four parts
+    ranks = N.first_match_ranks(df, df, "id", "v", "y", block_bytes=1500)
+    assert {r["query"]: r["true_rank"] for r in ranks.collect()} == want and len(want) == 391
+    assert "CartesianProduct" in ranks._jdf.queryExecution().executedPlan().toString()
+    once = N.first_match_ranks(df.unionByName(df.where("id < 'k010'")), df, "id", "v", "y")  # repeated queries count once
+    assert {r["query"]: r["true_rank"] for r in once.collect()} == want and once.count() == 391
+    assert N.first_match_ranks(df.limit(0), df, "id", "v", "y").count() == N.first_match_ranks(df, df.limit(0), "id", "v", "y").count() == 0
+    wide = spark.createDataFrame([(f"w{i}", [1.0] * (3 + i % 2), 1) for i in range(6)], "id string, v array<double>, y int")
+    with pytest.raises(Exception, match="different widths|inhomogeneous"):
+        N.first_match_ranks(wide, wide, "id", "v", "y").collect()
+
+
+def test_single_precision_rules_out_no_query_that_is_reached():
+    rng = np.random.default_rng(6)
+    for width in (2, 64, 700):
+        u = rng.normal(size=(300, width)) * 10.0 ** rng.uniform(-6, 0, (300, width))
+        u /= np.sqrt((u * u).sum(1))[:, None]
+        block = N.Block(list(range(200)), u[:200], [()] * 200, u[:1], *N._angles(u[:200], u[:1]))
+        exact = u[:200] @ u[200:].T
+        rows, every = np.arange(200, 300), np.arange(200)
+        assert np.array_equal(N._reached(block, every, u, rows, exact.max(1))[0], every)  # each is just reached
+        live, products = N._reached(block, every, u, rows, np.where(every % 3 == 0, exact.max(1), 1.5))
+        assert np.array_equal(live, every[::3]) and np.allclose(products, exact[::3], atol=1e-12)
+
+
 def test_pivots_save_most_pairs_of_clustered_vectors():
     x = clustered(2, 4000)[:-1]
     u = x / np.sqrt((x * x).sum(1))[:, None]
